@@ -94,7 +94,7 @@ SELECT task_id, bool_or(crossing) AS truncated,
   END AS raw_output
 FROM (SELECT task_id, line_no, used > {CAP} AS crossing,
     CASE WHEN used <= {CAP} THEN text
-      ELSE nullif({FRONT.format("text", f"least({CAP} - used + n_bytes, strlen(text))")}, '') END AS body
+      ELSE nullif({FRONT.format("text", f"CAST(least({CAP} - used + n_bytes, strlen(text)) AS BIGINT)")}, '') END AS body
   FROM (SELECT *, sum(n_bytes) OVER (PARTITION BY task_id ORDER BY line_no) AS used FROM lines_v) t
   WHERE used - n_bytes <= {CAP}) k
 GROUP BY task_id

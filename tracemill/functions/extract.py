@@ -1,13 +1,21 @@
-"""Extraction tiers as columns: each returns an event struct, or null where it finds nothing."""
+"""Extraction tiers as columns.
+
+Rules are data.  Matching is one `case when` of regex tests that yields a rule number; what
+the rule captures is looked up by that number in a literal table and extracted by a single
+expression, so the plan grows by one small test per rule.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import EVENT_STRUCT
-from ..sources.rulepacks import Pack, Rule
-from .patterns import contains_any, group, group_long, matches
+from ..sources.rulepacks import Pack
+from .patterns import contains_any, java, let, matches
 from .text import ascii_lower, is_success_summary, normalize_severity, trim
 
 # ---- fixed values: crash signatures (language, regex, field -> group) ----------------
@@ -45,7 +53,7 @@ HEURISTIC_RULES = [
 ]
 # literal text one of which every heuristic line holds, lower case
 HEURISTIC_HINTS = ["error", "fatal", "failed", "panic", "traceback", "segmentation fault",
-                   "killed", "aborted", "warn", "deprecated", "notice", "attention"]
+                   "bus error", "killed", "aborted", "warn", "deprecated", "notice", "attention"]
 JSON_CODE_KEYS = ["code", "errorCode", "error_code"]
 JSON_MESSAGE_KEYS = ["message", "msg", "text"]
 JSON_FILE_KEYS = ["file", "filename", "path"]
@@ -73,90 +81,123 @@ def no_event() -> Column:
     return F.lit(None).cast(EVENT_STRUCT)
 
 
-def _field(text: Column, regex: str, fields: dict, key: str) -> Column | None:
-    return group(text, regex, fields[key]) if key in fields else None
-
-
-def _number(text: Column, regex: str, fields: dict, key: str) -> Column | None:
-    return group_long(text, regex, fields[key]) if key in fields else None
-
-
-def rule_event(text: Column, rule: Rule, with_code: bool = True) -> Column:
-    """The event of one matching rule."""
-    fields = rule.fields
-    message = _field(text, rule.regex, fields, "message")
-    severity = _field(text, rule.regex, fields, "severity")
-    return event_struct(
-        F.lit(rule.event_type),
-        F.lit(rule.severity) if severity is None else normalize_severity(severity, rule.severity),
-        text if message is None else F.coalesce(trim(message), text),
-        _field(text, rule.regex, fields, "code") if with_code else None,
-        _field(text, rule.regex, fields, "file"),
-        _number(text, rule.regex, fields, "line"),
-        _number(text, rule.regex, fields, "column") if with_code else None,
-    )
-
-
-def first_rule_event(text: Column, pack: Pack) -> Column:
-    """First rule of the pack that matches, in file order."""
-    cond = None
-    for rule in pack.active_rules:
-        test, event = matches(text, rule.regex), rule_event(text, rule)
-        cond = F.when(test, event) if cond is None else cond.when(test, event)
-    return no_event() if cond is None else cond.otherwise(no_event())
-
-
-def all_rule_events(text: Column, pack: Pack) -> Column:
-    """Every matching rule of a stateful pack, in file order (array, empty when none)."""
-    hits = [F.when(matches(text, r.regex), rule_event(text, r, False)) for r in pack.active_rules]
-    return F.array_compact(F.array(*hits))
-
-
-def by_parser(parser: Column, packs: list[Pack], build, otherwise: Column) -> Column:
-    """One expression per pack, chosen by the task's parser: only that pack's regexes run."""
-    cond = None
-    for pack in packs:
-        branch = build(pack)
-        hit = parser == pack.name
-        cond = F.when(hit, branch) if cond is None else cond.when(hit, branch)
-    return otherwise if cond is None else cond.otherwise(otherwise)
+def raw_event(text: Column, severity: Column | None = None) -> Column:
+    return event_struct(F.lit("log"), F.lit("info") if severity is None else severity, text)
 
 
-def crash_event(text: Column) -> Column:
-    cond = F.when(~contains_any(text, CRASH_HINTS), no_event())
-    for language, regex, fields in CRASH_RULES:
-        message = _field(text, regex, fields, "message")
-        cond = cond.when(
-            matches(text, regex),
-            event_struct(
-                F.lit("crash"), F.lit("error"),
-                text if message is None else F.coalesce(trim(message), text), F.lit(language),
-                _field(text, regex, fields, "file"), _number(text, regex, fields, "line"),
-            ),
-        )
-    return cond.otherwise(no_event())
+SPEC = (
+    "struct<tier:string,regex:string,type:string,severity:string,code:string,code_at:int,"
+    "message_at:int,file_at:int,line_at:int,col_at:int,severity_at:int>"
+)
 
 
-def heuristic_event(text: Column) -> Column:
-    """Keyword fallback for lines that no rule knows; the message is the whole line."""
-    hinted = contains_any(ascii_lower(text), HEURISTIC_HINTS) | ascii_lower(text).contains("bus error")
-    cond = F.when(~hinted, no_event()).when(is_success_summary(text), no_event())
-    for severity, regex, fields in HEURISTIC_RULES:
-        cond = cond.when(
-            matches(text, regex),
+@dataclass
+class RuleBook:
+    """All rules of all tiers under one numbering (from 1)."""
+
+    packs: Sequence[Pack] = ()
+    specs: list[tuple] = field(default_factory=list)
+    by_pack: dict[str, list[tuple[int, str]]] = field(default_factory=dict)
+    crash: list[tuple[int, str]] = field(default_factory=list)
+    guess: list[tuple[int, str]] = field(default_factory=list)
+
+    def __post_init__(self):
+        for pack in self.packs:
+            tier = "stateful" if pack.stateful else "rule"
+            self.by_pack[pack.name] = [
+                self._add(tier, r.regex, r.event_type, r.severity, None, r.fields, not pack.stateful)
+                for r in pack.active_rules
+            ]
+        for language, regex, fields in CRASH_RULES:
+            self.crash.append(self._add("crash", regex, "crash", "error", language, fields))
+        for severity, regex, fields in HEURISTIC_RULES:
+            self.guess.append(self._add("heuristic", regex, "diagnostic", severity, None, fields))
+
+    def _add(self, tier, regex, event_type, severity, code, fields, full=True):
+        """`full` is false for stateful rules: they take neither code nor column."""
+        column = fields.get("column", fields.get("col"))
+        self.specs.append((
+            tier, java(regex), event_type, severity, code, fields.get("code") if full else None,
+            fields.get("message"), fields.get("file"), fields.get("line"),
+            column if full else None, fields.get("severity"),
+        ))
+        return len(self.specs), regex
+
+    def table(self) -> Column:
+        rows = [F.struct(*[F.lit(v) for v in spec]).cast(SPEC) for spec in self.specs]
+        return F.array(*rows)
+
+    @staticmethod
+    def first(text: Column, rules) -> Column:
+        """Number of the first rule that matches, null if none."""
+        cond = F.lit(None).cast("int")
+        for number, regex in reversed(rules):
+            cond = F.when(matches(text, regex), F.lit(number)).otherwise(cond)
+        return cond
+
+    @staticmethod
+    def every(text: Column, rules) -> Column:
+        """Numbers of all rules that match, in order."""
+        return F.array_compact(F.array(*[F.when(matches(text, r), F.lit(n)) for n, r in rules]))
+
+    def _choose(self, text: Column, parser: Column, stateful: bool, build, otherwise) -> Column:
+        """One branch per pack, chosen by the task's parser: only that pack's tests run.
+
+        The branches sit in a lambda: hundreds of regex tests would not fit into one
+        generated method, and in a lambda each keeps its compiled pattern all the same.
+        """
+        packs = [p for p in self.packs if p.stateful == stateful and p.rules]
+
+        def branches(line: Column) -> Column:
+            cond = F
+            for pack in packs:
+                cond = cond.when(line["p"] == pack.name, build(line["t"], self.by_pack[pack.name]))
+            return cond.otherwise(otherwise)
+
+        if not packs:
+            return otherwise
+        return let(F.struct(text.alias("t"), parser.alias("p")), branches)
+
+    def line_rule(self, text: Column, parser: Column) -> Column:
+        return self._choose(text, parser, False, self.first, F.lit(None).cast("int"))
+
+    def stateful_rules(self, text: Column, parser: Column) -> Column:
+        return self._choose(text, parser, True, self.every, F.array().cast("array<int>"))
+
+    def crash_rule(self, text: Column) -> Column:
+        found = let(text, lambda line: self.first(line, self.crash))
+        return F.when(contains_any(text, CRASH_HINTS), found)
+
+    def guess_rule(self, text: Column) -> Column:
+        """Keyword fallback; lines that report success do not count."""
+        hinted = let(ascii_lower(text), lambda low: contains_any(low, HEURISTIC_HINTS))
+        found = let(text, lambda line: self.first(line, self.guess))
+        return F.when(hinted & ~is_success_summary(text), found)
+
+    def event(self, text: Column, number: Column) -> Column:
+        """The event of rule `number` on this line."""
+        spec = F.element_at(self.table(), number)
+
+        def captured(name: str) -> Column:
+            found = F.call_function("regexp_extract", text, spec["regex"], spec[name])
+            return F.when(spec[name].isNotNull(), F.nullif(found, F.lit("")))
+
+        severity = normalize_severity(captured("severity_at"), spec["severity"])
+        return F.when(
+            number.isNotNull(),
             event_struct(
-                F.lit("diagnostic"), F.lit(severity), text, None,
-                _field(text, regex, fields, "file"), _number(text, regex, fields, "line"),
-                _number(text, regex, fields, "col"),
+                spec["type"],
+                F.when(spec["severity_at"].isNull(), spec["severity"]).otherwise(severity),
+                F.coalesce(trim(captured("message_at")), text),
+                F.coalesce(captured("code_at"), spec["code"]),
+                captured("file_at"),
+                captured("line_at").try_cast("long"),
+                captured("col_at").try_cast("long"),
             ),
         )
-    return cond.otherwise(no_event())
 
-
-def raw_event(text: Column) -> Column:
-    """Last resort: a log event, its severity taken from the keyword fallback."""
-    severity = F.coalesce(heuristic_event(text)["severity"], F.lit("info"))
-    return event_struct(F.lit("log"), severity, text)
+    def tier(self, number: Column) -> Column:
+        return F.when(number.isNotNull(), F.element_at(self.table(), number)["tier"])
 
 
 def _first_key(variant: Column, keys: list[str], type_name: str) -> Column:
@@ -213,10 +254,26 @@ def json_value_event(variant: Column, text: Column) -> Column:
     return F.when(kind.startswith("OBJECT"), obj).otherwise(other)
 
 
+def strict_json(text: Column) -> Column:
+    """Variant of a text that is one whole JSON value, else null.
+
+    The parser stops after the first value and ignores what follows; only a single value
+    with nothing behind it still parses both as an array element and as an object field.
+    """
+    inside = F.try_variant_get(
+        F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>"
+    )
+    field = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when((F.size(inside) == 1) & field.isNotNull(), F.element_at(inside, 1))
+
+
 def json_line_event(text: Column) -> Column:
     """A line that starts with `{` and parses is a structured record."""
-    body = trim(text)
-    variant = F.when(body.startswith("{"), F.try_parse_json(body))
-    return F.when(variant.isNotNull(), json_value_event(variant, F.to_json(variant))).otherwise(
-        no_event()
-    )
+
+    def event(body: Column) -> Column:
+        return let(
+            strict_json(body),
+            lambda v: F.when(v.isNotNull(), json_value_event(v, F.to_json(v))),
+        )
+
+    return F.when(matches(text, r"^\s*\{"), let(trim(text), event))

@@ -33,6 +33,15 @@ def is_safe(pattern: str) -> bool:
     return True
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once per row.
+
+    A column used several times is repeated in the generated code; bound in a lambda it is
+    not, which keeps long text predicates small and evaluates their input once.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def matches(text: Column, pattern: str) -> Column:
     return text.rlike(java(pattern))
 
@@ -42,10 +51,6 @@ def group(text: Column, pattern: str, index: int) -> Column:
     return F.nullif(F.regexp_extract(text, java(pattern), index), F.lit(""))
 
 
-def group_long(text: Column, pattern: str, index: int) -> Column:
-    return group(text, pattern, index).try_cast("long")
-
-
 def contains_any(text: Column, words) -> Column:
     """Any of the literal words occurs in the text (cheap byte search, no regex)."""
     cond = F.lit(False)

@@ -238,12 +238,9 @@ def shape_of(text: str) -> dict:
     return {"commands": found, **{f: f in flags for f in FLAGS}, "too_deep": too_deep}
 
 
-@F.pandas_udf(SHAPE)
-def _shape_udf(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(
-        [shape_of(t or "") for t in texts], columns=["commands", *FLAGS, "too_deep"]
-    )
+def _shapes(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([shape_of(t or "") for t in texts], columns=["commands", *FLAGS, "too_deep"])
 
 
 def command_shape(command: Column) -> Column:
-    return _shape_udf(command)
+    return F.pandas_udf(_shapes, SHAPE)(command)

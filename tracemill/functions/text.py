@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import contains_any, java, matches
+from .patterns import contains_any, let, matches
 
 # ---- fixed values -------------------------------------------------------------------
 ANSI_SGR = r"\x1b\[[0-9;]*m"
@@ -108,64 +108,73 @@ def clip_text(col: Column, limit: int = INLINE_LIMIT_BYTES) -> Column:
 
 def is_success_summary(line: Column) -> Column:
     """A line that reports success although it holds words such as `failed`."""
-    low = ascii_lower(trim(line))
-    strong = contains_any(low, STRONG_ERROR_WORDS) | (
-        low.contains("panic") & ~low.contains("0 panic")
-    )
-    return (
-        low.startswith("test result: ok")
-        | (low.startswith("test ") & low.endswith(" ... ok"))
-        | (contains_any(low, ZERO_FAILURE_WORDS) & ~strong)
-    )
+
+    def test(low: Column) -> Column:
+        strong = contains_any(low, STRONG_ERROR_WORDS) | (
+            low.contains("panic") & ~low.contains("0 panic")
+        )
+        return (
+            low.startswith("test result: ok")
+            | (low.startswith("test ") & low.endswith(" ... ok"))
+            | (contains_any(low, ZERO_FAILURE_WORDS) & ~strong)
+        )
+
+    return let(ascii_lower(trim(line)), test)
 
 
 def normalize_severity(raw: Column, default: Column | str) -> Column:
     default = F.lit(default) if isinstance(default, str) else default
-    low = ascii_lower(trim(raw))
-    return (
-        F.when(low.startswith("fatal") | low.startswith("error"), "error")
+    known = let(
+        ascii_lower(trim(raw)),
+        lambda low: F.when(low.startswith("fatal") | low.startswith("error"), "error")
         .when(low.startswith("warn"), "warning")
-        .when(low.startswith("info") | low.startswith("note") | low.startswith("debug"), "info")
-        .otherwise(default)
+        .when(low.startswith("info") | low.startswith("note") | low.startswith("debug"), "info"),
     )
+    return F.coalesce(known, default)
 
 
 def looks_like_stderr_error(message: Column) -> Column:
-    low = ascii_lower(message)
-    cond = contains_any(low, STDERR_SIGNALS)
-    for prefix in STDERR_PREFIXES:
-        cond = cond | low.startswith(prefix)
-    return cond
+    def test(low: Column) -> Column:
+        cond = contains_any(low, STDERR_SIGNALS)
+        for prefix in STDERR_PREFIXES:
+            cond = cond | low.startswith(prefix)
+        return cond
+
+    return let(ascii_lower(message), test)
 
 
 def is_context_line(message: Column) -> Column:
     """Compiler continuation lines that belong to the diagnostic before them."""
-    body = trim(message)
-    cond = matches(body, DIRECTIVE) | matches(body, NUMBERED_SOURCE)
-    for prefix in CONTEXT_PREFIXES:
-        cond = cond | body.startswith(prefix)
-    return cond
+
+    def test(body: Column) -> Column:
+        cond = matches(body, DIRECTIVE) | matches(body, NUMBERED_SOURCE)
+        for prefix in CONTEXT_PREFIXES:
+            cond = cond | body.startswith(prefix)
+        return cond
+
+    return let(trim(message), test)
 
 
 def keeps_context_text(message: Column) -> Column:
     """Of the context lines, those that carry text worth keeping."""
-    body = trim(message)
-    marker_only = matches(body, r"^\|\s*[\^\-|]*$")
-    return ~(
-        marker_only
-        | body.isin("", "}", "//", "///")
-        | body.startswith("-->")
-        | body.contains("\x1b")
+    return let(
+        trim(message),
+        lambda body: ~(
+            matches(body, r"^\|\s*[\^\-|]*$")
+            | body.isin("", "}", "//", "///")
+            | body.startswith("-->")
+            | body.contains("\x1b")
+        ),
     )
 
 
 def is_secondary_summary(message: Column) -> Column:
-    low = ascii_lower(message)
-    return (
-        low.contains("could not compile")
+    return let(
+        ascii_lower(message),
+        lambda low: low.contains("could not compile")
         | (low.contains("due to") & low.contains("previous error"))
         | low.startswith("for more information about this error")
-        | low.startswith("some errors have detailed explanations")
+        | low.startswith("some errors have detailed explanations"),
     )
 
 
@@ -190,6 +199,3 @@ def duration_text(ms: Column) -> Column:
         )
     )
 
-
-def normalize_spaces(col: Column) -> Column:
-    return F.regexp_replace(col, java(r"\s+"), " ")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract as X
+from ..functions.extract import RuleBook
 from ..functions.shell import command_shape
 from ..functions.text import looks_like_stderr_error, strip_ansi, trim
 from ..schemas import EVENT_FIELDS
@@ -95,10 +96,10 @@ def version_ok(version: Column, minimum: Column, maximum: Column) -> Column:
     return unknown | ~(too_low | too_high)
 
 
-def resolve_rules(parsers: DataFrame) -> DataFrame:
-    """One parser per name: highest priority, user before builtin."""
+def resolve_rules(parsers: DataFrame, tie=("ord",)) -> DataFrame:
+    """One parser per name: highest priority, user before builtin, then the `tie` columns."""
     rank = Window.partitionBy("name").orderBy(
-        F.desc("priority"), (F.col("source") != "user").cast("int")
+        F.desc("priority"), (F.col("source") != "user").cast("int"), *tie
     )
     return parsers.withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1").drop("_rank")
 
@@ -124,13 +125,42 @@ def apply_tier(lines: DataFrame, event: Column, tier: str) -> DataFrame:
     )
 
 
+def _apply_numbers(lines: DataFrame, book: RuleBook, number: Column, tier: str) -> DataFrame:
+    keep = [c for c in lines.columns if c != "text"]
+    return (
+        lines.withColumn("_no", number)
+        .filter(F.col("_no").isNotNull())
+        .withColumn("_event", book.event(F.col("text"), F.col("_no")))
+        .select(*keep, *_event_columns("_event"), F.lit(tier).alias("tier"))
+    )
+
+
 def apply_line_rules(lines: DataFrame, packs: Sequence[Pack]) -> DataFrame:
     """First matching rule of the line's parser (lines carry `parser_name`)."""
-    line_packs = [p for p in packs if not p.stateful and p.rules]
-    event = X.by_parser(
-        F.col("parser_name"), line_packs, lambda p: X.first_rule_event(F.col("text"), p), X.no_event()
+    book = RuleBook(packs)
+    return _apply_numbers(lines, book, book.line_rule(F.col("text"), F.col("parser_name")), "rule")
+
+
+def apply_crash_rules(lines: DataFrame) -> DataFrame:
+    book = RuleBook()
+    return _apply_numbers(lines, book, book.crash_rule(F.col("text")), "crash")
+
+
+def apply_heuristics(lines: DataFrame) -> DataFrame:
+    book = RuleBook()
+    return _apply_numbers(lines, book, book.guess_rule(F.col("text")), "heuristic")
+
+
+def raw_events(lines: DataFrame) -> DataFrame:
+    """Every line as a log event, with the severity the keyword fallback would give it."""
+    book, keep = RuleBook(), [c for c in lines.columns if c != "text"]
+    severity = F.coalesce(F.col("_guess.severity"), F.lit("info"))
+    return (
+        lines.withColumn("_no", book.guess_rule(F.col("text")))
+        .withColumn("_guess", book.event(F.col("text"), F.col("_no")))
+        .withColumn("_event", X.raw_event(F.col("text"), severity))
+        .select(*keep, *_event_columns("_event"), F.lit("raw").alias("tier"))
     )
-    return apply_tier(lines, event, "rule")
 
 
 def apply_stateful_rules(
@@ -143,49 +173,50 @@ def apply_stateful_rules(
     """
     stateful = [p for p in packs if p.stateful]
     plain = [p for p in stateful if not any(r.state_condition for r in p.active_rules)]
-    chained = [p for p in stateful if p not in plain]
     keep = [c for c in lines.columns if c != "text"]
-    found = lines.withColumn("_events", stateful_events(F.col("text"), F.col("parser_name"), plain))
-    out = found.select(*keep, F.posexplode("_events").alias("idx", "_event")).select(
-        *keep, F.col("idx").cast("long").alias("idx"), *_event_columns("_event"),
-        F.lit("stateful").alias("tier"),
+    book = RuleBook(plain)
+    out = (
+        lines.select("*", F.posexplode(book.stateful_rules(F.col("text"), F.col("parser_name"))).alias("idx", "_no"))
+        .withColumn("_event", book.event(F.col("text"), F.col("_no")))
+        .select(*keep, F.col("idx").cast("long").alias("idx"), *_event_columns("_event"),
+                F.lit("stateful").alias("tier"))
     )
-    for pack in chained:
-        mine = lines.filter(F.col("parser_name") == pack.name)
-        out = out.unionByName(_conditional_events(mine, pack, max_bytes).select(out.columns))
+    for pack in stateful:
+        if pack not in plain:
+            mine = lines.filter(F.col("parser_name") == pack.name)
+            out = out.unionByName(_conditional_events(mine, pack, max_bytes).select(out.columns))
     return out
 
 
-def stateful_events(text: Column, parser: Column, packs: Sequence[Pack]) -> Column:
-    empty = F.array().cast("array<struct<type:string,severity:string,code:string,message:string,"
-                           "file:string,line:bigint,col:bigint>>")
-    return X.by_parser(parser, list(packs), lambda p: X.all_rule_events(text, p), empty)
+def _conditional_events(lines: DataFrame, pack: Pack, max_bytes: int) -> DataFrame:
+    """Rules with `key=value` conditions: hits as columns, the state scanned per task.
+
+    A task's hits are bounded by its capped output.
+    """
+    book, rules = RuleBook([pack]), pack.active_rules
 
+    def pair(text):
+        return tuple(text.split("=", 1)) if text else None
 
-def _conditional_events(lines: DataFrame, pack: Pack, max_bytes: int) -> DataFrame:
-    """Rules with `key=value` conditions: candidate hits as columns, state scanned per task."""
-    rules = pack.active_rules
-    hits = F.array(*[F.when(X.matches(F.col("text"), r.regex), X.rule_event(F.col("text"), r, False))
-                     for r in rules])
-    needs = [tuple(r.state_condition.split("=", 1)) if r.state_condition else None for r in rules]
-    sets = [tuple(r.state_transition.split("=", 1)) if r.state_transition else None for r in rules]
+    needs, sets = [pair(r.state_condition) for r in rules], [pair(r.state_transition) for r in rules]
     keep = [c for c in lines.columns if c != "text"]
     capped = cap_task_output(lines, max_bytes).filter(~F.col("truncated")).drop("truncated")
+    numbers = book.every(F.col("text"), book.by_pack[pack.name])
     candidates = (
-        capped.select(*keep, F.posexplode(hits).alias("rule_no", "_event"))
-        .filter(F.col("_event").isNotNull())
+        capped.select("*", F.explode(numbers).alias("rule_no"))
+        .withColumn("_event", book.event(F.col("text"), F.col("rule_no")))
         .select(*keep, "rule_no", *_event_columns("_event"))
     )
 
     def scan(task: pd.DataFrame) -> pd.DataFrame:
         state, fired = {}, []
         task = task.sort_values(["line_no", "rule_no"], kind="stable").reset_index(drop=True)
-        for rule_no in task["rule_no"]:
-            need = needs[rule_no]
+        for number in task["rule_no"]:
+            need, change = needs[number - 1], sets[number - 1]
             ok = need is None or state.get(need[0]) == need[1]
             fired.append(ok)
-            if ok and sets[rule_no]:
-                state[sets[rule_no][0]] = sets[rule_no][1]
+            if ok and change:
+                state[change[0]] = change[1]
         task = task[fired].copy()
         task["idx"] = task.groupby("line_no").cumcount()
         task["tier"] = "stateful"
@@ -235,46 +266,31 @@ def escalate_stderr(events: DataFrame) -> DataFrame:
 def parse_tagged_lines(lines: DataFrame, packs: Sequence[Pack]) -> DataFrame:
     """The tier cascade on lines that carry `parser_name`: first tier with a result wins.
 
-    Stateless, hence valid on streams.  Each tier runs only where the tiers before it found
-    nothing.  `idx` numbers the events of one line.
+    Stateless, hence valid on streams.  Each tier's tests run only where the tiers before it
+    found nothing.  `idx` numbers the events of one line.
     """
-    text, parser = F.col("text"), F.col("parser_name")
-    line_packs = [p for p in packs if not p.stateful and p.rules]
-    stateful = [p for p in packs if p.stateful]
+    text, parser, book = F.col("text"), F.col("parser_name"), RuleBook(packs)
     keep = [c for c in lines.columns if c not in ("text", "parser_name")]
-
-    def after(previous: str, event: Column) -> Column:
-        return F.when(F.col(previous).isNull(), event)
-
-    staged = (
+    open_line = F.col("_json").isNull()
+    single = F.coalesce(
+        book.line_rule(text, parser), book.crash_rule(text), book.guess_rule(text)
+    )
+    numbers = F.when(F.size("_many") > 0, F.col("_many")).otherwise(F.array("_one"))
+    event = F.coalesce("_json", book.event(text, F.col("_no")), X.raw_event(text))
+    tier = F.when(open_line, F.coalesce(book.tier(F.col("_no")), F.lit("raw"))).otherwise("json")
+    return (
         lines.withColumn("text", strip_ansi(text))
         .withColumn("_json", X.json_line_event(text))
-        .withColumn("_many", F.when(F.col("_json").isNull(), stateful_events(text, parser, stateful)))
         .withColumn(
-            "_rule",
-            F.when(
-                F.col("_json").isNull() & (F.size("_many") == 0),
-                X.by_parser(parser, line_packs, lambda p: X.first_rule_event(text, p), X.no_event()),
-            ),
+            "_many",
+            F.when(open_line, book.stateful_rules(text, parser)).otherwise(F.array().cast("array<int>")),
         )
-        .withColumn("_open", F.col("_json").isNull() & (F.size("_many") == 0) & F.col("_rule").isNull())
-        .withColumn("_crash", F.when(F.col("_open"), X.crash_event(text)))
-        .withColumn("_guess", F.when(F.col("_open") & F.col("_crash").isNull(), X.heuristic_event(text)))
-    )
-    raw = X.event_struct(F.lit("log"), F.lit("info"), text)
-    single = F.coalesce("_json", "_rule", "_crash", "_guess", raw)
-    tier = (
-        F.when(F.col("_json").isNotNull(), "json")
-        .when(F.size("_many") > 0, "stateful")
-        .when(F.col("_rule").isNotNull(), "rule")
-        .when(F.col("_crash").isNotNull(), "crash")
-        .when(F.col("_guess").isNotNull(), "heuristic")
-        .otherwise("raw")
+        .withColumn("_one", F.when(open_line & (F.size("_many") == 0), single))
+        .select(*keep, "text", "_json", F.posexplode(numbers).alias("idx", "_no"))
+        .withColumn("_event", event)
+        .select(*keep, F.col("idx").cast("long").alias("idx"), *_event_columns("_event"),
+                tier.alias("tier"))
     )
-    several = F.when(F.size("_many") > 0, F.col("_many")).otherwise(F.array(single))
-    return staged.select(
-        *keep, tier.alias("tier"), F.posexplode(several).alias("idx", "_event")
-    ).select(*keep, F.col("idx").cast("long").alias("idx"), *_event_columns("_event"), "tier")
 
 
 def parse_lines(lines: DataFrame, tasks: DataFrame, packs: Sequence[Pack]) -> DataFrame:
@@ -287,7 +303,7 @@ def parse_lines(lines: DataFrame, tasks: DataFrame, packs: Sequence[Pack]) -> Da
 
 
 def _parses(line: Column) -> Column:
-    return trim(line).startswith("{") & F.try_parse_json(trim(line)).isNotNull()
+    return trim(line).startswith("{") & X.strict_json(trim(line)).isNotNull()
 
 
 def _with_output_lines(raw: DataFrame, text: str) -> DataFrame:
@@ -321,7 +337,7 @@ def _tag_format(raw: DataFrame, text: str) -> DataFrame:
     rows = _with_output_lines(raw, text)
     n = F.size("_filled")
     opens = F.substring("_body", 1, 1).isin("{", "[")
-    variant = F.when(opens, F.try_parse_json("_body"))
+    variant = F.when(opens, X.strict_json(F.col("_body")))
     n_json = F.size(F.filter("_filled", _parses))
     yaml_head = F.forall(
         F.slice("_rows", 1, 5),
@@ -352,7 +368,7 @@ def format_events(raw: DataFrame, text: str = "raw") -> DataFrame:
     """Data events of structured outputs, numbered by `item` from 1."""
     info = F.lit("info")
     tagged = _tag_format(raw, text)
-    whole = F.try_parse_json("_body")
+    whole = X.strict_json(F.col("_body"))
     elements = F.coalesce(
         F.try_variant_get(whole, "$", "array<variant>"), F.array(whole)
     )
