@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from suite.line_cases import NOISE
 from suite.views import view, with_views
 from tracemill.functions import text as T
-from tracemill.operators import analytics as A
 from tracemill.operators import lines as L
 from tracemill.operators import merge as M
 
@@ -55,9 +54,6 @@ def assign_seq(spark, sf):
     return M.assign_seq(events, ("line_no",))
 
 
-def repair_loops(spark, sf):
-    return A.repair_loops(view(spark, sf, "tasks_v"))
-
 
 RUNS = """
 SELECT task_id, seq, type, severity, code, message, file, line, col,
@@ -149,5 +145,4 @@ CASES = {
         "merge_v")),
     "w6_embed_context": (embed_context, with_views(EMBED_SQL, "merge_v")),
     "w7_assign_seq": (assign_seq, with_views(SEQ_SQL, "merge_v")),
-    "w9_repair_loops": (repair_loops, None),
 }
