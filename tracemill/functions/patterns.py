@@ -53,7 +53,11 @@ def group(text: Column, pattern: str, index: int) -> Column:
 
 def contains_any(text: Column, words) -> Column:
     """Any of the literal words occurs in the text (cheap byte search, no regex)."""
-    cond = F.lit(False)
-    for word in words:
-        cond = cond | text.contains(word)
-    return cond
+
+    def test(bound: Column) -> Column:
+        cond = F.lit(False)
+        for word in words:
+            cond = cond | bound.contains(word)
+        return cond
+
+    return let(text, test)

@@ -32,9 +32,9 @@ ANSI_C = {"a": "\a", "b": "\b", "e": "\x1b", "E": "\x1b", "f": "\f", "n": "\n",
 # -------------------------------------------------------------------------------------
 
 SHAPE = (
-    "struct<commands:array<struct<words:array<string>,exe:int,origin:string>>,"
+    "struct<commands:array<struct<words:array<string>,exe:int,origin:string,parent:int>>,"
     "control:boolean,pipe:boolean,redirection:boolean,background:boolean,"
-    "substitution:boolean,nested_shell:boolean,too_deep:boolean>"
+    "substitution:boolean,nested_shell:boolean,too_deep:boolean,plain:string,blanked:string>"
 )
 FLAGS = ["control", "pipe", "redirection", "background", "substitution", "nested_shell"]
 
@@ -208,13 +208,40 @@ def _payloads(words, exe):
     return [p for p in out if p]
 
 
+def unquote(text: str, blank: bool = False) -> str:
+    """The text without its quoting; with `blank`, quoted characters become spaces."""
+    out, pos = [], 0
+    while pos < len(text):
+        match = TOKEN.match(text, pos)
+        kind, token, pos = match.lastgroup, match.group(), match.end()
+        if kind == "comment":
+            token, pos = "#", match.start() + 1
+        if kind in ("single", "double"):
+            closed = len(token) > 1 and token[-1] == token[0]
+            body = token[1:-1] if closed else token[1:]
+            if blank:
+                body = " " * len(body)
+            elif kind == "double":
+                body = re.sub(r"\\\n|\\([$`\"\\])", lambda m: m.group(1) or "", body)
+            out.append(body)
+        elif kind == "escape" and len(token) > 1:
+            out.append(token[1:].replace("\n", ""))
+        else:
+            out.append(token)
+    return "".join(out)
+
+
 def shape_of(text: str) -> dict:
-    """All simple commands reachable from a text, outermost first, with its own flags."""
+    """All simple commands reachable from a text, outermost first, with its own flags.
+
+    `origin` tells how a command is reached: top, nested (`sh -c`), embedded (substitution or
+    group), payload (argument of find, xargs and the like) or inner (a shell inside those).
+    """
     text = text.strip()
     found, flags, too_deep = [], set(), False
-    todo = [("text", text, "top", 0)]
+    todo = [("text", text, "top", 0, -1)]
     while todo:
-        what, item, origin, depth = todo.pop()
+        what, item, origin, depth, parent = todo.pop()
         if depth >= MAX_NESTING:
             too_deep = True
             continue
@@ -222,24 +249,31 @@ def shape_of(text: str) -> dict:
             commands, seen = split_commands(item)
             if depth == 0:
                 flags = seen
-            inner = [("text", e, "embedded", depth + 1) for e in _embedded(item)]
-            todo += reversed([("words", c, origin, depth) for c in commands] + inner)
+            inner = [("text", e, "embedded", depth + 1, parent) for e in _embedded(item)]
+            todo += reversed([("words", c, origin, depth, parent) for c in commands] + inner)
             continue
         exe = executable_index(item)
-        found.append({"words": item, "exe": exe, "origin": origin})
+        found.append({"words": item, "exe": exe, "origin": origin, "parent": parent})
+        here = len(found) - 1
+        more = [("words", p, "payload", depth + 1, here) for p in _payloads(item, exe)]
         nested = _nested_shell(item, exe)
-        inside = origin if origin in ("embedded", "payload") else "nested"
-        more = [("words", p, "payload", depth + 1) for p in _payloads(item, exe)]
         if nested is not None:
             if depth == 0:
                 flags.add("nested_shell")
-            more.insert(0, ("text", nested, inside, depth + 1))
+            inside = "nested" if origin in ("top", "nested") else "inner"
+            more.insert(0, ("text", nested, inside, depth + 1, here))
         todo += reversed(more)
-    return {"commands": found, **{f: f in flags for f in FLAGS}, "too_deep": too_deep}
+    return {
+        "commands": found, **{f: f in flags for f in FLAGS}, "too_deep": too_deep,
+        "plain": unquote(text), "blanked": unquote(text, blank=True),
+    }
 
 
 def _shapes(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([shape_of(t or "") for t in texts], columns=["commands", *FLAGS, "too_deep"])
+    return pd.DataFrame(
+        [shape_of(t or "") for t in texts],
+        columns=["commands", *FLAGS, "too_deep", "plain", "blanked"],
+    )
 
 
 def command_shape(command: Column) -> Column:
