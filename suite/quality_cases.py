@@ -153,16 +153,6 @@ WORDS = " OR ".join(f"contains(lower(text), '{w}')" for w in B.ERROR_WORDS)
 
 RUNS = f"""(SELECT conv_id || '-' || turn AS task_id, conv_id, turn, text, {MESSAGE} AS last_message FROM conversations)"""
 FIRST_LINE = "trim(split_part(text, chr(10), 1))"
-DIAG_SQL = f"""
-SELECT *, exit_ok AND code_ok AND msg_ok AND loc_ok AND ran AS success, loc_ok AND msg_ok AS primary_hit
-FROM (SELECT task_id, conv_id % 4 = 0 OR turn % 3 = turn % 2 OR contains(last_message, CAST(turn % 2 AS STRING)) AS exit_ok,
-  conv_id % 5 = conv_id % 7 % 10 AND conv_id % 7 < 5 OR contains(last_message, 'e' || CAST(conv_id % 5 AS STRING))
-    OR contains('{{e}}' || lower(CAST(conv_id % 7 AS STRING)), 'x') AS code_ok,
-  contains(lower(last_message), 'the') OR contains(lower(last_message), 'zzz') AS msg_ok,
-  turn = 0 OR contains(last_message, 'src/a.rs:1') OR contains('src/a.rs:' || CAST(turn AS STRING), '1') AS loc_ok,
-  conv_id % 5 <> 0 AS ran
-  FROM {RUNS} r) x
-"""
 AGENT = """(SELECT CAST(conv_id AS STRING) AS task_id, CASE WHEN conv_id % 2 = 0 THEN 'tool' ELSE 'shell' END AS mode, turn AS pos,
   role = 'assistant' OR conv_id % 4 = 0 AS is_tool, role || CAST(turn % 2 AS STRING) AS command, length(text) AS tokens FROM conversations)"""
 RETRY_SQL = f"SELECT task_id, mode, count(*) - count(DISTINCT command) AS retries FROM {AGENT} a GROUP BY 1, 2"

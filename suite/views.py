@@ -180,12 +180,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named view as a DataFrame."""
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream of its files."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, read=table) -> DataFrame:
+    """The named view as a DataFrame; `read=stream` makes it a streaming one."""
     sql = _render(VIEWS[name], SPARK)
-    sources = {TABLES[name]: table(spark, sf_dir, TABLES[name])}
+    sources = {TABLES[name]: read(spark, sf_dir, TABLES[name])}
     for inner in NEEDS.get(name, []):
-        sources[inner] = view(spark, sf_dir, inner)
+        sources[inner] = view(spark, sf_dir, inner, read)
     for source in sources:
         sql = sql.replace(f"FROM {source}", f"FROM {{{source}}}")
     return spark.sql(sql, **sources)
