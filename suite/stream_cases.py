@@ -38,7 +38,7 @@ def requests(df):
 
 
 def dedup_requests(spark, sf):
-    kept = L.dedup_requests(requests(stream(spark, sf, "events")), "client", "at", ["event_type"], "3600 seconds")
+    kept = L.dedup_requests(requests(stream(spark, sf, "events")), "client", "at", ["event_type"], 3600)
     return run_append(spark, kept, "replay").select("client", "event_type", F.unix_micros("at").alias("us"))
 
 
@@ -103,7 +103,7 @@ PARSED_ESCALATED = f"""SELECT * REPLACE (CASE WHEN source = 'stderr' AND type <>
 REPLAY_SQL = """WITH RECURSIVE r AS (SELECT user_id % 3 AS client, event_type, epoch_us(ts) AS us,
   row_number() OVER (PARTITION BY user_id % 3, event_type ORDER BY ts, event_id) AS n FROM events),
 walk AS (SELECT client, event_type, us, n, us AS kept FROM r WHERE n = 1
-  UNION ALL SELECT r.client, r.event_type, r.us, r.n, CASE WHEN r.us - w.kept > 3600000000 THEN r.us ELSE w.kept END
+  UNION ALL SELECT r.client, r.event_type, r.us, r.n, CASE WHEN r.us - w.kept >= 3600000000 THEN r.us ELSE w.kept END
   FROM walk w JOIN r ON r.client = w.client AND r.event_type = w.event_type AND r.n = w.n + 1)
 SELECT client, event_type, us FROM walk WHERE kept = us"""
 SESSION_SQL = """SELECT key, count(*) AS actions, min(us) AS start_us, max(us) + 3600000000 AS end_us FROM (
@@ -123,7 +123,7 @@ RELOAD_SQL = f"SELECT parser_name, type, count(*) AS n FROM ({X.LINE_RULE_SQL})
 CASES = {
     "t1_stream_parse": (stream_parse, with_views(PARSED_ESCALATED, "lines_v", "tasks_v")),
     "t2_stream_merge": (stream_merge, with_views(X.STRUCTURE_SQL + "SELECT * FROM final", "lines_v", "tasks_v")),
-    "t3_dedup_requests": (dedup_requests, None),
+    "t3_dedup_requests": (dedup_requests, REPLAY_SQL),
     "t4_notification_batches": (notification_batches, with_views(
         "SELECT task_id, (s - 1) // 50 AS chunk, count(*) AS n FROM (SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY seq) AS s FROM merge_v) m GROUP BY 1, 2", "merge_v")),
     "t5_to_notifications": (to_notifications, NOTIFY_SQL),

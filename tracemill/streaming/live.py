@@ -9,15 +9,17 @@ import time
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.extract import escalate_stderr, parse_tagged_lines
 from ..operators.lookup import diff_rules
 from ..sources.rulepacks import Pack, load_packs, resolve_packs, to_dimensions
 
 # ---- fixed values -------------------------------------------------------------------
-REPLAY_TTL = "120 seconds"
+REPLAY_TTL_SECONDS = 120
 IDLE_GAP = "300 seconds"
 MAX_TASK_MS = 3_600_000
 NOTIFY_ROWS = 50
@@ -39,11 +41,37 @@ def fingerprint(*columns: str) -> Column:
 
 
 def dedup_requests(
-    requests: DataFrame, key: str, ts: str, fields: Sequence[str], ttl: str = REPLAY_TTL
+    requests: DataFrame, key: str, ts: str, fields: Sequence[str], ttl_seconds: int = REPLAY_TTL_SECONDS
 ) -> DataFrame:
-    """First of the requests with the same key and content within `ttl`."""
-    marked = requests.withColumn("fingerprint", fingerprint(*fields))
-    return marked.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key, "fingerprint"])
+    """First of the requests with the same key and content within the time to live.
+
+    The time counts from the request that was kept.  The state per (key, content) is that one
+    time, so it works the same however the stream is cut into batches; it is dropped once the
+    watermark is past it.
+    """
+    marked = requests.withColumn("fingerprint", fingerprint(*fields)).withColumn(
+        "_us", F.unix_micros(ts)).withWatermark(ts, f"{ttl_seconds} seconds")
+    ttl = ttl_seconds * 1_000_000
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields)
+
+    def step(_, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("_us", kind="stable")
+        flags = []
+        for now in rows["_us"]:
+            fresh = kept is None or now - kept >= ttl
+            kept = int(now) if fresh else kept
+            flags.append(fresh)
+        state.update((kept,))
+        state.setTimeoutTimestamp(max((kept + ttl) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows[flags]
+
+    return marked.groupBy(key, "fingerprint").applyInPandasWithState(
+        step, schema, "kept bigint", "append", GroupStateTimeout.EventTimeTimeout
+    ).drop("_us")
 
 
 def to_notifications(bus: DataFrame) -> DataFrame:
