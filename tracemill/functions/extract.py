@@ -7,6 +7,7 @@ expression, so the plan grows by one small test per rule.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -124,8 +125,10 @@ class RuleBook:
         return len(self.specs), regex
 
     def table(self) -> Column:
-        rows = [F.struct(*[F.lit(v) for v in spec]).cast(SPEC) for spec in self.specs]
-        return F.array(*rows)
+        """The specs as one literal; it is folded when the query is planned."""
+        names = [f.split(":")[0] for f in SPEC[7:-1].split(",")]
+        rows = [{n: v for n, v in zip(names, spec) if v is not None} for spec in self.specs]
+        return F.from_json(F.lit(json.dumps(rows)), f"array<{SPEC}>")
 
     @staticmethod
     def first(text: Column, rules) -> Column:
@@ -176,25 +179,24 @@ class RuleBook:
 
     def event(self, text: Column, number: Column) -> Column:
         """The event of rule `number` on this line."""
-        spec = F.element_at(self.table(), number)
 
-        def captured(name: str) -> Column:
-            found = F.call_function("regexp_extract", text, spec["regex"], spec[name])
-            return F.when(spec[name].isNotNull(), F.nullif(found, F.lit("")))
+        def build(spec: Column) -> Column:
+            def captured(name: str) -> Column:
+                found = F.call_function("regexp_extract", text, spec["regex"], spec[name])
+                return F.when(spec[name].isNotNull(), F.nullif(found, F.lit("")))
 
-        severity = normalize_severity(captured("severity_at"), spec["severity"])
-        return F.when(
-            number.isNotNull(),
-            event_struct(
+            return event_struct(
                 spec["type"],
-                F.when(spec["severity_at"].isNull(), spec["severity"]).otherwise(severity),
+                F.when(spec["severity_at"].isNull(), spec["severity"])
+                .otherwise(normalize_severity(captured("severity_at"), spec["severity"])),
                 F.coalesce(trim(captured("message_at")), text),
                 F.coalesce(captured("code_at"), spec["code"]),
                 captured("file_at"),
                 captured("line_at").try_cast("long"),
                 captured("col_at").try_cast("long"),
-            ),
-        )
+            )
+
+        return F.when(number.isNotNull(), let(F.element_at(self.table(), number), build))
 
     def tier(self, number: Column) -> Column:
         return F.when(number.isNotNull(), F.element_at(self.table(), number)["tier"])

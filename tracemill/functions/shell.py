@@ -42,12 +42,18 @@ TOKEN = re.compile(
     r"""(?P<escape>\\.?) | (?P<ansi>\$'(?:\\.|[^'\\])*(?:'|\Z)) | (?P<single>'[^']*(?:'|\Z))
       | (?P<double>"(?:\\.|[^"\\])*(?:"|\Z)) | (?P<substitution>\$(?=\()|`)
       | (?P<control>\n|;;?|\|\||&&) | (?P<pipe>\|) | (?P<background>&)
-      | (?P<redirection>[<>][<>&]?) | (?P<blank>[^\S\n]+) | (?P<comment>\#[^\n]*) | (?P<plain>.)""",
+      | (?P<redirection>[<>][<>&]?) | (?P<blank>[^\S\n]+) | (?P<comment>\#[^\n]*)
+      | (?P<plain>[^\\$'"`\n;|&<>\s\#]+|.)""",
     re.X | re.S,
 )
 ANSI_ESCAPE = re.compile(r"\\(x[0-9a-fA-F]{1,2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{1,3}|.)", re.S)
 
 
+SPECIAL = re.compile(r"""[\\$'"`\n;|&<>#]""")
+EMBEDS = re.compile(r"[(`{]")
+QUOTING = re.compile(r"""[\\'"]""")
+
+
 def _ansi_char(match) -> str:
     body = match.group(1)
     if body in ANSI_C:
@@ -62,6 +68,9 @@ def _ansi_char(match) -> str:
 
 def split_commands(text: str) -> tuple[list[list[str]], set[str]]:
     """Words per simple command, and the kinds of shell structure seen outside quotes."""
+    if not SPECIAL.search(text):
+        words = text.split()
+        return ([words] if words else []), set()
     commands, words, word, seen, pos = [], [], "", set(), 0
     while pos < len(text):
         match = TOKEN.match(text, pos)
@@ -150,6 +159,8 @@ def _nested_shell(words, exe):
 
 def _embedded(text: str) -> list[str]:
     """Bodies of $( ), <( ), >( ), ( ), { } and backticks outside single quotes."""
+    if not EMBEDS.search(text):
+        return []
     found, stack, quote, tick, i = [], [], "", -1, 0
     while i < len(text):
         ch = text[i]
@@ -210,6 +221,8 @@ def _payloads(words, exe):
 
 def unquote(text: str, blank: bool = False) -> str:
     """The text without its quoting; with `blank`, quoted characters become spaces."""
+    if not QUOTING.search(text):
+        return text
     out, pos = [], 0
     while pos < len(text):
         match = TOKEN.match(text, pos)
@@ -270,8 +283,9 @@ def shape_of(text: str) -> dict:
 
 
 def _shapes(texts: pd.Series) -> pd.DataFrame:
+    memo = {text: shape_of(text or "") for text in texts.unique()}  # commands repeat a lot
     return pd.DataFrame(
-        [shape_of(t or "") for t in texts],
+        [memo[text] for text in texts],
         columns=["commands", *FLAGS, "too_deep", "plain", "blanked"],
     )
 

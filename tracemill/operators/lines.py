@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_noise, utf8_prefix
@@ -38,6 +38,10 @@ def split_lines(raw: DataFrame, text: str = "raw", source: str = "stdout") -> Da
     )
 
 
+def truncation_notice(max_bytes: int) -> Column:
+    return F.lit(f"Output truncated: exceeded {max_bytes} byte limit")
+
+
 def cap_task_output(
     lines: DataFrame, max_bytes: int = MAX_OUTPUT_BYTES, width: int | None = SEGMENT_POSITIONS
 ) -> DataFrame:
@@ -47,7 +51,7 @@ def cap_task_output(
     """
     total = running_total(lines, F.col("n_bytes"), "_used", LINE_ORDER, width)
     crossing = F.col("_used") > max_bytes
-    notice = F.lit(f"Output truncated: exceeded {max_bytes} byte limit")
+    notice = truncation_notice(max_bytes)
     return (
         total.filter(F.col("_used") - F.col("n_bytes") <= max_bytes)
         .withColumn("truncated", crossing)

@@ -24,19 +24,19 @@ def structure_output(
     The cap runs first and holds a task to `max_bytes` of text, so the merge steps may use
     one window per task: they share a single shuffle on task_id.
     """
-    capped = line_ops.cap_task_output(lines, max_bytes)
-    text = capped.filter(~F.col("truncated")).drop("truncated", "n_bytes")
-    notices = capped.filter("truncated").select(
-        "task_id", "line_no", F.lit(0).cast("long").alias("idx"),
-        F.lit("system").alias("type"), F.lit("warning").alias("severity"),
-        F.lit(None).cast("string").alias("code"), F.col("text").alias("message"),
-        F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("line"),
-        F.lit(None).cast("long").alias("col"), F.lit("system").alias("tier"),
-    )
-    events = extract.escalate_stderr(extract.parse_lines(text, tasks, packs)).drop("source")
-    events = line_ops.drop_noise(events).unionByName(notices)
+    capped = line_ops.cap_task_output(lines, max_bytes).drop("n_bytes")
+    parsed = extract.escalate_stderr(extract.parse_lines(capped, tasks, packs)).drop("source")
+    # the notice of a cut task is no tool output: whatever the tiers made of it gives way
+    cut = F.col("truncated")
+    notice = {"type": "system", "severity": "warning", "tier": "system"}
+    gone = {"code": "string", "file": "string", "line": "long", "col": "long"}
+    events = parsed.filter(~cut | (F.col("idx") == 0)).withColumns({
+        **{n: F.when(cut, v).otherwise(F.col(n)) for n, v in notice.items()},
+        **{n: F.when(~cut, F.col(n)).cast(t) for n, t in gone.items()},
+        "message": F.when(cut, line_ops.truncation_notice(max_bytes)).otherwise(F.col("message")),
+    }).drop("truncated")
     merged = merge.pair_locations(
-        merge.collapse_repeats(events, ORDER, width=None), ORDER, width=None
+        merge.collapse_repeats(line_ops.drop_noise(events), ORDER, width=None), ORDER, width=None
     )
     final = merge.absorb_context(merged, ORDER, width=None)
     return merge.assign_seq(final, ORDER, width=None).drop("idx")
