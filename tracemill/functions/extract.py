@@ -8,6 +8,7 @@ expression, so the plan grows by one small test per rule.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -88,10 +89,39 @@ def raw_event(text: Column, severity: Column | None = None) -> Column:
 
 SPEC = (
     "struct<tier:string,regex:string,type:string,severity:string,code:string,code_at:int,"
-    "message_at:int,file_at:int,line_at:int,col_at:int,severity_at:int>"
+    "message_at:int,file_at:int,line_at:int,col_at:int,severity_at:int,blank:boolean>"
 )
 
 
+def _group_source(regex: str, index: int) -> str:
+    """The text of capture group `index` of a pattern."""
+    count, i, in_class = 0, 0, False
+    starts: list[tuple[int, int]] = []
+    while i < len(regex):
+        ch = regex[i]
+        if ch == "\\":
+            i += 1
+        elif in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch == "(":
+            captures = not regex.startswith("(?", i)
+            count += captures
+            starts.append((count if captures else 0, i + 1))
+        elif ch == ")":
+            number, start = starts.pop()
+            if number == index:
+                return regex[start:i]
+        i += 1
+    return ""
+
+
+def _may_be_blank(regex: str, index: int | None) -> bool:
+    """The group can match empty text; such a match then counts as an empty value."""
+    return bool(index) and re.fullmatch(_group_source(regex, index), "") is not None
+
+
 @dataclass
 class RuleBook:
     """All rules of all tiers under one numbering (from 1)."""
@@ -121,6 +151,7 @@ class RuleBook:
             tier, java(regex), event_type, severity, code, fields.get("code") if full else None,
             fields.get("message"), fields.get("file"), fields.get("line"),
             column if full else None, fields.get("severity"),
+            _may_be_blank(regex, fields.get("message")),
         ))
         return len(self.specs), regex
 
@@ -189,7 +220,7 @@ class RuleBook:
                 spec["type"],
                 F.when(spec["severity_at"].isNull(), spec["severity"])
                 .otherwise(normalize_severity(captured("severity_at"), spec["severity"])),
-                F.coalesce(trim(captured("message_at")), text),
+                F.coalesce(trim(captured("message_at")), F.when(spec["blank"], ""), text),
                 F.coalesce(captured("code_at"), spec["code"]),
                 captured("file_at"),
                 captured("line_at").try_cast("long"),

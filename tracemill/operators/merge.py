@@ -249,7 +249,9 @@ def absorb_context(
         KEY, "_key"
     ).agg(F.first("_own", ignorenulls=True).alias("_own"), F.collect_list("_text").alias("_after"))
     after = F.transform(F.array_sort("_after"), lambda x: x["text"])
-    return grouped.select("_own.*", F.when(F.size("_after") > 0, after).alias("context_after"))
+    # the grouping key stays the task's column, so the partitioning serves the next step too
+    own = [F.col(KEY) if c == KEY else F.col(f"_own.{c}").alias(c) for c in columns]
+    return grouped.select(*own, F.when(F.size("_after") > 0, after).alias("context_after"))
 
 
 def assign_seq(events: DataFrame, order=SEQ, width: int | None = SEGMENT_POSITIONS) -> DataFrame:
