@@ -366,26 +366,32 @@ def rate_limit_replay(
         days.rowsBetween(Window.unboundedPreceding, -1)).alias("_prior"))
     sessions = named.join(carried, [key, "_day"]).withColumn("_session", F.coalesce("_own", "_prior"))
 
-    def replay(session: pd.DataFrame) -> pd.DataFrame:
-        session = session.sort_values(["_us", tie], kind="stable")
-        tokens, before, out = burst, None, []
-        for now in session["_us"]:
-            if before is not None:
-                tokens = min(burst, tokens + (now - before) / 1e6 * rate)
-            before = now
-            out.append(tokens < 1.0)
-            if tokens >= 1.0:
-                tokens -= 1.0
-        return pd.DataFrame({key: session[key], tie: session[tie], "_us": session["_us"], "rejected": out})
+    def replay(batches):
+        # rows arrive sorted by session and time; the bucket is all that is kept between them
+        session, tokens, before = None, burst, 0
+        for frame in batches:
+            out = []
+            for name, now in zip(zip(frame[key], frame["_session"]), frame["_us"]):
+                if name != session:
+                    session, tokens = name, burst
+                else:
+                    tokens = min(burst, tokens + (now - before) / 1e6 * rate)
+                before = now
+                out.append(tokens < 1.0)
+                tokens -= tokens >= 1.0
+            yield pd.DataFrame({key: frame[key], tie: frame[tie], "rejected": out})
 
     size = F.count(F.lit(1)).over(Window.partitionBy(key, "_session"))
     sessions = sessions.select(key, tie, "_us", "_session").withColumn("_size", size)
     calm = F.col("_size") <= int(burst)
     types = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
-    schema = f"{key} {types[key]}, {tie} {types[tie]}, _us bigint, rejected boolean"
-    busy = sessions.filter(~calm).drop("_size").groupBy(key, "_session").applyInPandas(replay, schema)
+    schema = f"{key} {types[key]}, {tie} {types[tie]}, rejected boolean"
+    ordered = (
+        sessions.filter(~calm).drop("_size").repartition(key, "_session")
+        .sortWithinPartitions(key, "_session", "_us", tie)
+    )
     quiet = sessions.filter(calm).select(key, tie, F.lit(False).alias("rejected"))
-    return quiet.unionByName(busy.drop("_us"))
+    return quiet.unionByName(ordered.mapInPandas(replay, schema))
 
 
 def concurrency_overflow(

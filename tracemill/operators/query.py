@@ -91,20 +91,26 @@ def _last(df: DataFrame, position: str, n: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= n).drop("_n")
 
 
+def _first(events: DataFrame, n: int) -> DataFrame:
+    """First n events of every task; Spark drops the rest before the shuffle."""
+    oldest = Window.partitionBy("task_id").orderBy("seq")
+    return events.withColumn("_n", F.row_number().over(oldest)).filter(F.col("_n") <= n).drop("_n")
+
+
 def inline_events(events: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Sample per task: the first 20 errors of a failed task, else its first 5 non-log events."""
+    """Sample per task: the first 20 errors of a failed task, else its first 5 non-log events.
+
+    Both samples are cut down before the join, so a task with very many events brings no more
+    than 25 of them to it.
+    """
+    visible = events.filter(F.col("type") != "log")
+    errors = _first(visible.filter(F.col("severity") == "error"), FAILED_SAMPLE)
+    others = _first(visible, OTHER_SAMPLE)
+    both = errors.withColumn("_of_failed", F.lit(True)).unionByName(
+        others.withColumn("_of_failed", F.lit(False)))
     failed = F.coalesce(F.col("exit_code"), F.lit(0)) != 0
-    joined = events.filter(F.col("type") != "log").join(
-        tasks.select("task_id", failed.alias("_failed")), "task_id"
-    )
-    wanted = joined.filter(~F.col("_failed") | (F.col("severity") == "error"))
-    first = Window.partitionBy("task_id").orderBy("seq")
-    return (
-        wanted.withColumn("_n", F.row_number().over(first))
-        .filter(F.col("_n") <= FAILED_SAMPLE)
-        .filter(F.col("_failed") | (F.col("_n") <= OTHER_SAMPLE))
-        .drop("_n", "_failed")
-    )
+    flags = tasks.select("task_id", failed.alias("_of_failed"))
+    return both.join(flags, ["task_id", "_of_failed"]).select(events.columns)
 
 
 def response_counts(events: DataFrame) -> DataFrame:
@@ -167,11 +173,11 @@ def diagnostics_equal(a: str, b: str) -> Column:
 def top_event_lines(events: DataFrame, n: int = COMPACT_ROWS) -> DataFrame:
     """Per task the first n error or warning events as `file:line: message` lines."""
     wanted = events.filter(F.col("severity").isin("error", "warning"))
-    first = Window.partitionBy("task_id").orderBy("seq")
+    oldest = Window.partitionBy("task_id").orderBy("seq")
     place = F.when(F.col("file").isNotNull() & (F.col("file") != ""),
                    F.concat_ws(":", "file", F.col("line").cast("string")))
     return (
-        wanted.withColumn("position", F.row_number().over(first))
+        wanted.withColumn("position", F.row_number().over(oldest))
         .filter(F.col("position") <= n)
         .select("task_id", "position", F.concat_ws(": ", place, "message").alias("text"))
     )

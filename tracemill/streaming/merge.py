@@ -95,6 +95,8 @@ class TaskMerge:
 
     def feed(self, events: list[dict]) -> None:
         """Take lines in any order; each is worked on once all lines before it are there."""
+        if self.s["cut"]:
+            return
         early = self.s["early"]
         for event in events:
             early.setdefault(str(event["line_no"]), []).append(event)
