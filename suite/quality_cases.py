@@ -153,6 +153,15 @@ WORDS = " OR ".join(f"contains(lower(text), '{w}')" for w in B.ERROR_WORDS)
 
 RUNS = f"""(SELECT conv_id || '-' || turn AS task_id, conv_id, turn, text, {MESSAGE} AS last_message FROM conversations)"""
 FIRST_LINE = "trim(split_part(text, chr(10), 1))"
+DIAGNOSE_SQL = f"""
+SELECT task_id, exit_ok, code_ok, msg_ok, loc_ok, exit_ok AND code_ok AND msg_ok AND loc_ok AND ran AS success, loc_ok AND msg_ok AS primary_hit
+FROM (SELECT task_id, conv_id % 5 <> 0 AS ran,
+    conv_id % 4 = 0 OR turn % 3 = turn % 2 OR contains(blob, CAST(turn % 2 AS STRING)) AS exit_ok,
+    contains(CAST(turn % 3 AS STRING), 'e' || (conv_id % 5)) OR contains(blob, 'e' || (conv_id % 5)) AS code_ok,
+    contains(lower(blob), 'the') OR contains(lower(blob), 'zzz') AS msg_ok,
+    turn = 0 OR contains(blob, 'src/a.rs:1') OR contains('src/a.rs:' || turn, '1') AS loc_ok
+  FROM (SELECT *, last_message || chr(10) || '[]' AS blob FROM {RUNS} r) b) c
+"""
 AGENT = """(SELECT CAST(conv_id AS STRING) AS task_id, CASE WHEN conv_id % 2 = 0 THEN 'tool' ELSE 'shell' END AS mode, turn AS pos,
   role = 'assistant' OR conv_id % 4 = 0 AS is_tool, role || CAST(turn % 2 AS STRING) AS command, length(text) AS tokens FROM conversations)"""
 RETRY_SQL = f"SELECT task_id, mode, count(*) - count(DISTINCT command) AS retries FROM {AGENT} a GROUP BY 1, 2"
@@ -188,7 +197,7 @@ CASES = {
         SELECT task_id, CAST(turn % 3 AS STRING) AS report_exit_code, CAST(turn % 3 AS STRING) AS report_code,
           {FIRST_LINE} AS report_message, 'src/a.rs:' || CAST(turn AS STRING) AS report_location,
           CASE WHEN turn % 2 = 0 THEN 'pass' END AS claimed_status FROM {RUNS} r"""),
-    "b8_score_diagnose": (score_diagnose, None),
+    "b8_score_diagnose": (score_diagnose, DIAGNOSE_SQL),
     "b9_score_fix": (score_fix, f"""
         SELECT task_id, CASE WHEN turn % 2 = 0 THEN 'pass' END AS claimed_status, conv_id % 3 = 0 AS success FROM {RUNS} r"""),
     "b10_count_retries": (lambda spark, sf: B.count_retries(agent_events(spark, sf)), RETRY_SQL),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from suite.line_cases import BACK, FRONT
 from suite.views import table, view, with_views
 from tracemill.functions import text as T
 from tracemill.operators import query as Q
@@ -176,6 +177,26 @@ SELECT t.task_id, CASE status WHEN 'completed' THEN '✓' WHEN 'failed' THEN '
   || CASE WHEN coalesce(p.message, '') <> '' THEN chr(10) || 'Primary diagnostic: ' || p.message ELSE '' END AS summary
 FROM tasks_v t LEFT JOIN ({PRIMARY}) p ON t.task_id = p.task_id
 """
+CLIPPED = """(SELECT CAST(doc_id AS STRING) AS task_id, text AS raw, strlen(text) > 16384 AS clipped,
+  CASE WHEN strlen(text) > 16384 THEN {0} END AS head, CASE WHEN strlen(text) > 16384 THEN {1} END AS tail FROM documents)""".format(
+    FRONT.format("text", 8192), BACK.format("text", 8192))
+VIEW_SQL = COMPACT_SQL.replace("\nSELECT t.task_id, status ||", ", compact AS (SELECT t.task_id, status ||").rstrip() + f""")
+SELECT task_id, status, exit_code, text, used_raw AND (clipped OR contains(raw, '[output truncated at ') OR contains(raw, '[line truncated at ')) AS raw_truncated,
+  incomplete AS events_incomplete, status = 'running' OR incomplete
+    OR (used_raw AND (clipped OR contains(raw, '[output truncated at ') OR contains(raw, '[line truncated at '))) AS needs_handle, is_tool_error
+FROM (SELECT t.task_id, status, exit_code, r.raw, coalesce(r.clipped, false) AS clipped, NOT structured AND coalesce(r.raw, '') <> '' AS used_raw,
+    CASE WHEN structured THEN visible > 8 ELSE visible > 0 END AS incomplete,
+    status = 'timeout' OR coalesce(exit_code, 0) NOT IN (0, 1) OR error_count > 0 AS is_tool_error,
+    CASE WHEN structured THEN c.text WHEN coalesce(r.raw, '') <> '' THEN CASE WHEN r.clipped
+        THEN r.head || chr(10) || '[…]' || chr(10) || r.tail || chr(10) || '[output clipped: '
+          || CAST(strlen(r.raw) - strlen(r.head) - strlen(r.tail) AS STRING) || ' bytes omitted]' ELSE r.raw END
+      WHEN {FAILURE} THEN '[command failed: exit code ' || coalesce(CAST(exit_code AS STRING), 'unknown') || ']'
+      WHEN status = 'running' THEN '' ELSE '✓' END AS text
+  FROM (SELECT t.*, {FAILURE} AND t.task_id IN (SELECT task_id FROM sample) AS structured,
+      coalesce(v.visible, 0) AS visible FROM tasks_v t
+    LEFT JOIN (SELECT task_id, count(*) AS visible FROM events_v WHERE type <> 'log' GROUP BY 1) v ON v.task_id = t.task_id) t
+  LEFT JOIN compact c ON c.task_id = t.task_id LEFT JOIN {CLIPPED} r ON r.task_id = t.task_id) x
+"""
 TE = ("tasks_v", "events_v")
 CASES = {
     "q1_event_filter": (event_filter, with_views(
@@ -226,5 +247,5 @@ CASES = {
             ELSE o_custkey % 3 - 1 END AS exit_code FROM orders"""),
     "q20_duration_text": (duration_text, with_views(f"SELECT task_id, {DURATION} AS text FROM tasks_v", "tasks_v")),
     "q20_one_line_summary": (one_line_summary, with_views(ONE_LINE_SQL, *TE)),
-    "q21_response_view": (response_view, None),
+    "q21_response_view": (response_view, with_views(VIEW_SQL, *TE)),
 }

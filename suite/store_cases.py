@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from suite.audit_cases import BASE, SHAPES, commands, pick
 from suite.scratch import folder
+from suite.stats_cases import STATS_SQL
 from suite.views import table, view, with_views
 from tracemill.operators import audit, stats
 from tracemill.sources import rulepacks, store
@@ -86,8 +88,6 @@ def read_agent_events(spark, sf):
 
 
 def write_audit(spark, sf):
-    from suite.audit_cases import commands
-
     path = folder(spark, "audit")
     store.write_audit(audit.audit_log(commands(spark, sf)), path)
     rows = spark.read.schema("task_id string, blocked boolean").json(path)
@@ -135,7 +135,8 @@ CASES = {
     "s2_read_events": (read_events, with_views(
         "SELECT CASE WHEN seq % 40 = 0 THEN 'corrupt' ELSE type END AS type, count(*) AS n FROM merge_v GROUP BY 1", "merge_v")),
     "s3_quarantine": (quarantine, with_views(BAD, "tasks_v")),
-    "s4_read_raw": (read_raw, None),
+    "s4_read_raw": (read_raw, """SELECT CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines,
+        CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS positions FROM documents"""),
     "s5_load_rules": (rule_usage, with_views(
         "SELECT parser_name AS parser, count(*) AS tasks, CASE parser_name " + " ".join(
             f"WHEN '{p}' THEN {n}" for p, n in PACK_RULES.items())
@@ -150,8 +151,10 @@ CASES = {
     "s9_write_events": (write_events, with_views("SELECT * FROM merge_v", "merge_v")),
     "s10_write_tasks": (write_tasks, with_views(
         f"SELECT task_id, 'task' AS kind FROM tasks_v UNION ALL SELECT value, 'corrupt' FROM ({BAD}) b", "tasks_v")),
-    "s11_write_audit": (write_audit, None),
-    "s12_write_metrics_snapshot": (write_metrics_snapshot, None),
+    "s11_write_audit": (write_audit, f"SELECT blocked, count(*) AS n FROM (SELECT {pick([str(bool(s[5] or s[6])).lower() for s in SHAPES])} AS blocked FROM ({BASE}) b) c GROUP BY 1"),
+    "s12_write_metrics_snapshot": (write_metrics_snapshot, with_views(
+        f"""SELECT *, '2024-01-01' AS snapshot_date, '{{"corpus": "tasks_v", "excluded": "none"}}' AS provenance FROM ({STATS_SQL}) s""",
+        "tasks_v", "events_v")),
     "r3_integrity_report": (integrity_report, with_views(BAD, "tasks_v")),
-    "a12_store_size": (store_size, None),
+    "a12_store_size": (store_size, "SELECT count(DISTINCT 1) AS files, true AS filled FROM orders"),
 }
