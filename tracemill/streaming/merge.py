@@ -116,14 +116,25 @@ class TaskMerge:
             self._emit(self.s["head"])
 
 
-def _rows(task_id: str, merge: TaskMerge) -> pd.DataFrame:
-    names = [c.strip().split(" ")[0] for c in OUTPUT.split(", ")]
-    rows = [
-        {"task_id": task_id, **{n: e.get(n) for n in names[1:]},
-         "context_after": e.get("context_after") or None} for e in merge.out
-    ]
-    frame = pd.DataFrame(rows, columns=names)
-    return frame.astype({n: "Int64" for n in ("seq", "line_no", "line", "col", "repeat_count")})
+NAMES = [column.strip().split(" ")[0] for column in OUTPUT.split(", ")]
+
+
+def _rows(task_id: str, events: list[dict]) -> pd.DataFrame:
+    columns = {name: [event.get(name) for event in events] for name in NAMES}
+    columns["task_id"] = [task_id] * len(events)
+    columns["context_after"] = [after or None for after in columns["context_after"]]
+    return pd.DataFrame(columns, dtype=object)
+
+
+def _records(frame: pd.DataFrame, names: list[str], whole: set[str]) -> list[dict]:
+    """Rows as plain values; missing ones as None, numbers that pandas widened as int again."""
+    columns = []
+    for name in names:
+        values = frame[name].tolist()
+        if name in whole:
+            values = [None if v is None or v != v else int(v) for v in values]
+        columns.append(values)
+    return [dict(zip(names, row)) for row in zip(*columns)]
 
 
 def stream_merge(
@@ -148,14 +159,8 @@ def stream_merge(
         old = json.loads(state.get[0]) if state.exists else None
         merge, ended = TaskMerge(old, max_bytes), idle_ms is not None and state.hasTimedOut
         for frame in batches:
-            frame = frame[plain].astype(object).where(frame[plain].notna(), None)
-            rows = frame.to_dict("records")
+            rows = _records(frame, plain, {"line_no", "idx", "n_bytes", "line", "col"})
             ended = ended or any(r["type"] == "end" for r in rows)
-            for row in rows:
-                for name in ("line_no", "idx", "n_bytes", "line", "col"):
-                    row[name] = None if row[name] is None else int(row[name])
-                for name in ("noise", "context", "keeps"):
-                    row[name] = bool(row[name])
             merge.feed([r for r in rows if r["type"] != "end"])
         if ended:
             merge.finish()
@@ -164,7 +169,8 @@ def stream_merge(
             state.update((json.dumps(merge.s),))
             if idle_ms is not None:
                 state.setTimeoutDuration(idle_ms)
-        yield _rows(key[0], merge)
+        if merge.out:
+            yield _rows(key[0], merge.out)
 
     timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return tagged.groupBy("task_id").applyInPandasWithState(step, OUTPUT, "blob string", "append", timeout)
