@@ -291,4 +291,5 @@ def _shapes(texts: pd.Series) -> pd.DataFrame:
 
 
 def command_shape(command: Column) -> Column:
-    return F.pandas_udf(_shapes, SHAPE)(command)
+    """Shape of a command.  Marked non-deterministic so that no filter repeats the scan."""
+    return F.pandas_udf(_shapes, SHAPE).asNondeterministic()(command)

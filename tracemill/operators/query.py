@@ -230,6 +230,10 @@ def compact_summary(sample: DataFrame, tasks: DataFrame, primary: DataFrame) ->
 
     `sample` is the inline sample (at most 20 events per task), so the lists are short.
     """
+    return _compact(sample, tasks, primary).drop("has_events")
+
+
+def _compact(sample: DataFrame, tasks: DataFrame, primary: DataFrame) -> DataFrame:
     fields = ["code", "file", "line", "message"]
     ranked = sample.select("task_id", F.struct("seq", "severity", *fields).alias("e"))
     grouped = ranked.groupBy("task_id").agg(F.array_sort(F.collect_list("e")).alias("events"))
@@ -275,6 +279,7 @@ def compact_summary(sample: DataFrame, tasks: DataFrame, primary: DataFrame) ->
     return rows.select(
         "task_id", F.array_join(F.concat(F.array(head), "_lines"), "\n").alias("text"),
         F.size("_lines").cast("long").alias("inlined"),
+        F.col("events").isNotNull().alias("has_events"),
     )
 
 
@@ -283,14 +288,12 @@ def response_view(tasks: DataFrame, events: DataFrame, raw: DataFrame) -> DataFr
 
     `raw` has one captured output per task (task_id, raw_output).
     """
-    sample, primary = inline_events(events, tasks), primary_diagnostic(events)
-    compact = compact_summary(sample, tasks, primary)
-    known = sample.select("task_id").distinct().withColumn("_some", F.lit(True))
+    compact = _compact(inline_events(events, tasks), tasks, primary_diagnostic(events)).select(
+        "task_id", F.col("text").alias("_compact"), F.col("has_events").alias("_some"))
     counts = response_counts(events).select("task_id", "visible")
     rows = (
         outcome_flags(tasks)
-        .join(compact.select("task_id", F.col("text").alias("_compact")), "task_id", "left")
-        .join(known, "task_id", "left").join(counts, "task_id", "left")
+        .join(compact, "task_id", "left").join(counts, "task_id", "left")
         .join(raw.select("task_id", "raw_output"), "task_id", "left")
         .withColumn("_clip", clip_text(F.coalesce("raw_output", F.lit(""))))
     )

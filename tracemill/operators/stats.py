@@ -75,10 +75,12 @@ TOTALS = ["events_count", "error_count", "dedup_collapsed", "raw_output_bytes",
           "locations_extracted", "codes_extracted"]
 
 
+def _total_columns() -> list[Column]:
+    return [_count("total_tasks"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS]]
+
+
 def totals(tasks: DataFrame) -> DataFrame:
-    return tasks.agg(
-        _count("total_tasks"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS]
-    )
+    return tasks.agg(*_total_columns())
 
 
 def duration_stats(tasks: DataFrame) -> DataFrame:
@@ -114,10 +116,13 @@ def duration_stats(tasks: DataFrame) -> DataFrame:
     )
 
 
+def _failure_column() -> Column:
+    rate = F.count_if(_failed()) / F.nullif(F.count(F.lit(1)), F.lit(0))
+    return rate.alias("failure_rate_frac")
+
+
 def failure_rate(tasks: DataFrame) -> DataFrame:
-    return tasks.agg(
-        (F.count_if(_failed()) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("failure_rate_frac")
-    )
+    return tasks.agg(_failure_column())
 
 
 def parser_usage(tasks: DataFrame, k: int = TOP_PARSERS) -> DataFrame:
@@ -128,16 +133,19 @@ def parser_usage(tasks: DataFrame, k: int = TOP_PARSERS) -> DataFrame:
     )
 
 
+def _coverage() -> Column:
+    visible, noise = F.col("visible_events"), F.col("skipped_noise_events")
+    structured = F.when(visible + noise > 0, visible).otherwise(F.col("scanned"))
+    return _pct(structured, F.col("events_count"))
+
+
 def parser_coverage(tasks: DataFrame, events: DataFrame) -> DataFrame:
     """Percent of events that are not plain logs; from task counters, else from the events."""
-    kept = tasks.agg(
-        F.sum("visible_events").alias("visible"), F.sum("skipped_noise_events").alias("noise"),
-        F.sum("events_count").alias("total"),
-    )
+    names = ["visible_events", "skipped_noise_events", "events_count"]
+    kept = tasks.agg(*[F.sum(c).alias(c) for c in names])
     seen = events.agg(F.count_if(F.col("type") != "log").alias("scanned"))
-    merged = _merge_rows([kept, seen], *[F.max(c).alias(c) for c in ("visible", "noise", "total", "scanned")])
-    structured = F.when(F.col("visible") + F.col("noise") > 0, F.col("visible")).otherwise(F.col("scanned"))
-    return merged.select(_pct(structured, F.col("total")).alias("parser_coverage_pct"))
+    merged = _merge_rows([kept, seen], *[F.max(c).alias(c) for c in [*names, "scanned"]])
+    return merged.select(_coverage().alias("parser_coverage_pct"))
 
 
 def task_metrics(events: DataFrame) -> DataFrame:
@@ -155,16 +163,24 @@ def task_metrics(events: DataFrame) -> DataFrame:
     )
 
 
-def efficiency_report(tasks: DataFrame) -> DataFrame:
+EFFICIENCY = ["content_convergence_pct", "noise_filter_pct", "diagnostic_completeness_pct",
+              "dedup_reduction_pct"]
+
+
+def _efficiency_columns() -> list[Column]:
     raw, structured = F.col("raw_output_bytes"), F.col("structured_events_bytes")
     visible, noise, dups = F.col("visible_events"), F.col("skipped_noise_events"), F.col("dedup_collapsed")
     saved = F.greatest(raw - structured, F.lit(0))
-    return totals(tasks).select(
+    return [
         F.least(_pct(saved, raw), F.lit(100.0)).alias("content_convergence_pct"),
         _pct(noise, visible + noise).alias("noise_filter_pct"),
         F.lit(None).cast("double").alias("diagnostic_completeness_pct"),
         _pct(dups, visible + noise + dups).alias("dedup_reduction_pct"),
-    )
+    ]
+
+
+def efficiency_report(tasks: DataFrame) -> DataFrame:
+    return totals(tasks).select(*_efficiency_columns())
 
 
 def _span() -> Column:
@@ -212,17 +228,22 @@ def temporal_metrics(tasks: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def information_density(events: DataFrame) -> DataFrame:
+def _density_columns() -> list[Column]:
     has = {c: F.col(c).isNotNull() for c in ("severity", "file", "code")}
     total = F.count(F.lit(1))
+    some = F.nullif(total, F.lit(0))
     fields = 3 * total + sum(F.count_if(c) for c in has.values())
-    return events.agg(
-        F.coalesce(fields / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("avg_fields_per_event"),
+    structured = F.count_if(has["file"] | has["code"])
+    return [
+        F.coalesce(fields / some, F.lit(0.0)).alias("avg_fields_per_event"),
         F.count_if(has["file"]).alias("events_with_location"),
         F.count_if(has["code"]).alias("events_with_code"),
-        F.coalesce(F.count_if(has["file"] | has["code"]) / F.nullif(total, F.lit(0)) * 100,
-                   F.lit(0.0)).alias("structured_event_pct"),
-    )
+        F.coalesce(structured / some * 100, F.lit(0.0)).alias("structured_event_pct"),
+    ]
+
+
+def information_density(events: DataFrame) -> DataFrame:
+    return events.agg(*_density_columns())
 
 
 def command_patterns(tasks: DataFrame) -> DataFrame:
@@ -238,38 +259,64 @@ def command_patterns(tasks: DataFrame) -> DataFrame:
     )
 
 
-def _tidy(df: DataFrame, section: str, label: Column | None = None) -> DataFrame:
-    """Rows (section, metric, value) of a report frame; dates as day numbers."""
-    metrics = [f for f in df.schema.fields if f.dataType.typeName() != "string"]
-    pairs = [
+def _tidy(df: DataFrame, sections: dict[str, Sequence[str]], label: Column | None = None) -> DataFrame:
+    """Rows (section, metric, value) of report columns; dates as day numbers."""
+    types = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    rows = [
         F.struct(
-            (F.lit(f.name) if label is None else F.concat(label, F.lit("."), F.lit(f.name))).alias("metric"),
-            (F.unix_date(f.name) if f.dataType.typeName() == "date" else F.col(f.name))
-            .cast("double").alias("value"),
+            F.lit(section).alias("section"),
+            (F.lit(name) if label is None else F.concat(label, F.lit("."), F.lit(name))).alias("metric"),
+            (F.unix_date(name) if types[name] == "date" else F.col(name)).cast("double").alias("value"),
         )
-        for f in metrics
+        for section, names in sections.items() for name in names
     ]
-    return df.select(F.lit(section).alias("section"), F.inline(F.array(*pairs)))
+    return df.select(F.inline(F.array(*rows)))
+
+
+DENSITY = ["avg_fields_per_event", "events_with_location", "events_with_code", "structured_event_pct"]
 
 
 def impact_report(tasks: DataFrame, events: DataFrame) -> DataFrame:
-    parts = [
-        _tidy(impact_summary(tasks, events), "summary"),
-        _tidy(information_density(events), "density"),
-        _tidy(command_patterns(tasks), "commands"),
-        _tidy(temporal_metrics(tasks, events), "temporal"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Summary, density and temporal figures from one pass over each table, and commands."""
+    n = F.count(F.lit(1))
+    counts = events.agg(
+        n.alias("total_events"), F.count_if(F.col("severity") == "error").alias("total_errors"),
+        *_density_columns(),
+    )
+    names = ["total_tasks", "first_date", "last_date", "total_events", "total_errors", *DENSITY]
+    row = _merge_rows([_dates(tasks), counts], *[F.max(c).alias(c) for c in names]).withColumns(
+        {"date_range_days": _span(), "span_days": _span(),
+         "avg_tasks_per_day": _per_day("total_tasks"), "avg_events_per_day": _per_day("total_events")})
+    figures = {
+        "summary": ["total_tasks", "total_events", "total_errors", "date_range_days", "avg_tasks_per_day"],
+        "density": DENSITY,
+        "temporal": ["first_date", "last_date", "span_days", "avg_tasks_per_day", "avg_events_per_day"],
+    }
+    commands = {"commands": ["unique_commands", *CARRIERS, "unknown"]}
+    return _tidy(row, figures).unionByName(_tidy(command_patterns(tasks), commands))
 
 
 def stats_report(tasks: DataFrame, events: DataFrame) -> DataFrame:
+    """Totals, status, failure, coverage and efficiency from one pass; then the breakdowns."""
+    counts = tasks.agg(
+        *_total_columns(), *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES],
+        _failure_column(),
+    )
+    seen = events.agg(F.count_if(F.col("type") != "log").alias("scanned"))
+    names = ["total_tasks", *TOTALS, *STATUSES, "failure_rate_frac", "scanned"]
+    row = _merge_rows([counts, seen], *[F.max(c).alias(c) for c in names]).select(
+        "*", _coverage().alias("parser_coverage_pct"), *_efficiency_columns())
+    figures = {
+        "totals": ["total_tasks", *TOTALS], "status": STATUSES, "failure": ["failure_rate_frac"],
+        "coverage": ["parser_coverage_pct"], "efficiency": EFFICIENCY,
+    }
     parts = [
-        _tidy(totals(tasks), "totals"), _tidy(status_counts(tasks), "status"),
-        _tidy(purpose_breakdown(tasks), "purpose", F.col("purpose")),
-        _tidy(duration_stats(tasks), "duration"), _tidy(failure_rate(tasks), "failure"),
-        _tidy(parser_usage(tasks), "parser", F.col("parser")),
-        _tidy(parser_coverage(tasks, events), "coverage"),
-        _tidy(efficiency_report(tasks), "efficiency"),
+        _tidy(row, figures),
+        _tidy(purpose_breakdown(tasks),
+              {"purpose": ["total", "failed", "failure_rate_pct", "avg_duration_ms"]}, F.col("purpose")),
+        _tidy(duration_stats(tasks),
+              {"duration": ["avg_duration_ms", *[f"p{p}_duration_ms" for p in PERCENTILES]]}),
+        _tidy(parser_usage(tasks), {"parser": ["count"]}, F.col("parser")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
