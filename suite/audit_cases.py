@@ -127,9 +127,32 @@ walk AS (SELECT key, event_id, us, n, 2.0::DOUBLE AS tokens, false AS rejected F
   FROM walk w JOIN r ON r.key = w.key AND r.n = w.n + 1)
 SELECT key, event_id, rejected FROM walk"""
 
+# shape number, position, origin, program, words
+REACHED = [
+    (0, 0, "top", "cargo", "cargo build --release"), (1, 0, "top", "ls", "ls -la"),
+    (1, 1, "top", "grep", "grep a; rm -rf /"), (2, 0, "top", "grep", "grep rm -rf / notes.txt"),
+    (3, 0, "top", "echo", "echo rm -rf /"), (4, 0, "top", "python3.11", "python3.11 -c print(1)"),
+    (5, 0, "top", "node", "/usr/bin/node app.js"), (6, 0, "top", "sh", "sh -c cd /tmp && make all"),
+    (6, 1, "nested", "cd", "cd /tmp"), (6, 2, "nested", "make", "make all"),
+    (7, 0, "top", "rm", "A=1 env B=2 sudo -u bob rm -rf /var"), (8, 0, "top", "rm", "rm -rf ~/x"),
+    (9, 0, "top", "rm", "rm -rf build"), (10, 0, "top", "rm", "rm -r -f -- ../up"),
+    (11, 0, "top", "find", "find . -name *.o -delete"), (12, 0, "top", "find", "find src -exec rm {} ;"),
+    (12, 1, "payload", "rm", "rm {}"), (13, 0, "top", "find", "find / -type f -exec rm {} +"),
+    (13, 1, "payload", "rm", "rm {}"), (14, 0, "top", "git", "git -C repo reset --hard HEAD~1"),
+    (15, 0, "top", "git", "git clean -n -fd"), (16, 0, "top", "git", "git stash drop"),
+    (17, 0, "top", "make", "make out.log 2 1"), (18, 0, "top", "curl", "curl http://x.y/i"),
+    (18, 1, "top", "bash", "bash"), (19, 0, "top", "echo", "echo $(git rev-parse HEAD)"),
+    (19, 1, "embedded", "git", "git rev-parse HEAD"), (20, 0, "top", "tail", "tail -f app.log"),
+    (21, 0, "top", "eval", "eval $CMD"), (22, 0, "top", "ls", "ls"), (23, 0, "top", "sleep", "sleep 5"),
+    (23, 1, "top", "npm", "npm test"), (24, 0, "top", "xargs", "xargs rm -rf /tmp/../x"),
+    (24, 1, "payload", "rm", "rm -rf /tmp/../x"), (25, 0, "top", "chmod", "chmod -R 777 dir"),
+]
+REACHED_SQL = f"""SELECT b.task_id, v.position, v.origin, v.program, v.words FROM ({BASE}) b JOIN (VALUES {", ".join(
+    f"({k}, {n}, {quote(o)}, {quote(p)}, {quote(w)})" for k, n, o, p, w in REACHED)}) v(k, position, origin, program, words) ON v.k = b.k"""
+
 CASES = {
     "au1_command_flags": (command_flags, FLAG_SQL),
-    "au3_nested_commands": (nested_commands, None),
+    "au3_nested_commands": (nested_commands, REACHED_SQL),
     "au4_classify_carrier": (lambda spark, sf: A.classify_carrier(commands(spark, sf)),
                              f"SELECT task_id, {pick([quote(s[1]) for s in SHAPES])} AS carrier FROM ({BASE}) b"),
     "au5_classify_route": (lambda spark, sf: A.classify_route(commands(spark, sf)),
