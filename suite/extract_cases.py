@@ -13,7 +13,7 @@ from tracemill.functions import text as T
 from tracemill.operators import extract as X
 from tracemill.operators import lines as L
 from tracemill.operators import query as Q
-from tracemill.plans.structure import structure_output
+from tracemill.plans.structure import complete_output, structure_output
 from tracemill.sources.rulepacks import load_packs, resolve_packs
 
 PACKS = resolve_packs(load_packs())
@@ -226,6 +226,21 @@ def structure_all(spark, sf):
     return structured(spark, sf).withColumn("context_after", F.array_join("context_after", "|"))
 
 
+def complete_lines(spark, sf):
+    """The line view, with every seventh task printing a table and npm runs adding packages."""
+    lines = view(spark, sf, "lines_v")
+    task = F.col("task_id").cast("long")
+    text = (F.when(task % 7 == 0, F.concat(F.lit("a,b,"), "line_no"))
+            .when((task % 6 == 3) & (F.col("line_no") == 1), "added 3 packages").otherwise(F.col("text")))
+    return lines.withColumn("text", text)
+
+
+def complete_all(spark, sf):
+    out = complete_output(complete_lines(spark, sf), view(spark, sf, "tasks_v"), TASK_PACKS)
+    return out.filter("tier = 'format' OR (type = 'summary' AND message LIKE 'npm install%')").select(
+        "task_id", "seq", "tier", "type", "severity", "code", "message")
+
+
 def primary_from_lines(spark, sf):
     return Q.primary_diagnostic(structured(spark, sf))
 
@@ -380,14 +395,14 @@ WHERE pick = 1
 """
 
 LINES_OF = "list_transform(string_split(body, chr(10)), lambda x: regexp_replace(x, '\\r$', ''))"
+DOC_SOURCE = f"(SELECT CAST(doc_id AS STRING) AS task_id, {RAW_TEXT} AS raw FROM documents)"
 FORMAT_ROWS = f"""
 SELECT *, filled[1] AS first_row,
   CASE WHEN contains(filled[1], chr(9)) THEN chr(9) WHEN contains(filled[1], ',') THEN ','
     WHEN contains(filled[1], '|') THEN '|' END AS delim,
   list_filter(list_transform(all_rows, lambda x: {R.strip('x')}), lambda x: contains(x, ': ') AND NOT starts_with(x, '#')) AS pairs
 FROM (SELECT *, list_filter(all_rows, lambda x: {R.strip('x')} <> '') AS filled
-  FROM (SELECT *, {LINES_OF} AS all_rows FROM (SELECT CAST(doc_id AS STRING) AS task_id, {R.strip('raw')} AS body
-    FROM (SELECT doc_id, {RAW_TEXT} AS raw FROM documents) a) b) c) d
+  FROM (SELECT *, {LINES_OF} AS all_rows FROM (SELECT task_id, {R.strip('raw')} AS body FROM {DOC_SOURCE} a) b) c) d
 """
 FORMAT_SQL = f"""
 SELECT *, CASE WHEN body = '' THEN NULL
@@ -423,6 +438,25 @@ SELECT task_id, item, code, message FROM ({FORMAT_EVENT_SQL}) e WHERE format <>
     OR len(list_filter(string_split({RAW_TEXT}, chr(10)), lambda x: starts_with(trim(x), '{{') AND json_valid(trim(x)))) > 0)
 """
 
+COMPLETE_LINES = """(SELECT * REPLACE (CASE WHEN CAST(task_id AS BIGINT) % 7 = 0 THEN 'a,b,' || line_no
+  WHEN CAST(task_id AS BIGINT) % 6 = 3 AND line_no = 1 THEN 'added 3 packages' ELSE text END AS text) FROM lines_v)"""
+LINE_SOURCE = f"(SELECT task_id, string_agg(text, chr(10) ORDER BY line_no) AS raw FROM {COMPLETE_LINES} l GROUP BY 1)"
+COMPLETE_SQL = (STRUCTURE_SQL.replace("FROM lines_v l LEFT", f"FROM {COMPLETE_LINES} l LEFT") + f"""
+, data AS ({FORMAT_EVENT_SQL.replace(DOC_SOURCE, LINE_SOURCE)}),
+last AS (SELECT task_id, max(seq) AS s FROM final GROUP BY 1),
+flags AS (SELECT p.task_id, bool_or(type = 'summary' AND starts_with(message, 'added ')) AS has_adds,
+    bool_or(type = 'diagnostic' AND severity = 'error') AS has_error
+  FROM parsed p JOIN tasks_v t ON t.task_id = p.task_id WHERE tier = 'stateful' AND t.parser_name = 'npm' GROUP BY 1)
+SELECT d.task_id, CAST(coalesce(l.s, 0) + item AS BIGINT) AS seq, 'format' AS tier, type, severity, code, message
+FROM data d LEFT JOIN last l ON l.task_id = d.task_id
+UNION ALL SELECT f.task_id, CAST(coalesce(l.s, 0) + coalesce(n.m, 0) + 1 AS BIGINT), 'stateful', 'summary',
+  CASE WHEN has_error OR coalesce(exit_code, -1) <> 0 THEN 'error' ELSE 'info' END, NULL,
+  'npm install ' || CASE WHEN has_adds THEN 'completed' ELSE 'failed' END || ' (exit ' || CAST(coalesce(exit_code, -1) AS STRING) || ')'
+FROM flags f JOIN tasks_v t ON t.task_id = f.task_id LEFT JOIN last l ON l.task_id = f.task_id
+LEFT JOIN (SELECT task_id, max(item) AS m FROM data GROUP BY 1) n ON n.task_id = f.task_id
+WHERE has_adds OR has_error
+""")
+
 BAD_BYTES_SQL = f"""
 SELECT task_id, line_no, CASE WHEN c IS NOT NULL THEN 'crash' WHEN h IS NOT NULL THEN 'heuristic' ELSE 'raw' END AS tier,
   coalesce(c.message, h.message, text) AS message
@@ -467,5 +501,6 @@ CASES = {
     "x18_parse_lines": (parse_lines, with_views(PARSED, "lines_v", "tasks_v")),
     "x19_parse_bad_bytes": (parse_bad_bytes, with_views(BAD_BYTES_SQL, "doc_lines")),
     "w8_structure_output": (structure_all, with_views(STRUCTURE_SQL + "SELECT * FROM final", "lines_v", "tasks_v")),
+    "w8_complete_output": (complete_all, with_views(COMPLETE_SQL, "lines_v", "tasks_v")),
     "w8_primary_from_lines": (primary_from_lines, with_views(STRUCTURE_SQL + PRIMARY_TAIL, "lines_v", "tasks_v")),
 }

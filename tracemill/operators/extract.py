@@ -199,6 +199,8 @@ def _conditional_events(lines: DataFrame, pack: Pack, max_bytes: int) -> DataFra
         return tuple(text.split("=", 1)) if text else None
 
     needs, sets = [pair(r.state_condition) for r in rules], [pair(r.state_transition) for r in rules]
+    if "n_bytes" not in lines.columns:
+        lines = lines.withColumn("n_bytes", (F.octet_length("text") + 1).cast("long"))
     keep = [c for c in lines.columns if c != "text"]
     capped = cap_task_output(lines, max_bytes).filter(~F.col("truncated")).drop("truncated")
     numbers = book.every(F.col("text"), book.by_pack[pack.name])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.extract import json_line_event
+from ..functions.text import strip_ansi
 from ..operators import extract, lines as line_ops, merge
 from ..sources.rulepacks import Pack
 
@@ -40,3 +42,37 @@ def structure_output(
     )
     final = merge.absorb_context(merged, ORDER, width=None)
     return merge.assign_seq(final, ORDER, width=None).drop("idx")
+
+
+def complete_output(
+    lines: DataFrame,
+    tasks: DataFrame,
+    packs: Sequence[Pack],
+    max_bytes: int = line_ops.MAX_OUTPUT_BYTES,
+) -> DataFrame:
+    """`structure_output`, then what is only known when a task has ended.
+
+    Behind a task's events come the data events of a structured output as a whole (unless
+    the output was cut or had JSON lines) and the summary of an npm run.
+    """
+    events = structure_output(lines, tasks, packs, max_bytes)
+    capped = line_ops.cap_task_output(lines, max_bytes).withColumn(
+        "tier", F.when(json_line_event(strip_ansi(F.col("text"))).isNotNull(), "json"))
+    # a task's text is bounded by the cap
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    raw = capped.filter(~F.col("truncated")).groupBy("task_id").agg(
+        F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("raw"))
+    data = extract.gate_format_events(extract.format_events(raw), capped, capped)
+    npm = tasks.filter(F.col("parser_name") == "npm").select("task_id", "parser_name")
+    npm_lines = capped.select("task_id", "line_no", strip_ansi(F.col("text")).alias("text")).join(npm, "task_id")
+    stateful = extract.apply_stateful_rules(npm_lines, [p for p in packs if p.name == "npm"])
+    ends = extract.completion_summary(stateful, tasks).withColumn("item", F.lit(None).cast("long"))
+    last = events.groupBy("task_id").agg(F.max("seq").alias("_last"))
+    items = data.groupBy("task_id").agg(F.max("item").alias("_items"))
+    extra = data.drop("format").unionByName(ends, allowMissingColumns=True).join(last, "task_id", "left").join(
+        items, "task_id", "left")
+    position = F.coalesce("item", F.coalesce("_items", F.lit(0)) + 1)
+    tail = extra.withColumns(
+        {"seq": F.coalesce("_last", F.lit(0)) + position, "tier": F.when(F.col("item").isNull(), "stateful").otherwise("format")}
+    ).drop("item", "_last", "_items")
+    return events.unionByName(tail, allowMissingColumns=True)
