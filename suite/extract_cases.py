@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from suite import rule_sql as R
 from suite.merge_cases import CONTEXT, KEEPS, PAIRS, RUNS
-from suite.line_cases import NOISE
 from suite.views import table, view, with_views
 from tracemill.functions import extract as FX
 from tracemill.functions import text as T

@@ -38,3 +38,32 @@ def test_sessions_equal_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "key string, s long").select("key", F.timestamp_seconds("s").alias("ts"))
     got = live.activity_sessions(df, "key", "ts").orderBy("session_start").collect()
     assert [r.actions for r in got] == [2, 1, 2]
+
+
+def test_notifications_reach_the_sink_in_chunks(spark, tmp_path):
+    schema = "task_id string, seq long, type string, severity string, message string"
+    rows = [("t", n, "log", "info", f"m{n}") for n in range(1, 121)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    query = live.stream_notify(events, lambda df: df.write.mode("append").parquet(out), str(tmp_path / "cp"))
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r.n for r in spark.read.parquet(out).collect()) == [20, 50, 50]
+
+
+def test_replay_window_over_batches(spark, tmp_path):
+    schema = "client string, at timestamp, body string"
+    base = 1_700_000_000
+    for i, seconds in enumerate([(0, 60, 119), (130, 200, 260)]):
+        spark.createDataFrame([("c", s, "x") for s in seconds], "client string, s long, body string").select(
+            "client", F.timestamp_seconds(F.col("s") + base).alias("at"), "body"
+        ).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    kept = live.dedup_requests(stream, "client", "at", ["body"])
+    query = (kept.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    query.awaitTermination(90)
+    assert query.exception() is None
+    got = spark.read.parquet(str(tmp_path / "out")).select(F.unix_seconds("at").alias("s")).collect()
+    assert sorted(r.s - base for r in got) == [0, 130, 260]

@@ -79,10 +79,6 @@ def event_struct(type, severity, message, code=None, file=None, line=None, col=N
     ).cast(EVENT_STRUCT)
 
 
-def no_event() -> Column:
-    return F.lit(None).cast(EVENT_STRUCT)
-
-
 def raw_event(text: Column, severity: Column | None = None) -> Column:
     return event_struct(F.lit("log"), F.lit("info") if severity is None else severity, text)
 
