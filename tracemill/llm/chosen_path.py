@@ -154,35 +154,55 @@ def _blocks(rows: DataFrame, sizes: DataFrame, key: str, cap: int) -> DataFrame:
     )
 
 
-def candidate_edges(sets: DataFrame, leaf: int, agreement: float, depth: int) -> DataFrame:
-    """Edges over distinct sets whose signatures agree; they span every group of similar sets."""
+def _minor_blocks(members: DataFrame, nodes: DataFrame, leaf: int) -> DataFrame:
+    """Members outside their node's largest component, against all of the node, in bounded groups."""
+    parts = F.greatest(F.lit(1), F.ceil(F.col("largest") / F.lit(leaf))).cast("int")
+    rows = members.join(nodes, "node").withColumn("parts", parts)
+    own = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int")
+    spread = F.when(F.col("comp") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    return rows.select("node", "rep", F.explode(spread).alias("part")).select(F.xxhash64("node", "part").alias("node"), "rep")
+
+
+def candidate_components(sets: DataFrame, leaf: int, agreement: float, depth: int) -> DataFrame:
+    """(id, component) over distinct sets, such that similar signatures are always in one component.
+
+    A node of more than `leaf` members is first compared with one member, its hub.  It is done when all its
+    members are in one component by then.  When few are outside its largest component, these are compared
+    with every member in blocks; else all members go on to the node's children.
+    """
     reps = sets.filter("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.first("nodes").alias("nodes"))
     rows = common.materialize(reps.select(F.explode("nodes").alias("node"), "rep"), "path-nodes")
-    signature = sets.select(F.col("doc_id").alias("rep"), "tokens", "low").dropDuplicates(["rep"])
-    low, edges = signature.select("rep", "low"), []
+    low, tokens = (sets.select(F.col("doc_id").alias("rep"), c) for c in ("low", "tokens"))
+    known = None
     for level in range(depth + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        rows = common.materialize(rows.join(sizes, "node"), "path-nodes")
-        edges.append(_compare_leaves(rows.filter(F.col("size") <= leaf).join(low, "rep").select("node", "rep", "low"), agreement))
-        large = rows.filter(F.col("size") > leaf).select("node", "rep")
-        if large.isEmpty():
-            break
-        hubs = large.groupBy("node").agg(F.min("rep").alias("hub"))
-        hubs = hubs.join(low.select(F.col("rep").alias("hub"), F.col("low").alias("hub_low")), "hub")
-        near = common.materialize(_hub_links(large.join(low, "rep").join(hubs, "node").select("node", "rep", "low", "hub", "hub_low"), agreement), "path-hubs")
-        edges.append(near.filter("linked and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-        unlike = near.filter("not linked").select("node").distinct()
-        rest = near.join(unlike, "node", "left_semi").select("node", "rep")
-        if level < depth:
-            rows = common.materialize(_children(rest.join(signature.select("rep", "tokens"), "rep").select("node", "rep", "tokens")), "path-nodes")
-        else:
-            sizes = rest.groupBy("node").agg(F.count("*").alias("size"))
-            pairs = _blocks(rest, sizes, "node", 4 * leaf).select(F.col("grp").alias("node"), "rep")
-            edges.append(_compare_leaves(pairs.join(low, "rep").select("node", "rep", "low"), agreement))
-    out = edges[0]
-    for more in edges[1:]:
-        out = out.unionByName(more)
-    return out
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("node", "rep")).alias("hub"))
+        rows = common.materialize(rows.join(sizes.filter("size > 1"), "node"), "path-nodes")
+        edges = _compare_leaves(rows.filter(F.col("size") <= leaf).join(low, "rep").select("node", "rep", "low"), agreement)
+        large = rows.filter(F.col("size") > leaf).select("node", "rep", "hub")
+        more = not large.isEmpty()
+        if more:
+            hub_low = large.select("hub").distinct().join(low.withColumnsRenamed({"rep": "hub", "low": "hub_low"}), "hub")
+            near = large.join(low, "rep").join(hub_low, "hub").select("node", "rep", "low", "hub", "hub_low")
+            edges = edges.unionByName(_hub_links(near, agreement).filter("linked and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+        known = common.components(edges if known is None else edges.unionByName(known.toDF("a", "b")))
+        if not more:
+            return known
+        known = common.materialize(known, "path-known")
+        members = large.select("node", "rep").join(known.toDF("rep", "comp"), "rep", "left").select("node", "rep", F.coalesce("comp", "rep").alias("comp"))
+        nodes = members.groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(
+            F.sum("n").alias("size"), F.max("n").alias("largest"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
+        nodes = common.materialize(nodes.filter("size > largest"), "path-open")
+        few = nodes.filter(F.col("size") - F.col("largest") <= leaf)
+        blocks = _minor_blocks(members, few.select("node", "largest", "main"), leaf)
+        many = nodes.filter(F.col("size") - F.col("largest") > leaf).select("node", "size")
+        if level == depth:
+            blocks = blocks.unionByName(_blocks(members.select("node", "rep"), many, "node", 4 * leaf).select(F.col("grp").alias("node"), "rep"))
+        edges = _compare_leaves(blocks.join(low, "rep").select("node", "rep", "low"), agreement)
+        known = common.materialize(known.toDF("a", "b").unionByName(edges), "path-known")
+        if level == depth or many.isEmpty():
+            return common.components(known)
+        rows = _children(members.join(many, "node").select("node", "rep").join(tokens, "rep").select("node", "rep", "tokens"))
+        rows = common.materialize(rows, "path-nodes")
 
 
 def _confirm(rows: DataFrame, shingle: int, part: int, whole: int) -> DataFrame:
@@ -233,8 +253,7 @@ def near_duplicates(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     every = common.materialize(document_sets(texts, shingle, trees), "path-sets")
     sets = every.filter("doc_id is not null")
-    near = common.components(candidate_edges(sets, leaf, agreement, depth)).withColumnsRenamed({"id": "rep", "component": "comp"})
-    near = common.materialize(near, "path-near")
+    near = common.materialize(candidate_components(sets, leaf, agreement, depth).toDF("rep", "comp"), "path-near")
     sizes = near.groupBy("comp").agg(F.count("*").alias("size"))
     members = _blocks(near, sizes, "comp", cap).join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("grp", "rep", "text")
     labels = common.components(_confirm(members, shingle, part, whole))

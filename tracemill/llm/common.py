@@ -147,26 +147,48 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, size: int = 5) -> tuple[np.nd
     return np.concatenate(sets) if sets else words[:0], np.array(begin)
 
 
+def _local_stars(batches):
+    """Contract the edges of one task's batches: each vertex points to the smallest of its group there."""
+    for batch in batches:
+        a, b = batch.column("u").to_pylist(), batch.column("v").to_pylist()
+        up: dict[int, int] = {}
+
+        def root(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y] if y in up else y
+            return x
+
+        for x, y in zip(a, b):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        pairs = [(x, r) for x in up if (r := root(x)) != x]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], names=["u", "v"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", prefix: str = "links") -> DataFrame:
     """(id, component): smallest id reachable over undirected edges, for every id that has an edge.
 
-    Alternates two star contractions until nothing changes; each round is materialised.  Minima are
-    aggregated before the shuffle, and the joins that follow can be split where one id has most edges.
+    Contracts the edges of each Arrow batch, then alternates two star contractions until every id points
+    to a root; each round is materialised.  Minima are aggregated before the shuffle, and the joins that
+    follow can be split where one id has most edges.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    e, before = materialize(e, prefix), None
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
+    e = materialize(e.mapInArrow(_local_stars, "u long, v long"), prefix)
     while True:
+        ends = e.select(F.col("u").alias("id"), F.col("v").alias("to"), F.lit(0).alias("root"))
+        ends = ends.unionByName(e.select(F.col("v").alias("id"), F.lit(None).cast("long").alias("to"), F.lit(1).alias("root")))
+        ends = ends.groupBy("id").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.max("root").alias("root"))
+        if ends.filter("low <> high or (low is not null and root = 1)").isEmpty():
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        far = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        far = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = far.groupBy("u").agg(F.min("v").alias("m"))
-        near = far.join(least, "u")
-        e = materialize(
-            near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v"))).distinct(), prefix)
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
+        near = far.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        near = near.unionByName(least.select("u", F.col("m").alias("v")))
+        e = materialize(near.mapInArrow(_local_stars, "u long, v long"), prefix)
+    e = e.distinct()
     roots = e.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
