@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracemill.llm.bwt_dedup import remove_repeats
 from tracemill.llm.chosen_path import near_duplicates
 
 
@@ -15,6 +16,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 CASES = {
     "op7_near_duplicates": (op7, None),
+    "op9_repeated_strings": (op9, None),
 }
