@@ -2,25 +2,79 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+from tracemill.llm import license_scan, tool_calls
+from tracemill.llm.arc_convert import archive_pages
+from tracemill.llm.best_fit import pack
 from tracemill.llm.bwt_dedup import remove_repeats
 from tracemill.llm.chosen_path import near_duplicates
+from tracemill.llm.common import shared_folder
+from tracemill.llm.one_bit_codes import nearest
+from tracemill.llm.plane_files import read_ids, write_ids
+from tracemill.llm.source_mix import mix_sources
+from tracemill.llm.target_ratio import quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048, 0)
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.conversation_calls(_table(spark, sf_dir, "conversations"))
+    return tool_calls.link_calls(calls, results, tool_calls.SCHEMAS)
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return read_ids(write_ids(_table(spark, sf_dir, "documents"), path, 2, shared_folder(spark, "ids")))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 CASES = {
+    "op1_license_scan": (op1, license_scan.sql()),
+    "op2_best_fit_packing": (op2, None),
+    "op3_nearest_neighbours": (op3, None),
+    "op4_tool_calls": (op4, tool_calls.SQL),
+    "op5_quality_rules": (op5, None),
+    "op6_arc_to_warc": (op6, None),
     "op7_near_duplicates": (op7, None),
+    "op8_plane_files": (op8, None),
     "op9_repeated_strings": (op9, None),
+    "op10_source_mix": (op10, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
