@@ -29,7 +29,7 @@ def _node(parent: np.ndarray, slot: np.ndarray, token: np.ndarray) -> np.ndarray
     return common.mix(common.mix(parent + slot.astype(np.uint64)) ^ token.astype(np.uint64)).view(np.int64)
 
 
-def document_sets(docs: DataFrame, shingle: int = 5, trees: int = 6) -> DataFrame:
+def document_sets(docs: DataFrame, shingle: int = 5, trees: int = 4) -> DataFrame:
     """Set size, identity, signature (full tokens and their low bytes) and first-level nodes of each document."""
 
     def sets(batches):
@@ -155,53 +155,49 @@ def _blocks(rows: DataFrame, sizes: DataFrame, key: str, cap: int) -> DataFrame:
 
 
 def _minor_blocks(members: DataFrame, nodes: DataFrame, leaf: int) -> DataFrame:
-    """Members outside their node's largest component, against all of the node, in bounded groups."""
-    parts = F.greatest(F.lit(1), F.ceil(F.col("largest") / F.lit(leaf))).cast("int")
+    """Members unlike their node's hub, against all members of the node, in bounded groups."""
+    parts = F.greatest(F.lit(1), F.ceil(F.col("alike") / F.lit(leaf))).cast("int")
     rows = members.join(nodes, "node").withColumn("parts", parts)
     own = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int")
-    spread = F.when(F.col("comp") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    spread = F.when(F.col("linked"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     return rows.select("node", "rep", F.explode(spread).alias("part")).select(F.xxhash64("node", "part").alias("node"), "rep")
 
 
-def candidate_components(sets: DataFrame, leaf: int, agreement: float, depth: int) -> DataFrame:
-    """(id, component) over distinct sets, such that similar signatures are always in one component.
+def candidate_edges(sets: DataFrame, leaf: int, agreement: float, depth: int) -> DataFrame:
+    """Edges over distinct sets that connect any two of similar signatures, directly or through others.
 
-    A node of more than `leaf` members is first compared with one member, its hub.  It is done when all its
-    members are in one component by then.  When few are outside its largest component, these are compared
-    with every member in blocks; else all members go on to the node's children.
+    All members of a node of more than `leaf` are compared with one of them, its hub.  When few are unlike
+    the hub, these are compared with every member in blocks, and the node is done, for the others are
+    connected through the hub; else all members go on to the node's children.
     """
     reps = sets.filter("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.first("nodes").alias("nodes"))
     rows = common.materialize(reps.select(F.explode("nodes").alias("node"), "rep"), "path-nodes")
     low, tokens = (sets.select(F.col("doc_id").alias("rep"), c) for c in ("low", "tokens"))
-    known = None
+    out = None
     for level in range(depth + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("node", "rep")).alias("hub"))
         rows = common.materialize(rows.join(sizes.filter("size > 1"), "node"), "path-nodes")
-        edges = _compare_leaves(rows.filter(F.col("size") <= leaf).join(low, "rep").select("node", "rep", "low"), agreement)
+        groups = rows.filter(F.col("size") <= leaf).select("node", "rep")
         large = rows.filter(F.col("size") > leaf).select("node", "rep", "hub")
-        more = not large.isEmpty()
-        if more:
+        many = None
+        if not large.isEmpty():
             hub_low = large.select("hub").distinct().join(low.withColumnsRenamed({"rep": "hub", "low": "hub_low"}), "hub")
             near = large.join(low, "rep").join(hub_low, "hub").select("node", "rep", "low", "hub", "hub_low")
-            edges = edges.unionByName(_hub_links(near, agreement).filter("linked and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-        known = common.components(edges if known is None else edges.unionByName(known.toDF("a", "b")))
-        if not more:
-            return known
-        known = common.materialize(known, "path-known")
-        members = large.select("node", "rep").join(known.toDF("rep", "comp"), "rep", "left").select("node", "rep", F.coalesce("comp", "rep").alias("comp"))
-        nodes = members.groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(
-            F.sum("n").alias("size"), F.max("n").alias("largest"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
-        nodes = common.materialize(nodes.filter("size > largest"), "path-open")
-        few = nodes.filter(F.col("size") - F.col("largest") <= leaf)
-        blocks = _minor_blocks(members, few.select("node", "largest", "main"), leaf)
-        many = nodes.filter(F.col("size") - F.col("largest") > leaf).select("node", "size")
-        if level == depth:
-            blocks = blocks.unionByName(_blocks(members.select("node", "rep"), many, "node", 4 * leaf).select(F.col("grp").alias("node"), "rep"))
-        edges = _compare_leaves(blocks.join(low, "rep").select("node", "rep", "low"), agreement)
-        known = common.materialize(known.toDF("a", "b").unionByName(edges), "path-known")
-        if level == depth or many.isEmpty():
-            return common.components(known)
-        rows = _children(members.join(many, "node").select("node", "rep").join(tokens, "rep").select("node", "rep", "tokens"))
+            near = common.materialize(_hub_links(near, agreement), "path-hubs")
+            links = near.filter("linked and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+            out = links if out is None else out.unionByName(links)
+            nodes = near.groupBy("node").agg(F.count_if("linked").alias("alike"), F.count_if(~F.col("linked")).alias("unlike"))
+            few = nodes.filter(F.col("unlike").between(1, leaf)).select("node", "alike")
+            groups = groups.unionByName(_minor_blocks(near.select("node", "rep", "linked"), few, leaf))
+            many = nodes.filter(F.col("unlike") > leaf).select("node", (F.col("alike") + F.col("unlike")).alias("size"))
+            rest = near.select("node", "rep")
+            if level == depth:
+                groups = groups.unionByName(_blocks(rest, many, "node", 4 * leaf).select(F.col("grp").alias("node"), "rep"))
+        edges = _compare_leaves(groups.join(low, "rep").select("node", "rep", "low"), agreement)
+        out = edges if out is None else out.unionByName(edges)
+        if many is None or level == depth or many.isEmpty():
+            return out
+        rows = _children(rest.join(many, "node").join(tokens, "rep").select("node", "rep", "tokens"))
         rows = common.materialize(rows, "path-nodes")
 
 
@@ -224,9 +220,11 @@ def _confirm(rows: DataFrame, shingle: int, part: int, whole: int) -> DataFrame:
                 hit = np.zeros(len(others), bool)
                 tried = others[near]
                 if len(tried):
-                    span = np.concatenate([places[begin[u] : begin[u + 1]] for u in tried])
-                    starts = np.concatenate([[0], np.cumsum(sizes[tried])[:-1]])
-                    both = np.add.reduceat(marked[span].astype(np.int64), starts)
+                    if 8 * len(tried) > len(sizes):
+                        both = np.add.reduceat(marked[places], begin[:-1], dtype=np.int64)[tried]
+                    else:
+                        span = np.concatenate([places[begin[u] : begin[u + 1]] for u in tried])
+                        both = np.add.reduceat(marked[span], np.concatenate([[0], np.cumsum(sizes[tried])[:-1]]), dtype=np.int64)
                     hit[near] = part * both >= whole * (sizes[tried] + sizes[v] - both)
                 marked[places[begin[v] : begin[v + 1]]] = False
                 return hit
@@ -236,8 +234,42 @@ def _confirm(rows: DataFrame, shingle: int, part: int, whole: int) -> DataFrame:
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(compare, "a long, b long")
 
 
+def _confirmed(near: DataFrame, texts: DataFrame, shingle: int, part: int, whole: int, cap: int, hubs: int = 64) -> DataFrame:
+    """Confirmed edges that span the links inside each candidate component of near(rep, comp).
+
+    Components of up to `cap` members are compared at once.  A larger one is first cut into chunks that all
+    hold about `hubs` common members, which connect most of it; who is outside its largest confirmed part
+    then is compared with every member, in blocks.
+    """
+
+    def confirm(groups):
+        return _confirm(groups.join(texts, "rep").select("grp", "rep", "text"), shingle, part, whole)
+
+    sized = near.join(near.groupBy("comp").agg(F.count("*").alias("size")), "comp")
+    small = sized.filter(F.col("size") <= cap).select(F.col("comp").alias("grp"), "rep")
+    big = sized.filter(F.col("size") > cap)
+    chunks = F.ceil(F.col("size") / F.lit(cap / 2)).cast("int")
+    own = F.pmod(F.xxhash64("rep", F.lit(3)), chunks).cast("int")
+    hub = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("size")) < hubs
+    spread = big.withColumn("chunk", F.explode(F.when(hub, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(own))))
+    first = confirm(small.unionByName(spread.select(F.xxhash64("comp", "chunk").alias("grp"), "rep")))
+    if big.isEmpty():
+        return first
+    first = common.materialize(first, "path-first")
+    found = common.components(first).toDF("rep", "label")
+    members = big.select(F.col("comp").alias("node"), "rep").join(found, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    counts = members.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("alike"), F.sum("n").alias("size"))
+    counts = common.materialize(counts.filter("size > alike"), "path-rest")
+    few = counts.filter(F.col("size") - F.col("alike") <= cap)
+    members = members.join(counts.select("node", "main"), "node").select("node", "rep", (F.col("label") == F.col("main")).alias("linked"))
+    blocks = _minor_blocks(members, few.select("node", "alike"), cap // 2).select(F.col("node").alias("grp"), "rep")
+    pairs = _blocks(members.select("node", "rep"), counts.filter(F.col("size") - F.col("alike") > cap).select("node", "size"), "node", cap)
+    return first.unionByName(confirm(blocks.unionByName(pairs.select("grp", "rep"))))
+
+
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, part: int = 100, whole: int = 85, trees: int = 6, leaf: int = 256,
+    docs: DataFrame, shingle: int = 5, part: int = 100, whole: int = 85, trees: int = 4, leaf: int = 256,
     agreement: float = 0.65, depth: int = 8, cap: int = 2000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text).
@@ -253,10 +285,8 @@ def near_duplicates(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     every = common.materialize(document_sets(texts, shingle, trees), "path-sets")
     sets = every.filter("doc_id is not null")
-    near = common.materialize(candidate_components(sets, leaf, agreement, depth).toDF("rep", "comp"), "path-near")
-    sizes = near.groupBy("comp").agg(F.count("*").alias("size"))
-    members = _blocks(near, sizes, "comp", cap).join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("grp", "rep", "text")
-    labels = common.components(_confirm(members, shingle, part, whole))
+    near = common.materialize(common.components(candidate_edges(sets, leaf, agreement, depth)).toDF("rep", "comp"), "path-near")
+    labels = common.components(_confirmed(near, texts.withColumnRenamed("doc_id", "rep"), shingle, part, whole, cap))
     reps = sets.filter("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"))
     reps = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key_a", "key_b", F.coalesce("component", "rep").alias("component"))
     out = every.filter("n_shingles > 0").join(reps, ["key_a", "key_b"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
