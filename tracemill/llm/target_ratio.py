@@ -43,14 +43,18 @@ def _covered(grams: Column) -> Column:
     return _let(pairs, lambda s: _let(repeated(s), width))
 
 
-def _buckets(words: Column, buckets: int) -> Column:
-    """Hashed words and word pairs of a text."""
-    single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    count = F.size(words)
-    double = F.transform(
-        F.sequence(F.lit(1), count - 1),
-        lambda i: F.pmod(F.xxhash64(F.get(words, i - 1), F.get(words, i)), F.lit(buckets)).cast("int"))
-    return F.when(count > 1, F.concat(single, double)).otherwise(single)
+def hashes_of(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _bucket(buckets: int, *hashes: Column) -> Column:
+    """Bucket of a hashed word, or of two in a row."""
+    return F.pmod(hashes[0] if len(hashes) == 1 else F.xxhash64(*hashes), F.lit(buckets)).cast("int")
+
+
+def _pairs(hashes: Column, body) -> Column:
+    """body(former, latter) of each two words in a row."""
+    return F.transform(F.sequence(F.lit(1), F.size(hashes) - 1), lambda i: body(F.get(hashes, i - 1), F.get(hashes, i)))
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
@@ -60,9 +64,9 @@ def base_rules(docs: DataFrame) -> DataFrame:
     words, count = F.col("words"), F.size("words")
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     grams = F.transform(
-        F.sequence(F.lit(0), count - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
-    d = d.select(
-        "doc_id", "words", count.cast("long").alias("n_words"),
+        F.sequence(F.lit(0), count - WINDOW), lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(WINDOW)]))
+    d = d.select("doc_id", "text", "words", hashes_of(words).alias("hashes")).select(
+        "doc_id", "hashes", count.cast("long").alias("n_words"),
         F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
@@ -77,8 +81,11 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, smoothing: floa
     """One row: log ratio of target to raw for every bucket, in units; zeros while nothing is trusted."""
     trusted = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("of")).distinct()
     grams = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trusted, F.col("doc_id") == F.col("of"), "left")
-    grams = grams.select(F.col("of").isNotNull().cast("int").alias("t"), words_of(F.col("text")).alias("words"))
-    counts = grams.select("t", F.explode(_buckets(F.col("words"), buckets)).alias("bucket"))
+    grams = grams.select(F.col("of").isNotNull().cast("int").alias("t"), hashes_of(words_of(F.col("text"))).alias("hashes"))
+    hashes = F.col("hashes")
+    single = F.transform(hashes, lambda h: _bucket(buckets, h))
+    double = _pairs(hashes, lambda g, h: _bucket(buckets, g, h))
+    counts = grams.select("t", F.explode(F.when(F.size(hashes) > 1, F.concat(single, double)).otherwise(single)).alias("bucket"))
     counts = counts.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     all_buckets = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     table = all_buckets.join(counts, "bucket", "left").groupBy().agg(
@@ -100,10 +107,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = 10_000, lea
     """
     d = base_rules(docs)
     weights = log_ratios(docs, labels, buckets)
-    grams = F.col("grams")
-    total = F.aggregate(grams, F.lit(0).cast("long"), lambda a, b: a + F.get(F.col("w"), b))
-    d = d.withColumn("w", weights.scalar()).withColumn("grams", _buckets(F.col("words"), buckets))
-    d = d.withColumn("score", F.when(F.size(grams) > 0, F.floor(total / F.size(grams))).cast("long"))
+    d = d.withColumn("w", weights.scalar())
+    hashes, zero = F.col("hashes"), F.lit(0).cast("long")
+    weight = lambda *h: F.get(F.col("w"), _bucket(buckets, *h))
+    single = F.aggregate(hashes, zero, lambda a, h: a + weight(h))
+    double = F.aggregate(
+        F.sequence(F.lit(1), F.size(hashes) - 1), zero, lambda a, i: a + weight(F.get(hashes, i - 1), F.get(hashes, i)))
+    n = F.size(hashes)
+    total = F.when(n > 1, single + double).otherwise(single)
+    d = d.withColumn("score", F.when(n > 0, F.floor(total / (2 * n - 1))).cast("long"))
     kept = ~F.col("base_failed") & (F.col("score") >= int(least * UNIT))
     out = d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", F.coalesce(kept, F.lit(False)).alias("kept"))
     return common.materialize(out, "quality")  # a filter on it would else be pushed down and repeat all of the work
