@@ -42,7 +42,7 @@ class _Numbers(dict):
 class WordEncoder:
     """Encodes texts with a tokenizer file; keeps up to `most` distinct words."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         name = path.rpartition("/")[2].removesuffix(".json")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
         self.tokenizer = Tokenizer.from_file(path)
