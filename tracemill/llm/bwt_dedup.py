@@ -244,6 +244,7 @@ def repeated_ranges(docs: DataFrame, width: int = 200, hot: int = 20_000, bucket
     anchors = every.groupBy("anchor").agg(F.count("*").alias("c"), F.min("span").alias("lo"), F.max("span").alias("hi"))
     anchors = anchors.filter("c > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
     again = common.materialize(every.join(anchors, "anchor"), "bwt-again")
+    common.discard(every)
     classes = again.groupBy("anchor", "span").agg(
         F.count("*").alias("c"), F.first("mixed").alias("mixed"), F.min(F.struct("doc_id", "start", "n", "lead")).alias("r"))
     border = classes.filter("mixed").select("anchor", "span", "r.*")

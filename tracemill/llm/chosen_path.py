@@ -176,7 +176,8 @@ def candidate_edges(sets: DataFrame, leaf: int, agreement: float, depth: int) ->
     out = None
     for level in range(depth + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("node", "rep")).alias("hub"))
-        rows = common.materialize(rows.join(sizes.filter("size > 1"), "node"), "path-nodes")
+        old, rows = rows, common.materialize(rows.join(sizes.filter("size > 1"), "node"), "path-nodes")
+        common.discard(old)
         groups = rows.filter(F.col("size") <= leaf).select("node", "rep")
         large = rows.filter(F.col("size") > leaf).select("node", "rep", "hub")
         many = None

@@ -28,6 +28,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised step that nothing reads any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def sorted_groups(batches, key: str):
     """Arrow tables, one for each run of equal values of an integer column; groups may span batches.
 
@@ -188,7 +195,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", prefix: str = "link
         least = far.groupBy("u").agg(F.min("v").alias("m"))
         near = far.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         near = near.unionByName(least.select("u", F.col("m").alias("v")))
-        e = materialize(near.mapInArrow(_local_stars, "u long, v long"), prefix)
+        old, e = e, materialize(near.mapInArrow(_local_stars, "u long, v long"), prefix)
+        discard(old)
     e = e.distinct()
     roots = e.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
