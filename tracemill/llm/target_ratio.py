@@ -79,7 +79,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, smoothing: float = 1.0) -> DataFrame:
     """One row: log ratio of target to raw for every bucket, in units; zeros while nothing is trusted."""
-    trusted = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("of")).distinct()
+    trusted = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("of")).distinct().hint("merge")  # grows with the corpus
     grams = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trusted, F.col("doc_id") == F.col("of"), "left")
     grams = grams.select(F.col("of").isNotNull().cast("int").alias("t"), hashes_of(words_of(F.col("text"))).alias("hashes"))
     hashes = F.col("hashes")
