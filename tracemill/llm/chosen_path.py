@@ -244,7 +244,7 @@ def _confirmed(near: DataFrame, texts: DataFrame, shingle: int, part: int, whole
     """
 
     def confirm(groups):
-        return _confirm(groups.join(texts, "rep").select("grp", "rep", "text"), shingle, part, whole)
+        return _confirm(groups.hint("merge").join(texts, "rep").select("grp", "rep", "text"), shingle, part, whole)
 
     sized = near.join(near.groupBy("comp").agg(F.count("*").alias("size")), "comp")
     small = sized.filter(F.col("size") <= cap).select(F.col("comp").alias("grp"), "rep")
