@@ -12,6 +12,7 @@ from tracemill.functions import text as T
 from tracemill.operators import extract as X
 from tracemill.operators import lines as L
 from tracemill.operators import query as Q
+from tracemill.operators.lines import MAX_OUTPUT_BYTES
 from tracemill.plans.structure import complete_output, structure_output
 from tracemill.sources.rulepacks import load_packs, resolve_packs
 
@@ -218,7 +219,7 @@ def gate_format_events(spark, sf):
 
 
 def structured(spark, sf):
-    return structure_output(view(spark, sf, "lines_v"), view(spark, sf, "tasks_v"), TASK_PACKS)
+    return structure_output(view(spark, sf, "lines_v"), view(spark, sf, "tasks_v"), TASK_PACKS, max_bytes=MAX_OUTPUT_BYTES)
 
 
 def structure_all(spark, sf):
@@ -235,7 +236,7 @@ def complete_lines(spark, sf):
 
 
 def complete_all(spark, sf):
-    out = complete_output(complete_lines(spark, sf), view(spark, sf, "tasks_v"), TASK_PACKS)
+    out = complete_output(complete_lines(spark, sf), view(spark, sf, "tasks_v"), TASK_PACKS, max_bytes=MAX_OUTPUT_BYTES)
     return out.filter("tier = 'format' OR (type = 'summary' AND message LIKE 'npm install%')").select(
         "task_id", "seq", "tier", "type", "severity", "code", "message")
 

@@ -5,10 +5,11 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.functions import shell
+from tracemill.functions import patterns, shell
 from tracemill.functions import text as T
 from tracemill.operators import audit, extract, quality, retention
 from tracemill.operators import query as Q
+from tracemill.plans.structure import structure_output
 from tracemill.sources.rulepacks import Pack, Rule, load_packs, resolve_packs
 
 
@@ -54,6 +55,35 @@ def test_programs_reached(text, words, exe):
     assert [n for n in names] == words or [n for n in names if n] == [w for w in words if w]
 
 
+@pytest.mark.parametrize("pattern, text, first", [
+    (r"(?P<file_name>\w+)\.rs", "see main.rs", "main"), (r"(?<file>\w+)\.rs", "see main.rs", "main"),
+    (r"^(\p{L}+)$", "größe", "größe"), (r"(ab)\z", "ab", "ab"),
+])
+def test_rule_dialect(spark, pattern, text, first):
+    """Named groups, Unicode classes and \\z are rules, and match in Java."""
+    assert patterns.is_safe(pattern)
+    row = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract("t", patterns.java(pattern), 1).alias("x")).first()
+    assert row.x == first
+
+
+def test_unusable_rules_are_refused():
+    assert not patterns.is_safe("(a+)+") and not patterns.is_safe("(a")
+
+
+def test_one_long_task_needs_no_cap(spark):
+    """Segments of three lines give what one window over the whole task gives."""
+    texts = ["error: bad", "  --> a.rs:1:1", "   | ^^^ x", "  = note: y", "same", "same", "same", "same", "warning: odd", "  --> b.rs:2:2", "done"] * 9
+    lines = spark.createDataFrame(
+        [("t", n, "stdout", s, len(s) + 1) for n, s in enumerate(texts, 1)],
+        "task_id string, line_no long, source string, text string, n_bytes long")
+    tasks = spark.createDataFrame([("t", "cargo")], "task_id string, parser_name string")
+    packs = resolve_packs(load_packs([]))
+    want = structure_output(lines, tasks, packs, max_bytes=10**9).orderBy("seq").collect()
+    for width in (3, 100_000):
+        got = structure_output(lines, tasks, packs, width=width).orderBy("seq")
+        assert got.select(*want[0].asDict()).collect() == want
+
+
 def test_nesting_limit():
     assert shell.shape_of("$(" * 70 + "ls" + ")" * 70)["too_deep"]
 

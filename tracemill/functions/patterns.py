@@ -18,14 +18,28 @@ JAVA_FLAGS = "(?dU)"
 _NESTED_QUANTIFIER = re.compile(r"\((?:[^()\\]|\\.)*[+*]\)[+*{]")
 
 
+#: a named group in either spelling; rules take groups by number, and Java allows no `_` in names
+_NAMED_GROUP = re.compile(r"(?<!\\)((?:\\\\)*)\(\?P?<[A-Za-z_]\w*>")
+#: what Java and the rules' dialect know and Python does not, with something alike for the check
+_CHECKED_AS = [(re.compile(r"\\[pP](?:\{[^}]*\}|[A-Z])"), "a"), (re.compile(r"\\z"), r"\\Z")]
+
+
+def unnamed(pattern: str) -> str:
+    """The pattern with its named groups as plain ones."""
+    return _NAMED_GROUP.sub(r"\1(", pattern)
+
+
 def java(pattern: str) -> str:
-    return JAVA_FLAGS + pattern
+    return JAVA_FLAGS + unnamed(pattern)
 
 
 def is_safe(pattern: str) -> bool:
     """False for a pattern that could backtrack exponentially or does not compile."""
     if _NESTED_QUANTIFIER.search(pattern):
         return False
+    pattern = unnamed(pattern)
+    for form, alike in _CHECKED_AS:
+        pattern = form.sub(alike, pattern)
     try:
         re.compile(pattern)
     except re.error:

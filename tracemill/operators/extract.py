@@ -14,7 +14,7 @@ from ..functions.shell import command_shape
 from ..functions.text import looks_like_stderr_error, strip_ansi, trim
 from ..schemas import EVENT_FIELDS
 from ..sources.rulepacks import Pack, resolve_packs
-from .lines import MAX_OUTPUT_BYTES, cap_task_output
+from .lines import cap_task_output
 
 # ---- tool detection -----------------------------------------------------------------
 
@@ -164,12 +164,12 @@ def raw_events(lines: DataFrame) -> DataFrame:
 
 
 def apply_stateful_rules(
-    lines: DataFrame, packs: Sequence[Pack], max_bytes: int = MAX_OUTPUT_BYTES
+    lines: DataFrame, packs: Sequence[Pack], max_bytes: int | None = None
 ) -> DataFrame:
     """Every matching rule of a stateful parser, one event each, numbered by `idx`.
 
     Rules without a condition are independent of other lines and stay columns.  A pack
-    whose rules have conditions is run per task over its capped output.
+    whose rules have conditions is run per task, over its output up to `max_bytes` if given.
     """
     stateful = [p for p in packs if p.stateful]
     plain = [p for p in stateful if not any(r.state_condition for r in p.active_rules)]
@@ -188,10 +188,10 @@ def apply_stateful_rules(
     return out
 
 
-def _conditional_events(lines: DataFrame, pack: Pack, max_bytes: int) -> DataFrame:
+def _conditional_events(lines: DataFrame, pack: Pack, max_bytes: int | None) -> DataFrame:
     """Rules with `key=value` conditions: hits as columns, the state scanned per task.
 
-    A task's hits are bounded by its capped output.
+    A task's hits, not its lines, are held together.
     """
     book, rules = RuleBook([pack]), pack.active_rules
 
@@ -202,7 +202,9 @@ def _conditional_events(lines: DataFrame, pack: Pack, max_bytes: int) -> DataFra
     if "n_bytes" not in lines.columns:
         lines = lines.withColumn("n_bytes", (F.octet_length("text") + 1).cast("long"))
     keep = [c for c in lines.columns if c != "text"]
-    capped = cap_task_output(lines, max_bytes).filter(~F.col("truncated")).drop("truncated")
+    capped = lines
+    if max_bytes is not None:
+        capped = cap_task_output(lines, max_bytes).filter(~F.col("truncated")).drop("truncated")
     numbers = book.every(F.col("text"), book.by_pack[pack.name])
     candidates = (
         capped.select("*", F.explode(numbers).alias("rule_no"))

@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CONTEXT_LINES = 3
-MAX_CONTEXT_FILES = 32
-MAX_FILE_BYTES = 2 * 1024 * 1024
 
 
 def attach_code_refs(events: DataFrame, tasks: DataFrame, refs: DataFrame) -> DataFrame:
@@ -46,12 +44,12 @@ def with_task(events: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def source_context(
     events: DataFrame, source_lines: DataFrame, k: int = CONTEXT_LINES,
-    max_files: int = MAX_CONTEXT_FILES, max_bytes: int = MAX_FILE_BYTES,
+    max_files: int | None = None, max_bytes: int | None = None,
 ) -> DataFrame:
     """Lines around `file:line` of errors and warnings: one row per event and source line.
 
-    The range becomes 2k+1 wanted line numbers and an equi-join on (file, line_no).  Files
-    over `max_bytes` and files past the first `max_files` of a task are left out.
+    The range becomes 2k+1 wanted line numbers and an equi-join on (file, line_no).  With
+    `max_bytes` or `max_files`, larger files or files past a task's first ones are left out.
     """
     wanted = events.filter(
         F.col("severity").isin("error", "warning") & F.col("file").isNotNull() & (F.col("line") > 0)
@@ -59,12 +57,16 @@ def source_context(
     first_use = Window.partitionBy("task_id").orderBy("_first", "file")
     files = (
         wanted.groupBy("task_id", "file").agg(F.min("seq").alias("_first"))
-        .withColumn("_n", F.row_number().over(first_use)).filter(F.col("_n") <= max_files)
-        .select("task_id", "file")
     )
+    if max_files is not None:
+        files = files.withColumn("_n", F.row_number().over(first_use)).filter(F.col("_n") <= max_files)
+    files = files.select("task_id", "file")
     small = source_lines.groupBy("file").agg(
         F.sum(F.octet_length("text") + 1).alias("_bytes")
-    ).filter(F.col("_bytes") <= max_bytes).select("file")
+    )
+    if max_bytes is not None:
+        small = small.filter(F.col("_bytes") <= max_bytes)
+    small = small.select("file")
     spots = (
         wanted.join(files, ["task_id", "file"]).join(small, "file")
         .select("task_id", "seq", "file", F.col("line").alias("at"),

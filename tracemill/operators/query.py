@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clip_text, duration_text, is_secondary_summary
 
-DEFAULT_LIMIT, MAX_LIMIT = 20, 1000
+DEFAULT_LIMIT = 20
 TASK_LIMIT = 10
 FAILED_SAMPLE, OTHER_SAMPLE = 20, 5
 COMPACT_ROWS = 8
@@ -31,7 +31,7 @@ def event_filter(
 
 
 def _page(df: DataFrame, limit: int, offset: int) -> DataFrame:
-    return df.offset(offset).limit(min(limit, MAX_LIMIT))
+    return df.offset(offset).limit(limit)
 
 
 def query_events(
@@ -67,7 +67,7 @@ def search_events(
 def list_tasks(tasks: DataFrame, status: str | None = None, limit: int = TASK_LIMIT) -> DataFrame:
     if status is not None:
         tasks = tasks.filter(F.col("status") == status.strip('"'))
-    return tasks.orderBy(F.desc("started_at"), "task_id").limit(min(limit, MAX_LIMIT))
+    return tasks.orderBy(F.desc("started_at"), "task_id").limit(limit)
 
 
 def get_tasks(tasks: DataFrame, ids) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.extract import json_line_event
 from ..functions.text import strip_ansi
 from ..operators import extract, lines as line_ops, merge
+from .segments import SEGMENT_POSITIONS
 from ..sources.rulepacks import Pack
 
 ORDER = ("line_no", "idx")
@@ -19,13 +20,17 @@ def structure_output(
     lines: DataFrame,
     tasks: DataFrame,
     packs: Sequence[Pack],
-    max_bytes: int = line_ops.MAX_OUTPUT_BYTES,
+    max_bytes: int | None = None,
+    width: int = SEGMENT_POSITIONS,
 ) -> DataFrame:
-    """Final events of every task, numbered by `seq`.
+    """Final events of every task, numbered by `seq`; the merge steps run on segments of `width` lines.
 
-    The cap runs first and holds a task to `max_bytes` of text, so the merge steps may use
-    one window per task: they share a single shuffle on task_id.
+    With `max_bytes` a task's output is cut there first, and one window per task is safe: the
+    merge steps share a single shuffle on task_id.
     """
+    if max_bytes is None:
+        events = extract.escalate_stderr(extract.parse_lines(lines.drop("n_bytes"), tasks, packs)).drop("source")
+        return _merged(events, width)
     capped = line_ops.cap_task_output(lines, max_bytes).drop("n_bytes")
     parsed = extract.escalate_stderr(extract.parse_lines(capped, tasks, packs)).drop("source")
     # the notice of a cut task is no tool output: whatever the tiers made of it gives way
@@ -37,34 +42,37 @@ def structure_output(
         **{n: F.when(~cut, F.col(n)).cast(t) for n, t in gone.items()},
         "message": F.when(cut, line_ops.truncation_notice(max_bytes)).otherwise(F.col("message")),
     }).drop("truncated")
-    merged = merge.pair_locations(
-        merge.collapse_repeats(line_ops.drop_noise(events), ORDER, width=None), ORDER, width=None
-    )
-    final = merge.absorb_context(merged, ORDER, width=None)
-    return merge.assign_seq(final, ORDER, width=None).drop("idx")
+    return _merged(events, None)
+
+
+def _merged(events: DataFrame, width: int | None) -> DataFrame:
+    merged = merge.pair_locations(merge.collapse_repeats(line_ops.drop_noise(events), ORDER, width), ORDER, width)
+    return merge.assign_seq(merge.absorb_context(merged, ORDER, width), ORDER, width).drop("idx")
 
 
 def complete_output(
     lines: DataFrame,
     tasks: DataFrame,
     packs: Sequence[Pack],
-    max_bytes: int = line_ops.MAX_OUTPUT_BYTES,
+    max_bytes: int | None = None,
+    format_bytes: int = line_ops.MAX_OUTPUT_BYTES,
 ) -> DataFrame:
     """`structure_output`, then what is only known when a task has ended.
 
     Behind a task's events come the data events of a structured output as a whole (unless
-    the output was cut or had JSON lines) and the summary of an npm run.
+    the output was cut or had JSON lines) and the summary of an npm run.  A value over many
+    lines needs its text in one place, so output of more than `format_bytes` is not read as one.
     """
     events = structure_output(lines, tasks, packs, max_bytes)
-    capped = line_ops.cap_task_output(lines, max_bytes).withColumn(
+    capped = line_ops.cap_task_output(lines, format_bytes if max_bytes is None else min(max_bytes, format_bytes)).withColumn(
         "tier", F.when(json_line_event(strip_ansi(F.col("text"))).isNotNull(), "json"))
-    # a task's text is bounded by the cap
+    # a task's text is bounded by format_bytes
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "text")))
     raw = capped.filter(~F.col("truncated")).groupBy("task_id").agg(
         F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("raw"))
     data = extract.gate_format_events(extract.format_events(raw), capped, capped)
     npm = tasks.filter(F.col("parser_name") == "npm").select("task_id", "parser_name")
-    npm_lines = capped.select("task_id", "line_no", strip_ansi(F.col("text")).alias("text")).join(npm, "task_id")
+    npm_lines = (lines if max_bytes is None else capped).select("task_id", "line_no", strip_ansi(F.col("text")).alias("text")).join(npm, "task_id")
     stateful = extract.apply_stateful_rules(npm_lines, [p for p in packs if p.name == "npm"])
     ends = extract.completion_summary(stateful, tasks).withColumn("item", F.lit(None).cast("long"))
     last = events.groupBy("task_id").agg(F.max("seq").alias("_last"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.text import is_context_line, is_noise, keeps_context_text
-from ..operators.lines import MAX_OUTPUT_BYTES
 
 IDENTITY = ["type", "message", "file", "line", "col"]
 CARRIED = ["line_no", "tier", "type", "severity", "code", "message", "file", "line", "col"]
@@ -24,7 +23,7 @@ OUTPUT = (
 class TaskMerge:
     """Collapse, pair and absorb for one task; `state` is plain data between batches."""
 
-    def __init__(self, state: dict | None, max_bytes: int):
+    def __init__(self, state: dict | None, max_bytes: int | None):
         self.max_bytes = max_bytes
         self.s = state or {"next": 1, "used": 0, "cut": False, "seq": 0, "early": {},
                            "run": None, "pair": None, "head": None}
@@ -82,7 +81,7 @@ class TaskMerge:
         if self.s["cut"]:
             return
         self.s["used"] += events[0]["n_bytes"]
-        if self.s["used"] > self.max_bytes:
+        if self.max_bytes is not None and self.s["used"] > self.max_bytes:
             self.s["cut"] = True
             text = f"Output truncated: exceeded {self.max_bytes} byte limit"
             blank = dict.fromkeys(CARRIED)
@@ -138,13 +137,13 @@ def _records(frame: pd.DataFrame, names: list[str], whole: set[str]) -> list[dic
 
 
 def stream_merge(
-    events: DataFrame, max_bytes: int = MAX_OUTPUT_BYTES, idle_ms: int | None = 600_000
+    events: DataFrame, max_bytes: int | None = None, idle_ms: int | None = 600_000
 ) -> DataFrame:
     """Merged events of parsed lines (with n_bytes, line_no, idx); rows of type `end` close a task.
 
     A task without an end row is closed after `idle_ms` without lines; with None it waits, so
     that a run over finite input can end.  A task's state holds
-    one pending run, pair and head plus lines that came early, all within its output cap.
+    one pending run, pair and head plus lines that came early; `max_bytes` cuts a task's output.
     """
     message = F.col("message")
     noise = (F.col("type") == "log") & is_noise(message)
