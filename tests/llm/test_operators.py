@@ -315,3 +315,22 @@ def test_pipeline(spark):
     assert Counter(r.doc_id for r in mixed.collect()) == taken
     packed = corpus_pipeline.packing(spark, mixed, sf)
     assert packed.filter("piece = 0").count() == mixed.count()
+
+
+def test_call_order(spark):
+    rng, rows, level = np.random.default_rng(8), [], {}
+    for conv, most in ((1, 1), (2, 3)):  # a chain of 300 calls, and calls with up to three references
+        for k in range(300):
+            after = [] if k == 0 else [k - 1] if most == 1 else sorted({int(x) for x in rng.integers(max(0, k - 9), k, rng.integers(0, most + 1))})
+            level[conv, f"c{k}"] = 1 + max((level[conv, f"c{a}"] for a in after), default=-1)
+            rows.append((conv, f"c{k}", [f"c{a}" for a in after] + ["gone"] * (k % 2), "x"))
+    for a, b in (("p", "q"), ("q", "p"), ("r", "r"), ("s", "q")):  # cycles, and a call behind one
+        rows.append((1, a, [b], "y"))
+        level[1, a] = None
+    rows.append((1, "t", ["s", "c5"], None))
+    level[1, "t"] = None
+    rows.append((1, "u", ["t"], None))
+    level[1, "u"] = None
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>, level string")
+    found = tool_calls.order_calls(calls).collect()
+    assert len(found) == len(rows) and {(r.conv_id, r.call_id): r.level for r in found} == level

@@ -1,7 +1,7 @@
 """Link tool calls and their results, order them by dependency, validate arguments, serialise canonical JSON.
 
-Calls and results meet by a hash join on their identifiers.  A call may refer to earlier ones; rounds of
-joins order the calls topologically, a call's level being one more than the highest of what it refers to.
+Calls and results meet by a hash join on their identifiers.  A call may refer to earlier ones; joins order
+the calls topologically, a call's level being one more than the highest of what it refers to.
 One conversation or tool may have most rows: no step gathers a conversation.
 """
 
@@ -49,31 +49,79 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def _chains(nodes: DataFrame) -> DataFrame:
+    """(conv_id, call_id, to, dist, end) of calls with one reference, by pointer doubling.
+
+    `to` is the first call on the way that has none (end 0) or several (end 2), `dist` references away; end
+    is null for calls that lead into a cycle.
+    """
+    key = ["conv_id", "call_id"]
+    targets = nodes.select("conv_id", F.col("call_id").alias("to"), F.col("n").alias("end"))
+    chain = nodes.filter("n = 1").join(targets, ["conv_id", "to"]).select(
+        *key, "to", F.lit(1).cast("long").alias("dist"), F.when(F.col("end") != 1, F.least("end", F.lit(2))).alias("end"))
+    chain, reach = common.materialize(chain, "call-chains"), 1
+    longest = chain.count()
+    while reach <= longest and not chain.filter("end is null").isEmpty():
+        ahead = chain.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("dist").alias("more"), F.col("end").alias("next_end"))
+        jumped = chain.filter("end is null").join(ahead, ["conv_id", "to"]).select(
+            *key, F.col("next").alias("to"), (F.col("dist") + F.col("more")).alias("dist"), F.col("next_end").alias("end"))
+        old, chain = chain, common.materialize(chain.filter("end is not null").unionByName(jumped), "call-chains")
+        common.discard(old)
+        reach *= 2
+    return chain
+
+
+def _joint_levels(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of calls with several references: edges(conv_id, call_id, anchor, dist, level).
+
+    One round for each level among these calls only, each over those still open.
+    """
+    key, folder, rounds = ["conv_id", "call_id"], common.shared_folder(edges.sparkSession, "call-levels"), 0
+    read = edges.sparkSession.read.schema("conv_id long, call_id string, level long").parquet
+    while True:
+        state = edges.groupBy(*key).agg((F.count("*") - F.count("level")).alias("missing"), F.max("level").alias("level"))
+        state = state.filter("missing = 0").select(F.col("conv_id").cast("long").alias("conv_id"), "call_id", "level")
+        state.write.parquet(f"{folder}/round={rounds}")
+        done = read(f"{folder}/round={rounds}")
+        if done.isEmpty():
+            return read(*[f"{folder}/round={r}" for r in range(rounds + 1)])
+        known = done.select("conv_id", F.col("call_id").alias("anchor"), F.col("level").alias("below"))
+        left = edges.join(done.select(*key), key, "left_anti").join(known, ["conv_id", "anchor"], "left")
+        left = left.select(*key, "anchor", "dist", F.coalesce("level", F.col("below") + F.col("dist")).alias("level"))
+        old, edges = edges, common.materialize(left, "call-joints")
+        common.discard(old)
+        rounds += 1
+
+
 def order_calls(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of calls(conv_id, call_id, after array<string>): 0 without references.
 
-    References to calls that do not exist are left out; calls in or behind a cycle have level null.  One
-    round for each level, each over the calls that are still open.
+    References to calls that do not exist are left out; calls in or behind a cycle have level null.  Chains
+    of single references are followed by pointer doubling, so their length costs its logarithm in rounds;
+    what remains is one round for each level among the calls with several references.
     """
-    links = calls.select("conv_id", "call_id", F.explode("after").alias("on")).distinct()
-    known = calls.select("conv_id", F.col("call_id").alias("on"))
-    open_ = common.materialize(links.join(known, ["conv_id", "on"]), "call-links")
-    done = calls.select("conv_id", "call_id").join(open_.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-    done, level, out = done.withColumn("level", F.lit(0)), 0, []
-    while True:
-        done = common.materialize(done, "call-levels")
-        out.append(done)
-        if open_.isEmpty() or done.isEmpty():
-            break
-        level += 1
-        left = common.materialize(open_.join(done.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_anti"), "call-links")
-        waiting = left.select("conv_id", "call_id").distinct()
-        done = open_.select("conv_id", "call_id").distinct().join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level))
-        open_ = left
-    levels = out[0]
-    for more in out[1:]:
-        levels = levels.unionByName(more)
-    return levels.unionByName(open_.select("conv_id", "call_id").distinct().withColumn("level", F.lit(None).cast("int")))
+    key = ["conv_id", "call_id"]
+    links = calls.select(*key, F.explode("after").alias("on")).distinct()
+    links = common.materialize(links.join(calls.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"]), "call-links")
+    kinds = links.groupBy(*key).agg(F.count("*").cast("int").alias("n"), F.min("on").alias("to"))
+    nodes = common.materialize(calls.select(*key).join(kinds, key, "left").withColumn("n", F.coalesce("n", F.lit(0))), "call-nodes")
+    chain = _chains(nodes)
+    rooted = chain.filter("end = 0").select(*key, F.col("dist").alias("level"))
+    levels = nodes.filter("n = 0").select(*key, F.lit(0).cast("long").alias("level")).unionByName(rooted)
+    joints = nodes.filter("n > 1").select(*key)
+    if not joints.isEmpty():
+        targets = nodes.drop("to").join(chain.withColumnRenamed("to", "anchor"), key, "left").select(
+            "conv_id", F.col("call_id").alias("on"), F.coalesce("anchor", "call_id").alias("anchor"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist"),
+            ((F.col("n") == 0) | F.coalesce(F.col("end") == 0, F.lit(False))).alias("rooted"))
+        edges = links.join(joints, key, "left_semi").join(targets, ["conv_id", "on"]).select(
+            *key, "anchor", "dist", F.when(F.col("rooted"), F.col("dist")).alias("level"))
+        found = _joint_levels(common.materialize(edges, "call-joints"))
+        levels = levels.unionByName(joints.join(found, key, "left"))
+        below = found.select("conv_id", F.col("call_id").alias("to"), "level")
+        levels = levels.unionByName(chain.filter("end = 2").join(below, ["conv_id", "to"], "left").select(
+            *key, (F.col("level") + F.col("dist")).alias("level")))
+    cyclic = chain.filter("end is null").select(*key, F.lit(None).cast("long").alias("level"))
+    return levels.unionByName(cyclic).withColumn("level", F.col("level").cast("int"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
