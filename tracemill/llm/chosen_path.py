@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tracemill.llm import common
 
 TOKENS = 128
+HUBS = 8
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -106,18 +107,51 @@ def _compare_leaves(rows: DataFrame, agreement: float) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "a long, b long")
 
 
-def _hub_links(rows: DataFrame, agreement: float) -> DataFrame:
-    """For members of large nodes (node, rep, low, hub, hub_low): whether they resemble the node's hub."""
+def _hub_masks(rows: DataFrame, agreement: float) -> DataFrame:
+    """For members of large nodes (node, rep, low, hubs, hub_lows): which of the node's hubs they resemble, as bits."""
     need = int(np.ceil(agreement * TOKENS))
 
     def compare(batches):
         for batch in batches:
-            same = (_matrix(batch.column("low")) == _matrix(batch.column("hub_low"))).sum(axis=1) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("rep"), batch.column("hub"), pa.array(same >= need)],
-                names=["node", "rep", "hub", "linked"])
-
-    return rows.mapInArrow(compare, "node long, rep long, hub long, linked boolean")
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                low, hubs = _matrix(part.column("low")), _matrix(part.column("hub_lows")).reshape(part.num_rows, -1, TOKENS)
+                same = np.count_nonzero(hubs == low[:, None, :], axis=2) >= need
+                mask = (same << np.arange(same.shape[1])).sum(axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("node"), part.column("rep"), part.column("hubs"), pa.array(mask)], names=["node", "rep", "hubs", "mask"])
+
+    return rows.mapInArrow(compare, "node long, rep long, hubs array<long>, mask int")
+
+
+def _with_hubs(large: DataFrame, low: DataFrame, agreement: float) -> DataFrame:
+    """(node, rep, hubs, mask) of members of large nodes; a node's hubs are HUBS of its members by hash."""
+    picks = large.groupBy("node").agg(*[F.min_by("rep", F.xxhash64("node", "rep", F.lit(i))).alias(f"h{i}") for i in range(HUBS)])
+    picks = picks.select("node", F.posexplode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("i", "rep")).join(low, "rep").dropDuplicates(["node", "i"])  # of repeated rows
+    picks = picks.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("i", "rep", "low"))).alias("h"))  # HUBS rows each
+    joined = F.aggregate("h", F.lit(b""), lambda acc, x: F.concat(acc, x["low"]))
+    picks = picks.select("node", F.transform("h", lambda x: x["rep"]).alias("hubs"), joined.alias("hub_lows"))
+    return _hub_masks(large.join(low, "rep").join(picks, "node").select("node", "rep", "low", "hubs", "hub_lows"), agreement)
+
+
+def _hub_groups(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges of members to a hub they resemble, and between hubs that one member resembles; and per node its main
+    group of hubs (as bits), reached from the commonest mask, with the numbers of members like and unlike it."""
+    hit = F.filter("hubs", lambda h, i: F.get(F.reverse(F.split(F.lpad(F.bin("mask"), HUBS, "0"), "")), i) == "1")
+    masks = near.groupBy("node", "mask").agg(F.count("*").alias("n"), F.first("hubs").alias("hubs"))
+    masks = common.materialize(masks, "path-masks")  # 2**HUBS rows of a node at most
+    links = near.filter("mask <> 0").select(F.get(hit, 0).alias("a"), F.col("rep").alias("b")).filter("a <> b")
+    joint = masks.filter("mask <> 0").select(hit.alias("hit")).select(F.get("hit", 0).alias("a"), F.explode("hit").alias("b")).filter("a <> b")
+    start = F.max_by(F.col("mask"), F.when(F.col("mask") != 0, F.struct("n", "mask")))
+    nodes = masks.groupBy("node").agg(start.alias("main"), F.collect_list(F.struct("mask", "n")).alias("masks"))
+    meets = lambda m, x: m.bitwiseAND(x["mask"]) != 0
+    grown = F.aggregate(F.sequence(F.lit(1), F.lit(HUBS)), F.col("main"), lambda m, _: F.aggregate(
+        "masks", m, lambda acc, x: F.when(meets(acc, x), acc.bitwiseOR(x["mask"])).otherwise(acc)))
+    total = lambda test: F.aggregate("masks", F.lit(0).cast("long"), lambda acc, x: acc + F.when(test(x), x["n"]).otherwise(F.lit(0).cast("long")))
+    nodes = nodes.withColumn("main", grown)
+    like = total(lambda x: meets(F.col("main"), x))
+    nodes = nodes.select("node", "main", like.alias("alike"), (total(lambda x: F.lit(True)) - like).alias("unlike"))
+    return links.unionByName(joint), nodes
 
 
 def _children(rows: DataFrame) -> DataFrame:
@@ -154,10 +188,10 @@ def _blocks(rows: DataFrame, sizes: DataFrame, key: str, cap: int) -> DataFrame:
     )
 
 
-def _minor_blocks(members: DataFrame, nodes: DataFrame, leaf: int) -> DataFrame:
-    """Members unlike their node's hub, against all members of the node, in bounded groups."""
+def _minor_blocks(members: DataFrame, leaf: int) -> DataFrame:
+    """Members outside their node's main group, against all members of the node, in bounded groups."""
     parts = F.greatest(F.lit(1), F.ceil(F.col("alike") / F.lit(leaf))).cast("int")
-    rows = members.join(nodes, "node").withColumn("parts", parts)
+    rows = members.withColumn("parts", parts)
     own = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int")
     spread = F.when(F.col("linked"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     return rows.select("node", "rep", F.explode(spread).alias("part")).select(F.xxhash64("node", "part").alias("node"), "rep")
@@ -166,30 +200,30 @@ def _minor_blocks(members: DataFrame, nodes: DataFrame, leaf: int) -> DataFrame:
 def candidate_edges(sets: DataFrame, leaf: int, agreement: float, depth: int) -> DataFrame:
     """Edges over distinct sets that connect any two of similar signatures, directly or through others.
 
-    All members of a node of more than `leaf` are compared with one of them, its hub.  When few are unlike
-    the hub, these are compared with every member in blocks, and the node is done, for the others are
-    connected through the hub; else all members go on to the node's children.
+    All members of a node of more than `leaf` are compared with HUBS of them.  Hubs that one member resembles
+    are connected through it.  When few members are unlike the main group of connected hubs, these are
+    compared with every member in blocks, and the node is done, for the others are connected through the
+    hubs; else all members go on to the node's children.
     """
     reps = sets.filter("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.first("nodes").alias("nodes"))
     rows = common.materialize(reps.select(F.explode("nodes").alias("node"), "rep"), "path-nodes")
     low, tokens = (sets.select(F.col("doc_id").alias("rep"), c) for c in ("low", "tokens"))
     out = None
     for level in range(depth + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("node", "rep")).alias("hub"))
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size"))
         old, rows = rows, common.materialize(rows.join(sizes.filter("size > 1"), "node"), "path-nodes")
         common.discard(old)
         groups = rows.filter(F.col("size") <= leaf).select("node", "rep")
-        large = rows.filter(F.col("size") > leaf).select("node", "rep", "hub")
+        large = rows.filter(F.col("size") > leaf).select("node", "rep")
         many = None
         if not large.isEmpty():
-            hub_low = large.select("hub").distinct().join(low.withColumnsRenamed({"rep": "hub", "low": "hub_low"}), "hub")
-            near = large.join(low, "rep").join(hub_low, "hub").select("node", "rep", "low", "hub", "hub_low")
-            near = common.materialize(_hub_links(near, agreement), "path-hubs")
-            links = near.filter("linked and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+            near = common.materialize(_with_hubs(large, low, agreement), "path-hubs")
+            links, nodes = _hub_groups(near)
             out = links if out is None else out.unionByName(links)
-            nodes = near.groupBy("node").agg(F.count_if("linked").alias("alike"), F.count_if(~F.col("linked")).alias("unlike"))
-            few = nodes.filter(F.col("unlike").between(1, leaf)).select("node", "alike")
-            groups = groups.unionByName(_minor_blocks(near.select("node", "rep", "linked"), few, leaf))
+            few = nodes.filter(F.col("unlike").between(1, leaf)).select("node", "main", "alike")
+            linked = (F.col("mask").bitwiseAND(F.col("main")) != 0).alias("linked")
+            minor = near.join(few, "node").select("node", "rep", linked, "alike")
+            groups = groups.unionByName(_minor_blocks(minor, leaf))
             many = nodes.filter(F.col("unlike") > leaf).select("node", (F.col("alike") + F.col("unlike")).alias("size"))
             rest = near.select("node", "rep")
             if level == depth:
@@ -264,7 +298,7 @@ def _confirmed(near: DataFrame, texts: DataFrame, shingle: int, part: int, whole
     counts = common.materialize(counts.filter("size > alike"), "path-rest")
     few = counts.filter(F.col("size") - F.col("alike") <= cap)
     members = members.join(counts.select("node", "main"), "node").select("node", "rep", (F.col("label") == F.col("main")).alias("linked"))
-    blocks = _minor_blocks(members, few.select("node", "alike"), cap // 2).select(F.col("node").alias("grp"), "rep")
+    blocks = _minor_blocks(members.join(few.select("node", "alike"), "node"), cap // 2).select(F.col("node").alias("grp"), "rep")
     pairs = _blocks(members.select("node", "rep"), counts.filter(F.col("size") - F.col("alike") > cap).select("node", "size"), "node", cap)
     return first.unionByName(confirm(blocks.unionByName(pairs.select("grp", "rep"))))
 
