@@ -220,11 +220,11 @@ def candidate_edges(sets: DataFrame, leaf: int, agreement: float, depth: int) ->
             near = common.materialize(_with_hubs(large, low, agreement), "path-hubs")
             links, nodes = _hub_groups(near)
             out = links if out is None else out.unionByName(links)
-            few = nodes.filter(F.col("unlike").between(1, leaf)).select("node", "main", "alike")
+            few = nodes.filter(F.col("unlike").between(1, 4 * leaf)).select("node", "main", "alike")
             linked = (F.col("mask").bitwiseAND(F.col("main")) != 0).alias("linked")
             minor = near.join(few, "node").select("node", "rep", linked, "alike")
-            groups = groups.unionByName(_minor_blocks(minor, leaf))
-            many = nodes.filter(F.col("unlike") > leaf).select("node", (F.col("alike") + F.col("unlike")).alias("size"))
+            groups = groups.unionByName(_minor_blocks(minor, 2 * leaf))
+            many = nodes.filter(F.col("unlike") > 4 * leaf).select("node", (F.col("alike") + F.col("unlike")).alias("size"))
             rest = near.select("node", "rep")
             if level == depth:
                 groups = groups.unionByName(_blocks(rest, many, "node", 4 * leaf).select(F.col("grp").alias("node"), "rep"))
