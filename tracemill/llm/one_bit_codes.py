@@ -72,48 +72,38 @@ def _packed(vectors: DataFrame, size: int) -> DataFrame:
     return clean.mapInArrow(pack, "d int, n int, ids binary, vectors binary, codes binary, length binary, inner binary")
 
 
-def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
-    """The k best rows of each query: highest score, then smallest id."""
-    order = np.lexsort((ids, -score, q))
-    q, ids, score = q[order], ids[order], score[order]
-    starts = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
-    rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
-    return q[rank < k], ids[rank < k], score[rank < k]
-
-
 class Search:
     """The best k of a group of queries over blocks that come one by one."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, bound: float):
         self.ids, self.vectors, self.k, self.bound = ids, vectors, k, bound
-        self.q, self.hit, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.hit, self.score = [np.zeros(0, np.int64)] * len(ids), [np.zeros(0)] * len(ids)
+        self.floor = np.full(len(ids), -np.inf)  # the k-th best score so far
         self.reranked = 0
 
-    def _floor(self) -> np.ndarray:
-        floor = np.full(len(self.ids), -np.inf)
-        count = np.bincount(self.q, minlength=len(self.ids))
-        ends = np.cumsum(count)
-        full = count == self.k
-        floor[full] = self.score[ends[full] - 1]
-        return floor
-
     def add(self, ids, vectors, codes, length, inner):
         about, error = estimate(self.vectors, codes, length, inner, self.bound)
         likely = min(2 * self.k, len(ids))  # exact scores of the likeliest set the bar for the others
         first = np.argpartition(-about, likely - 1, axis=1)[:, :likely]
-        self._rerank(np.repeat(np.arange(len(self.ids)), likely), first.reshape(-1), ids, vectors)
         upper = about + error
-        np.put_along_axis(upper, first, -np.inf, axis=1)
-        floor = self._floor()
-        self._rerank(*np.nonzero((upper >= floor[:, None]) & (upper > -np.inf)), ids, vectors)
+        np.put_along_axis(upper, first, np.nan, axis=1)
+        for q, seeds in enumerate(first):
+            self._rerank(q, seeds, ids, vectors)
+            self._rerank(q, np.flatnonzero(upper[q] >= self.floor[q]), ids, vectors)
 
     def _rerank(self, q, v, ids, vectors):
-        other = self.ids[q] != ids[v]
-        q, v = q[other], v[other]
-        self.reranked += len(q)
-        score = np.concatenate([np.einsum("ij,ij->i", self.vectors[q[a : a + 65536]], vectors[v[a : a + 65536]]) for a in range(0, len(q), 65536)] or [np.zeros(0)])
-        self.q, self.hit, self.score = _best(
-            np.concatenate([self.q, q]), np.concatenate([self.hit, ids[v]]), np.concatenate([self.score, score]), self.k)
+        self.reranked += len(v)
+        score = np.einsum("ij,j->i", vectors[v], self.vectors[q])
+        good = (score >= self.floor[q]) & (ids[v] != self.ids[q])
+        if not good.any():
+            return
+        hit, score = np.append(self.hit[q], ids[v[good]]), np.append(self.score[q], score[good])
+        order = np.lexsort((hit, -score))  # highest score, then smallest id
+        hit, score = hit[order], score[order]
+        once = np.sort(np.unique(hit, return_index=True)[1])[: self.k]
+        self.hit[q], self.score[q] = hit[once], score[once]
+        if len(once) == self.k:
+            self.floor[q] = score[once[-1]]
 
 
 def _load(row: dict, codes: bool):
@@ -155,7 +145,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, bound: float =
             yield _result(state)
 
     def _result(s):
-        return pa.RecordBatch.from_arrays([pa.array(s.ids[s.q]), pa.array(s.hit), pa.array(s.score)], names=["query_id", "vec_id", "score"])
+        found = [np.concatenate(x) for x in (s.hit, s.score)]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(s.ids, list(map(len, s.hit)))), *map(pa.array, found)], names=["query_id", "vec_id", "score"])
 
     rows = rows.select("task", "kind", "d", "n", "ids", "vectors", "codes", "length", "inner")
     found = rows.repartition("task").sortWithinPartitions("task", "kind").mapInArrow(search, "query_id long, vec_id long, score double")
