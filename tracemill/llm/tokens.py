@@ -1,8 +1,8 @@
 """Token ids of texts by the tokenizers library, each distinct word encoded once per task.
 
 Both vocabularies used here cut a text into words by a pattern first and encode every word by itself, so
-the ids of a text are those of its words in a row.  Words come from a cache of bounded size; new ones go to
-the library.  Only texts of common characters take this path: letters up to U+024F and the punctuation of
+the ids of a text are those of its words in a row, and, as no word crosses white space, those of the chunks
+between white space.  Chunks and words come from caches of bounded size; new words go to the library.  Only texts of common characters take this path: letters up to U+024F and the punctuation of
 U+2010-U+2027, for which Python's and the library's notions of letter, number, space and lower case agree.
 All other texts are encoded whole by the library.
 """
@@ -15,6 +15,7 @@ from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 #: How the vocabularies cut texts into words: fixed values of the tokenizer files, written for common
 #: characters in the syntax of `re` ([^\W\d_] is a letter there, \d a number).
@@ -26,8 +27,12 @@ LOWERED = {"word_bpe_49k"}
 _UNCOMMON = re.compile("[^\\t\\n\\r -~¡-±´-¸º»¿-įı-ɏ‐-‧]")
 
 
+#: White space at which a text's chunks would depend on each other, where a word takes the space before it.
+_WIDE = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
+
+
 class _Numbers(dict):
-    """Numbers words as they come; `fresh` has those not seen before."""
+    """Numbers strings as they come; `fresh` has those not seen before."""
 
     def __init__(self):
         super().__init__()
@@ -39,52 +44,109 @@ class _Numbers(dict):
         return number
 
 
-class WordEncoder:
-    """Encodes texts with a tokenizer file; keeps up to `most` distinct words."""
-
-    def __init__(self, path: str, most: int = 600_000):
-        name = path.rpartition("/")[2].removesuffix(".json")
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cut = re.compile(CUTS[name]) if name in CUTS else None
-        self.lowered, self.most = name in LOWERED, most
-        self._clear()
+class _Known:
+    """Strings by number and the ids of each, back to back."""
 
-    def _clear(self):
+    def __init__(self):
         self.numbers = _Numbers()
         self.ids, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self):
+    def fresh(self) -> list[str]:
         words, self.numbers.fresh = self.numbers.fresh, []
-        if not words:
-            return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
+        return words
+
+    def learn(self, ids: np.ndarray, size: np.ndarray):
         self.begin = np.concatenate([self.begin, np.cumsum(size) - size + len(self.ids)])
         self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, ids])
 
-    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.numbers) > self.most:
-            self._clear()
-        number, cuts, get = [], [], self.numbers.__getitem__
-        for text in texts:
-            number.extend(map(get, self.cut.findall(text.lower() if self.lowered else text)))
-            cuts.append(len(number))
-        self._learn()
+    def ids_of(self, number: list[int], cuts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of numbered strings in a row, and how many there are in each run of them that ends at a cut."""
         number = np.array(number, np.int64)
         size = self.size[number]
         ends = np.cumsum(size)
         flat = self.ids[np.repeat(self.begin[number] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        return np.split(flat, np.concatenate([[0], ends])[cuts[:-1]])
+        return flat, np.diff(np.concatenate([[0], ends])[cuts], prepend=0)
+
+
+class WordEncoder:
+    """Encodes texts with a tokenizer file; keeps up to `most` distinct words and as many chunks.
+
+    A chunk is what stands between white space; only new chunks are cut into words, and only new words go to
+    the library's model, in the byte alphabet of the files.
+    """
+
+    def __init__(self, path: str, most: int = 400_000):
+        name = path.rpartition("/")[2].removesuffix(".json")
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.cut = re.compile(CUTS[name]) if name in CUTS else None
+        self.lowered, self.most = name in LOWERED, most
+        self.bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.words, self.chunks = _Known(), _Known()
+
+    def _word(self, word: str) -> list[int]:
+        spelled = word.replace(" ", "Ġ") if word.isascii() and word.isprintable() else self.bytes(word)[0][0]
+        return [token.id for token in self.tokenizer.model.tokenize(spelled)]
+
+    def _by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words.numbers) > self.most:
+            self.words = _Known()
+        number, cuts, get = [], [], self.words.numbers.__getitem__
+        for text in texts:
+            number.extend(map(get, self.cut.findall(text)))
+            cuts.append(len(number))
+        if words := self.words.fresh():
+            found = list(map(self._word, words))
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            self.words.learn(np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size)
+        return self.words.ids_of(number, cuts)
+
+    def _split(self, text: str) -> list[str]:
+        """Chunks of a text.  Where words take the space before them, a chunk stands for itself with that space,
+        and the first one, which has none, is marked by a space."""
+        if self.lowered:
+            return text.split()
+        first, *others = text.replace("\n", " \n").split(" ")
+        return [" " + first, *others]
+
+    def _spelled(self, chunk: str) -> str:
+        if self.lowered or chunk.startswith("\n"):
+            return chunk
+        return chunk[1:] if chunk.startswith(" ") else " " + chunk
+
+    def _by_chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.chunks.numbers) > self.most:
+            self.chunks = _Known()
+        number, cuts, get = [], [], self.chunks.numbers.__getitem__
+        for text in texts:
+            number.extend(map(get, self._split(text)))
+            cuts.append(len(number))
+        if chunks := self.chunks.fresh():
+            self.chunks.learn(*self._by_words(list(map(self._spelled, chunks))))
+        return self.chunks.ids_of(number, cuts)
+
+    def _way(self, text: str):
+        if self.cut is None or _UNCOMMON.search(text):
+            return self._whole
+        return self._by_words if not self.lowered and any(gap in text for gap in _WIDE) else self._by_chunks
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
-        plain = [self.cut is not None and not _UNCOMMON.search(t) for t in texts]
-        quick = iter(self._by_words([t for t, p in zip(texts, plain) if p]) if any(plain) else ())
-        whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
-        return [next(quick) if p else np.array(next(whole).ids, np.uint32) for p in plain]
+        ways, out = list(map(self._way, texts)), [None] * len(texts)
+        for way in (self._whole, self._by_words, self._by_chunks):
+            rows = [row for row, own in enumerate(ways) if own == way]
+            if rows:
+                flat, size = way([texts[row].lower() if self.lowered and way != self._whole else texts[row] for row in rows])
+                for row, ids in zip(rows, np.split(flat, np.cumsum(size)[:-1])):
+                    out[row] = ids
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
