@@ -162,4 +162,5 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                     pa.array(docs, pa.int64(), mask=nulls), pa.array(start + np.cumsum(sizes) - sizes, pa.int64()),
                     pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.repartition(F.col("path")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, so that files are not put together in one task
+    return files.repartition(parts, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
