@@ -99,6 +99,11 @@ def test_stateful_conditions(spark):
     df = spark.createDataFrame(lines, "task_id string, line_no long, source string, text string, parser_name string, n_bytes long")
     rows = extract.apply_stateful_rules(df, [pack]).orderBy("line_no").collect()
     assert [(r.line_no, r.message) for r in rows] == [(2, "begin"), (3, "1"), (4, "end")]
+    other = df.withColumns({"task_id": F.lit("u"), "parser_name": F.lit("none")}).filter("line_no = 1")
+    out = extract.parse_tagged_lines(df.unionByName(other).repartition(3), [pack]).orderBy("task_id", "line_no", "idx").collect()
+    assert [(r.task_id, r.line_no, r.tier, r.message) for r in out] == [
+        ("t", 1, "raw", "bad 0"), ("t", 2, "stateful", "begin"), ("t", 3, "stateful", "1"),
+        ("t", 4, "stateful", "end"), ("t", 5, "raw", "bad 2"), ("u", 1, "raw", "bad 0")]
 
 
 def test_user_pack_wins_tie(tmp_path):

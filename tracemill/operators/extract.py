@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +14,6 @@ from ..functions.shell import command_shape
 from ..functions.text import looks_like_stderr_error, strip_ansi, trim
 from ..schemas import EVENT_FIELDS
 from ..sources.rulepacks import Pack, resolve_packs
-from .lines import cap_task_output
 
 # ---- tool detection -----------------------------------------------------------------
 
@@ -163,74 +162,68 @@ def raw_events(lines: DataFrame) -> DataFrame:
     )
 
 
-def apply_stateful_rules(
-    lines: DataFrame, packs: Sequence[Pack], max_bytes: int | None = None
-) -> DataFrame:
-    """Every matching rule of a stateful parser, one event each, numbered by `idx`.
-
-    Rules without a condition are independent of other lines and stay columns.  A pack
-    whose rules have conditions is run per task, over its output up to `max_bytes` if given.
-    """
-    stateful = [p for p in packs if p.stateful]
-    plain = [p for p in stateful if not any(r.state_condition for r in p.active_rules)]
-    keep = [c for c in lines.columns if c != "text"]
-    book = RuleBook(plain)
-    out = (
-        lines.select("*", F.posexplode(book.stateful_rules(F.col("text"), F.col("parser_name"))).alias("idx", "_no"))
-        .withColumn("_event", book.event(F.col("text"), F.col("_no")))
-        .select(*keep, F.col("idx").cast("long").alias("idx"), *_event_columns("_event"),
-                F.lit("stateful").alias("tier"))
-    )
-    for pack in stateful:
-        if pack not in plain:
-            mine = lines.filter(F.col("parser_name") == pack.name)
-            out = out.unionByName(_conditional_events(mine, pack, max_bytes).select(out.columns))
-    return out
+def _conditional(packs: Sequence[Pack]) -> list[Pack]:
+    return [p for p in packs if p.stateful and any(r.state_condition for r in p.active_rules)]
 
 
-def _conditional_events(lines: DataFrame, pack: Pack, max_bytes: int | None) -> DataFrame:
-    """Rules with `key=value` conditions: hits as columns, the state scanned per task.
+def _fired(lines: DataFrame, book: RuleBook, packs: Sequence[Pack], column: str) -> DataFrame:
+    """Lines with only those rule numbers in `column` whose `key=value` conditions hold.
 
-    A task's hits, not its lines, are held together.
+    Lines on which rules of a pack with conditions match are read in a task's order, those of equal
+    line_no in any order; all others stay as they are.  A task's state is a few keys, carried from batch
+    to batch, so a task of any size needs no more memory.  Streams are refused: their lines have no order.
     """
-    book, rules = RuleBook([pack]), pack.active_rules
+    packs = _conditional(packs)
+    if not packs:
+        return lines
+    if lines.isStreaming:
+        raise ValueError("rules with conditions need a task's lines in order: " + ", ".join(p.name for p in packs))
 
     def pair(text):
         return tuple(text.split("=", 1)) if text else None
 
-    needs, sets = [pair(r.state_condition) for r in rules], [pair(r.state_transition) for r in rules]
-    if "n_bytes" not in lines.columns:
-        lines = lines.withColumn("n_bytes", (F.octet_length("text") + 1).cast("long"))
+    rules = {
+        number: (pair(rule.state_condition), pair(rule.state_transition))
+        for pack in packs for (number, _), rule in zip(book.by_pack[pack.name], pack.active_rules)
+    }
+    place = lines.columns.index(column)
+
+    def scan(batches):
+        now, state = object(), {}
+        for batch in batches:
+            kept = []
+            for task, numbers in zip(batch.column("task_id").to_pylist(), batch.column(column).to_pylist()):
+                if task != now:
+                    now, state = task, {}
+                kept.append([])
+                for number in numbers:
+                    need, change = rules[number]
+                    if need is None or state.get(need[0]) == need[1]:
+                        kept[-1].append(number)
+                        state.update([change] if change else [])
+            columns = batch.columns
+            columns[place] = pa.array(kept, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    bound = F.coalesce(F.col("parser_name").isin([p.name for p in packs]), F.lit(False)) & (F.size(column) > 0)
+    hits = lines.filter(bound).repartition("task_id").sortWithinPartitions("task_id", "line_no")
+    return lines.filter(~bound).unionByName(hits.mapInArrow(scan, lines.schema))
+
+
+def apply_stateful_rules(lines: DataFrame, packs: Sequence[Pack]) -> DataFrame:
+    """Every matching rule of a stateful parser whose condition holds, one event each, numbered by `idx`."""
+    stateful = [p for p in packs if p.stateful]
     keep = [c for c in lines.columns if c != "text"]
-    capped = lines
-    if max_bytes is not None:
-        capped = cap_task_output(lines, max_bytes).filter(~F.col("truncated")).drop("truncated")
-    numbers = book.every(F.col("text"), book.by_pack[pack.name])
-    candidates = (
-        capped.select("*", F.explode(numbers).alias("rule_no"))
-        .withColumn("_event", book.event(F.col("text"), F.col("rule_no")))
-        .select(*keep, "rule_no", *_event_columns("_event"))
+    book = RuleBook(stateful)
+    matched = lines.withColumn("_many", book.stateful_rules(F.col("text"), F.col("parser_name")))
+    return (
+        _fired(matched, book, stateful, "_many")
+        .select(*keep, "text", F.posexplode("_many").alias("idx", "_no"))
+        .withColumn("_event", book.event(F.col("text"), F.col("_no")))
+        .select(*keep, F.col("idx").cast("long").alias("idx"), *_event_columns("_event"),
+                F.lit("stateful").alias("tier"))
     )
 
-    def scan(task: pd.DataFrame) -> pd.DataFrame:
-        state, fired = {}, []
-        task = task.sort_values(["line_no", "rule_no"], kind="stable").reset_index(drop=True)
-        for number in task["rule_no"]:
-            need, change = needs[number - 1], sets[number - 1]
-            ok = need is None or state.get(need[0]) == need[1]
-            fired.append(ok)
-            if ok and change:
-                state[change[0]] = change[1]
-        task = task[fired].copy()
-        task["idx"] = task.groupby("line_no").cumcount()
-        task["tier"] = "stateful"
-        return task
-
-    schema = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema.fields
-    ) + ", idx bigint, tier string"
-    return candidates.groupBy("task_id").applyInPandas(scan, schema).drop("rule_no")
-
 
 def completion_summary(events: DataFrame, tasks: DataFrame) -> DataFrame:
     """npm only: one summary per task that added packages or reported an error."""
@@ -270,8 +263,8 @@ def escalate_stderr(events: DataFrame) -> DataFrame:
 def parse_tagged_lines(lines: DataFrame, packs: Sequence[Pack]) -> DataFrame:
     """The tier cascade on lines that carry `parser_name`: first tier with a result wins.
 
-    Stateless, hence valid on streams.  Each tier's tests run only where the tiers before it
-    found nothing.  `idx` numbers the events of one line.
+    Stateless, hence valid on streams, but for packs whose rules have conditions.  Each tier's tests run
+    only where the tiers before it found nothing.  `idx` numbers the events of one line.
     """
     text, parser, book = F.col("text"), F.col("parser_name"), RuleBook(packs)
     keep = [c for c in lines.columns if c not in ("text", "parser_name")]
@@ -282,13 +275,16 @@ def parse_tagged_lines(lines: DataFrame, packs: Sequence[Pack]) -> DataFrame:
     numbers = F.when(F.size("_many") > 0, F.col("_many")).otherwise(F.array("_one"))
     event = F.coalesce("_json", book.event(text, F.col("_no")), X.raw_event(text))
     tier = F.when(open_line, F.coalesce(book.tier(F.col("_no")), F.lit("raw"))).otherwise("json")
-    return (
+    matched = (
         lines.withColumn("text", strip_ansi(text))
         .withColumn("_json", X.json_line_event(text))
         .withColumn(
             "_many",
             F.when(open_line, book.stateful_rules(text, parser)).otherwise(F.array().cast("array<int>")),
         )
+    )
+    return (
+        _fired(matched, book, packs, "_many")
         .withColumn("_one", F.when(open_line & (F.size("_many") == 0), single))
         .select(*keep, "text", "_json", F.posexplode(numbers).alias("idx", "_no"))
         .withColumn("_event", event)
