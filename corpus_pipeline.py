@@ -30,8 +30,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id; one row of repeated ones."""
-    return _only(docs, near_duplicates(docs).filter("kept")).dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates, that of the smallest doc_id; one row of repeated ones.
+
+    Near-duplicates share 0.8 or more of their shingles of five words.
+    """
+    return _only(docs, near_duplicates(docs, whole=80).filter("kept")).dropDuplicates(["doc_id"])
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

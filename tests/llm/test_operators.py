@@ -317,6 +317,21 @@ def test_pipeline(spark):
     assert packed.filter("piece = 0").count() == mixed.count()
 
 
+def test_near_dedup_stage(spark):
+    """The stage against brute force at 0.8, with pairs on both sides of it and of 0.85."""
+    rng, rows = np.random.default_rng(21), []
+    for k in range(12):
+        base = [f"v{k}x{i}" for i in range(104)]  # 100 shingles; a block of m changed words at the end costs m of them
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: 104 - 4 - k] + [f"z{k}x{i}" for i in range(4 + k)]))]
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows}
+    near = [10 * len(sets[k] & sets[k + 1]) >= 8 * len(sets[k] | sets[k + 1]) for k in range(0, 24, 2)]
+    old = [20 * len(sets[k] & sets[k + 1]) >= 17 * len(sets[k] | sets[k + 1]) for k in range(0, 24, 2)]
+    assert 0 < sum(old) < sum(near) < 12
+    docs = spark.createDataFrame([rows[k] for k in rng.permutation(24)], "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == [k for k in range(24) if k % 2 == 0 or not near[k // 2]]
+
+
 def test_call_order(spark):
     rng, rows, level = np.random.default_rng(8), [], {}
     for conv, most in ((1, 1), (2, 3)):  # a chain of 300 calls, and calls with up to three references
