@@ -18,31 +18,38 @@ from tracemill.llm.source_mix import mixed_rows
 from tracemill.llm.target_ratio import quality_rules
 
 
-def _only(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Documents whose doc_id is among the decisions' rows."""
-    ids = decisions.select(F.col("doc_id").alias("__id"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return _only(docs, quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept"))
+    kept = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_key=True).filter("kept")
+    keyed = common.with_key(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "text")
+    return keyed.join(kept.select("key_x", "key_y"), ["key_x", "key_y"], "left_semi").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest doc_id; one row of repeated ones.
 
-    Near-duplicates share 0.8 or more of their shingles of five words.
+    Near-duplicates share 0.8 or more of their shingles of five words.  Rows are told apart by a number of
+    their own, for doc_id may be null or name several texts; a null one is the greatest.
     """
-    return _only(docs, near_duplicates(docs, whole=80).filter("kept")).dropDuplicates(["doc_id"])
+    rows = common.materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), whole=80).withColumnRenamed("doc_id", "__row")
+    keyed = common.with_key(rows, "text").select("__row", "doc_id", "key_x", "key_y")
+    found = found.select("__row", "n_shingles", "component_id").join(keyed, "__row")
+    # texts without words are no near-duplicates, but may be repeated rows
+    wordless, own = F.col("n_shingles") == 0, F.coalesce("doc_id", "__row")
+    group = [F.when(~wordless, F.col("component_id")), F.when(wordless, F.col("doc_id").isNull()),
+             *[F.when(wordless, c) for c in (own, F.col("key_x"), F.col("key_y"))]]
+    first = found.groupBy(*[c.alias(f"g{i}") for i, c in enumerate(group)]).agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key_x", "key_y", "__row"))["__row"].alias("__row"))
+    return rows.join(first.select("__row"), "__row", "left_semi").select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated strings; n_chars is that of the new text, and empty ones go."""
-    cut = remove_repeats(docs, with_text=True).select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
-    rows = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("__id"))).filter("__text <> ''")
-    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
-    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    whole = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("__row"))
+    rows = remove_repeats(whole, with_text=True, carry=("__row",)).filter("text <> ''")
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"__row.{c}").alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

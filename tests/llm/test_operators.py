@@ -332,6 +332,50 @@ def test_near_dedup_stage(spark):
     assert got == [k for k in range(24) if k % 2 == 0 or not near[k // 2]]
 
 
+def test_rows_without_id(spark, tmp_path):
+    """Documents of no doc_id, or of one that names two texts, go through each stage as rows of their own."""
+    rng = np.random.default_rng(31)
+    fresh = lambda n: " ".join(f"q{x}" for x in rng.integers(0, 10**9, n))
+    passage, near = fresh(40), fresh(200)
+    texts = [None, "", "few words", fresh(60), fresh(60) + " " + passage + " " + fresh(60), passage + " " + fresh(50), near, near + " z", fresh(30)]
+    rows = [(None, t, f"s{k % 2}", "en", -1) for k, t in enumerate(texts)]
+    rows += [(5, fresh(40), "s0", "en", -1), (5, fresh(50) + " " + passage, "s1", "de", -1), (7, near, "s0", "en", -1), (8, fresh(20), "s0", "en", -1)]
+    rows += [rows[3], rows[-1]]  # repeated rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").repartition(3).cache()
+    spark.createDataFrame([(8, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    many = lambda df, *names: Counter(tuple(r[n] for n in names) for r in df.collect())
+
+    good = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert many(good, "doc_id", "text", "source", "lang") == Counter(r[:4] for r in rows if r[1] and len(r[1].split()) >= 10)
+
+    single = corpus_pipeline.near_dedup(spark, docs, "")
+    want = {r[:4] for r in rows if r[1] not in (near, near + " z") or r[0] == 7}
+    assert many(single, "doc_id", "text", "source", "lang") == Counter(want)
+
+    keep = docs.filter("text is not null")
+    raw = [r[1].encode() for r in rows if r[1] is not None]
+    count = Counter(t[i : i + 200] for t in raw for i in range(len(t) - 199))
+    left = []
+    for t in raw:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 199):
+            gone[i : i + 200] |= count[t[i : i + 200]] > 1
+        left.append(bytes(b for b, g in zip(t, gone) if not g).decode())
+    ids = [(r[0], r[2], r[3]) for r in rows if r[1] is not None]
+    want = Counter((i[0], t, *i[1:], len(t)) for i, t in zip(ids, left) if t)
+    assert many(corpus_pipeline.repeats(spark, keep, ""), "doc_id", "text", "source", "lang", "n_chars") == want
+    sha = Counter((i[0], hashlib.sha256(t.encode()).hexdigest()) for i, t in zip(ids, left))
+    assert many(remove_repeats(keep), "doc_id", "kept_sha256") == sha
+
+    mixed = corpus_pipeline.mix(spark, docs, "").collect()
+    assert {tuple(r) for r in mixed} <= set(rows) and any(r.doc_id is None for r in mixed)
+    taken = mix_sources(docs).groupBy("source").agg({"taken": "sum"}).collect()
+    size = {r[0]: r[1] for r in taken}
+    for source in ("s0", "s1"):
+        got = sum(len(r.text.split()) for r in mixed if r.source == source)
+        assert abs(got - size[source]) <= 2 * max(len((r[1] or "").split()) for r in rows if r[2] == source)
+
+
 def test_call_order(spark):
     rng, rows, level = np.random.default_rng(8), [], {}
     for conv, most in ((1, 1), (2, 3)):  # a chain of 300 calls, and calls with up to three references

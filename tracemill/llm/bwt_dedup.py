@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracemill.llm import common
 
@@ -77,11 +78,10 @@ def _pieces(batch, piece: int, width: int):
 
 
 def spans(docs: DataFrame, width: int, piece: int = 1 << 22) -> DataFrame:
-    """All spans: doc_id, start byte, windows, bytes before the anchor, hashes of anchor and of the span's text."""
+    """All spans: the text's key, start byte, windows, bytes before the anchor, hashes of anchor and of the span's text."""
 
     def scan(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
             for first, data, at, begin in _pieces(batch, piece, width):
                 doc, start, end, anchor, gram = _spans(data, at, width)
                 raw = memoryview(np.ascontiguousarray(data))
@@ -90,13 +90,14 @@ def spans(docs: DataFrame, width: int, piece: int = 1 << 22) -> DataFrame:
                     xxhash.xxh3_64_intdigest(raw[a:b], seed)
                     for a, b, seed in zip(start.tolist(), (end + width).tolist(), shape)
                 ], np.uint64)
+                rows = pa.array(doc + first)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([ids[first + d] for d in doc.tolist()], pa.int64()),
+                    batch.column("key_x").take(rows), batch.column("key_y").take(rows),
                     pa.array(start - at[doc] + begin, pa.int64()), pa.array(end - start + 1, pa.int32()),
                     pa.array(anchor - start, pa.int32()), pa.array(gram.view(np.int64)), pa.array(texts.view(np.int64)),
-                ], names=["doc_id", "start", "n", "lead", "anchor", "span"])
+                ], names=["key_x", "key_y", "start", "n", "lead", "anchor", "span"])
 
-    return docs.mapInArrow(scan, "doc_id long, start long, n int, lead int, anchor long, span long")
+    return docs.select("key_x", "key_y", "text").mapInArrow(scan, "key_x long, key_y long, start long, n int, lead int, anchor long, span long")
 
 
 def _minima(common_prefix: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -238,25 +239,28 @@ def _counted(rows: DataFrame, width: int) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, width: int = 200, hot: int = 20_000, bucket: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) with the byte ranges covered by repeated windows: (texts, ranges(doc_id, a, b))."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """docs(doc_id, text, ...) with the byte ranges covered by repeated windows: (texts, ranges(key_x, key_y, a, b)).
+
+    Texts have the key of their doc_id and text, for doc_id may be null or name several texts.
+    """
+    texts = common.with_key(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "text")
     every = common.materialize(spans(texts, width), "bwt-spans")
     anchors = every.groupBy("anchor").agg(F.count("*").alias("c"), F.min("span").alias("lo"), F.max("span").alias("hi"))
     anchors = anchors.filter("c > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
     again = common.materialize(every.join(anchors, "anchor"), "bwt-again")
     common.discard(every)
     classes = again.groupBy("anchor", "span").agg(
-        F.count("*").alias("c"), F.first("mixed").alias("mixed"), F.min(F.struct("doc_id", "start", "n", "lead")).alias("r"))
+        F.count("*").alias("c"), F.first("mixed").alias("mixed"), F.min(F.struct("key_x", "key_y", "start", "n", "lead")).alias("r"))
     border = classes.filter("mixed").select("anchor", "span", "r.*")
-    wanted = border.withColumnRenamed("doc_id", "of").groupBy("of").agg(F.collect_list(F.struct("anchor", "span", "lead", "n", "start")).alias("wanted"))
-    transforms = common.materialize(_border_texts(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of"))).select("text", "wanted"), width), "bwt-shards")
+    wanted = border.groupBy("key_x", "key_y").agg(F.collect_list(F.struct("anchor", "span", "lead", "n", "start")).alias("wanted"))
+    transforms = common.materialize(_border_texts(texts.join(wanted, ["key_x", "key_y"]).select("text", "wanted"), width), "bwt-shards")
     crowded = transforms.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("anchor")
     parts = _merged(transforms.join(crowded, "anchor", "left_anti"), width, bucket)
     parts = parts.unionByName(_counted(transforms.join(crowded, "anchor", "left_semi"), width))
     ones = again.join(parts, ["anchor", "span"]).select(
-        "doc_id", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + width).alias("b"))
+        "key_x", "key_y", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + width).alias("b"))
     whole = classes.filter("c > 1").select("anchor", "span")
-    copies = again.join(whole, ["anchor", "span"]).select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + width).alias("b"))
+    copies = again.join(whole, ["anchor", "span"]).select("key_x", "key_y", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + width).alias("b"))
     return texts, ones.unionByName(copies)
 
 
@@ -273,19 +277,22 @@ def _kept(text: bytes, ranges) -> tuple[bytes, int, int]:
     return b"".join(out), removed, runs
 
 
-def remove_repeats(docs: DataFrame, width: int = 200, hot: int = 20_000, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text]) for each row of docs(doc_id, text).
+def remove_repeats(
+    docs: DataFrame, width: int = 200, hot: int = 20_000, with_text: bool = False, carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text][, ...]) for each row of docs(doc_id, text).
 
     Removes each byte covered by a string of `width` bytes that starts anywhere else too; strings are judged
     on the input and never cross texts.  Null and empty texts have no bytes and nothing to remove; repeated
-    rows remove each other.  Texts shorter than `width` stay whole.  A row whose doc_id is null is judged and
-    returned too, and all such rows share their ranges; doc_id is taken to name one text.  With `with_text`
-    the remaining bytes are returned as text, a code point of which bytes were removed being dropped.
+    rows remove each other.  Texts shorter than `width` stay whole.  A row whose doc_id is null, or that of
+    another text, is judged by its own text and returned too.  With `with_text` the remaining bytes are
+    returned as text, a code point of which bytes were removed being dropped; `carry` names other columns of
+    docs that are returned with their row.
     `hot` is the number of border spans of one anchor from which they are counted window by window.
     """
     texts, ranges = repeated_ranges(docs, width, hot)
-    ranges = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
-    joined = texts.join(ranges.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "ranges")
+    ranges = ranges.groupBy("key_x", "key_y").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+    joined = texts.join(ranges, ["key_x", "key_y"], "left").select("doc_id", "text", "ranges", *carry)
 
     def cut(batches):
         for batch in batches:
@@ -298,8 +305,9 @@ def remove_repeats(docs: DataFrame, width: int = 200, hot: int = 20_000, with_te
                             None if value is None or not with_text else kept.decode("utf-8", "ignore")))
             cols = list(zip(*out)) if out else [()] * 6
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(cols, kinds)], *[batch.column(c) for c in carry]],
+                                             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *carry])
 
-    result = joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    fixed = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    result = joined.mapInArrow(cut, T.StructType([*fixed.fields, *[docs.schema[c] for c in carry]]))
     return result if with_text else result.drop("text")

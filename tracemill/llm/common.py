@@ -35,6 +35,15 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def with_key(df: DataFrame, *columns: str) -> DataFrame:
+    """df with `key_x` and `key_y`, never null: a 128-bit hash of the columns, nulls included.
+
+    It names a row where doc_id is null or names several rows; rows with one key are alike in the columns.
+    """
+    nulls = F.concat(*[F.isnull(c).cast("string") for c in columns])  # xxhash64 passes nulls over
+    return df.withColumns({k: F.xxhash64(F.lit(i), nulls, *columns) for i, k in enumerate(("key_x", "key_y"))})
+
+
 def sorted_groups(batches, key: str):
     """Arrow tables, one for each run of equal values of an integer column; groups may span batches.
 

@@ -64,32 +64,38 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     return nodes.select("sid", (F.col("node") - 2**levels).cast("int").alias("shard"), "k")
 
 
-def _fill(rows: pd.DataFrame) -> pd.DataFrame:
+def _fill(key: tuple[str, ...]):
     """Copies of the documents of a crossing block: what fits in hash order, then the one that comes nearest."""
-    rows = rows.sort_values(["tie", "doc_id", "size"], kind="stable")
-    room, more = float(rows["room"].iloc[0]), []
-    for size in rows["size"].tolist():
-        more.append(int(size <= room))
-        room -= size * more[-1]
-    closer = [(abs(size - room), i) for i, size in enumerate(rows["size"].tolist()) if not more[i] and size < 2 * room]
-    if closer:
-        more[min(closer)[1]] = 1
-    return rows.assign(n=(rows["times"] + more).astype("int32"))
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["tie", "doc_id", "size", *key], kind="stable")
+        room, more = float(rows["room"].iloc[0]), []
+        for size in rows["size"].tolist():
+            more.append(int(size <= room))
+            room -= size * more[-1]
+        closer = [(abs(size - room), i) for i, size in enumerate(rows["size"].tolist()) if not more[i] and size < 2 * room]
+        if closer:
+            more[min(closer)[1]] = 1
+        return rows.assign(n=(rows["times"] + more).astype("int32"))
+
+    return fill
 
 
 def mix_sources(
     docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = 20_000,
-    levels: int = 4, seed: int = 17,
+    levels: int = 4, seed: int = 17, key: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, shards) for each row of docs(doc_id, text, source).
+    """(doc_id, source, size, source_size, target, taken, shards[, key]) for each row of docs(doc_id, text, source).
 
     size: words of the text (0 for null); taken: size times the number of copies that the mix takes, at most
     `most` (a whole number of) times; shards: the output shard of each copy.  In the block
     at the crossing, about `block_words` long, documents are taken while they fit.  Equal seeds give equal mixes; repeated rows count as
     rows of their own.  A null source is a source, the last one; a null doc_id is hashed as null.  Documents
-    without words are never taken, and an empty table or one without words has targets of 0.
+    without words are never taken, and an empty table or one without words has targets of 0.  `key` names
+    columns of docs, integers without null, that tell rows of one or no doc_id apart: they are returned, order
+    such rows, and the first is hashed for a null doc_id.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.size(words_of(F.col("text"))).cast("long").alias("size"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), *key)
+    own = F.coalesce("doc_id", *key[:1])
     d = common.materialize(d, "mix-sizes")
     sources = source_targets(d, weights, share, most)
     n = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")
@@ -98,7 +104,7 @@ def mix_sources(
     sources = common.materialize(sources.withColumn("rest", F.col("target") - F.col("times") * F.col("source_size")), "mix-sources")
     named = sources.withColumnRenamed("source", "name")
     d = d.join(named, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn(
-        "block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_blocks")))
+        "block", F.pmod(F.xxhash64(own, F.lit(seed)), F.col("n_blocks")))
 
     blocks = d.filter("size > 0").groupBy("sid", "block").agg(
         F.sum("size").alias("words"), F.first("times").alias("times"), F.first("rest").alias("rest"))
@@ -122,23 +128,25 @@ def mix_sources(
         F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("dealt"))
     dealt = dealt.join(blocks.select("sid", "block", "state", "room"), ["sid", "block"])
 
-    rows = d.join(dealt, ["sid", "block"], "left").select("doc_id", "source", "size", "source_size", "target", "sid", "block", "times", "state", "room", "dealt")
-    crossing = rows.filter("state = 1 and size > 0").withColumn("tie", F.xxhash64("doc_id", F.lit(seed + 2)))
+    rows = d.join(dealt, ["sid", "block"], "left").select("doc_id", "source", "size", "source_size", "target", "sid", "block", "times", "state", "room", "dealt", *key)
+    crossing = rows.filter("state = 1 and size > 0").withColumn("tie", F.xxhash64(own, F.lit(seed + 2)))
     crossing = crossing.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas has no null among integers
     schema = T.StructType([*crossing.schema.fields, T.StructField("n", T.IntegerType())])
-    crossing = crossing.groupBy("sid", "block").applyInPandas(_fill, schema).drop("tie").withColumn("doc_id", F.col("doc_id").cast("long"))
+    crossing = crossing.groupBy("sid", "block").applyInPandas(_fill(key), schema).drop("tie").withColumn("doc_id", F.col("doc_id").cast("long"))
     others = rows.filter("state is null or state <> 1 or size = 0")
     others = others.withColumn("n", F.when(F.col("size") > 0, F.col("times") + (F.coalesce("state", F.lit(0)) == 2).cast("int")).otherwise(0))
     return crossing.unionByName(others).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("n")).alias("taken"),
-        F.coalesce(F.slice("dealt", F.lit(1), F.col("n")), F.array().cast("array<int>")).alias("shards"))
+        F.coalesce(F.slice("dealt", F.lit(1), F.col("n")), F.array().cast("array<int>")).alias("shards"), *key)
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of docs as often as they are taken, shuffled within their output shards."""
     seed = options.get("seed", 17)
-    taken = mix_sources(docs, **options).select(F.col("doc_id").alias("__doc"), F.explode("shards").alias("__shard"))
-    rows = docs.dropDuplicates(["doc_id"]).join(taken, F.col("doc_id") == F.col("__doc"))
-    part = F.pmod(F.xxhash64("__doc", F.lit(seed + 3)), F.lit(64))
-    rows = rows.repartition("__shard", part).sortWithinPartitions("__shard", part, F.xxhash64("__doc", "__shard", F.lit(seed + 4)))
+    keyed, key = common.with_key(docs, *docs.columns), ("key_x", "key_y")
+    taken = mix_sources(keyed, **options, key=key).select(*key, F.explode("shards").alias("__shard"))
+    rows = keyed.dropDuplicates(list(key)).join(taken, list(key))
+    own = F.coalesce("doc_id", "key_x")
+    part = F.pmod(F.xxhash64(own, F.lit(seed + 3)), F.lit(64))
+    rows = rows.repartition("__shard", part).sortWithinPartitions("__shard", part, F.xxhash64(own, "__shard", F.lit(seed + 4)), *key)
     return rows.select(*docs.columns)

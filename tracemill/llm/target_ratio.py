@@ -58,15 +58,16 @@ def _pairs(hashes: Column, body) -> Column:
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with its words and the base statistics."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    d = d.select("doc_id", "text", words_of(F.col("text")).alias("words"))
+    """docs(doc_id, text) with the key of both, its words and the base statistics."""
+    d = common.with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "text")
+    d = d.select("doc_id", "key_x", "key_y", F.coalesce("text", F.lit("")).alias("text"))
+    d = d.select("doc_id", "key_x", "key_y", "text", words_of(F.col("text")).alias("words"))
     words, count = F.col("words"), F.size("words")
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     grams = F.transform(
         F.sequence(F.lit(0), count - WINDOW), lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(WINDOW)]))
-    d = d.select("doc_id", "text", "words", hashes_of(words).alias("hashes")).select(
-        "doc_id", "hashes", count.cast("long").alias("n_words"),
+    d = d.select("doc_id", "key_x", "key_y", "text", "words", hashes_of(words).alias("hashes")).select(
+        "doc_id", "key_x", "key_y", "hashes", count.cast("long").alias("n_words"),
         F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
@@ -96,14 +97,17 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, smoothing: floa
     return table.select(F.transform("c", lambda x: F.when(F.col("t") > 0, ratio(x)).otherwise(F.lit(0).cast("long"))).alias("w"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = 10_000, least: float = -0.15) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) per row of docs.
+def quality_rules(
+    docs: DataFrame, labels: DataFrame, buckets: int = 10_000, least: float = -0.15, with_key: bool = False,
+) -> DataFrame:
+    """(doc_id[, key_x, key_y], n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) per row of docs.
 
     base_failed: fewer than 10 words, or over 20% of the words in repeated windows of 5 words.  score: mean
     log ratio of the document's n-grams in millionths of a nat (null without words); kept: the base rules
     hold and the score is at least `least` nats, ties kept.  Null text counts as empty and fails by its
     length.  Repeated rows give repeated results and count as often; a null doc_id is never trusted; labels
     that repeat count once, and without trusted documents every score is 0.  Other columns are not read.
+    With `with_key` a row has the key of its doc_id and text, for doc_id may be null or name several texts.
     """
     d = base_rules(docs)
     weights = log_ratios(docs, labels, buckets)
@@ -117,5 +121,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = 10_000, lea
     total = F.when(n > 1, single + double).otherwise(single)
     d = d.withColumn("score", F.when(n > 0, F.floor(total / (2 * n - 1))).cast("long"))
     kept = ~F.col("base_failed") & (F.col("score") >= int(least * UNIT))
-    out = d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", F.coalesce(kept, F.lit(False)).alias("kept"))
+    out = d.select("doc_id", *(("key_x", "key_y") if with_key else ()), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", F.coalesce(kept, F.lit(False)).alias("kept"))
     return common.materialize(out, "quality")  # a filter on it would else be pushed down and repeat all of the work
