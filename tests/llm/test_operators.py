@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -285,6 +286,73 @@ def test_licenses(spark):
     assert all(re.search(license_scan.CUE, s) for s in license_scan.SENTENCES)
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+"""
+GPL = """This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version.
+"""
+GPL2, GPL3 = GPL.format(";", ";", 2), GPL.format(":", ",", 3)
+NO_WARRANTY = """
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+NOTICES = {  # of each rule
+    "MitGrant MitNotice MitWarranty": MIT + """
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM.
+""",
+    "MitGrant MitNotice": MIT,
+    "Apache2Ref ApacheComply ApacheCopy ApacheWarranty": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language.
+""",
+    "Gpl3Plus GplWarranty": GPL3 + NO_WARRANTY, "Gpl2Plus GplWarranty": GPL2 + NO_WARRANTY, "Gpl3Plus": GPL3, "Gpl2Plus": GPL2,
+    "BsdGrant BsdSource BsdBinary BsdEndorse": BSD + """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+""",
+    "BsdGrant BsdSource BsdBinary": BSD,
+    "Gpl3Ref": "This work is licensed under the GNU General Public License version 3.",
+    "Gpl2Ref": "This work is licensed under the GNU General Public License version 2.",
+    "Apache2Ref": "Licensed under the Apache License, Version 2.0.", "MitRef": "Released under the MIT License.",
+    "CcByNc4Ref": "Licensed under CC BY-NC 4.0.", "CcBySa4Ref": "Licensed under CC BY-SA 4.0.", "CcBy4Ref": "Licensed under CC BY 4.0.",
+}
+
+
+def test_licence_notices(spark):
+    """The notice of every rule: as it is, wrapped at each width, each word on a line, in comments, on one line."""
+    assert set(NOTICES) == {ids for ids, _ in license_scan.RULES}
+    texts = []
+    for ids, notice in NOTICES.items():
+        paragraphs = [" ".join(p.split()) for p in notice.split("\n\n")]
+        for width in (1, 20, 40, 60, 72, 79, 100):
+            wrapped = [textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False) for p in paragraphs]
+            texts.append((ids, "\n\n".join("\n".join(p) for p in wrapped)))
+            texts.append((ids, "Prose before.\n\n" + "\n *\n".join("\n".join(f" * {x}" for x in p) for p in wrapped) + "\n\nProse behind."))
+        texts += [(ids, notice), (ids, " ".join(notice.split()))]
+    out = by_id(license_scan.scan_licenses(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")))
+    names = dict(license_scan.RULES)
+    for k, (ids, text) in enumerate(texts):
+        assert (out[k].sentence_ids, out[k].licenses, out[k].n_unmatched) == (ids, names[ids], 0), text
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([
         (1, "a", 0, "search", '{"limit": 3, "query": "twenty characters long"}', ["zz"]), (1, "b", 1, "search", '{"query":1}', ["a"]),

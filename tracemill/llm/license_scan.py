@@ -1,7 +1,8 @@
 """Licence recognition by sentences and rules over their order.
 
-A text is cut into sentences, these are normalised (letters and digits in lower case, one space between
-words) and looked up among known licence sentences.  The identifiers found, in text order, are matched
+A text is cut into pieces, these are normalised (letters and digits in lower case, one space between
+words), and known licence sentences are looked up among them.  A cut may fall inside a sentence, for licences
+are wrapped and hold colons, so a sentence is a piece or several in a row.  The identifiers found, in text order, are matched
 against licence rules, the longest and most specific first; what a rule matches is used up.  All of it is
 expressions over one row, so no row leaves its task; the tables of sentences and rules are constants.
 """
@@ -66,13 +67,22 @@ CUTS = [
 ]
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text that hold a cue word; a line that starts with a capital starts one."""
-    text = F.coalesce(text, F.lit(""))
+#: Addresses end a sentence too; notices on one line go on behind them.
+ADDRESS = "(?i)https?://\\S+"
+
+
+def sentences(text: Column, known: dict[str, str]) -> Column:
+    """Known sentences in a text, in its order: whole pieces, one or several in a row."""
+    whole = F.coalesce(text, F.lit(""))
+    text = F.regexp_replace(whole, F.lit(ADDRESS), F.lit("\x01"))
     for pattern, put in CUTS:
         text = F.regexp_replace(text, F.lit(pattern), F.lit(put.replace("1", "$1")))
-    parts = F.filter(F.split(text, "\x01"), lambda s: s.rlike(CUE))
-    return F.transform(parts, lambda s: F.trim(F.lower(F.regexp_replace(s, "[^A-Za-z0-9]+", " "))))
+    text = F.concat(F.lit("\x01"), F.lower(F.regexp_replace(text, "[^A-Za-z0-9\x01]+", " ")), F.lit("\x01"))
+    text = F.regexp_replace(text, " ?\x01[ \x01]*", "\x01")
+    any_of = "|".join(s.replace(" ", "[ \x01]") for s in sorted(known, key=len))  # of two that fit, that of fewer pieces
+    found = F.regexp_extract_all(text, F.lit(f"(?<=\x01)(?:{any_of})(?=\x01)"), F.lit(0))
+    found = F.transform(found, lambda s: F.translate(s, "\x01", " "))
+    return F.when(whole.rlike(CUE), found).otherwise(F.array().cast("array<string>"))
 
 
 def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: list[tuple[str, str]] = RULES) -> DataFrame:
@@ -84,7 +94,7 @@ def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: lis
     doc_id is returned as it is, whole texts are read, and other columns are not.
     """
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    found = F.filter(F.transform(sentences(F.col("text")), lambda s: F.element_at(table, s)), lambda i: i.isNotNull())
+    found = F.filter(F.transform(sentences(F.col("text"), known), lambda s: F.element_at(table, s)), lambda i: i.isNotNull())
     order = F.array(*[F.struct(F.lit("".join(f"<{i}>" for i in ids.split())).alias("ids"), F.lit(name).alias("name")) for ids, name in rules])
     seen = F.array_join(F.transform("found", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
     start = F.struct(seen.alias("left"), F.array().cast("array<string>").alias("names"))
