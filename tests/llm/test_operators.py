@@ -142,6 +142,26 @@ def test_quality_scores(spark):
         assert abs(out[k].score - sum(weights) / len(v)) < 2
 
 
+def test_quality_bar(spark):
+    """Documents below nearly all trusted ones go, though their scores are above the fixed bound."""
+    rng = np.random.default_rng(41)
+    prose = lambda n: [f"p{x}" for x in rng.integers(0, 300, n)]
+    rows, labels = [], []
+    for k in range(1200):
+        junk = 0 if k % 4 else int(rng.integers(1, 60))
+        rows.append((k, " ".join(prose(60 - junk) + [f"j{x}" for x in rng.integers(0, 10**6, junk)])))
+        labels.append((k, int(not junk), 0))
+    spark_docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spark_labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = by_id(quality_rules(spark_docs, spark_labels, lost=0.01))
+    assert not any(r.base_failed for r in out.values())
+    good = sorted(out[k].score for k, q, _ in labels if q)
+    bar = good[len(good) // 100] // 1000 * 1000
+    assert {k: r.kept for k, r in out.items()} == {k: r.score >= max(bar, -150_000) for k, r in out.items()}
+    assert sum(-150_000 <= r.score < bar and not r.kept for r in out.values()) > 10
+    assert sum(not out[k].kept for k, q, _ in labels if q) <= 9
+
+
 def test_mix(docs, empty, spark):
     out = mix_sources(docs, block_words=500)
     rows = out.collect()

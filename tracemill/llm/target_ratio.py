@@ -78,10 +78,14 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return d.drop("grams").withColumn("base_failed", failed)
 
 
+def _trusted(labels: DataFrame) -> DataFrame:
+    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0")
+    return good.select(F.col("doc_id").alias("of")).distinct().hint("merge")  # grows with the corpus
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, smoothing: float = 1.0) -> DataFrame:
     """One row: log ratio of target to raw for every bucket, in units; zeros while nothing is trusted."""
-    trusted = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("of")).distinct().hint("merge")  # grows with the corpus
-    grams = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trusted, F.col("doc_id") == F.col("of"), "left")
+    grams = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_trusted(labels), F.col("doc_id") == F.col("of"), "left")
     grams = grams.select(F.col("of").isNotNull().cast("int").alias("t"), hashes_of(words_of(F.col("text"))).alias("hashes"))
     hashes = F.col("hashes")
     single = F.transform(hashes, lambda h: _bucket(buckets, h))
@@ -97,14 +101,35 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, smoothing: floa
     return table.select(F.transform("c", lambda x: F.when(F.col("t") > 0, ratio(x)).otherwise(F.lit(0).cast("long"))).alias("w"))
 
 
+def low_quantile(scores: DataFrame, share: float) -> DataFrame:
+    """One row, bar: the score, down to a thousandth of a nat, below which lie at most `share` of the scores.
+
+    A histogram of as many rows as scores have thousandths, so exact and the same in any order; null of none.
+    """
+    step = UNIT // 1000
+    bins = scores.groupBy(F.floor(F.col("score") / step).alias("bin")).agg(F.count("*").alias("n"))
+    whole = bins.groupBy().agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("h"), F.sum("n").alias("total"))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("bar"))
+
+    def fold(a, x):
+        seen = a["seen"] + x["n"]
+        found = F.when(seen > F.floor(F.col("total") * share), x["bin"] * step)
+        return F.struct(seen.alias("seen"), F.coalesce(a["bar"], found).alias("bar"))
+
+    return whole.select(F.aggregate("h", start, fold)["bar"].alias("bar"))
+
+
 def quality_rules(
     docs: DataFrame, labels: DataFrame, buckets: int = 10_000, least: float = -0.15, with_key: bool = False,
+    lost: float = 0.001,
 ) -> DataFrame:
     """(doc_id[, key_x, key_y], n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) per row of docs.
 
     base_failed: fewer than 10 words, or over 20% of the words in repeated windows of 5 words.  score: mean
     log ratio of the document's n-grams in millionths of a nat (null without words); kept: the base rules
-    hold and the score is at least `least` nats, ties kept.  Null text counts as empty and fails by its
+    hold and the score is at least `least` nats and at least the bar, ties kept.  The bar is the score below
+    which lie at most a share `lost` of the trusted rows that the base rules hold for, so it follows the
+    ratio as the corpus and its buckets change it; without such rows `least` alone counts.  Null text counts as empty and fails by its
     length.  Repeated rows give repeated results and count as often; a null doc_id is never trusted; labels
     that repeat count once, and without trusted documents every score is 0.  Other columns are not read.
     With `with_key` a row has the key of its doc_id and text, for doc_id may be null or name several texts.
@@ -120,6 +145,9 @@ def quality_rules(
     n = F.size(hashes)
     total = F.when(n > 1, single + double).otherwise(single)
     d = d.withColumn("score", F.when(n > 0, F.floor(total / (2 * n - 1))).cast("long"))
-    kept = ~F.col("base_failed") & (F.col("score") >= int(least * UNIT))
-    out = d.select("doc_id", *(("key_x", "key_y") if with_key else ()), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", F.coalesce(kept, F.lit(False)).alias("kept"))
-    return common.materialize(out, "quality")  # a filter on it would else be pushed down and repeat all of the work
+    out = d.select("doc_id", *(("key_x", "key_y") if with_key else ()), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score")
+    out = common.materialize(out, "quality")  # a filter on it would else be pushed down and repeat all of the work
+    good = out.filter("not base_failed").join(_trusted(labels), F.col("doc_id") == F.col("of"))
+    bar = common.materialize(low_quantile(good.select("score"), lost), "quality-bar")
+    kept = ~F.col("base_failed") & (F.col("score") >= F.greatest(F.lit(int(least * UNIT)), bar.scalar()))
+    return out.withColumn("kept", F.coalesce(kept, F.lit(False)))
