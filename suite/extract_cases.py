@@ -217,6 +217,9 @@ def gate_format_events(spark, sf):
 
 # ---- everything ---------------------------------------------------------------------
 
+#: Positions between the lines of two tasks that become those of one; no task has as many.
+LONG_STEP = 10_000
+
 
 def structured(spark, sf):
     return structure_output(view(spark, sf, "lines_v"), view(spark, sf, "tasks_v"), TASK_PACKS, max_bytes=MAX_OUTPUT_BYTES)
@@ -226,6 +229,22 @@ def structure_all(spark, sf):
     return structured(spark, sf).withColumn("context_after", F.array_join("context_after", "|"))
 
 
+def structure_uncapped(spark, sf):
+    """The same over all lines of every task, on segments."""
+    out = structure_output(view(spark, sf, "lines_v"), view(spark, sf, "tasks_v"), TASK_PACKS)
+    return out.withColumn("context_after", F.array_join("context_after", "|"))
+
+
+def structure_long_task(spark, sf):
+    """A third of the tasks' lines as those of one task, over many segments."""
+    task = F.col("task_id").cast("long")
+    lines = view(spark, sf, "lines_v").withColumns({
+        "task_id": F.when(task % 3 == 0, "1").otherwise(F.col("task_id")),
+        "line_no": F.when(task % 3 == 0, (task + 1) * LONG_STEP + F.col("line_no")).otherwise(F.col("line_no"))})
+    out = structure_output(lines, view(spark, sf, "tasks_v"), TASK_PACKS, width=LONG_STEP)
+    return out.withColumn("context_after", F.array_join("context_after", "|"))
+
+
 def complete_lines(spark, sf):
     """The line view, with every seventh task printing a table and npm runs adding packages."""
     lines = view(spark, sf, "lines_v")
@@ -236,7 +255,14 @@ def complete_lines(spark, sf):
 
 
 def complete_all(spark, sf):
-    out = complete_output(complete_lines(spark, sf), view(spark, sf, "tasks_v"), TASK_PACKS, max_bytes=MAX_OUTPUT_BYTES)
+    return _completed(complete_output(complete_lines(spark, sf), view(spark, sf, "tasks_v"), TASK_PACKS, max_bytes=MAX_OUTPUT_BYTES))
+
+
+def complete_uncapped(spark, sf):
+    return _completed(complete_output(complete_lines(spark, sf), view(spark, sf, "tasks_v"), TASK_PACKS))
+
+
+def _completed(out):
     return out.filter("tier = 'format' OR (type = 'summary' AND message LIKE 'npm install%')").select(
         "task_id", "seq", "tier", "type", "severity", "code", "message")
 
@@ -440,6 +466,9 @@ SELECT task_id, item, code, message FROM ({FORMAT_EVENT_SQL}) e WHERE format <>
 
 COMPLETE_LINES = """(SELECT * REPLACE (CASE WHEN CAST(task_id AS BIGINT) % 7 = 0 THEN 'a,b,' || line_no
   WHEN CAST(task_id AS BIGINT) % 6 = 3 AND line_no = 1 THEN 'added 3 packages' ELSE text END AS text) FROM lines_v)"""
+LONG_LINES = f"""(SELECT * REPLACE (CASE WHEN CAST(task_id AS BIGINT) % 3 = 0 THEN '1' ELSE task_id END AS task_id,
+  CASE WHEN CAST(task_id AS BIGINT) % 3 = 0 THEN (CAST(task_id AS BIGINT) + 1) * {LONG_STEP} + line_no ELSE line_no END AS line_no)
+  FROM lines_v)"""
 LINE_SOURCE = f"(SELECT task_id, string_agg(text, chr(10) ORDER BY line_no) AS raw FROM {COMPLETE_LINES} l GROUP BY 1)"
 COMPLETE_SQL = (STRUCTURE_SQL.replace("FROM lines_v l LEFT", f"FROM {COMPLETE_LINES} l LEFT") + f"""
 , data AS ({FORMAT_EVENT_SQL.replace(DOC_SOURCE, LINE_SOURCE)}),
@@ -502,5 +531,9 @@ CASES = {
     "x19_parse_bad_bytes": (parse_bad_bytes, with_views(BAD_BYTES_SQL, "doc_lines")),
     "w8_structure_output": (structure_all, with_views(STRUCTURE_SQL + "SELECT * FROM final", "lines_v", "tasks_v")),
     "w8_complete_output": (complete_all, with_views(COMPLETE_SQL, "lines_v", "tasks_v")),
+    "w8_structure_uncapped": (structure_uncapped, with_views(STRUCTURE_SQL + "SELECT * FROM final", "lines_v", "tasks_v")),
+    "w8_structure_long_task": (structure_long_task, with_views(
+        STRUCTURE_SQL.replace("FROM lines_v l LEFT", f"FROM {LONG_LINES} l LEFT") + "SELECT * FROM final", "lines_v", "tasks_v")),
+    "w8_complete_uncapped": (complete_uncapped, with_views(COMPLETE_SQL, "lines_v", "tasks_v")),
     "w8_primary_from_lines": (primary_from_lines, with_views(STRUCTURE_SQL + PRIMARY_TAIL, "lines_v", "tasks_v")),
 }

@@ -44,11 +44,8 @@ def context_lines(spark, sf):
 
 
 def embed_context(spark, sf):
-    """The array form, over output capped per task."""
-    lines = _events(spark, sf).withColumns(
-        {"line_no": F.col("seq"), "text": F.col("message"), "n_bytes": (F.octet_length("message") + 1).cast("long")})
-    capped = L.cap_task_output(lines).filter(~F.col("truncated")).drop("line_no", "text", "n_bytes", "truncated")
-    out = M.absorb_context(capped)
+    """The array form, over all events."""
+    out = M.absorb_context(_events(spark, sf))
     return out.withColumn("context_after", F.array_join("context_after", "|"))
 
 

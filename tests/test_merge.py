@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from suite.merge_cases import embed_context
 from tracemill.operators import merge as M
 from tracemill.plans.segments import running_total
 from tracemill.streaming.merge import TaskMerge
@@ -94,3 +95,14 @@ def test_context_reaches_into_later_segments(spark):
     tagged = M.tag_context(df, width=4)
     assert M.surviving_events(tagged).count() == 2
     assert {r.head_seq for r in M.context_lines(tagged).collect()} == {2}
+
+
+def test_embed_context_of_large_task(spark, tmp_path):
+    """The registered query keeps all events of a task of more than 10 MiB."""
+    lines = []
+    for n in range(1, 451):  # each becomes a log event with its text as message, but every third a blank one
+        parts = next(p for p in range(1000, 1010) if ((n // 2) * 7 + p) % 10 == 8)
+        lines.append("x" * (40 * parts))
+    spark.createDataFrame([(0, "\n".join(lines))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = embed_context(spark, str(tmp_path))
+    assert out.count() == 450 and out.agg(F.sum(F.length("message"))).first()[0] > 10 * 2**20
