@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tracemill.llm import license_scan, tool_calls
+from tracemill.llm import license_scan, merkle_labels, tool_calls, turn_repair
 from tracemill.llm.arc_convert import archive_pages
 from tracemill.llm.best_fit import pack
 from tracemill.llm.bwt_dedup import remove_repeats
 from tracemill.llm.chosen_path import near_duplicates
 from tracemill.llm.common import shared_folder
+from tracemill.llm.compressed_size import quality_scores
 from tracemill.llm.one_bit_codes import nearest
 from tracemill.llm.plane_files import read_ids, write_ids
 from tracemill.llm.source_mix import mix_sources
@@ -65,6 +66,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_turns(_table(spark, sf_dir, "conversations"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_labels.manifest(_table(spark, sf_dir, "documents"))
+
+
 CASES = {
     "op1_license_scan": (op1, license_scan.sql()),
     "op2_best_fit_packing": (op2, None),
@@ -76,5 +89,8 @@ CASES = {
     "op8_plane_files": (op8, None),
     "op9_repeated_strings": (op9, None),
     "op10_source_mix": (op10, None),
+    "op11_turn_repair": (op11, turn_repair.sql()),
+    "op12_compressed_size": (op12, None),
+    "op13_merkle_labels": (op13, merkle_labels.SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
