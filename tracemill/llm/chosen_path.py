@@ -87,8 +87,8 @@ def _edges(rows, cols=("a", "b")) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=list(cols))
 
 
-def _compare_leaves(rows: DataFrame, agreement: float) -> DataFrame:
-    """Candidate edges inside small nodes (node, rep, low)."""
+def _compare_leaves(rows: DataFrame, agreement: float, size: int) -> DataFrame:
+    """Candidate edges inside small nodes (node, rep, low); `size` rows in about."""
     need = int(np.ceil(agreement * TOKENS))
 
     def compare(batches):
@@ -104,7 +104,8 @@ def _compare_leaves(rows: DataFrame, agreement: float) -> DataFrame:
                 out = []
         yield _edges(out)
 
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "a long, b long")
+    rows = common.gathered(rows.repartition("node"), size)
+    return rows.sortWithinPartitions("node").mapInArrow(compare, "a long, b long")
 
 
 def _hub_masks(rows: DataFrame, agreement: float) -> DataFrame:
@@ -124,26 +125,29 @@ def _hub_masks(rows: DataFrame, agreement: float) -> DataFrame:
     return rows.mapInArrow(compare, "node long, rep long, hubs array<long>, mask int")
 
 
-def _with_hubs(large: DataFrame, low: DataFrame, agreement: float) -> DataFrame:
-    """(node, rep, hubs, mask) of members of large nodes; a node's hubs are HUBS of its members by hash."""
+def _with_hubs(large: DataFrame, low: DataFrame, agreement: float, size: int) -> DataFrame:
+    """(node, rep, hubs, mask) of `size` members of large nodes; a node's hubs are HUBS of its members by hash."""
     picks = large.groupBy("node").agg(*[F.min_by("rep", F.xxhash64("node", "rep", F.lit(i))).alias(f"h{i}") for i in range(HUBS)])
-    picks = picks.select("node", F.posexplode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("i", "rep")).join(low, "rep").dropDuplicates(["node", "i"])  # of repeated rows
+    picks = common.gathered(picks, size).select("node", F.posexplode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("i", "rep"))
+    picks = common.gathered(common.gathered(picks.join(low, "rep"), size).dropDuplicates(["node", "i"]), size)  # of repeated rows
     picks = picks.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("i", "rep", "low"))).alias("h"))  # HUBS rows each
     joined = F.aggregate("h", F.lit(b""), lambda acc, x: F.concat(acc, x["low"]))
     picks = picks.select("node", F.transform("h", lambda x: x["rep"]).alias("hubs"), joined.alias("hub_lows"))
-    return _hub_masks(large.join(low, "rep").join(picks, "node").select("node", "rep", "low", "hubs", "hub_lows"), agreement)
+    members = common.gathered(large.join(low, "rep"), size).join(picks, "node")
+    return _hub_masks(common.gathered(members, size).select("node", "rep", "low", "hubs", "hub_lows"), agreement)
 
 
-def _hub_groups(near: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges of members to a hub they resemble, and between hubs that one member resembles; and per node its main
+def _hub_groups(near: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Of `size` members: edges of members to a hub they resemble, and between hubs that one member resembles; and per node its main
     group of hubs (as bits), reached from the commonest mask, with the numbers of members like and unlike it."""
     hit = F.filter("hubs", lambda h, i: F.get(F.reverse(F.split(F.lpad(F.bin("mask"), HUBS, "0"), "")), i) == "1")
     masks = near.groupBy("node", "mask").agg(F.count("*").alias("n"), F.first("hubs").alias("hubs"))
-    masks = common.materialize(masks, "path-masks")  # 2**HUBS rows of a node at most
+    masks = common.materialize(common.gathered(masks, size), "path-masks")  # 2**HUBS rows of a node at most
     links = near.filter("mask <> 0").select(F.get(hit, 0).alias("a"), F.col("rep").alias("b")).filter("a <> b")
     joint = masks.filter("mask <> 0").select(hit.alias("hit")).select(F.get("hit", 0).alias("a"), F.explode("hit").alias("b")).filter("a <> b")
     start = F.max_by(F.col("mask"), F.when(F.col("mask") != 0, F.struct("n", "mask")))
     nodes = masks.groupBy("node").agg(start.alias("main"), F.collect_list(F.struct("mask", "n")).alias("masks"))
+    nodes = common.gathered(nodes, size)
     meets = lambda m, x: m.bitwiseAND(x["mask"]) != 0
     grown = F.aggregate(F.sequence(F.lit(1), F.lit(HUBS)), F.col("main"), lambda m, _: F.aggregate(
         "masks", m, lambda acc, x: F.when(meets(acc, x), acc.bitwiseOR(x["mask"])).otherwise(acc)))
@@ -206,19 +210,22 @@ def candidate_edges(sets: DataFrame, leaf: int, agreement: float, depth: int) ->
     hubs; else all members go on to the node's children.
     """
     reps = sets.filter("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.first("nodes").alias("nodes"))
+    reps = common.gathered(reps, sets.count())
     rows = common.materialize(reps.select(F.explode("nodes").alias("node"), "rep"), "path-nodes")
     low, tokens = (sets.select(F.col("doc_id").alias("rep"), c) for c in ("low", "tokens"))
     out = None
     for level in range(depth + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size"))
-        old, rows = rows, common.materialize(rows.join(sizes.filter("size > 1"), "node"), "path-nodes")
+        count = rows.count()
+        sizes = common.gathered(rows.groupBy("node").agg(F.count("*").alias("size")), count)
+        old, rows = rows, common.materialize(common.gathered(rows.join(sizes.filter("size > 1"), "node"), count), "path-nodes")
         common.discard(old)
+        count = rows.count()
         groups = rows.filter(F.col("size") <= leaf).select("node", "rep")
         large = rows.filter(F.col("size") > leaf).select("node", "rep")
         many = None
         if not large.isEmpty():
-            near = common.materialize(_with_hubs(large, low, agreement), "path-hubs")
-            links, nodes = _hub_groups(near)
+            near = common.materialize(_with_hubs(large, low, agreement, count), "path-hubs")
+            links, nodes = _hub_groups(near, count)
             out = links if out is None else out.unionByName(links)
             few = nodes.filter(F.col("unlike").between(1, 4 * leaf)).select("node", "main", "alike")
             linked = (F.col("mask").bitwiseAND(F.col("main")) != 0).alias("linked")
@@ -228,16 +235,16 @@ def candidate_edges(sets: DataFrame, leaf: int, agreement: float, depth: int) ->
             rest = near.select("node", "rep")
             if level == depth:
                 groups = groups.unionByName(_blocks(rest, many, "node", 4 * leaf).select(F.col("grp").alias("node"), "rep"))
-        edges = _compare_leaves(groups.join(low, "rep").select("node", "rep", "low"), agreement)
+        edges = _compare_leaves(common.gathered(groups.join(low, "rep"), count).select("node", "rep", "low"), agreement, count)
         out = edges if out is None else out.unionByName(edges)
         if many is None or level == depth or many.isEmpty():
             return out
-        rows = _children(rest.join(many, "node").join(tokens, "rep").select("node", "rep", "tokens"))
+        rows = _children(common.gathered(rest.join(many, "node").join(tokens, "rep"), count).select("node", "rep", "tokens"))
         rows = common.materialize(rows, "path-nodes")
 
 
-def _confirm(rows: DataFrame, shingle: int, part: int, whole: int) -> DataFrame:
-    """Edges between members (grp, rep, text) whose full sets have part * intersection >= whole * union."""
+def _confirm(rows: DataFrame, shingle: int, part: int, whole: int, size: int) -> DataFrame:
+    """Edges between about `size` members (grp, rep, text) whose full sets have part * intersection >= whole * union."""
 
     def compare(batches):
         for group in common.sorted_groups(batches, "grp"):
@@ -266,7 +273,8 @@ def _confirm(rows: DataFrame, shingle: int, part: int, whole: int) -> DataFrame:
 
             yield _edges([(int(ids[x]), int(ids[y])) for x, y in _forest(len(ids), similar)])
 
-    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(compare, "a long, b long")
+    rows = common.gathered(rows.repartition("grp"), size, 2_000)
+    return rows.sortWithinPartitions("grp").mapInArrow(compare, "a long, b long")
 
 
 def _confirmed(near: DataFrame, texts: DataFrame, shingle: int, part: int, whole: int, cap: int, hubs: int = 64) -> DataFrame:
@@ -277,10 +285,13 @@ def _confirmed(near: DataFrame, texts: DataFrame, shingle: int, part: int, whole
     then is compared with every member, in blocks.
     """
 
+    count = near.count()
+
     def confirm(groups):
-        return _confirm(groups.hint("merge").join(texts, "rep").select("grp", "rep", "text"), shingle, part, whole)
+        found = common.gathered(groups.hint("merge").join(texts, "rep"), count, 2_000)
+        return _confirm(found.select("grp", "rep", "text"), shingle, part, whole, count)
 
-    sized = near.join(near.groupBy("comp").agg(F.count("*").alias("size")), "comp")
+    sized = common.gathered(near.join(common.gathered(near.groupBy("comp").agg(F.count("*").alias("size")), count), "comp"), count)
     small = sized.filter(F.col("size") <= cap).select(F.col("comp").alias("grp"), "rep")
     big = sized.filter(F.col("size") > cap)
     chunks = F.ceil(F.col("size") / F.lit(cap / 2)).cast("int")

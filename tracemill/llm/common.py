@@ -28,6 +28,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """df of about `rows` rows in no more tasks than they fill, but one a core; fewer stay as they are.
+
+    Shuffles deal any step into spark.sql.shuffle.partitions; steps far smaller than the input need not start
+    as many tasks.  Rows of one key stay together.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised step that nothing reads any more."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
@@ -193,19 +202,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", prefix: str = "link
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
     e = materialize(e.mapInArrow(_local_stars, "u long, v long"), prefix)
     while True:
+        rows = e.count()
+        e = gathered(e, rows)
         ends = e.select(F.col("u").alias("id"), F.col("v").alias("to"), F.lit(0).alias("root"))
         ends = ends.unionByName(e.select(F.col("v").alias("id"), F.lit(None).cast("long").alias("to"), F.lit(1).alias("root")))
-        ends = ends.groupBy("id").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.max("root").alias("root"))
+        ends = gathered(ends.groupBy("id").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.max("root").alias("root")), 2 * rows)
         if ends.filter("low <> high or (low is not null and root = 1)").isEmpty():
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        far = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        far = gathered(both.join(least, "u"), 2 * rows).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = far.groupBy("u").agg(F.min("v").alias("m"))
-        near = far.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        near = near.unionByName(least.select("u", F.col("m").alias("v")))
+        near = gathered(far.join(least, "u"), rows).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        near = near.unionByName(gathered(least, rows).select("u", F.col("m").alias("v")))
         old, e = e, materialize(near.mapInArrow(_local_stars, "u long, v long"), prefix)
         discard(old)
-    e = e.distinct()
-    roots = e.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
+    e = gathered(e.distinct(), rows)
+    roots = gathered(e.select("v").distinct(), rows).select(F.col("v").alias("id"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
