@@ -241,7 +241,8 @@ def test_encoder(path):
     own = WordEncoder(path, most=50)
     odd = ["", " ", "a  b\n\n c'll 'S <|endoftext|> x", "日本語 テスト", "İstanbul ΣΑΣ", "é", "\x1f a\x85b", "1234 ½ ² ª º ŉ ſ", "“quoted” — x…", "tab\t\tx  \n y_z   "]
     cases = odd + [t or "" for t in texts()] + [f"{chr(c)}a {chr(c)}{chr(c)}B 1{chr(c)}" for c in [*range(9, 0x260), *range(0x2000, 0x2030)]]
-    plain = [e.ids for e in own.tokenizer.encode_batch_fast(cases, add_special_tokens=False)]
+    cases += ["a <|endoftext|> b", "<|startoftext|>x", "<|EndOfText|>", "x<|endoftext|>", "<|endoftext", "\n<|endoftext|>\n<|endoftext|>"]
+    plain = [e.ids for e in Tokenizer.from_file(path).encode_batch_fast(cases, add_special_tokens=False)]
     assert [x.tolist() for a in range(0, len(cases), 40) for x in own.encode(cases[a : a + 40])] == plain
 
 

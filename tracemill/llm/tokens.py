@@ -4,7 +4,7 @@ Both vocabularies used here cut a text into words by a pattern first and encode
 the ids of a text are those of its words in a row, and, as no word crosses white space, those of the chunks
 between white space.  Chunks and words come from caches of bounded size; new words go to the library.  Only texts of common characters take this path: letters up to U+024F and the punctuation of
 U+2010-U+2027, for which Python's and the library's notions of letter, number, space and lower case agree.
-All other texts are encoded whole by the library.
+All other texts, and those that spell one of the file's added tokens, are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -80,9 +80,10 @@ class WordEncoder:
         name = path.rpartition("/")[2].removesuffix(".json")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.cut = re.compile(CUTS[name]) if name in CUTS else None
         self.lowered, self.most = name in LOWERED, most
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = sorted({c.lower() if self.lowered else c for c in added})
         self.bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.words, self.chunks = _Known(), _Known()
 
@@ -130,6 +131,9 @@ class WordEncoder:
     def _way(self, text: str):
         if self.cut is None or _UNCOMMON.search(text):
             return self._whole
+        plain = text.lower() if self.lowered else text
+        if any(token in plain for token in self.added):  # found before a text is cut into words
+            return self._whole
         return self._by_words if not self.lowered and any(gap in text for gap in _WIDE) else self._by_chunks
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
