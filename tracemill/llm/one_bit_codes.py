@@ -28,23 +28,37 @@ def rotation(d: int, seed: int = 5) -> np.ndarray:
 
 
 def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed signs, lengths, and inner products of unit vectors with their codes."""
-    turned = vectors.astype(np.float32) @ rotation(vectors.shape[1])
-    length = np.linalg.norm(vectors, axis=1)
-    bits = turned > 0
-    inner = np.abs(turned).sum(axis=1) / (length * np.sqrt(vectors.shape[1]))
-    return np.packbits(bits, axis=1), length, np.maximum(inner, 1e-6)
+    """Packed signs, lengths, and inner products of unit vectors with their codes; numbers of any size."""
+    unit, length = _scaled(vectors)
+    turned = unit.astype(np.float32) @ rotation(vectors.shape[1])
+    inner = np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1])
+    return np.packbits(turned > 0, axis=1), length, np.maximum(inner, 1e-6)
+
+
+def _scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and lengths; a length beyond the largest double is infinite, its unit vector is not."""
+    most = np.abs(vectors).max(axis=1)
+    small = vectors / most[:, None]
+    length = np.linalg.norm(small, axis=1)
+    with np.errstate(over="ignore"):
+        return small / length[:, None], length * most
 
 
 def estimate(queries: np.ndarray, codes: np.ndarray, length: np.ndarray, inner: np.ndarray, bound: float):
-    """Estimated inner products of each query with each coded vector, and their error bounds."""
+    """Estimated inner products of each query with each coded vector, and their error bounds.
+
+    Where one is beyond the largest double, the estimate is 0 and the bound infinite.
+    """
     d = queries.shape[1]
-    turned = queries.astype(np.float32) @ rotation(d)
+    unit, size = _scaled(queries)
+    turned = unit.astype(np.float32) @ rotation(d)
     signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
-    scale = (length / (inner * np.sqrt(d))).astype(np.float32)
-    about = (turned @ signs.T) * scale
-    spread = length * np.sqrt(np.maximum(1 - inner**2, 0)) / inner * bound / np.sqrt(max(d - 1, 1))
-    return about, np.linalg.norm(queries, axis=1)[:, None] * spread[None, :]
+    spread = np.sqrt(np.maximum(1 - inner**2, 0)) / inner * bound / np.sqrt(max(d - 1, 1))
+    with np.errstate(over="ignore", invalid="ignore"):
+        scale = size[:, None] * length[None, :]
+        about, error = (turned @ signs.T) * (scale / (inner * np.sqrt(d))[None, :]), scale * spread[None, :]
+    known = np.isfinite(about) & np.isfinite(error)
+    return np.where(known, about, 0.0), np.where(known, error, np.inf)
 
 
 def _packed(vectors: DataFrame, size: int) -> DataFrame:
@@ -93,7 +107,9 @@ class Search:
 
     def _rerank(self, q, v, ids, vectors):
         self.reranked += len(v)
-        score = np.einsum("ij,j->i", vectors[v], self.vectors[q])
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = np.einsum("ij,j->i", vectors[v], self.vectors[q])
+        score = np.where(np.isnan(score), -np.inf, score)
         good = (score >= self.floor[q]) & (ids[v] != self.ids[q])
         if not good.any():
             return
@@ -120,7 +136,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, bound: float =
     Nearest first, equal scores by smaller vec_id; a query is no candidate of its own vec_id; with fewer
     than k candidates all are returned.  Vectors that are null, empty or zero, or that hold a null or a
     number that is not finite, take no part on either side, nor do those without vec_id; vectors of another
-    dimension are no candidates.  Repeated queries count once, and of repeated candidates the best one.
+    dimension are no candidates.  Numbers may be of any size; a product beyond the largest double is infinite,
+    one that is no number counts as the least.  Repeated queries count once, and of repeated candidates the best one.
     """
     data = common.materialize(_packed(vectors, block), "code-blocks")
     asked = common.materialize(_packed(queries.dropDuplicates(["vec_id"]), group), "code-queries")
