@@ -8,6 +8,7 @@ One conversation or tool may have most rows: no step gathers a conversation.
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm import common
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
 
 
@@ -45,8 +47,37 @@ def violations(value, schema: dict, path: str = "") -> list[str]:
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys and without blanks."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys and without blanks; a lone surrogate, which has no UTF-8, stays escaped."""
+    return escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def escaped(text: str) -> str:
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _no_number(text: str):
+    raise ValueError("not JSON")
+
+
+def _number(text: str) -> float:
+    value = float(text)
+    if value in (float("inf"), float("-inf")):
+        raise OverflowError
+    return value
+
+
+def parsed(text: str | None) -> tuple[object, list[str]]:
+    """Value of arguments and what is wrong with them as JSON; the text itself where they have no value."""
+    try:
+        value = json.loads(text or "", parse_constant=_no_number, parse_float=_number)
+        json.dumps(value)  # what can be read may still be too deep to write
+        return value, []
+    except ValueError:
+        return text, ["/: not JSON"]
+    except OverflowError:
+        return text, ["/: number beyond double"]
+    except RecursionError:
+        return text, ["/: nested too deeply"]
 
 
 def _chains(nodes: DataFrame) -> DataFrame:
@@ -130,7 +161,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     calls: conv_id, call_id, turn, name, arguments (JSON text), after (array of call ids); results: conv_id,
     call_id, content.  Calls and results that repeat an identifier of their conversation count once: the
     first by turn and text, or by content.  A call without result has linked false and a null result; null
-    or broken arguments and unknown tools are invalid, with the reason in errors.  Rows without conv_id or
+    or broken arguments, numbers beyond double, nesting beyond what Python reads and unknown tools are invalid,
+    with the reason in errors and the arguments' text in json.  Other columns are not read.  Rows without conv_id or
     call_id cannot be linked and are left out.  Within a conversation, (level, turn, call_id) is a
     topological order.
     """
@@ -146,14 +178,11 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
         for batch in batches:
             valid, errors, texts = [], [], []
             for row in batch.to_pylist():
-                try:
-                    arguments, wrong = json.loads(row["arguments"] or ""), []
-                except ValueError:
-                    arguments, wrong = row["arguments"], ["/: not JSON"]
+                arguments, wrong = parsed(row["arguments"])
                 if not wrong:
                     wrong = violations(arguments, schemas[row["name"]]) if row["name"] in schemas else ["/: unknown tool"]
                 valid.append(not wrong)
-                errors.append("; ".join(wrong))
+                errors.append(escaped("; ".join(wrong)))
                 texts.append(canonical({"arguments": arguments, "id": row["call_id"], "name": row["name"], "result": row["content"]}))
             kept = [batch.column(c) for c in ("conv_id", "call_id", "turn", "name", "level", "linked")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(valid, pa.bool_()), pa.array(errors, pa.string()), pa.array(texts, pa.string())],
