@@ -156,6 +156,14 @@ def write_arc(pages: DataFrame, folder: str, per_file: int = 32 << 20) -> DataFr
     return common.materialize(pages.mapInArrow(write, "path string"), "arc-files")
 
 
+def _dealt(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Rows of files(path), or the files themselves, by path into a task for each file, up to 10,000.
+
+    A path is a small row and its work is not, so the number of tasks must not follow the rows' size.
+    """
+    return (files if rows is None else rows).repartition(max(1, min(files.count(), 10_000)), "path")
+
+
 def index_arc(files: DataFrame) -> DataFrame:
     """A row for each record of ARC files(path): place in the file, page, payload digest and size, identifier, URL, date."""
 
@@ -173,7 +181,7 @@ def index_arc(files: DataFrame) -> DataFrame:
                                                  names=["path", "place", "page_id", "digest", "size", "id", "url", "date"])
 
     schema = "path string, place long, page_id long, digest string, size long, id string, url string, date string"
-    return files.repartition(F.col("path")).mapInArrow(scan, schema)
+    return _dealt(files).mapInArrow(scan, schema)
 
 
 def convert_arc(files: DataFrame, folder: str, least: int = 0) -> DataFrame:
@@ -214,7 +222,7 @@ def convert_arc(files: DataFrame, folder: str, least: int = 0) -> DataFrame:
                 c.__exit__(None, None, None)
         yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["path"])
 
-    plan = plan.repartition(F.col("path")).sortWithinPartitions("path", "place")
+    plan = _dealt(files, plan).sortWithinPartitions("path", "place")
     return common.materialize(plan.mapInArrow(write, "path string"), "warc-files")
 
 
@@ -244,7 +252,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                                                  names=["page_id", "payload_bytes", "payload_digest", "record_type", "of", "url", "date", "record_id"])
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, of string, url string, date string, record_id string"
-    rows = common.materialize(files.repartition(F.col("path")).mapInArrow(scan, schema), "warc-rows")
+    rows = common.materialize(_dealt(files).mapInArrow(scan, schema), "warc-rows")
     targets = rows.select(F.col("record_id").alias("of"), F.col("page_id").alias("refers_to"))
     hit = rows.select("of").filter("of is not null").distinct().join(targets, "of")
     return rows.join(hit, "of", "left").select(
