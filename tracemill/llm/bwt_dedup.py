@@ -239,7 +239,7 @@ def _counted(rows: DataFrame, width: int) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, width: int = 200, hot: int = 20_000, bucket: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text, ...) with the byte ranges covered by repeated windows: (texts, ranges(key_x, key_y, a, b)).
+    """docs(doc_id, text[, carried]) with the byte ranges covered by repeated windows: (texts, ranges(key_x, key_y, a, b)).
 
     Texts have the key of their doc_id and text, for doc_id may be null or name several texts.
     """
@@ -290,9 +290,10 @@ def remove_repeats(
     docs that are returned with their row.
     `hot` is the number of border spans of one anchor from which they are counted window by window.
     """
-    texts, ranges = repeated_ranges(docs, width, hot)
+    carried = F.struct(*carry) if carry else F.lit(None).cast("struct<none:int>")
+    texts, ranges = repeated_ranges(docs.select("doc_id", "text", carried.alias("carried")), width, hot)
     ranges = ranges.groupBy("key_x", "key_y").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
-    joined = texts.join(ranges, ["key_x", "key_y"], "left").select("doc_id", "text", "ranges", *carry)
+    joined = texts.join(ranges, ["key_x", "key_y"], "left").select("doc_id", "text", "ranges", *[F.col(f"carried.`{c}`").alias(f"__{i}") for i, c in enumerate(carry)])
 
     def cut(batches):
         for batch in batches:
@@ -305,7 +306,7 @@ def remove_repeats(
                             None if value is None or not with_text else kept.decode("utf-8", "ignore")))
             cols = list(zip(*out)) if out else [()] * 6
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(cols, kinds)], *[batch.column(c) for c in carry]],
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(cols, kinds)], *[batch.column(f"__{i}") for i in range(len(carry))]],
                                              names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *carry])
 
     fixed = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
