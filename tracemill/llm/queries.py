@@ -42,7 +42,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    out = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select(*[c for c in out.columns if c != "score"], "score")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(_table(spark, sf_dir, "documents"))
+    out = mix_sources(_table(spark, sf_dir, "documents"))
+    return out.select(*[c for c in out.columns if c not in ("source", "shards")], "source", "shards")
 
 
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,10 +143,11 @@ def mix_sources(
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of docs as often as they are taken, shuffled within their output shards."""
     seed = options.get("seed", 17)
-    keyed, key = common.with_key(docs, *docs.columns), ("key_x", "key_y")
+    whole = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))
+    keyed, key = common.with_key(whole, *[f"row.`{c}`" for c in docs.columns]), ("key_x", "key_y")
     taken = mix_sources(keyed, **options, key=key).select(*key, F.explode("shards").alias("__shard"))
     rows = keyed.dropDuplicates(list(key)).join(taken, list(key))
     own = F.coalesce("doc_id", "key_x")
     part = F.pmod(F.xxhash64(own, F.lit(seed + 3)), F.lit(64))
     rows = rows.repartition("__shard", part).sortWithinPartitions("__shard", part, F.xxhash64(own, "__shard", F.lit(seed + 4)), *key)
-    return rows.select(*docs.columns)
+    return rows.select("row.*")
