@@ -21,8 +21,9 @@ from tracemill.llm.target_ratio import quality_rules
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     kept = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_key=True).filter("kept")
-    keyed = common.with_key(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "text")
-    return keyed.join(kept.select("key_x", "key_y"), ["key_x", "key_y"], "left_semi").select(*docs.columns)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("row"))
+    keyed = common.with_key(rows, "doc_id", "text")
+    return keyed.join(kept.select("key_x", "key_y"), ["key_x", "key_y"], "left_semi").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
