@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from suite.merge_cases import embed_context
 from tracemill.operators import merge as M
 from tracemill.plans.segments import running_total
+from tracemill.plans.transducer import merge_events
 from tracemill.streaming.merge import TaskMerge
 
 SCHEMA = ("task_id string, line_no long, idx long, type string, severity string, code string, "
@@ -57,6 +58,28 @@ def test_segments_equal_state_machine(spark, width):
     assert got == sequential(rows)
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 100])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_one_pass_equals_state_machine(spark, width, seed):
+    rows = random_events(100 * seed + width, tasks=25)
+    # runs of one event over segments, alternations, and lines that are context only when repeated
+    rng = random.Random(seed)
+    for t in range(25, 60):
+        pool = [("diagnostic", "a", None), ("location", "", "x"), ("location", "", "y"), ("log", "the trait", None), ("log", "| c", None), ("crash", "c", None)]
+        n, pick = 0, pool[0]
+        for _ in range(rng.randint(1, 40)):
+            n, pick = n + 1, pick if rng.random() < 0.4 else rng.choice(pool[: rng.choice([2, 3, 6])])
+            rows.append((f"t{t}", n, 0, pick[0], "error", None, pick[1], pick[2], 1 if pick[2] else None, None, "rule"))
+    events, order = spark.createDataFrame(rows, SCHEMA), ("line_no", "idx")
+    final = merge_events(events, order, width)
+    steps = M.pair_locations(M.collapse_repeats(events, order, None), order, None)
+    steps = M.assign_seq(M.absorb_context(steps, order, None), order, None)
+    found = lambda df: sorted(
+        (r.task_id, r.seq, r.line_no, r.type, r.message, r.file or "", r.repeat_count, r.paired, tuple(r.context_after or ())) for r in df.collect())
+    assert found(final) == found(steps)
+    assert sorted(final.columns) == sorted(steps.columns)
+
+
 def test_long_runs_cross_many_segments(spark):
     base = spark.range(1, 1001).select(
         F.lit("t").alias("task_id"), F.col("id").alias("seq"), F.lit("log").alias("type"), F.lit("info").alias("severity"),

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.extract import json_line_event
 from ..functions.text import strip_ansi
 from ..operators import extract, lines as line_ops, merge
-from .segments import SEGMENT_POSITIONS
 from ..sources.rulepacks import Pack
+from .segments import SEGMENT_POSITIONS
+from .transducer import merge_events
 
 ORDER = ("line_no", "idx")
 
@@ -23,14 +24,14 @@ def structure_output(
     max_bytes: int | None = None,
     width: int = SEGMENT_POSITIONS,
 ) -> DataFrame:
-    """Final events of every task, numbered by `seq`; the merge steps run on segments of `width` lines.
+    """Final events of every task, numbered by `seq`; all merge steps run in one pass over segments of `width` lines.
 
     With `max_bytes` a task's output is cut there first, and one window per task is safe: the
     merge steps share a single shuffle on task_id.
     """
     if max_bytes is None:
         events = extract.escalate_stderr(extract.parse_lines(lines.drop("n_bytes"), tasks, packs)).drop("source")
-        return _merged(events, width)
+        return merge_events(line_ops.drop_noise(events), ORDER, width).drop("idx")
     capped = line_ops.cap_task_output(lines, max_bytes).drop("n_bytes")
     parsed = extract.escalate_stderr(extract.parse_lines(capped, tasks, packs)).drop("source")
     # the notice of a cut task is no tool output: whatever the tiers made of it gives way
@@ -42,12 +43,8 @@ def structure_output(
         **{n: F.when(~cut, F.col(n)).cast(t) for n, t in gone.items()},
         "message": F.when(cut, line_ops.truncation_notice(max_bytes)).otherwise(F.col("message")),
     }).drop("truncated")
-    return _merged(events, None)
-
-
-def _merged(events: DataFrame, width: int | None) -> DataFrame:
-    merged = merge.pair_locations(merge.collapse_repeats(line_ops.drop_noise(events), ORDER, width), ORDER, width)
-    return merge.assign_seq(merge.absorb_context(merged, ORDER, width), ORDER, width).drop("idx")
+    merged = merge.pair_locations(merge.collapse_repeats(line_ops.drop_noise(events), ORDER, None), ORDER, None)
+    return merge.assign_seq(merge.absorb_context(merged, ORDER, None), ORDER, None).drop("idx")
 
 
 def complete_output(
