@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["line_cases", "extract_cases", "merge_cases", "stats_cases", "query_cases", "lookup_cases", "audit_cases", "quality_cases", "store_cases", "stream_cases"]
+MODULES = ["line_cases", "extract_cases", "condition_cases", "merge_cases", "stats_cases", "query_cases", "lookup_cases", "audit_cases", "quality_cases", "store_cases", "stream_cases"]
 
 CASES: dict = {}
 for _module in MODULES:

@@ -1,14 +1,17 @@
 """Functions and small operators on hand-made input."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import patterns, shell
 from tracemill.functions import text as T
+from tracemill.functions.extract import RuleBook
 from tracemill.operators import audit, extract, quality, retention
 from tracemill.operators import query as Q
+from tracemill.plans.conditions import conditional_rules
 from tracemill.plans.structure import structure_output
 from tracemill.sources.rulepacks import Pack, Rule, load_packs, resolve_packs
 
@@ -106,6 +109,34 @@ def test_stateful_conditions(spark):
         ("t", 4, "stateful", "end"), ("t", 5, "raw", "bad 2"), ("u", 1, "raw", "bad 0")]
 
 
+@pytest.mark.parametrize("width", [1, 3, 1000])
+def test_conditions_compose_over_segments(spark, width):
+    """Rules that gate rules and toggle their own key, against playing the lines one by one."""
+    rng = random.Random(width)
+    texts = {"a": (None, "x=1"), "b": ("x=1", "y=1"), "c": ("y=1", "x=2"), "d": ("x=2", "x=1"), "e": ("y=1", None), "f": ("x=2", "y=0"), "g": (None, None)}
+    rules = tuple(Rule(k, "log", "info", f"{k}", {}, state_condition=n, state_transition=c) for k, (n, c) in texts.items())
+    packs = [Pack("p", rules, stateful=True), Pack("q", rules[1:4], stateful=True)]
+    rows, want = [], {}
+    for task in range(6):
+        state, pack = {}, packs[task % 2]
+        for line in range(1, rng.randint(2, 400)):
+            text = "".join(rng.sample("abcdefgh", rng.randint(1, 3)))
+            rows.append((f"t{task}", line, text, pack.name))
+            for k, rule in enumerate(pack.rules):
+                need, change = (v.split("=") if v else None for v in (rule.state_condition, rule.state_transition))
+                if rule.name in text and (need is None or state.get(need[0]) == need[1]):
+                    want.setdefault((f"t{task}", line), []).append(rule.name)
+                    state.update([change] if change else [])
+    lines = spark.createDataFrame(rows, "task_id string, line_no long, text string, parser_name string")
+    book = RuleBook(packs)
+    matched = lines.withColumn("many", book.stateful_rules(F.col("text"), F.col("parser_name"))).filter(F.size("many") > 0)
+    numbers = [n for p in packs for n, _ in book.by_pack[p.name]]
+    names = dict(zip(numbers, [r.name for p in packs for r in p.rules]))
+    out = conditional_rules(matched.repartition(3), "many", numbers, [p.active_rules for p in packs], width)
+    assert out.columns == matched.columns
+    assert {(r.task_id, r.line_no): [names[n] for n in r.many] for r in out.collect() if r.many} == want
+
+
 def test_user_pack_wins_tie(tmp_path):
     (tmp_path / "go.toml").write_text(
         '[meta]\nname = "go"\npriority = 50\n[[pattern]]\nname = "x"\nregex = "^x"\nevent_type = "log"\nseverity = "info"\n')

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from ..functions import extract as X
 from ..functions.extract import RuleBook
 from ..functions.shell import command_shape
 from ..functions.text import looks_like_stderr_error, strip_ansi, trim
+from ..plans.conditions import conditional_rules
 from ..schemas import EVENT_FIELDS
 from ..sources.rulepacks import Pack, resolve_packs
 
@@ -169,45 +169,18 @@ def _conditional(packs: Sequence[Pack]) -> list[Pack]:
 def _fired(lines: DataFrame, book: RuleBook, packs: Sequence[Pack], column: str) -> DataFrame:
     """Lines with only those rule numbers in `column` whose `key=value` conditions hold.
 
-    Lines on which rules of a pack with conditions match are read in a task's order, those of equal
-    line_no in any order; all others stay as they are.  A task's state is a few keys, carried from batch
-    to batch, so a task of any size needs no more memory.  Streams are refused: their lines have no order.
+    Lines on which rules of a pack with conditions match are read in a task's order; all others stay as they
+    are.  Streams are refused here, as their lines come in no order; `streaming.conditions` orders them.
     """
     packs = _conditional(packs)
     if not packs:
         return lines
     if lines.isStreaming:
         raise ValueError("rules with conditions need a task's lines in order: " + ", ".join(p.name for p in packs))
-
-    def pair(text):
-        return tuple(text.split("=", 1)) if text else None
-
-    rules = {
-        number: (pair(rule.state_condition), pair(rule.state_transition))
-        for pack in packs for (number, _), rule in zip(book.by_pack[pack.name], pack.active_rules)
-    }
-    place = lines.columns.index(column)
-
-    def scan(batches):
-        now, state = object(), {}
-        for batch in batches:
-            kept = []
-            for task, numbers in zip(batch.column("task_id").to_pylist(), batch.column(column).to_pylist()):
-                if task != now:
-                    now, state = task, {}
-                kept.append([])
-                for number in numbers:
-                    need, change = rules[number]
-                    if need is None or state.get(need[0]) == need[1]:
-                        kept[-1].append(number)
-                        state.update([change] if change else [])
-            columns = batch.columns
-            columns[place] = pa.array(kept, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
+    numbers = [number for pack in packs for number, _ in book.by_pack[pack.name]]
     bound = F.coalesce(F.col("parser_name").isin([p.name for p in packs]), F.lit(False)) & (F.size(column) > 0)
-    hits = lines.filter(bound).repartition("task_id").sortWithinPartitions("task_id", "line_no")
-    return lines.filter(~bound).unionByName(hits.mapInArrow(scan, lines.schema))
+    hits = conditional_rules(lines.filter(bound), column, numbers, [p.active_rules for p in packs])
+    return lines.filter(~bound).unionByName(hits)
 
 
 def apply_stateful_rules(lines: DataFrame, packs: Sequence[Pack]) -> DataFrame:
