@@ -24,12 +24,16 @@ BLOCKS = Pack("blocks", RULES, stateful=True)
 WORDS = ["section", "bad", "mark", "deep", "end", "leave", "bad", "deep", "mark"]
 
 
+def said(lines):
+    """Log lines, most of them a word of the pack and the line's number."""
+    word = F.get(F.array(*map(F.lit, WORDS)), ((F.col("line_no") * 7 + F.length("text")) % 13).cast("int"))
+    return lines.withColumn("text", F.when(word.isNotNull(), F.concat(word, F.lit(" "), "line_no")).otherwise(F.col("text")))
+
+
 def condition_lines(spark, sf):
-    """Log lines, most of them a word of the pack and the line; every third task's are those of one task."""
+    """Every third task's lines are those of one task."""
     task = F.col("task_id").cast("long")
-    word = F.get(F.array(*map(F.lit, WORDS)), ((F.col("line_no") * 7 + F.length("text")) % 13).cast("int"))
-    return view(spark, sf, "lines_v").withColumns({
-        "text": F.when(word.isNotNull(), F.concat(word, F.lit(" "), "line_no")).otherwise(F.col("text")),
+    return said(view(spark, sf, "lines_v")).withColumns({
         "task_id": F.when(task % 3 == 0, "1").otherwise(F.col("task_id")),
         "line_no": F.when(task % 3 == 0, (task + 1) * LONG_STEP + F.col("line_no")).otherwise(F.col("line_no"))})
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import time
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
+from suite import condition_cases as C
 from suite import extract_cases as X
 from suite.scratch import run_append, run_latest
 from suite.views import stream, table, view, with_views
 from tracemill.operators import merge as M
+from tracemill.operators.extract import apply_line_rules, parse_tagged_lines
 from tracemill.streaming import live as L
 from tracemill.streaming import merge as SM
 
@@ -22,10 +28,10 @@ def stream_parse(spark, sf):
 
 
 def stream_merge(spark, sf):
-    """All lines, then an end row per task, in one stream."""
+    """All lines, and an end row per task with the number of its lines, in one stream."""
     parsed = L.stream_parse(lines_stream(spark, sf), view(spark, sf, "tasks_v"), X.TASK_PACKS)
     ends = SM.end_rows(stream(spark, sf, "documents").select(
-        F.col("doc_id").cast("string").alias("task_id"), F.lit("completed").alias("status")))
+        F.col("doc_id").cast("string").alias("task_id"), F.lit("completed").alias("status"), "text"), F.size(F.split("text", "\n")))
     rows = parsed.drop("source").unionByName(ends)
     out = run_append(spark, SM.stream_merge(rows, idle_ms=None), "merge")
     return out.withColumn("context_after", F.array_join("context_after", "|"))
@@ -88,13 +94,27 @@ def live_counters(spark, sf):
     return run_latest(spark, L.live_counters(view(spark, sf, "tasks_v", stream)), "counters")
 
 
+#: A user pack that takes the place of a bundled one while a run goes on.
+NEW_PACK = X.LINE_PACKS[0].name
+NEW_RULE = '[meta]\nname = "{}"\npriority = 1000\n[[pattern]]\nname = "all"\nregex = "^(.+)"\nevent_type = "summary"\nseverity = "info"\nfields = {{message = 1}}\n'
+
+
 def hot_reload(spark, sf):
-    """Parse with whatever rules are current in each micro-batch."""
-    catalog, lines = L.RuleCatalog(), X.plain_lines(spark, sf, X.LINE_PACKS)
-    catalog.refresh(spark)
-    from tracemill.operators.extract import apply_line_rules
+    """The lines parsed before and after a pack file came; the driver alone reads the folder."""
+    home = Path(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    catalog, lines = L.RuleCatalog([str(home)]), X.plain_lines(spark, sf, X.LINE_PACKS)
+    old = apply_line_rules(lines, catalog.packs).withColumn("version", F.lit(1))
+    (home / "new.toml").write_text(NEW_RULE.format(NEW_PACK))
+    while catalog.refresh(spark) is None:
+        time.sleep(0.1)
+    new = apply_line_rules(lines, catalog.packs).withColumn("version", F.lit(2))
+    return old.unionByName(new).groupBy("version", "parser_name", "type").agg(F.count(F.lit(1)).alias("n"))
+
 
-    return apply_line_rules(lines, catalog.packs).groupBy("parser_name", "type").agg(F.count(F.lit(1)).alias("n"))
+def stream_conditions(spark, sf):
+    """Rules with conditions on lines that come as a stream."""
+    lines = C.said(view(spark, sf, "lines_v", stream)).drop("n_bytes").withColumn("parser_name", F.lit("blocks"))
+    return run_append(spark, parse_tagged_lines(lines, [C.BLOCKS], idle_ms=None), "conditions")
 
 
 PARSED_ESCALATED = f"""SELECT * REPLACE (CASE WHEN source = 'stderr' AND type <> 'summary' AND severity IN ('info', 'warning')
@@ -118,7 +138,11 @@ NOTIFY_SQL = """SELECT user_id AS connection_id, kind,
     ELSE '{}' END AS params
 FROM (SELECT *, CASE event_id % 5 WHEN 0 THEN 'TaskUpdate' WHEN 1 THEN 'TaskComplete' WHEN 2 THEN 'Diagnostic' WHEN 3 THEN 'DaemonShutdown' END AS kind FROM events) e
 WHERE kind IS NOT NULL"""
-RELOAD_SQL = f"SELECT parser_name, type, count(*) AS n FROM ({X.LINE_RULE_SQL}) x GROUP BY 1, 2"
+RELOAD_SQL = f"""SELECT 1 AS version, parser_name, type, count(*) AS n FROM ({X.LINE_RULE_SQL}) x GROUP BY 1, 2, 3
+UNION ALL SELECT 2, parser_name, CASE WHEN parser_name = '{NEW_PACK}' THEN 'summary' ELSE type END AS kind, count(*) FROM (
+  SELECT parser_name, type FROM ({X.LINE_RULE_SQL}) x WHERE parser_name <> '{NEW_PACK}'
+  UNION ALL SELECT '{NEW_PACK}', 'summary' FROM (SELECT {X.PLAIN} AS plain FROM lines_v
+    WHERE {X.LIST}[(CAST(task_id AS BIGINT) + line_no) % {len(X.LINE_PACKS)} + 1] = '{NEW_PACK}') l WHERE plain <> '') y GROUP BY 1, 2, 3"""
 
 CASES = {
     "t1_stream_parse": (stream_parse, with_views(PARSED_ESCALATED, "lines_v", "tasks_v")),
@@ -140,5 +164,6 @@ CASES = {
           count(*) FILTER (WHERE status IN ('failed', 'timeout', 'killed')) AS failed, CAST(sum(events_count) AS BIGINT) AS events,
           count(*) FILTER (WHERE carrier = 'shell') AS carrier_shell, count(*) FILTER (WHERE carrier = 'shell_composite') AS carrier_shell_composite,
           count(*) FILTER (WHERE carrier = 'python') AS carrier_python, CAST(0 AS BIGINT) AS carrier_script_other FROM tasks_v""", "tasks_v")),
+    "t1_conditional_stream": (stream_conditions, with_views(C.FIRED.replace(C.LINES, C.SAID), "lines_v")),
     "t11_hot_reload": (hot_reload, with_views(RELOAD_SQL, "lines_v")),
 }

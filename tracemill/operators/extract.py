@@ -14,6 +14,7 @@ from ..functions.text import looks_like_stderr_error, strip_ansi, trim
 from ..plans.conditions import conditional_rules
 from ..schemas import EVENT_FIELDS
 from ..sources.rulepacks import Pack, resolve_packs
+from ..streaming.conditions import IDLE_MS, conditional_rules_live
 
 # ---- tool detection -----------------------------------------------------------------
 
@@ -166,21 +167,22 @@ def _conditional(packs: Sequence[Pack]) -> list[Pack]:
     return [p for p in packs if p.stateful and any(r.state_condition for r in p.active_rules)]
 
 
-def _fired(lines: DataFrame, book: RuleBook, packs: Sequence[Pack], column: str) -> DataFrame:
+def _fired(lines: DataFrame, book: RuleBook, packs: Sequence[Pack], column: str, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Lines with only those rule numbers in `column` whose `key=value` conditions hold.
 
     Lines on which rules of a pack with conditions match are read in a task's order; all others stay as they
-    are.  Streams are refused here, as their lines come in no order; `streaming.conditions` orders them.
+    are.  A stream's lines come in no order, so all of a task with such a pack are put in order there.
     """
     packs = _conditional(packs)
     if not packs:
         return lines
-    if lines.isStreaming:
-        raise ValueError("rules with conditions need a task's lines in order: " + ", ".join(p.name for p in packs))
     numbers = [number for pack in packs for number, _ in book.by_pack[pack.name]]
-    bound = F.coalesce(F.col("parser_name").isin([p.name for p in packs]), F.lit(False)) & (F.size(column) > 0)
-    hits = conditional_rules(lines.filter(bound), column, numbers, [p.active_rules for p in packs])
-    return lines.filter(~bound).unionByName(hits)
+    rules = [p.active_rules for p in packs]
+    bound = F.coalesce(F.col("parser_name").isin([p.name for p in packs]), F.lit(False))
+    if lines.isStreaming:
+        return lines.filter(~bound).unionByName(conditional_rules_live(lines.filter(bound), column, numbers, rules, idle_ms))
+    bound = bound & (F.size(column) > 0)
+    return lines.filter(~bound).unionByName(conditional_rules(lines.filter(bound), column, numbers, rules))
 
 
 def apply_stateful_rules(lines: DataFrame, packs: Sequence[Pack]) -> DataFrame:
@@ -233,10 +235,11 @@ def escalate_stderr(events: DataFrame) -> DataFrame:
     )
 
 
-def parse_tagged_lines(lines: DataFrame, packs: Sequence[Pack]) -> DataFrame:
+def parse_tagged_lines(lines: DataFrame, packs: Sequence[Pack], idle_ms: int | None = IDLE_MS) -> DataFrame:
     """The tier cascade on lines that carry `parser_name`: first tier with a result wins.
 
-    Stateless, hence valid on streams, but for packs whose rules have conditions.  Each tier's tests run
+    Stateless, hence valid on streams, but for packs whose rules have conditions: there a task's lines,
+    numbered from 1, wait for those before them, for `idle_ms` at most.  Each tier's tests run
     only where the tiers before it found nothing.  `idx` numbers the events of one line.
     """
     text, parser, book = F.col("text"), F.col("parser_name"), RuleBook(packs)
@@ -257,7 +260,7 @@ def parse_tagged_lines(lines: DataFrame, packs: Sequence[Pack]) -> DataFrame:
         )
     )
     return (
-        _fired(matched, book, packs, "_many")
+        _fired(matched, book, packs, "_many", idle_ms)
         .withColumn("_one", F.when(open_line & (F.size("_many") == 0), single))
         .select(*keep, "text", "_json", F.posexplode(numbers).alias("idx", "_no"))
         .withColumn("_event", event)

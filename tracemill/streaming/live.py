@@ -10,19 +10,23 @@ from collections.abc import Callable, Sequence
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators.extract import escalate_stderr, parse_tagged_lines
 from ..operators.lookup import diff_rules
 from ..sources.rulepacks import Pack, load_packs, resolve_packs, to_dimensions
+from .conditions import IDLE_MS
+from .stateful import with_state
 
 # ---- fixed values -------------------------------------------------------------------
 REPLAY_TTL_SECONDS = 120
 IDLE_GAP = "300 seconds"
 MAX_TASK_MS = 3_600_000
 NOTIFY_ROWS = 50
+NOTIFY_WAIT_MS = 100
 NOTIFY_TRIGGER = "100 milliseconds"
 RELOAD_DEBOUNCE_SECONDS = 0.5
 KINDS = {"TaskUpdate": "task/update", "TaskComplete": "task/complete",
@@ -30,10 +34,13 @@ KINDS = {"TaskUpdate": "task/update", "TaskComplete": "task/complete",
 # -------------------------------------------------------------------------------------
 
 
-def stream_parse(lines: DataFrame, tasks: DataFrame, packs: Sequence[Pack]) -> DataFrame:
-    """Parsed and escalated events of lines as they arrive; `tasks` is a static lookup."""
+def stream_parse(lines: DataFrame, tasks: DataFrame, packs: Sequence[Pack], idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """Parsed and escalated events of lines as they arrive; `tasks` is a static lookup.
+
+    Rules with conditions put a task's lines in order; a lost one holds the others for `idle_ms` (None: for good).
+    """
     tagged = lines.join(tasks.select("task_id", "parser_name"), "task_id", "left")
-    return escalate_stderr(parse_tagged_lines(tagged, packs))
+    return escalate_stderr(parse_tagged_lines(tagged, packs, idle_ms))
 
 
 def fingerprint(*columns: str) -> Column:
@@ -96,12 +103,65 @@ def notification_batches(events: DataFrame, rows: int = NOTIFY_ROWS) -> DataFram
         F.to_json(F.array_sort(F.collect_list(item))).alias("events"), F.count(F.lit(1)).alias("n"))
 
 
-def stream_notify(events: DataFrame, sink: Callable[[DataFrame], None], checkpoint: str):
-    """Start handing each micro-batch, chunked, to `sink`."""
+class _Buffer(StatefulProcessor):
+    """Messages of a task until there are `rows` of them or the first has waited `wait_ms`."""
+
+    def __init__(self, rows: int, wait_ms: int):
+        self.rows, self.wait_ms = rows, wait_ms
+
+    def init(self, handle):
+        self.handle = handle
+        self.held = handle.getListState("held", "message string")
+        self.count = handle.getValueState("count", "held int, chunk long, timer long")
+
+    def _flush(self, key, messages, chunk):
+        return Row(task_id=key[0], chunk=chunk, events=f"[{','.join(messages)}]", n=len(messages))
+
+    def handleInputRows(self, key, rows, timerValues):
+        held, chunk, timer = self.count.get() if self.count.exists() else (0, 0, None)
+        fresh = []
+        for row in rows:
+            fresh.append(row.message)
+            if held + len(fresh) == self.rows:
+                yield self._flush(key, [*(m for m, in self.held.get()), *fresh] if held else fresh, chunk)
+                if held:
+                    self.held.clear()
+                fresh, held, chunk = [], 0, chunk + 1
+        if timer is not None and held == 0:
+            self.handle.deleteTimer(timer)
+            timer = None
+        if fresh:
+            self.held.appendList([(m,) for m in fresh])
+            held += len(fresh)
+            if timer is None:
+                timer = timerValues.getCurrentProcessingTimeInMs() + self.wait_ms
+                self.handle.registerTimer(timer)
+        self.count.update((held, chunk, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held, chunk, _ = self.count.get()
+        if held:
+            yield self._flush(key, [m for m, in self.held.get()], chunk)
+            self.held.clear()
+        self.count.update((0, chunk + (held > 0), None))
+
+    def close(self) -> None:
+        pass
+
+
+def buffered_notifications(events: DataFrame, rows: int = NOTIFY_ROWS, wait_ms: int = NOTIFY_WAIT_MS) -> DataFrame:
+    """Events of a stream in chunks per task: `rows` of them, or fewer after `wait_ms`, as they came."""
+    message = F.to_json(F.struct("seq", "type", "severity", "message")).alias("message")
+    return with_state(events.select("task_id", message), "task_id", _Buffer(rows, wait_ms),
+                      "task_id string, chunk long, events string, n long", True)
+
+
+def stream_notify(events: DataFrame, sink: Callable[[DataFrame], None], checkpoint: str, rows: int = NOTIFY_ROWS,
+                  wait_ms: int = NOTIFY_WAIT_MS):
+    """Start handing the chunks of `buffered_notifications` to `sink`, as they are complete."""
     return (
-        events.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(processingTime=NOTIFY_TRIGGER)
-        .foreachBatch(lambda df, _: sink(notification_batches(df))).start()
+        buffered_notifications(events, rows, wait_ms).writeStream.option("checkpointLocation", checkpoint)
+        .trigger(processingTime=NOTIFY_TRIGGER).foreachBatch(lambda df, _: sink(df)).start()
     )
 
 
@@ -125,6 +185,48 @@ def detect_timeouts(tasks: DataFrame, requested_ms: Column, max_ms: int = MAX_TA
         "task_id", "duration_ms", "allowed_ms", F.lit("timeout").alias("status"), F.lit(-2).alias("exit_code"))
 
 
+class _Timeouts(StatefulProcessor):
+    """The end of a running task's allowance as a timer, which its final status takes back."""
+
+    def init(self, handle):
+        self.handle = handle
+        self.running = handle.getValueState("running", "started long, allowed long, timer long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        now, final, first = timerValues.getCurrentProcessingTimeInMs(), False, None
+        for row in rows:
+            final = final or row.final
+            first = row if first is None or row.started < first.started else first
+        if self.running.exists():
+            if final:
+                self.handle.deleteTimer(self.running.get()[2])
+                self.running.clear()
+        elif not final:
+            timer = max(now + 1, first.started + first.allowed)
+            self.handle.registerTimer(timer)
+            self.running.update((first.started, first.allowed, timer))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        started, allowed, _ = self.running.get()
+        self.running.clear()
+        duration = timerValues.getCurrentProcessingTimeInMs() - started
+        yield Row(task_id=key[0], duration_ms=duration, allowed_ms=allowed, status="timeout", exit_code=-2)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_timeouts(updates: DataFrame, requested_ms: Column, max_ms: int = MAX_TASK_MS) -> DataFrame:
+    """Tasks of a stream of (task_id, status, started_at) that ran longer than allowed without a final status.
+
+    A task is reported when its allowance ends, though no row of it ever comes again.
+    """
+    allowed = F.least(F.coalesce(requested_ms, F.lit(max_ms)), F.lit(max_ms)).cast("long").alias("allowed")
+    rows = updates.select("task_id", (F.col("status") != "running").alias("final"), F.unix_millis("started_at").alias("started"), allowed)
+    return with_state(rows, "task_id", _Timeouts(), "task_id string, duration_ms long, allowed_ms long, status string, exit_code int", True)
+
+
 def activity_sessions(activity: DataFrame, key: str, ts: str, gap: str = IDLE_GAP) -> DataFrame:
     """Sessions per key that end after `gap` without activity."""
     if activity.isStreaming:
@@ -170,3 +272,18 @@ class RuleCatalog:
         old, self._seen = self.packs, marks
         self.packs = resolve_packs(load_packs(self.dirs))
         return diff_rules(to_dimensions(spark, old)[1], to_dimensions(spark, self.packs)[1])
+
+
+def stream_with_reload(
+    lines: DataFrame, tasks: DataFrame, catalog: RuleCatalog, sink: Callable[[DataFrame, DataFrame | None], None], checkpoint: str, **trigger
+):
+    """Start parsing each micro-batch with the rules that are current when it begins.
+
+    `sink` gets the events and, when the packs changed since the batch before, the difference of their rules.
+    """
+
+    def step(batch: DataFrame, _):
+        changed = catalog.refresh(batch.sparkSession)
+        sink(stream_parse(batch, tasks, catalog.packs), changed)
+
+    return lines.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": NOTIFY_TRIGGER})).foreachBatch(step).start()

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.text import is_context_line, is_noise, keeps_context_text
+from .stateful import Timed, with_state
 
 IDENTITY = ["type", "message", "file", "line", "col"]
 CARRIED = ["line_no", "tier", "type", "severity", "code", "message", "file", "line", "col"]
@@ -21,16 +18,21 @@ OUTPUT = (
 
 
 class TaskMerge:
-    """Collapse, pair and absorb for one task; `state` is plain data between batches."""
+    """Collapse, pair and absorb for one task; `state` is plain data between batches.
+
+    `earlier` gives the context lines that an open diagnostic took in earlier batches.
+    """
 
-    def __init__(self, state: dict | None, max_bytes: int | None):
-        self.max_bytes = max_bytes
+    def __init__(self, state: dict | None, max_bytes: int | None, earlier=list):
+        self.max_bytes, self.earlier = max_bytes, earlier
         self.s = state or {"next": 1, "used": 0, "cut": False, "seq": 0, "early": {},
                            "run": None, "pair": None, "head": None}
         self.out: list[dict] = []
 
     def _emit(self, event: dict) -> None:
         self.s["seq"] += 1
+        if event.pop("stored", False):
+            event = {**event, "context_after": [*self.earlier(), *event["context_after"]]}
         self.out.append({**event, "seq": self.s["seq"]})
 
     def _absorb(self, event: dict) -> None:
@@ -116,71 +118,136 @@ class TaskMerge:
 
 
 NAMES = [column.strip().split(" ")[0] for column in OUTPUT.split(", ")]
+EVENT = (
+    "line_no long, idx long, n_bytes long, tier string, type string, severity string, code string, message string, "
+    "file string, line long, col long, noise boolean, context boolean, keeps boolean, repeat_count long, paired boolean, kind string"
+)
+FIELDS = [column.strip().split(" ")[0] for column in EVENT.split(", ")]
+INPUT = FIELDS[: FIELDS.index("repeat_count")]
+CLOSED_MS = 86_400_000
+
+
+class _Merge(Timed):
+    """What an open task needs, field by field: progress, the open run, pair and diagnostic, its context lines,
+    and lines that came early; of a closed one a mark, so that late lines open no second task."""
+
+    def __init__(self, max_bytes: int | None, idle_ms: int | None, closed_ms: int | None):
+        self.max_bytes, self.idle_ms, self.closed_ms = max_bytes, idle_ms, closed_ms
+
+    def init(self, handle):
+        super().init(handle)
+        self.progress = handle.getValueState("progress", "next long, used long, cut boolean, seq long, early long, total long")
+        self.open = {name: handle.getValueState(name, EVENT) for name in ("run", "pair", "head")}
+        self.context = handle.getListState("context", "text string")
+        self.early = handle.getMapState("early", "line_no long", f"events array<struct<{EVENT.replace(' ', ':').replace(',:', ',')}>>")
+        self.closed = handle.getValueState("closed", "yes boolean", self.closed_ms)
+
+    def _load(self):
+        known = self.progress.get() if self.progress.exists() else (1, 0, False, 0, 0, None)
+        state = dict(zip(("next", "used", "cut", "seq"), known))
+        for name, value in self.open.items():
+            state[name] = dict(zip(FIELDS, value.get())) if value.exists() else None
+        if state["head"]:
+            state["head"] |= {"context_after": [], "stored": True}
+        merge = TaskMerge({**state, "early": {}}, self.max_bytes, lambda: [text for text, in self.context.get()])
+        return merge, known[4], known[5]
+
+    def _take(self, merge, line_no, events):
+        if not merge.s["cut"]:
+            merge._line(events)
+        merge.s["next"] = line_no + 1
+
+    def _output(self, merge, key):
+        for event in merge.out:
+            row = {**{n: event.get(n) for n in NAMES}, "task_id": key[0], "context_after": event.get("context_after") or None}
+            yield Row(*NAMES)(*[row[n] for n in NAMES])
+
+    def _save(self, merge, early, total):
+        s = merge.s
+        self.progress.update((s["next"], s["used"], s["cut"], s["seq"], early, total))
+        for name, value in self.open.items():
+            if s[name]:
+                value.update(tuple(s[name].get(f) for f in FIELDS))
+            elif value.exists():
+                value.clear()
+        head = s["head"]
+        texts = [(text,) for text in head["context_after"]] if head else []
+        if not (head and head.get("stored")):
+            self.context.clear()
+        if texts:
+            self.context.appendList(texts)
+
+    def _finish(self, merge, key):
+        for (line_no,), (events,) in sorted(self.early.iterator(), key=lambda x: x[0][0]):
+            self._take(merge, line_no, [dict(zip(FIELDS, e)) for e in events])
+        merge.finish()
+        yield from self._output(merge, key)
+        for value in (self.progress, self.context, self.early, *self.open.values()):
+            value.clear()
+        self.closed.update((True,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        if self.closed.exists():
+            return
+        merge, early, total = self._load()
+        held, ended = {}, False
+        for row in rows:
+            if row.type == "end":
+                ended, total = ended or row.line is None, total if row.line is None else row.line
+            elif row.line_no >= merge.s["next"]:
+                held.setdefault(row.line_no, {})[row.idx] = {**row.asDict(), "paired": False, "repeat_count": 1, "kind": None}
+        while held or early:
+            line_no = merge.s["next"]
+            if line_no in held:
+                self._take(merge, line_no, list(held.pop(line_no).values()))
+            elif early and self.early.containsKey((line_no,)):
+                events, early = self.early.getValue((line_no,))[0], early - 1
+                self.early.removeKey((line_no,))
+                self._take(merge, line_no, [dict(zip(FIELDS, e)) for e in events])
+            else:
+                break
+        for line_no, events in held.items():
+            early += not self.early.containsKey((line_no,))
+            self.early.updateValue((line_no,), ([tuple(e.get(f) for f in FIELDS) for e in events.values()],))
+        if ended or total is not None and merge.s["next"] > total:
+            yield from self._finish(merge, key)
+            self.stop_waiting()
+            return
+        self._save(merge, early, total)
+        self.wait(timerValues.getCurrentProcessingTimeInMs())
+        yield from self._output(merge, key)
 
-
-def _rows(task_id: str, events: list[dict]) -> pd.DataFrame:
-    columns = {name: [event.get(name) for event in events] for name in NAMES}
-    columns["task_id"] = [task_id] * len(events)
-    columns["context_after"] = [after or None for after in columns["context_after"]]
-    return pd.DataFrame(columns, dtype=object)
-
-
-def _records(frame: pd.DataFrame, names: list[str], whole: set[str]) -> list[dict]:
-    """Rows as plain values; missing ones as None, numbers that pandas widened as int again."""
-    columns = []
-    for name in names:
-        values = frame[name].tolist()
-        if name in whole:
-            values = [None if v is None or v != v else int(v) for v in values]
-        columns.append(values)
-    return [dict(zip(names, row)) for row in zip(*columns)]
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.progress.exists():
+            yield from self._finish(self._load()[0], key)
+        self.stop_waiting(delete=False)
 
 
 def stream_merge(
-    events: DataFrame, max_bytes: int | None = None, idle_ms: int | None = 600_000
+    events: DataFrame, max_bytes: int | None = None, idle_ms: int | None = 600_000, closed_ms: int = CLOSED_MS
 ) -> DataFrame:
     """Merged events of parsed lines (with n_bytes, line_no, idx); rows of type `end` close a task.
 
-    A task without an end row is closed after `idle_ms` without lines; with None it waits, so
-    that a run over finite input can end.  A task's state holds
-    one pending run, pair and head plus lines that came early; `max_bytes` cuts a task's output.
+    An end row that has the number of lines (in `line`) closes the task when these are there, in whatever
+    order they and it come, lines sent twice counting once; one without closes it at once.  A task without an end row, or that lost a line,
+    is closed after `idle_ms` without rows; with None it waits, so that a run over finite input can end.
+    Rows of a closed task are dropped, for `closed_ms` with timers, so no seq comes twice.  A task's state is
+    one pending run, pair and diagnostic with its context, and lines that came early; `max_bytes` cuts a task's output.
     """
     message = F.col("message")
     noise = (F.col("type") == "log") & is_noise(message)
-    columns = ["line_no", "idx", "n_bytes", *[c for c in CARRIED if c != "line_no"]]
-    tagged = events.select(
-        "task_id", *columns, noise.alias("noise"), is_context_line(message).alias("context"),
-        keeps_context_text(message).alias("keeps"),
-    )
-    plain = [*columns, "noise", "context", "keeps"]
-
-    def step(key, batches, state):
-        old = json.loads(state.get[0]) if state.exists else None
-        merge, ended = TaskMerge(old, max_bytes), idle_ms is not None and state.hasTimedOut
-        for frame in batches:
-            rows = _records(frame, plain, {"line_no", "idx", "n_bytes", "line", "col"})
-            ended = ended or any(r["type"] == "end" for r in rows)
-            merge.feed([r for r in rows if r["type"] != "end"])
-        if ended:
-            merge.finish()
-            state.remove()
-        else:
-            state.update((json.dumps(merge.s),))
-            if idle_ms is not None:
-                state.setTimeoutDuration(idle_ms)
-        if merge.out:
-            yield _rows(key[0], merge.out)
-
-    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return tagged.groupBy("task_id").applyInPandasWithState(step, OUTPUT, "blob string", "append", timeout)
+    tagged = events.withColumns({"noise": noise, "context": is_context_line(message), "keeps": keeps_context_text(message)})
+    tagged = tagged.select("task_id", *INPUT)
+    processor = _Merge(max_bytes, idle_ms, closed_ms if idle_ms is not None else None)
+    return with_state(tagged, "task_id", processor, OUTPUT, idle_ms is not None)
 
 
-def end_rows(tasks: DataFrame) -> DataFrame:
-    """One `end` row per finished task, shaped like parsed lines."""
+def end_rows(tasks: DataFrame, lines: Column | None = None) -> DataFrame:
+    """One `end` row per finished task, shaped like parsed lines; `lines` is the number of its lines, if known."""
     blank: dict[str, Column] = {n: F.lit(None).cast("string") for n in ("tier", "severity", "code", "file")}
     return tasks.filter("status <> 'running'").select(
         "task_id", F.lit(0).cast("long").alias("line_no"), F.lit(0).cast("long").alias("idx"),
         F.lit(0).cast("long").alias("n_bytes"), F.lit("end").alias("type"), F.lit("").alias("message"),
         *[c.alias(n) for n, c in blank.items()],
-        F.lit(None).cast("long").alias("line"), F.lit(None).cast("long").alias("col"),
+        (F.lit(None) if lines is None else lines).cast("long").alias("line"), F.lit(None).cast("long").alias("col"),
     )
