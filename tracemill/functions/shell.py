@@ -125,25 +125,42 @@ def _skip_options(words, i, tool) -> int:
     return i + 1 if tool == "timeout" else i
 
 
-def executable_index(words: list[str]) -> int:
-    """Position of the program that runs, behind assignments and wrappers; -1 if none."""
-    i = 0
-    while i < len(words) and _is_assignment(words[i]):
-        i += 1
-    while i < len(words):
-        base = _base(words[i])
-        if base == "case":
-            while i < len(words) and words[i] != "in":
-                i += 1
-            while i < len(words) and not words[i].endswith(")"):
-                i += 1
-            i += 1
-        elif base in KEYWORDS or (words[i].endswith(")") and base not in WRAPPERS):
-            i += 1
-        elif base in WRAPPERS:
-            i = _skip_options(words, i + 1, base)
-        else:
-            return i
+def _after_assignment(words, i):
+    """Assignments count in front of everything else only."""
+    return i + 1 if all(map(_is_assignment, words[: i + 1])) else None
+
+
+def _after_case(words, i):
+    """`case WORD in PATTERN)`, or all that there is of it."""
+    if _base(words[i]) != "case":
+        return None
+    rest = words[i:]
+    start = rest.index("in") if "in" in rest else len(rest)
+    return i + 1 + next((k for k in range(start, len(rest)) if rest[k].endswith(")")), len(rest))
+
+
+def _after_keyword(words, i):
+    base = _base(words[i])
+    return i + 1 if base in KEYWORDS or words[i].endswith(")") and base not in WRAPPERS else None
+
+
+def _after_wrapper(words, i):
+    base = _base(words[i])
+    return _skip_options(words, i + 1, base) if base in WRAPPERS else None
+
+
+#: What may stand in front of a program; each gives the place behind it, or None where it does not stand.
+PREFIXES = (_after_assignment, _after_case, _after_keyword, _after_wrapper)
+
+
+def program_place(words: list[str]) -> int:
+    """Position of the program that runs; -1 if none."""
+    place = 0
+    while place < len(words):
+        behind = next((end for prefix in PREFIXES if (end := prefix(words, place)) is not None), None)
+        if behind is None:
+            return place
+        place = behind
     return -1
 
 
@@ -265,7 +282,7 @@ def shape_of(text: str) -> dict:
             inner = [("text", e, "embedded", depth + 1, parent) for e in _embedded(item)]
             todo += reversed([("words", c, origin, depth, parent) for c in commands] + inner)
             continue
-        exe = executable_index(item)
+        exe = program_place(item)
         found.append({"words": item, "exe": exe, "origin": origin, "parent": parent})
         here = len(found) - 1
         more = [("words", p, "payload", depth + 1, here) for p in _payloads(item, exe)]

@@ -1,8 +1,7 @@
 """Rule packs and code references: small dimensions read from TOML on the driver.
 
-Two file shapes are read.  Bundled files hold several compact packs; user files hold one
-pack each as a `[meta]` table and `[[pattern]]` entries.  A file or rule that does not
-parse is skipped with a warning, never fatal.
+A file holds one pack as a `[meta]` table and `[[pattern]]` entries, bundled or a user's.  A file or rule
+that does not parse is skipped with a warning, never fatal.
 """
 
 from __future__ import annotations
@@ -18,7 +17,6 @@ from ..functions.patterns import is_safe
 from ..schemas import CODE_REF_DIM, PARSER_DIM, RULE_DIM
 
 BUNDLED = Path(__file__).resolve().parent.parent / "rules"
-BUNDLED_FILES = ["rust_c_go.toml", "javascript.toml", "python.toml", "operations.toml"]
 
 
 @dataclass(frozen=True)
@@ -66,25 +64,7 @@ def _keep_safe(pack: str, rules) -> tuple[Rule, ...]:
     return tuple(kept)
 
 
-def _bundled_pack(raw: dict) -> Pack:
-    rules = []
-    for name, event_type, severity, regex, fields, *extra in raw["rules"]:
-        opts = extra[0] if extra else {}
-        rules.append(
-            Rule(
-                name, event_type, severity, regex, fields,
-                state_condition=opts.get("needs"), state_transition=opts.get("sets"),
-                deprecated=opts.get("deprecated", False), replaced_by=opts.get("replaced_by"),
-            )
-        )
-    return Pack(
-        raw["name"], _keep_safe(raw["name"], rules), tuple(raw.get("detect", ())),
-        tuple(raw.get("detect_full", ())), raw.get("stateful", False),
-        raw.get("route", "structured"), raw["priority"],
-    )
-
-
-def _user_pack(path: Path) -> Pack:
+def _pack(path: Path, source: str) -> Pack:
     raw = tomllib.loads(path.read_text(encoding="utf-8"))
     meta = raw.get("meta", {})
     rules = [
@@ -97,23 +77,20 @@ def _user_pack(path: Path) -> Pack:
     ]
     name = meta.get("name", "")
     return Pack(
-        name, _keep_safe(name, rules), tuple(meta.get("detect") or [path.stem]),
+        name, _keep_safe(name, rules), tuple(meta.get("detect") or ([path.stem] if source == "user" else ())),
         tuple(meta.get("detect_full", ())), meta.get("parser_type") == "stateful",
         meta.get("route", "structured"), meta.get("priority", 0 if meta else 50),
-        meta.get("min_version"), meta.get("max_version"), "user",
+        meta.get("min_version"), meta.get("max_version"), source,
     )
 
 
 def load_packs(dirs=()) -> list[Pack]:
     """Bundled packs plus every readable `.toml` of the user directories, unresolved."""
-    packs = []
-    for name in BUNDLED_FILES:
-        text = (BUNDLED / name).read_text(encoding="utf-8")
-        packs += [_bundled_pack(p) for p in tomllib.loads(text)["pack"]]
+    packs = [_pack(path, "builtin") for path in sorted((BUNDLED / "packs").glob("*.toml"))]
     for directory in dirs:
         for path in sorted(Path(directory).expanduser().glob("*.toml")):
             try:
-                packs.append(_user_pack(path))
+                packs.append(_pack(path, "user"))
             except (tomllib.TOMLDecodeError, UnicodeDecodeError, OSError) as error:
                 warnings.warn(f"{path}: skipped ({error})")
     return packs
