@@ -13,6 +13,7 @@ from tracemill.operators import extract as X
 from tracemill.operators import lines as L
 from tracemill.operators import query as Q
 from tracemill.operators.lines import MAX_OUTPUT_BYTES
+from tracemill.plans.formats import line_format_events
 from tracemill.plans.structure import complete_output, structure_output
 from tracemill.sources.rulepacks import load_packs, resolve_packs
 
@@ -206,6 +207,12 @@ def format_events(spark, sf):
     return X.format_events(raw_rows(spark, sf))
 
 
+def format_events_by_lines(spark, sf):
+    """The same from the outputs' lines, none of them put together."""
+    lines = raw_rows(spark, sf).select("task_id", F.posexplode(F.split("raw", "\n")).alias("line_no", "text"))
+    return line_format_events(lines.withColumn("line_no", F.col("line_no").cast("long")))
+
+
 def gate_format_events(spark, sf):
     raw = raw_rows(spark, sf)
     lines = L.split_lines(raw)
@@ -526,6 +533,7 @@ CASES = {
     "x14_json_line_event": (json_line_event, JSON_SQL),
     "x15_detect_format": (detect_format, f"SELECT task_id, format FROM ({FORMAT_SQL}) f"),
     "x16_format_events": (format_events, FORMAT_EVENT_SQL),
+    "x16_format_events_by_lines": (format_events_by_lines, FORMAT_EVENT_SQL),
     "x17_gate_format_events": (gate_format_events, GATE_SQL),
     "x18_parse_lines": (parse_lines, with_views(PARSED, "lines_v", "tasks_v")),
     "x19_parse_bad_bytes": (parse_bad_bytes, with_views(BAD_BYTES_SQL, "doc_lines")),

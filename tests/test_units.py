@@ -12,6 +12,7 @@ from tracemill.functions.extract import RuleBook
 from tracemill.operators import audit, extract, quality, retention
 from tracemill.operators import query as Q
 from tracemill.plans.conditions import conditional_rules
+from tracemill.plans.formats import line_format_events
 from tracemill.plans.structure import structure_output
 from tracemill.sources.rulepacks import Pack, Rule, load_packs, resolve_packs
 
@@ -196,3 +197,37 @@ def test_diagnose_checks(spark):
 def test_guardrails(spark, command, blocked):
     tasks = spark.createDataFrame([("1", command)], "task_id string, command string")
     assert audit.guardrail_scan(tasks).first().blocked is blocked
+
+
+def outputs(rng):
+    """Texts near the border of each format."""
+    piece = lambda: rng.choice(['1', '"a,b]"', '{"level": "error", "msg": "x\\"y"}', '[1, [2]]', 'null', '"\\\\"', '{"a":\n [1,\n2]}', '[]', '{}', '-', '"open', '1 2'])
+    array = lambda n: "[" + rng.choice([",", " , ", ",\n", "\n,\n"]).join(piece() for _ in range(n)) + "]"
+    plain = ["a: 1", "# c", "", "b: c: d", "x", "---", "a,b", "c,d", "p|q", "\ta\tb", "t\tu\t", '{"a":1}', '{"b":[', "}"]
+    out = ["", " \n ", "[]", "[ ]", "[,]", "[1,]", "{}", "[1]]", "[1] x", '{"a":1} {"b":2}', "[[1],[2", "[{]}", '["a\nb"]', "]", "a\\b,c\nd,e\\", "\r\n[1,\r\n2]\r\n"]
+    for _ in range(60):
+        out.append(array(rng.randint(0, 5)) if rng.random() < 0.5 else "\n".join(rng.choices(plain, k=rng.randint(1, 7))))
+        out.append("\n".join(rng.choices(plain[rng.randint(0, 12):][:3], k=rng.randint(1, 8))))
+        out.append(rng.choice(["", "\n", " \n\t"]) + '{"k": ' + array(2) + "}" + rng.choice(["", "\n\n", "\n{}"]))
+    return out
+
+
+@pytest.mark.parametrize("width", [1, 100_000])
+def test_formats_by_lines_equal_whole_texts(spark, width):
+    texts = outputs(random.Random(width))
+    raw = spark.createDataFrame([(f"t{k}", t) for k, t in enumerate(texts)], "task_id string, raw string")
+    lines = [(f"t{k}", 2 * n, line) for k, t in enumerate(texts) for n, line in enumerate(t.split("\n"), 1)]
+    found = line_format_events(spark.createDataFrame(lines, "task_id string, line_no long, text string").repartition(4), width)
+    want = extract.format_events(raw)
+    columns = want.columns
+    show = lambda df: sorted(map(repr, df.select(*columns).collect()))
+    assert show(found) == show(want) and want.select("format").distinct().count() == 4
+
+
+def test_long_array_is_cut_into_items(spark):
+    """An array of 12 MB, above what was read as one, over many lines, and one in one line."""
+    line = F.concat(F.when(F.col("id") == 0, "[").otherwise(","), F.lit('{"level":"error","msg":"'), F.repeat(F.lit("x,]"), 600), F.lit('","code":'), "id", F.lit("}"))
+    many = spark.range(6_000).select(F.lit("many").alias("task_id"), (F.col("id") + 1).alias("line_no"), line.alias("text"))
+    many = many.unionByName(spark.createDataFrame([("many", 6_001, "]"), ("one", 1, "[" + ",".join(['{"a": [1, "]"]}'] * 3_000) + "]")], many.schema))
+    rows = line_format_events(many, 1_000).groupBy("task_id", "format", "type").agg(F.count("*"), F.max("item")).collect()
+    assert sorted(map(tuple, rows)) == [("many", "json", "diagnostic", 6_000, 6_000), ("one", "json", "data", 3_000, 3_000)]

@@ -319,9 +319,9 @@ def _tag_format(raw: DataFrame, text: str) -> DataFrame:
         F.slice("_rows", 1, 5),
         lambda x: (trim(x) == "") | trim(x).startswith("#") | trim(x).contains(": "),
     )
-    yaml = (trim(F.col("_rows")[0]) == "---") | ((F.size("_rows") >= 2) & yaml_head)
-    rows = rows.withColumn("_delim", _delimiter(F.col("_filled")[0]))
-    width = _columns(F.col("_filled")[0], F.col("_delim"))
+    yaml = (trim(F.get("_rows", F.lit(0))) == "---") | ((F.size("_rows") >= 2) & yaml_head)
+    rows = rows.withColumn("_delim", _delimiter(F.get("_filled", F.lit(0))))
+    width = _columns(F.get("_filled", F.lit(0)), F.col("_delim"))
     table = (n >= 2) & F.col("_delim").isNotNull() & F.forall(
         "_filled", lambda x: _columns(x, F.col("_delim")) == width
     )
