@@ -84,6 +84,8 @@ class WordEncoder:
         self.lowered, self.most = name in LOWERED, most
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = sorted({c.lower() if self.lowered else c for c in added})
+        signs = [re.search(r"[^\w\s]+", c) for c in added]  # what a text must have to spell one, in either case
+        self.signs = {m[0] for m in signs} if all(signs) else {""}
         self.bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.words, self.chunks = _Known(), _Known()
 
@@ -131,9 +133,10 @@ class WordEncoder:
     def _way(self, text: str):
         if self.cut is None or _UNCOMMON.search(text):
             return self._whole
-        plain = text.lower() if self.lowered else text
-        if any(token in plain for token in self.added):  # found before a text is cut into words
-            return self._whole
+        if any(sign in text for sign in self.signs):
+            plain = text.lower() if self.lowered else text
+            if any(token in plain for token in self.added):  # found before a text is cut into words
+                return self._whole
         return self._by_words if not self.lowered and any(gap in text for gap in _WIDE) else self._by_chunks
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
