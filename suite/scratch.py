@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+from tracemill.sources.steps import shared_folder as folder
 
 
 def run_append(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ from tracemill.operators import audit, extract, quality, retention
 from tracemill.operators import query as Q
 from tracemill.plans.conditions import conditional_rules
 from tracemill.plans.formats import line_format_events
-from tracemill.plans.structure import structure_output
+from tracemill.plans.structure import complete_output, structure_output
 from tracemill.sources.rulepacks import Pack, Rule, load_packs, resolve_packs
 
 
@@ -231,3 +231,17 @@ def test_long_array_is_cut_into_items(spark):
     many = many.unionByName(spark.createDataFrame([("many", 6_001, "]"), ("one", 1, "[" + ",".join(['{"a": [1, "]"]}'] * 3_000) + "]")], many.schema))
     rows = line_format_events(many, 1_000).groupBy("task_id", "format", "type").agg(F.count("*"), F.max("item")).collect()
     assert sorted(map(tuple, rows)) == [("many", "json", "diagnostic", 6_000, 6_000), ("one", "json", "data", 3_000, 3_000)]
+
+
+def test_complete_output_reads_an_array_of_any_size(spark):
+    """Data events of 12 MB of one task's output, behind its own events; a task with a JSON line gives none."""
+    line = F.concat(F.when(F.col("id") == 0, "[").otherwise(","), F.lit('{"level":"error","msg":"'), F.repeat(F.lit("x,]"), 600), F.lit('","code":'), "id", F.lit("}"))
+    rows = spark.range(6_000).select(F.lit("many").alias("task_id"), (F.col("id") + 1).alias("line_no"), line.alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([("many", 6_001, "]"), ("mixed", 1, '{"level":"info","msg":"m"}'), ("mixed", 2, "[1]")], rows.schema))
+    lines = rows.select("*", F.lit("stdout").alias("source"), (F.octet_length("text") + 1).cast("long").alias("n_bytes"))
+    tasks = spark.createDataFrame([("many", None, 0), ("mixed", None, 0)], "task_id string, parser_name string, exit_code int")
+    out = complete_output(lines, tasks, [], width=1_000)
+    own, data = out.filter("tier <> 'format' and task_id = 'many'"), out.filter("tier = 'format'")
+    assert [tuple(r) for r in data.groupBy("task_id", "type").agg(F.count("*")).collect()] == [("many", "diagnostic", 6_000)]
+    assert data.agg(F.min("seq")).first()[0] == own.agg(F.max("seq")).first()[0] + 1
+    assert out.groupBy("task_id", "seq").count().filter("count > 1").count() == 0

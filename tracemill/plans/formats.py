@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import extract as X
 from ..functions.text import trim
 from ..operators.extract import _columns, _delimiter, _event_columns, _parses
+from ..sources.steps import stored
 from .segments import KEY, SEGMENT_POSITIONS, running_total
 
 #: Control characters, which JSON has none of, stand for what must not be seen: brackets and commas within
@@ -106,6 +107,7 @@ def _json_shapes(body: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
         "adds": (_number(F.col("hidden"), "[{") - _number(F.col("hidden"), "]}")).cast("long"),
         "open": (_number(F.col("hidden"), '"') % 2 == 1) | (_number(F.col("row"), HIDDEN + "".join(ESCAPES.values())) > 0)})
     rows = running_total(rows, F.col("adds"), "depth", ("line_no",), width).withColumn("depth", F.col("depth") - F.col("adds"))
+    rows = stored(rows.select(KEY, "line_no", "opener", "hidden", "adds", "open", "depth"), "format-depths")
     rows = rows.withColumn("tokens", F.regexp_extract_all("hidden", F.lit(TOKEN), F.lit(0)))
     rows = rows.withColumn("scan", _scan(F.col("tokens"), F.col("depth")))
     rows = running_total(rows, F.col("scan.commas").cast("long"), "commas", ("line_no",), width)
@@ -114,7 +116,7 @@ def _json_shapes(body: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
         F.sum("adds").alias("end"), F.sum("scan.begun").alias("begun"), F.sum("scan.ended").alias("ended"), F.sum("scan.stray").alias("stray"),
         F.bool_or("open").alias("open"), F.min("depth").alias("least"))
     whole = whole.filter("end = 0 and begun = 1 and ended = 1 and stray = 0 and not open and least >= 0").select(KEY, "opener")
-    return rows.select(KEY, "line_no", "depth", "commas", "tokens"), whole
+    return rows, whole
 
 
 def _array_items(rows: DataFrame, whole: DataFrame) -> DataFrame:
@@ -140,7 +142,8 @@ def _array_items(rows: DataFrame, whole: DataFrame) -> DataFrame:
 def _json_events(body: DataFrame, width: int) -> DataFrame:
     """task_id, item (from 1, or null for a task without any) and event of outputs that are one JSON value."""
     rows, whole = _json_shapes(body, width)
-    items = _array_items(rows, whole).withColumn("value", X.strict_json(F.col("text")))
+    whole = stored(whole, "format-whole")
+    items = stored(_array_items(rows, whole), "format-items").withColumn("value", X.strict_json(F.col("text")))
     blank = (F.col("item") == 0) & (trim(F.col("text")) == "")
     good = items.groupBy(KEY).agg(F.bool_and(F.col("value").isNotNull() | blank).alias("good"), F.count(F.lit(1)).alias("n"), F.bool_or(blank).alias("blank"))
     good = good.filter("good and (n = 1 or not blank)").select(KEY)
@@ -156,10 +159,12 @@ def _json_events(body: DataFrame, width: int) -> DataFrame:
 def line_format_events(lines: DataFrame, width: int = SEGMENT_POSITIONS) -> DataFrame:
     """Data events of the outputs in lines (task_id, line_no, text), numbered by `item` from 1 in each task.
 
-    The same as operators.extract.format_events over the lines put together, for output of any size.
+    The same as operators.extract.format_events over the lines put together, for output of any size.  What
+    several steps read (the bodies of the outputs, the depths of their brackets, the items) is written once to
+    the shared folder, so the lines are read twice, and nothing is computed again.
     """
-    body = _body(lines)
-    json = _json_events(body, width)
+    body = stored(_body(lines), "format-bodies")
+    json = stored(_json_events(body, width), "format-json")
     formats = _line_formats(body).filter("format is not null").join(json.select(KEY).distinct(), KEY, "left_anti")
     row, kind, info = F.col("row"), F.col("format"), F.lit("info")
     filled = trim(row) != ""

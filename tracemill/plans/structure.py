@@ -11,6 +11,8 @@ from ..functions.extract import json_line_event
 from ..functions.text import strip_ansi
 from ..operators import extract, lines as line_ops, merge
 from ..sources.rulepacks import Pack
+from ..sources.steps import stored
+from .formats import line_format_events
 from .segments import SEGMENT_POSITIONS
 from .transducer import merge_events
 
@@ -52,24 +54,22 @@ def complete_output(
     tasks: DataFrame,
     packs: Sequence[Pack],
     max_bytes: int | None = None,
-    format_bytes: int = line_ops.MAX_OUTPUT_BYTES,
+    width: int = SEGMENT_POSITIONS,
 ) -> DataFrame:
     """`structure_output`, then what is only known when a task has ended.
 
     Behind a task's events come the data events of a structured output as a whole (unless
-    the output was cut or had JSON lines) and the summary of an npm run.  A value over many
-    lines needs its text in one place, so output of more than `format_bytes` is not read as one.
+    the output was cut or had JSON lines) and the summary of an npm run.  Outputs of any size
+    are read from their lines.  Events are written to the shared folder once, as their
+    numbers are needed before the rest can be put behind them.
     """
-    events = structure_output(lines, tasks, packs, max_bytes)
-    capped = line_ops.cap_task_output(lines, format_bytes if max_bytes is None else min(max_bytes, format_bytes)).withColumn(
-        "tier", F.when(json_line_event(strip_ansi(F.col("text"))).isNotNull(), "json"))
-    # a task's text is bounded by format_bytes
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "text")))
-    raw = capped.filter(~F.col("truncated")).groupBy("task_id").agg(
-        F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("raw"))
-    data = extract.gate_format_events(extract.format_events(raw), capped, capped)
+    events = stored(structure_output(lines, tasks, packs, max_bytes, width), "task-events")
+    whole = lines if max_bytes is None else line_ops.cap_task_output(lines, max_bytes)
+    json_line = json_line_event(strip_ansi(F.col("text"))).isNotNull()
+    barred = whole.filter(json_line if max_bytes is None else json_line | F.col("truncated")).select("task_id").distinct()
+    data = stored(line_format_events(whole.join(barred, "task_id", "left_anti"), width), "task-data")
     npm = tasks.filter(F.col("parser_name") == "npm").select("task_id", "parser_name")
-    npm_lines = (lines if max_bytes is None else capped).select("task_id", "line_no", strip_ansi(F.col("text")).alias("text")).join(npm, "task_id")
+    npm_lines = whole.select("task_id", "line_no", strip_ansi(F.col("text")).alias("text")).join(npm, "task_id")
     stateful = extract.apply_stateful_rules(npm_lines, [p for p in packs if p.name == "npm"])
     ends = extract.completion_summary(stateful, tasks).withColumn("item", F.lit(None).cast("long"))
     last = events.groupBy("task_id").agg(F.max("seq").alias("_last"))
