@@ -40,9 +40,17 @@ def first_error_advantage(spark, sf):
     return B.first_error_advantage(view(spark, sf, "lines_v"), view(spark, sf, "merge_v"))
 
 
+#: Some lines of any kind say that something failed.
+FAILED_TEXT = "CASE WHEN line_no % 7 = 3 THEN text || ' (Failed)' ELSE text END"
+
+
+def raw_lines(spark, sf):
+    return view(spark, sf, "lines_v").withColumn("text", F.expr(FAILED_TEXT))
+
+
 def unparsed_error_lines(spark, sf):
     events = view(spark, sf, "merge_v").withColumnRenamed("seq", "line_no")
-    return B.unparsed_error_lines(view(spark, sf, "lines_v"), events)
+    return B.unparsed_error_lines(raw_lines(spark, sf), events)
 
 
 def report(spark, sf):
@@ -63,6 +71,21 @@ def compare_reports(spark, sf):
     return B.compare_reports(report(spark, sf), old)
 
 
+def full_report(spark, sf):
+    return B.benchmark_report(view(spark, sf, "merge_v"), actual(spark, sf), expected(spark, sf), raw_lines(spark, sf))
+
+
+def line_totals(spark, sf):
+    return B.benchmark_line_totals(full_report(spark, sf))
+
+
+def diff_reports(spark, sf):
+    """Against a report without some tasks and crashes, in which all was as expected; the new one lacks others."""
+    old_events = view(spark, sf, "merge_v").filter("task_id % 7 <> 0 AND type <> 'crash'")
+    old = B.benchmark_report(old_events, actual(spark, sf), actual(spark, sf), raw_lines(spark, sf))
+    return B.diff_reports(full_report(spark, sf).filter("fixture % 11 <> 0"), old)
+
+
 MESSAGE = """'note' || chr(10) || 'EXIT_CODE: ' || CAST(turn % 3 AS STRING) || chr(10) || 'CODE: E' || CAST(conv_id % 7 AS STRING)
   || chr(10) || 'MESSAGE: ' || text || chr(10) || 'LOCATION: src/a.rs:' || CAST(turn AS STRING) || chr(10)
   || CASE WHEN turn % 2 = 0 THEN 'Status: PASS' ELSE 'STATUS: failing' END"""
@@ -148,9 +171,36 @@ DENSITY = """SELECT task_id AS fixture, count(*) AS events, 2 * count(*) + count
 REPORT_SQL = f"""SELECT d.*, CASE WHEN n_expected > 0 THEN matched::DOUBLE / n_expected ELSE 1.0 END AS accuracy,
   fields::DOUBLE / events AS fields_per_event FROM ({DENSITY.replace('{src}', 'merge_v')}) d LEFT JOIN ({FIXTURE_SQL}) f ON f.fixture = d.fixture"""
 OLD_SQL = DENSITY.replace("{src}", "(SELECT * FROM merge_v WHERE CAST(task_id AS BIGINT) % 7 <> 0 AND type <> 'crash') m")
+OLD_EVENTS = "(SELECT * FROM merge_v WHERE CAST(task_id AS BIGINT) % 7 <> 0 AND type <> 'crash')"
+RAW_LINES = f"(SELECT task_id, line_no, {FAILED_TEXT} AS text FROM lines_v)"
 FIRST = " OR ".join(f"contains(text, '{w}')" for w in B.FIRST_ERROR_WORDS)
 WORDS = " OR ".join(f"contains(lower(text), '{w}')" for w in B.ERROR_WORDS)
 
+
+def full_report_sql(events, accuracy):
+    """The report with lines; `accuracy` has fixture, accuracy."""
+    return f"""SELECT d.*, a.accuracy, fields::DOUBLE / events AS fields_per_event, raw_lines, unparsed,
+  CASE WHEN event_seq IS NOT NULL THEN coalesce(event_seq < raw_line, true) END AS faster
+FROM ({DENSITY.replace('{src}', f'{events} ev')}) d LEFT JOIN ({accuracy}) a ON a.fixture = d.fixture
+JOIN (SELECT task_id, count(*) FILTER (WHERE trim(text) <> '') AS raw_lines, min(line_no) FILTER (WHERE {FIRST}) AS raw_line,
+    count(*) FILTER (WHERE ({WORDS}) AND NOT EXISTS (SELECT 1 FROM {events} p WHERE p.type <> 'log' AND p.task_id = l.task_id AND p.seq = l.line_no)) AS unparsed
+  FROM {RAW_LINES} l GROUP BY 1) w ON w.task_id = d.fixture
+LEFT JOIN (SELECT task_id, min(seq) AS event_seq FROM {events} f WHERE severity IN ('error', 'warning') GROUP BY 1) e ON e.task_id = d.fixture"""
+
+
+FULL_SQL = full_report_sql("merge_v", f"SELECT fixture, CASE WHEN n_expected > 0 THEN matched::DOUBLE / n_expected ELSE 1.0 END AS accuracy FROM ({FIXTURE_SQL}) x")
+FULL_OLD_SQL = full_report_sql(OLD_EVENTS, "SELECT DISTINCT task_id AS fixture, 1.0::DOUBLE AS accuracy FROM merge_v")
+PCT = "count(*) FILTER (WHERE {t}faster) * 100.0::DOUBLE / nullif(count({t}faster), 0)"
+DIFF_SQL = f"""WITH fresh AS ({FULL_SQL}), n AS (SELECT * FROM fresh WHERE CAST(fixture AS BIGINT) % 11 <> 0), o AS ({FULL_OLD_SQL}),
+  of_all AS (SELECT avg(accuracy) AS accuracy, {PCT.format(t='')} AS pct, sum(unparsed) AS unparsed, sum(diagnostic_events) AS diagnostics FROM n),
+  of_old AS (SELECT avg(accuracy) AS accuracy, {PCT.format(t='')} AS pct, sum(unparsed) AS unparsed, sum(diagnostic_events) AS diagnostics FROM o)
+SELECT coalesce(n.fixture, o.fixture) AS fixture, CASE WHEN o.fixture IS NULL THEN 'added' WHEN n.fixture IS NULL THEN 'removed' ELSE 'both' END AS change,
+  n.accuracy - o.accuracy AS accuracy_delta, n.faster::INT * 100.0::DOUBLE - o.faster::INT * 100.0::DOUBLE AS advantage_delta,
+  CAST(n.unparsed - o.unparsed AS BIGINT) AS unparsed_delta, CAST(n.diagnostic_events - o.diagnostic_events AS BIGINT) AS diagnostics_delta
+FROM n FULL JOIN o ON n.fixture = o.fixture
+UNION ALL SELECT NULL, 'total', a.accuracy - b.accuracy, a.pct - b.pct, CAST(a.unparsed - b.unparsed AS BIGINT), CAST(a.diagnostics - b.diagnostics AS BIGINT)
+FROM of_all a, of_old b"""
+
 RUNS = f"""(SELECT conv_id || '-' || turn AS task_id, conv_id, turn, text, {MESSAGE} AS last_message FROM conversations)"""
 FIRST_LINE = "trim(split_part(text, chr(10), 1))"
 DIAGNOSE_SQL = f"""
@@ -186,13 +236,19 @@ CASES = {
         FROM (SELECT task_id, min(seq) AS event_seq FROM merge_v WHERE severity IN ('error', 'warning') GROUP BY 1) s
         FULL JOIN (SELECT task_id, min(line_no) AS raw_line FROM lines_v WHERE {FIRST} GROUP BY 1) r ON s.task_id = r.task_id""", "merge_v", "lines_v")),
     "b4_unparsed_error_lines": (unparsed_error_lines, with_views(f"""
-        SELECT l.task_id, count(*) AS unparsed FROM lines_v l JOIN merge_v m ON m.task_id = l.task_id AND m.seq = l.line_no
+        SELECT l.task_id, count(*) AS unparsed FROM {RAW_LINES} l JOIN merge_v m ON m.task_id = l.task_id AND m.seq = l.line_no
         WHERE ({WORDS}) AND m.type = 'log' GROUP BY 1""", "merge_v", "lines_v")),
     "b5_benchmark_report": (benchmark_report, with_views(REPORT_SQL, *M)),
     "b5_benchmark_totals": (benchmark_totals, with_views(
         f"SELECT count(*) AS fixtures, CAST(sum(events) AS BIGINT) AS events, avg(accuracy) AS avg_accuracy, sum(fields)::DOUBLE / sum(events) AS fields_per_event, CAST(sum(diagnostic_events) AS BIGINT) AS diagnostic_events FROM ({REPORT_SQL}) r", *M)),
     "b6_compare_reports": (compare_reports, with_views(
         f"SELECT r.fixture, CASE WHEN o.fixture IS NOT NULL THEN r.accuracy - 1.0 END AS accuracy_delta, r.diagnostic_events - o.diagnostic_events AS diagnostics_delta FROM ({REPORT_SQL}) r LEFT JOIN ({OLD_SQL}) o ON o.fixture = r.fixture", *M)),
+    "b5_report_with_lines": (full_report, with_views(FULL_SQL, "merge_v", "lines_v")),
+    "b5_line_totals": (line_totals, with_views(f"""
+        SELECT CAST(sum(raw_lines) AS BIGINT) AS raw_lines, coalesce({PCT.format(t='')}, 0) AS error_speed_advantage_pct,
+          CAST(sum(unparsed) AS BIGINT) AS unparsed_error_lines, CAST(sum(with_location) AS BIGINT) AS with_location,
+          CAST(sum(with_code) AS BIGINT) AS with_code FROM ({FULL_SQL}) r""", "merge_v", "lines_v")),
+    "b6_diff_reports": (diff_reports, with_views(DIFF_SQL, "merge_v", "lines_v")),
     "b7_extract_report": (extract_report, f"""
         SELECT task_id, CAST(turn % 3 AS STRING) AS report_exit_code, CAST(turn % 3 AS STRING) AS report_code,
           {FIRST_LINE} AS report_message, 'src/a.rs:' || CAST(turn AS STRING) AS report_location,

@@ -94,14 +94,34 @@ def _density(events: DataFrame) -> list[Column]:
     ]
 
 
-def benchmark_report(events: DataFrame, actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """Per fixture: event density and accuracy."""
+def line_report(lines: DataFrame, events: DataFrame) -> DataFrame:
+    """Per task: lines that are not blank, whether its first error comes first as an event, error lines left unparsed."""
+    raw = lines.groupBy("task_id").agg(F.count_if(trim(F.col("text")) != "").alias("raw_lines"))
+    faster = first_error_advantage(lines, events).select("task_id", "faster")
+    unparsed = unparsed_error_lines(lines, events.withColumn("line_no", F.col("seq")))
+    return raw.join(faster, "task_id", "left").join(unparsed, "task_id", "left").withColumn(
+        "unparsed", F.coalesce("unparsed", F.lit(0).cast("long")))
+
+
+def benchmark_report(events: DataFrame, actual: DataFrame, expected: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """Per fixture: event density and accuracy; with the raw lines also raw_lines, faster and unparsed.
+
+    Events with lines have the number of their line as `seq`.
+    """
     density = events.groupBy(F.col("task_id").alias("fixture")).agg(*_density(events))
     scores = score_fixtures(actual, expected).select(
         "fixture", F.when(F.col("n_expected") > 0, F.col("matched") / F.col("n_expected"))
         .otherwise(F.lit(1.0)).alias("accuracy"))
-    return density.join(scores, "fixture", "left").withColumn(
+    report = density.join(scores, "fixture", "left").withColumn(
         "fields_per_event", F.col("fields") / F.col("events"))
+    if lines is None:
+        return report
+    return report.join(line_report(lines, events).withColumnRenamed("task_id", "fixture"), "fixture", "left")
+
+
+def _advantage(of: Column) -> Column:
+    """Percent of fixtures whose first error comes first as an event, of those that have one."""
+    return F.count_if(of & F.col("faster")) * 100.0 / F.nullif(F.count_if(of & F.col("faster").isNotNull()), F.lit(0))
 
 
 def benchmark_totals(report: DataFrame) -> DataFrame:
@@ -114,6 +134,39 @@ def benchmark_totals(report: DataFrame) -> DataFrame:
     )
 
 
+def benchmark_line_totals(report: DataFrame) -> DataFrame:
+    """One row over all fixtures of a report with lines: what `benchmark_totals` leaves out."""
+    return report.agg(
+        F.sum("raw_lines").alias("raw_lines"), F.coalesce(_advantage(F.lit(True)), F.lit(0.0)).alias("error_speed_advantage_pct"),
+        F.sum("unparsed").alias("unparsed_error_lines"), F.sum("with_location").alias("with_location"),
+        F.sum("with_code").alias("with_code"))
+
+
+def diff_reports(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Changes between two reports with lines: a row for each fixture of either, and one over all (fixture null).
+
+    Both reports go through one aggregation with two grouping sets.  A fixture in one report only is `added` or
+    `removed` and has no changes; the row over all is `total`, its accuracy an average over fixtures and its
+    advantage a percentage.
+    """
+    names = ["fixture", "accuracy", "faster", "unparsed", "diagnostic_events"]
+    both = new.select(*names, F.lit(True).alias("is_new")).unionByName(old.select(*names, F.lit(False).alias("is_new")))
+    now, then = F.col("is_new"), ~F.col("is_new")
+
+    def change(measure):
+        return measure(now) - measure(then)
+
+    sides = both.groupingSets([["fixture"], []], "fixture").agg(
+        F.grouping("fixture").alias("_total"), F.bool_or(now).alias("_new"), F.bool_or(then).alias("_old"),
+        change(lambda side: F.avg(F.when(side, F.col("accuracy")))).alias("accuracy_delta"),
+        change(_advantage).alias("advantage_delta"),
+        change(lambda side: F.sum(F.when(side, F.col("unparsed")))).alias("unparsed_delta"),
+        change(lambda side: F.sum(F.when(side, F.col("diagnostic_events")))).alias("diagnostics_delta"),
+    )
+    kind = (F.when(F.col("_total") == 1, "total").when(~F.col("_old"), "added").when(~F.col("_new"), "removed").otherwise("both"))
+    return sides.select("fixture", kind.alias("change"), "accuracy_delta", "advantage_delta", "unparsed_delta", "diagnostics_delta")
+
+
 def compare_reports(new: DataFrame, old: DataFrame) -> DataFrame:
     """Per fixture of the new report: change of accuracy and diagnostics; null where it is new."""
     before = old.select("fixture", F.col("accuracy").alias("_accuracy"),
