@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from suite.audit_cases import BASE, SHAPES, commands, pick
@@ -10,6 +11,7 @@ from suite.stats_cases import STATS_SQL
 from suite.views import table, view, with_views
 from tracemill.operators import audit, stats
 from tracemill.sources import rulepacks, store
+from tracemill.sources.commits import read_committed
 
 
 def task_lines(spark, sf):
@@ -53,7 +55,7 @@ def write_events(spark, sf):
     path = folder(spark, "events")
     events = view(spark, sf, "merge_v")
     store.write_events(events, path, F.concat(F.lit("2024-01-0"), (F.col("seq") % 5 + 1).cast("string")))
-    rows = spark.read.text(path).withColumn("row", F.from_json("value", f"task_id string, {store.EVENT_JSON}"))
+    rows = read_committed(spark, path, "value string", "text").withColumn("row", F.from_json("value", f"task_id string, {store.EVENT_JSON}"))
     return rows.select("row.task_id", *store.flat_event("row")).drop("context_after")
 
 
@@ -64,16 +66,16 @@ def read_events(spark, sf):
     broken = F.when(F.col("seq") % 40 == 0, F.lit("{broken")).otherwise(store.event_json())
     events.select(broken.alias("value")).write.text(path)
     good, corrupt = store.read_events(spark, path)
-    return good.groupBy("type").agg(F.count(F.lit(1)).alias("n")).unionByName(
-        corrupt.groupBy(F.lit("corrupt").alias("type")).agg(F.count(F.lit(1)).alias("n")))
+    return good.drop("task_id", "context_after").unionByName(
+        corrupt.select(F.lit("corrupt").alias("type"), F.col("value").alias("message")), allowMissingColumns=True)
 
 
 def read_raw(spark, sf):
     path = folder(spark, "raw")
     table(spark, sf, "documents").select("text").write.text(path)
     lines = store.read_raw(spark, path)
-    return lines.agg(F.count(F.lit(1)).alias("lines"), F.sum("n_bytes").alias("bytes"),
-                     F.count_distinct("task_id", "line_no").alias("positions"))
+    again = F.count(F.lit(1)).over(Window.partitionBy("task_id", "line_no"))
+    return lines.select("text", "n_bytes", again.alias("at_its_place"))
 
 
 def read_agent_events(spark, sf):
@@ -90,15 +92,14 @@ def read_agent_events(spark, sf):
 def write_audit(spark, sf):
     path = folder(spark, "audit")
     store.write_audit(audit.audit_log(commands(spark, sf)), path)
-    rows = spark.read.schema("task_id string, blocked boolean").json(path)
-    return rows.groupBy("blocked").agg(F.count(F.lit(1)).alias("n"))
+    return read_committed(spark, path, "task_id string, blocked boolean, exit_code int")
 
 
 def write_metrics_snapshot(spark, sf):
     path = folder(spark, "metrics")
     report = stats.stats_report(view(spark, sf, "tasks_v"), view(spark, sf, "events_v"))
     store.write_metrics_snapshot(report, path, "2024-01-01", {"corpus": "tasks_v", "excluded": "none"})
-    saved = spark.read.schema("section string, metric string, value double, provenance string, snapshot_date date").json(path)
+    saved = read_committed(spark, path, "section string, metric string, value double, provenance string, snapshot_date date")
     return saved.select("section", "metric", "value", "provenance", F.col("snapshot_date").cast("string"))
 
 
@@ -118,13 +119,17 @@ def code_ref_usage(spark, sf):
 
 
 def integrity_report(spark, sf):
-    path = tasks_path(spark, sf)
-    out = store.integrity_report(spark, path, path)
-    return out.filter("kind = 'task'").select("value")
+    events = folder(spark, "event-files")
+    row = F.when(F.col("seq") % 40 == 0, F.concat(F.lit("{broken "), "task_id")).otherwise(store.event_json())
+    view(spark, sf, "merge_v").select(row.alias("value")).write.text(events)
+    return store.integrity_report(spark, tasks_path(spark, sf), events).select("kind", "value")
 
 
 def store_size(spark, sf):
-    return store.store_size(spark, f"{sf}/orders.parquet").select("files", (F.col("bytes") > 0).alias("filled"))
+    """Of the documents' texts, written as four files."""
+    path = folder(spark, "sized")
+    table(spark, sf, "documents").select("text").repartition(4).write.text(path)
+    return store.store_size(spark, path)
 
 
 BAD = """SELECT '{"task_id": "x' || task_id AS value FROM tasks_v WHERE CAST(task_id AS BIGINT) % 50 = 0"""
@@ -133,10 +138,15 @@ CASES = {
     "s1_read_tasks": (read_tasks, with_views(
         "SELECT task_id, command, status, exit_code, duration_ms, events_count FROM tasks_v", "tasks_v")),
     "s2_read_events": (read_events, with_views(
-        "SELECT CASE WHEN seq % 40 = 0 THEN 'corrupt' ELSE type END AS type, count(*) AS n FROM merge_v GROUP BY 1", "merge_v")),
+        """SELECT CASE WHEN broken THEN NULL ELSE seq END AS seq, CASE WHEN broken THEN 'corrupt' ELSE type END AS type,
+             CASE WHEN NOT broken THEN severity END AS severity, CASE WHEN NOT broken THEN code END AS code,
+             CASE WHEN broken THEN '{broken' ELSE message END AS message, CASE WHEN NOT broken THEN file END AS file,
+             CASE WHEN NOT broken AND file IS NOT NULL THEN line END AS line, CAST(NULL AS BIGINT) AS col
+           FROM (SELECT *, seq % 40 = 0 AS broken FROM merge_v) m""", "merge_v")),
     "s3_quarantine": (quarantine, with_views(BAD, "tasks_v")),
-    "s4_read_raw": (read_raw, """SELECT CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines,
-        CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS positions FROM documents"""),
+    "s4_read_raw": (read_raw, """SELECT CASE WHEN ends_with(x, chr(13)) THEN left(x, -1) ELSE x END AS text,
+        CAST(strlen(x) + 1 AS BIGINT) AS n_bytes, CAST(1 AS BIGINT) AS at_its_place
+        FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM documents) t"""),
     "s5_load_rules": (rule_usage, with_views(
         "SELECT parser_name AS parser, count(*) AS tasks, CASE parser_name " + " ".join(
             f"WHEN '{p}' THEN {n}" for p, n in PACK_RULES.items())
@@ -151,10 +161,12 @@ CASES = {
     "s9_write_events": (write_events, with_views("SELECT * FROM merge_v", "merge_v")),
     "s10_write_tasks": (write_tasks, with_views(
         f"SELECT task_id, 'task' AS kind FROM tasks_v UNION ALL SELECT value, 'corrupt' FROM ({BAD}) b", "tasks_v")),
-    "s11_write_audit": (write_audit, f"SELECT blocked, count(*) AS n FROM (SELECT {pick([str(bool(s[5] or s[6])).lower() for s in SHAPES])} AS blocked FROM ({BASE}) b) c GROUP BY 1"),
+    "s11_write_audit": (write_audit, f"""SELECT task_id, blocked, CASE WHEN NOT blocked THEN CAST(CAST(task_id AS BIGINT) % 2 AS INTEGER) END AS exit_code
+        FROM (SELECT task_id, {pick([str(bool(s[5] or s[6])).lower() for s in SHAPES])} AS blocked FROM ({BASE}) b) c"""),
     "s12_write_metrics_snapshot": (write_metrics_snapshot, with_views(
         f"""SELECT *, '2024-01-01' AS snapshot_date, '{{"corpus": "tasks_v", "excluded": "none"}}' AS provenance FROM ({STATS_SQL}) s""",
         "tasks_v", "events_v")),
-    "r3_integrity_report": (integrity_report, with_views(BAD, "tasks_v")),
-    "a12_store_size": (store_size, "SELECT count(DISTINCT 1) AS files, true AS filled FROM orders"),
+    "r3_integrity_report": (integrity_report, with_views(
+        f"SELECT 'task' AS kind, value FROM ({BAD}) b UNION ALL SELECT 'event', '{{broken ' || task_id FROM merge_v WHERE seq % 40 = 0", "tasks_v", "merge_v")),
+    "a12_store_size": (store_size, "SELECT CAST(4 AS BIGINT) AS files, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents"),
 }

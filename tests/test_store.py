@@ -3,7 +3,7 @@
 import pytest
 from pyspark.errors import PySparkException
 
-from tracemill.sources import store
+from tracemill.sources import commits, store
 from tracemill.streaming.live import RuleCatalog
 
 
@@ -62,3 +62,50 @@ def test_hot_reload(spark, tmp_path):
     catalog._checked -= 10
     diff = catalog.refresh(spark)
     assert [(r.parser, r.change, r.rules_delta) for r in diff.collect()] == [("mytool", "added", 1)]
+
+
+def rows(spark, path, version=None):
+    return sorted(r.n for r in commits.read_committed(spark, path, "n int", "json", version).collect())
+
+
+def test_commits_show_whole_states(spark, tmp_path):
+    """A reader between data and manifest sees what was there; a batch counts once; a replacement ends what was before."""
+    path, seen = str(tmp_path / "table"), []
+    part = lambda n: spark.createDataFrame([(n,)], "n int").write.json
+    assert rows(spark, path) == []
+
+    def looking(folder):
+        part(2)(folder)
+        seen.append(rows(spark, path))
+
+    assert commits.commit(part(1), spark, path, "a") == 1
+    assert commits.commit(looking, spark, path, "b") == 2 and seen == [[1]]
+    assert commits.commit(part(9), spark, path, "b") == 2
+    assert rows(spark, path) == [1, 2]
+    assert commits.commit(part(5), spark, path, replaces=True) == 3
+    assert rows(spark, path) == [5] and rows(spark, path, 2) == [1, 2]
+
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    """One that finds its number taken takes the next; the same batch by two writers counts once."""
+    path = str(tmp_path / "table")
+    part = lambda n: spark.createDataFrame([(n,)], "n int").write.json
+
+    def overtaken(folder):
+        part(1)(folder)
+        commits.commit(part(2), spark, path, "other")
+
+    def repeated(folder):
+        part(3)(folder)
+        commits.commit(part(4), spark, path, "same")
+
+    assert commits.commit(overtaken, spark, path, "first") == 2
+    assert commits.commit(repeated, spark, path, "same") == 3
+    assert rows(spark, path) == [1, 2, 4]
+
+
+def test_last_line_without_terminator(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo")
+    (tmp_path / "b.txt").write_text("one\r\n\n")
+    got = sorted((r.task_id, r.line_no, r.text, r.n_bytes) for r in store.read_raw(spark, str(tmp_path)).collect())
+    assert got == [("a", 1, "one", 4), ("a", 2, "two", 3), ("b", 1, "one", 5), ("b", 2, "", 1)]

@@ -7,19 +7,18 @@ plus the lines of the splits before it, so no file has to be read by a single ta
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import AGENT_JSON, EVENT_JSON, TASK_JSON
+from .commits import commit, committed_paths
 
 CORRUPT = "_corrupt"
-POINTER = "CURRENT"
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files: (path, file, line_no from 1, value), a `\\r` kept as it is."""
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines of text files below a path or several: (path, file, line_no from 1, value), a `\\r` kept as it is."""
     rows = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
     rows = rows.select(
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"),
@@ -88,11 +87,19 @@ def read_events(spark: SparkSession, path: str, mode: str = "quarantine") -> tup
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Captured output of files named `<task_id>.txt`, as lines."""
-    return numbered_lines(spark, path).select(
+    """Captured output of files named `<task_id>.txt`, as lines with their bytes.
+
+    Every line has a terminator of one byte but perhaps a file's last; that shows in the size of the file.
+    """
+    lines = numbered_lines(spark, path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+        "path", F.col("length").alias("_size"))
+    read = lines.groupBy("path").agg(F.sum(F.octet_length("value") + 1).alias("_bytes"), F.max("line_no").alias("_last"))
+    open_ended = read.join(files, "path").filter("_bytes > _size").select("path", F.col("_last").alias("line_no"), F.lit(1).alias("_less"))
+    return lines.join(open_ended, ["path", "line_no"], "left").select(
         _task_of_file().alias("task_id"), "line_no", F.lit("stdout").alias("source"),
         F.regexp_replace("value", r"\r\z", "").alias("text"),
-        (F.octet_length("value") + 1).cast("long").alias("n_bytes"),
+        (F.octet_length("value") + 1 - F.coalesce("_less", F.lit(0))).cast("long").alias("n_bytes"),
     )
 
 
@@ -143,53 +150,37 @@ def event_json() -> Column:
                               location.alias("location")))
 
 
-def write_events(events: DataFrame, path: str, event_date: Column) -> None:
-    """Append events as JSON lines under `event_date=`; one file per task would be too many."""
-    events.select(event_json().alias("value"), event_date.alias("event_date")).write.mode(
-        "append").partitionBy("event_date").text(path)
-
-
-def _filesystem(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    where = hadoop.Path(path)
-    return hadoop, where.getFileSystem(spark._jsc.hadoopConfiguration())
+def write_events(events: DataFrame, path: str, event_date: Column, batch: str | None = None) -> int:
+    """Append events as JSON lines under `event_date=`; one file per task would be too many.
 
+    They count from the commit on, and a batch of a name counts once.
+    """
+    rows = events.select(event_json().alias("value"), event_date.alias("event_date"))
+    return commit(lambda folder: rows.write.partitionBy("event_date").text(folder), events.sparkSession, path, batch)
 
-def write_tasks(tasks: DataFrame, path: str, corrupt: DataFrame | None = None) -> str:
-    """Write a full snapshot, corrupt rows kept as they were, and switch the pointer to it.
 
-    The snapshot goes to a new folder; readers see it when the pointer file is renamed in.
-    """
-    spark, version = tasks.sparkSession, uuid.uuid4().hex
+def write_tasks(tasks: DataFrame, path: str, corrupt: DataFrame | None = None) -> int:
+    """Write a full snapshot, corrupt rows kept as they were, in place of the one before; the commit's number."""
     rows = tasks.select(F.to_json(F.struct(*tasks.columns)).alias("value"))
     if corrupt is not None:
         rows = rows.unionByName(corrupt.select("value"))
-    rows.write.text(f"{path}/{version}")
-    hadoop, fs = _filesystem(spark, path)
-    pending, pointer = hadoop.Path(f"{path}/{POINTER}.{version}"), hadoop.Path(f"{path}/{POINTER}")
-    out = fs.create(pending, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    fs.rename(pending, pointer)
-    return version
+    return commit(rows.write.text, tasks.sparkSession, path, replaces=True)
 
 
 def current_tasks_path(spark: SparkSession, path: str) -> str:
-    version = spark.read.text(f"{path}/{POINTER}").first()[0]
-    return f"{path}/{version}"
+    """Folder of the newest snapshot."""
+    return committed_paths(spark, path)[-1]
 
 
-def write_audit(audit: DataFrame, path: str) -> None:
-    audit.write.mode("append").json(path)
+def write_audit(audit: DataFrame, path: str, batch: str | None = None) -> int:
+    return commit(audit.write.json, audit.sparkSession, path, batch)
 
 
-def write_metrics_snapshot(report: DataFrame, path: str, snapshot_date: str, provenance: dict) -> None:
-    """Store a report under `snapshot_date=`, each row with where its numbers come from."""
-    report.withColumns(
-        {"snapshot_date": F.lit(snapshot_date), "provenance": F.lit(json.dumps(provenance, sort_keys=True))}
-    ).write.mode("append").partitionBy("snapshot_date").json(path)
+def write_metrics_snapshot(report: DataFrame, path: str, snapshot_date: str, provenance: dict, batch: str | None = None) -> int:
+    """Store a report with its `snapshot_date`, each row with where its numbers come from."""
+    rows = report.withColumns(
+        {"snapshot_date": F.lit(snapshot_date), "provenance": F.lit(json.dumps(provenance, sort_keys=True))})
+    return commit(rows.write.partitionBy("snapshot_date").json, report.sparkSession, path, batch)
 
 
 # ---- checks -------------------------------------------------------------------------
