@@ -8,6 +8,7 @@ import textwrap
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -24,6 +25,7 @@ from tracemill.llm.one_bit_codes import nearest
 from tracemill.llm.plane_files import read_ids, write_ids
 from tracemill.llm.source_mix import mix_sources, split_quotas
 from tracemill.llm.target_ratio import quality_rules
+from tests.oracle import compare
 from tracemill.llm.tokens import WordEncoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -330,6 +332,21 @@ following conditions are met:
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
 disclaimer in the documentation and/or other materials provided with the distribution.
 """
+AGPL = GPL3.replace("GNU General Public", "GNU Affero General Public")
+LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version.
+"""
+LIBRARY_WARRANTY = NO_WARRANTY.replace("This program", "This library")
+GPL2_ONLY = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License
+version 2 as published by the Free Software Foundation.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted{}
+"""
+ISC_NOTICE = ", provided\nthat the above copyright notice and this permission notice appear in all copies."
+ISC_WARRANTY = """
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL DAMAGES.
+"""
 NOTICES = {  # of each rule
     "MitGrant MitNotice MitWarranty": MIT + """
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
@@ -354,6 +371,44 @@ derived from this software without specific prior written permission.
     "Gpl2Ref": "This work is licensed under the GNU General Public License version 2.",
     "Apache2Ref": "Licensed under the Apache License, Version 2.0.", "MitRef": "Released under the MIT License.",
     "CcByNc4Ref": "Licensed under CC BY-NC 4.0.", "CcBySa4Ref": "Licensed under CC BY-SA 4.0.", "CcBy4Ref": "Licensed under CC BY 4.0.",
+    "Agpl3Plus GplWarranty": AGPL + NO_WARRANTY, "Agpl3Plus": AGPL, "Lgpl3Plus GplWarranty": GPL3.replace("GNU General", "GNU Lesser General") + NO_WARRANTY,
+    "Lgpl21Plus LgplWarranty": LGPL.format("2.1") + LIBRARY_WARRANTY, "Lgpl21Plus": LGPL.format("2.1"),
+    "Lgpl3Plus LgplWarranty": LGPL.format("3") + LIBRARY_WARRANTY, "Lgpl3Plus": LGPL.format("3"),
+    "Gpl2Only GplWarranty": GPL2_ONLY + NO_WARRANTY, "Gpl2Only": GPL2_ONLY,
+    "Mpl2Terms Mpl2Copy": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Mpl2Terms": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Epl2Terms": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is
+available at https://www.eclipse.org/legal/epl-2.0/""",
+    "Epl1Terms": """All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public
+License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html""",
+    "IscGrant IscWarranty": ISC.format(ISC_NOTICE) + ISC_WARRANTY, "IscGrant": ISC.format(ISC_NOTICE),
+    "Bsd0Grant IscWarranty": ISC.format(".") + ISC_WARRANTY, "Bsd0Grant": ISC.format("."),
+    "BoostGrant": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the
+Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do
+so, all subject to the following:""",
+    "UnlicenseRef UnlicenseGrant": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "UnlicenseRef": "This is free and unencumbered software released into the public domain.",
+    "ZlibWarranty ZlibGrant": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+redistribute it freely, subject to the following restrictions:""",
+    "Cc0Dedication": """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this
+software to the public domain worldwide.""",
+    "WtfplText": """Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed
+as long as the name is changed.""",
+    "Mpl2Ref": "Licensed under the Mozilla Public License, version 2.0.", "Epl2Ref": "Licensed under the Eclipse Public License, Version 2.0.",
+    "Agpl3Ref": "Licensed under the GNU Affero General Public License, version 3.", "Lgpl3Ref": "Licensed under the GNU Lesser General Public License version 3.",
+    "Lgpl21Ref": "Licensed under the GNU Lesser General Public License version 2.1.", "Cc0Ref": "Licensed under CC0 1.0.",
+    "BoostRef": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    "IscRef": "Licensed under the ISC license.", "ZlibRef": "Licensed under the zlib License.",
+    "Bsd3Ref": "Licensed under the BSD 3-Clause License.", "Bsd2Ref": "Licensed under the BSD 2-Clause License.",
+    **{ids: f"SPDX-License-Identifier: {name}" for ids, name in license_scan.RULES if ids.startswith("Tag")},
 }
 
 
@@ -374,6 +429,23 @@ def test_licence_notices(spark):
         assert (out[k].sentence_ids, out[k].licenses, out[k].n_unmatched) == (ids, names[ids], 0), text
 
 
+def test_licence_sql_reads_sentences_over_several_pieces(spark, tmp_path):
+    """The SQL gives the same for wrapped notices, tags among code, addresses and texts without a licence."""
+    texts = [None, "", "http://x.y/license MIT", "// SPDX-License-Identifier: MIT\nint main;", "# SPDX-License-Identifier: GPL-2.0-only\n# copyright x"]
+    for ids, notice in NOTICES.items():
+        for width in (20, 60, 79):
+            texts.append("Prose before.\n\n" + "\n\n".join(
+                "\n".join(f"# {x}" for x in textwrap.wrap(" ".join(p.split()), width, break_on_hyphens=False)) for p in notice.split("\n\n")))
+        texts += [notice, " ".join(notice.split()), notice.replace("the", "teh", 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    got = license_scan.scan_licenses(docs)
+    assert compare(got, con, license_scan.sql()) is None
+    assert got.filter("doc_id in (3, 4)").orderBy("doc_id").select("licenses").collect() == [("MIT",), ("GPL-2.0-only",)]
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([
         (1, "a", 0, "search", '{"limit": 3, "query": "twenty characters long"}', ["zz"]), (1, "b", 1, "search", '{"query":1}', ["a"]),
