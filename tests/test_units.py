@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,7 +62,8 @@ def test_programs_reached(text, words, exe):
 
 @pytest.mark.parametrize("pattern, text, first", [
     (r"(?P<file_name>\w+)\.rs", "see main.rs", "main"), (r"(?<file>\w+)\.rs", "see main.rs", "main"),
-    (r"^(\p{L}+)$", "größe", "größe"), (r"(ab)\z", "ab", "ab"),
+    (r"^(\p{L}+)$", "größe", "größe"), (r"(ab)\z", "ab", "ab"), (r"(\x{41}b)", "Ab", "Ab"), (r"(\u{1F600})", "a😀", "😀"),
+    (r"([[:alpha:]_]+)", "9x_é", "x_"), (r"([[:^digit:]]+)", "12ab", "ab"),
 ])
 def test_rule_dialect(spark, pattern, text, first):
     """Named groups, Unicode classes and \\z are rules, and match in Java."""
@@ -70,8 +72,30 @@ def test_rule_dialect(spark, pattern, text, first):
     assert row.x == first
 
 
-def test_unusable_rules_are_refused():
-    assert not patterns.is_safe("(a+)+") and not patterns.is_safe("(a")
+@pytest.mark.parametrize("pattern", [
+    "(a+)+", "(a*)*", "(a*b*)*", "(a?b?)*", "(x{2,3})*", "(a|b|ab)*c", "(a|ab|b)*", "(?:a|a)*", "(?i)(a|A)*", r"(\w+\s?)*x",
+    r"(?:\p{L}|\d)+x", "(.|x)*y", r"(\s|\t)+;", "([ab]|b[c])*(a|aa)+$", "(a", "(a)?(?(1)b|c)", "[b-a]",
+])
+def test_unusable_rules_are_refused(spark, pattern):
+    """What Java cannot compile, and loops that one string can go round in two ways."""
+    assert not patterns.is_safe(pattern)
+
+
+@pytest.mark.parametrize("pattern", [
+    "(a|ab)*c", "(ab)*", "(?:a|b)*c", r"(\w+\s)*x", r"^(\d+\.)*\d+$", "(.*)(.*)", "((a|b)c)*", "@{59}", "(a{1,30}b)*",
+    r"[^:]+:\d+(?::\d+)?", r"(?:[^|]|\|\|)+", r"(?:\d{1,3}\.){3}\d{1,3}", "(?<!a)b+(?=c)", r"\Qa+\E+b", "a*+b",
+])
+def test_rules_without_such_loops_are_kept(spark, pattern):
+    """They are run on a text that repeats, so one that takes exponential time would show."""
+    assert patterns.is_safe(pattern)
+    text = F.repeat(F.lit("ab a:1.2|| @"), 40)
+    assert spark.range(1).select(text.rlike(patterns.java(pattern)).alias("x")).first().x in (True, False)
+
+
+def test_bundled_rules_compile_in_java(spark):
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert sum(len(p.rules) for p in load_packs()) == 215
 
 
 def test_one_long_task_needs_no_cap(spark):

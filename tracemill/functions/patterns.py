@@ -9,19 +9,36 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .ambiguity import has_ambiguous_loop
+
 JAVA_FLAGS = "(?dU)"
 
-#: a quantified group that itself ends in a quantifier, e.g. `(a+)+`: exponential backtracking
+#: a quantified group that itself ends in a quantifier, for patterns that only Java reads
 _NESTED_QUANTIFIER = re.compile(r"\((?:[^()\\]|\\.)*[+*]\)[+*{]")
 
-
 #: a named group in either spelling; rules take groups by number, and Java allows no `_` in names
 _NAMED_GROUP = re.compile(r"(?<!\\)((?:\\\\)*)\(\?P?<[A-Za-z_]\w*>")
-#: what Java and the rules' dialect know and Python does not, with something alike for the check
-_CHECKED_AS = [(re.compile(r"\\[pP](?:\{[^}]*\}|[A-Z])"), "a"), (re.compile(r"\\z"), r"\\Z")]
+#: what the rules' dialect spells in another way than Java
+_CODE_POINT = re.compile(r"(?<!\\)((?:\\\\)*)\\[uU]\{([0-9A-Fa-f]+)\}")
+_ASCII_CLASS = re.compile(r"\[:(\^?)(\w+):\]")
+# ---- fixed values -------------------------------------------------------------------
+ASCII_CLASSES = {
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t ", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9",
+    "graph": "!-~", "lower": "a-z", "print": " -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0B\f\r ", "upper": "A-Z",
+    "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
+}
+# -------------------------------------------------------------------------------------
+#: what Java and the rules' dialect know and Python does not, with something alike for the look at loops
+_ALIKE = [
+    (re.compile(r"\\p(?:\{[^}]*\}|[A-Z])"), r"\\w"), (re.compile(r"\\P(?:\{[^}]*\}|[A-Z])"), r"\\W"), (re.compile(r"\\z"), r"\\Z"),
+    (re.compile(r"\\x\{([0-9A-Fa-f]+)\}"), lambda m: f"\\U{int(m[1], 16):08x}"), (re.compile(r"\\h"), r"\\s"), (re.compile(r"\\R"), r"\\n"),
+]
 
 
 def unnamed(pattern: str) -> str:
@@ -29,22 +46,43 @@ def unnamed(pattern: str) -> str:
     return _NAMED_GROUP.sub(r"\1(", pattern)
 
 
+def _spelled(pattern: str) -> str:
+    """The pattern in Java's spelling."""
+    def ascii_class(found):
+        inside = ASCII_CLASSES.get(found[2])
+        return found[0] if inside is None else f"[^{inside}]" if found[1] else inside
+
+    return _ASCII_CLASS.sub(ascii_class, _CODE_POINT.sub(r"\1\\x{\2}", unnamed(pattern)))
+
+
 def java(pattern: str) -> str:
-    return JAVA_FLAGS + unnamed(pattern)
+    return JAVA_FLAGS + _spelled(pattern)
 
 
-def is_safe(pattern: str) -> bool:
-    """False for a pattern that could backtrack exponentially or does not compile."""
-    if _NESTED_QUANTIFIER.search(pattern):
-        return False
-    pattern = unnamed(pattern)
-    for form, alike in _CHECKED_AS:
+def _alike(pattern: str) -> str:
+    pattern = _spelled(pattern)
+    for form, alike in _ALIKE:
         pattern = form.sub(alike, pattern)
+    return pattern
+
+
+def is_safe(pattern: str) -> bool:
+    """False for a pattern that does not compile, or has a loop that takes exponential time.
+
+    Java judges what compiles, as it runs the rules; without a Spark session to ask, Python does.
+    """
+    context = SparkContext._active_spark_context
     try:
-        re.compile(pattern)
-    except re.error:
+        if context is not None:
+            context._jvm.java.util.regex.Pattern.compile(java(pattern))
+        else:
+            re.compile(_alike(pattern))
+    except (Py4JJavaError, PySparkException, re.error, OverflowError, ValueError):
         return False
-    return True
+    try:
+        return not has_ambiguous_loop(_alike(pattern))
+    except (re.error, OverflowError, ValueError):  # read by Java alone
+        return not _NESTED_QUANTIFIER.search(pattern)
 
 
 def let(value: Column, body) -> Column:
