@@ -150,7 +150,57 @@ REACHED = [
 REACHED_SQL = f"""SELECT b.task_id, v.position, v.origin, v.program, v.words FROM ({BASE}) b JOIN (VALUES {", ".join(
     f"({k}, {n}, {quote(o)}, {quote(p)}, {quote(w)})" for k, n, o, p, w in REACHED)}) v(k, position, origin, program, words) ON v.k = b.k"""
 
+# As many different commands as there are orders: up to three programs and an rm, assignments, paths, quoted signs,
+# substitutions and redirections, each part decided by the order's numbers.
+SIGN = "CASE o_orderkey % 4 WHEN 0 THEN ' && ' WHEN 1 THEN ' | ' WHEN 2 THEN '; ' ELSE ' & ' END"
+N_TOOLS = "(1 + o_custkey % 3)"
+
+
+def tool(i):
+    return f"'tool' || CAST(o_orderkey * {i + 1} % 89 AS STRING)"
+
+
+def part(i):
+    return f"""CASE WHEN (o_orderkey + {i}) % 4 = 0 THEN 'V{i}=x ' ELSE '' END || CASE WHEN (o_custkey + {i}) % 3 = 0 THEN '/opt/bin/' ELSE '' END
+      || {tool(i)} || ' --id ' || CAST(o_custkey AS STRING) || ' ' || chr(39) || 'item ' || CAST(o_orderkey AS STRING) || '; | x' || chr(39)"""
+
+
+VARIED = f"""{part(0)} || CASE WHEN {N_TOOLS} > 1 THEN {SIGN} || {part(1)} ELSE '' END || CASE WHEN {N_TOOLS} > 2 THEN {SIGN} || {part(2)} ELSE '' END
+  || CASE WHEN o_orderkey % 13 = 0 THEN {SIGN} || 'rm -rf /srv/' || CAST(o_orderkey AS STRING) ELSE '' END
+  || CASE WHEN o_orderkey % 7 = 0 THEN ' "$(date +' || CAST(o_custkey AS STRING) || ')"' ELSE '' END
+  || CASE WHEN o_custkey % 5 = 0 THEN ' > out' || CAST(o_orderkey AS STRING) ELSE '' END"""
+VARIED_BASE = f"""SELECT CAST(o_orderkey AS STRING) AS task_id, o_orderkey, o_custkey, o_orderkey % 13 = 0 AS removes,
+  {N_TOOLS} + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS n,
+  list_concat([{tool(0)}, {tool(1)}, {tool(2)}][1:{N_TOOLS}], CASE WHEN o_orderkey % 13 = 0 THEN ['rm'] ELSE [] END) AS programs FROM orders"""
+VARIED_ALLOWED = [f"tool{i}" for i in range(40)]
+VARIED_FLAG_SQL = f"""SELECT task_id, n > 1 AND o_orderkey % 4 IN (0, 2) AS control, n > 1 AND o_orderkey % 4 = 1 AS pipe,
+  o_custkey % 5 = 0 AS redirection, n > 1 AND o_orderkey % 4 = 3 AS background, o_orderkey % 7 = 0 AS substitution,
+  false AS nested_shell, CAST(n AS INTEGER) AS n_commands, array_to_string(programs, ' ') AS programs FROM ({VARIED_BASE}) v"""
+
+
+def varied(spark, sf):
+    return table(spark, sf, "orders").selectExpr("CAST(o_orderkey AS STRING) AS task_id", f"{VARIED} AS command")
+
+
+def varied_flags(spark, sf):
+    return A.command_flags(varied(spark, sf)).withColumn("programs", F.array_join("programs", " "))
+
+
+VARIED_CASES = {
+    "au1_varied_commands": (varied_flags, VARIED_FLAG_SQL),
+    "au4_varied_carriers": (lambda spark, sf: A.classify_carrier(varied(spark, sf)), f"""
+        SELECT task_id, CASE WHEN n > 1 OR o_custkey % 5 = 0 OR o_orderkey % 7 = 0 THEN 'shell_composite' ELSE 'shell' END AS carrier FROM ({VARIED_BASE}) v"""),
+    "au6_varied_policy": (lambda spark, sf: A.policy_scan(varied(spark, sf)).drop("command"),
+                          f"SELECT task_id, {quote(why(A.BLOCKED_PATTERNS[0]))} AS reason FROM ({VARIED_BASE}) v WHERE removes"),
+    "au7_varied_guardrails": (lambda spark, sf: A.guardrail_scan(varied(spark, sf)).drop("command"),
+                              f"SELECT task_id, removes AS blocked FROM ({VARIED_BASE}) v"),
+    "au8_varied_allowlist": (lambda spark, sf: A.allowlist_violations(varied(spark, sf), VARIED_ALLOWED), f"""
+        SELECT task_id, program FROM (SELECT task_id, unnest(list_distinct(programs)) AS program FROM ({VARIED_BASE}) v) p
+        WHERE program NOT IN ({', '.join(map(quote, VARIED_ALLOWED))})"""),
+}
+
 CASES = {
+    **VARIED_CASES,
     "au1_command_flags": (command_flags, FLAG_SQL),
     "au3_nested_commands": (nested_commands, REACHED_SQL),
     "au4_classify_carrier": (lambda spark, sf: A.classify_carrier(commands(spark, sf)),

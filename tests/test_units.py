@@ -60,6 +60,33 @@ def test_programs_reached(text, words, exe):
     assert [n for n in names] == words or [n for n in names if n] == [w for w in words if w]
 
 
+def command_texts(rng):
+    words = ["ls", "-la", "A=1", "_b2=x y", "/usr/bin/git", "make", "'a b'", '"c;d"', "''", "x'y'\"z\"", "$HOME", "${X}", "{}", "a)", "'p)'", "sudo", "env", "find",
+             "bash", "-c", "case", "then", "2", "\\n", "$(id)", "`id`", "#c", "$'x'", "é", "(", "'", '"', "'it; is | x'", "1=2", "$\"q\""]
+    signs = [" ", "  ", "\t", ";", ";;", " && ", "||", " | ", "|", "&", " > ", ">>", "2>&1", "<", "\n", " ; ", "&>", "|&", "<>", "\r"]
+    out = ["", None, " ", "ls", "A=1", "A=1 ls", "a;", ";a", "ls -la | grep 'a; rm -rf /'", "x " * 3000, "'a'" * 2000]
+    for _ in range(3000):
+        odd = rng.random() < 0.4
+        pick = lambda: rng.choice(words if odd else words[:13] + ["'it; is | x'", "1=2"])
+        out.append("".join(x for _ in range(rng.randint(1, 7)) for x in (pick(), rng.choice(signs[: 20 if odd else 17]))))
+    return out
+
+
+def test_plain_commands_need_no_scanner(spark):
+    """Expressions give what the scanner gives, and leave it only commands that have more to them."""
+    texts = command_texts(random.Random(4))
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, command string")
+    plain = {r.id: r.x for r in rows.select("id", shell._plain_shape(F.coalesce("command", F.lit(""))).cast(shell.SHAPE).alias("x")).collect()}
+    both = {r.id: r.shape.asDict(True) for r in shell.with_shape(rows).collect()}
+    for k, text in enumerate(texts):
+        want = shell.shape_of(text or "")
+        assert both[k] == want, text
+        assert plain[k] is None or plain[k].asDict(True) == want, text
+    easy = [k for k, t in enumerate(texts) if t and not set(t) & set("\\`()#\r{}é$\"'") and not any(w in t for w in ("sudo", "env", "find", "bash", "case", "then"))]
+    assert len(easy) > 200 and all(plain[k] for k in easy if len(texts[k]) < 4000)
+    assert sum(x is not None for x in plain.values()) > 1500
+
+
 @pytest.mark.parametrize("pattern, text, first", [
     (r"(?P<file_name>\w+)\.rs", "see main.rs", "main"), (r"(?<file>\w+)\.rs", "see main.rs", "main"),
     (r"^(\p{L}+)$", "größe", "größe"), (r"(ab)\z", "ab", "ab"), (r"(\x{41}b)", "Ab", "Ab"), (r"(\u{1F600})", "a😀", "😀"),

@@ -1,7 +1,8 @@
-"""Words and flags of shell command texts, as one Arrow-batched column.
+"""Words and flags of shell command texts.
 
-Splitting quoted shell text needs a scanner, so this is the one text helper in Python; what
-the words mean (tool, carrier, policy) is decided by Spark columns over its result.
+Plain commands (words, quotes, signs between commands) are read by expressions.  Escapes, substitutions and
+programs that run their arguments need a scanner, an Arrow-batched column that gets those commands alone.
+What the words mean (tool, carrier, policy) is decided by Spark columns over the result.
 """
 
 from __future__ import annotations
@@ -9,9 +10,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .patterns import let
+
 # ---- fixed values -------------------------------------------------------------------
 MAX_NESTING = 64
 SHELLS = {"sh", "bash", "zsh", "dash", "ksh", "fish"}
@@ -300,13 +303,71 @@ def shape_of(text: str) -> dict:
 
 
 def _shapes(texts: pd.Series) -> pd.DataFrame:
-    memo = {text: shape_of(text or "") for text in texts.unique()}  # commands repeat a lot
-    return pd.DataFrame(
-        [memo[text] for text in texts],
-        columns=["commands", *FLAGS, "too_deep", "plain", "blanked"],
-    )
+    memo = {text: shape_of(text) for text in texts.unique() if text is not None}  # commands repeat a lot
+    nothing = dict.fromkeys(["commands", *FLAGS, "too_deep", "plain", "blanked"])
+    return pd.DataFrame([memo.get(text, nothing) for text in texts], columns=list(nothing))
+
+
+# ---- plain commands, as expressions -------------------------------------------------
+
+#: Programs and words in front of them that have commands within their arguments, or another program behind them.
+_OPENERS = sorted(SHELLS | KEYWORDS | WRAPPERS | {"case", "xargs", "busybox", "toybox", "coproc", "find"})
+_QUOTED = r"""'([^']*)'|"([^"]*)\""""
+_WORD_OR_SIGN = r"""(?:[^\s'"|&;<>]+|'[^']*'|"[^"]*")+|;;?|\n|\|\|?|&&?|[<>][<>&]?"""
+#: A longer command may hold more quoted pieces than Java's matcher has stack for; the scanner reads it.
+_PLAIN_TEXT = r"\A[\x20-\x7E\t\n]{0,4000}\z"
+_ENDS, _PARTS = "\x01", "\x02"
 
 
-def command_shape(command: Column) -> Column:
-    """Shape of a command.  Marked non-deterministic so that no filter repeats the scan."""
-    return F.pandas_udf(_shapes, SHAPE).asNondeterministic()(command)
+def _plain_shape(text: Column) -> Column:
+    """Shape of a command of words, whole quotes and signs between commands; null where there is more to it.
+
+    No escapes, comments, substitutions and groups, and no program that runs its arguments.
+    """
+    bare = F.regexp_replace(text, _QUOTED, "")
+    easy = text.rlike(_PLAIN_TEXT) & ~text.rlike(r"[\\\\`]|\$[('\"]") & ~bare.rlike(r"""['"()#]|\{\s""")
+
+    def part(token):
+        return (F.when(token.rlike(r"\A(?:[;&|]+|\n)\z"), _ENDS).when(token.rlike(r"\A[<>]"), "")
+                .otherwise(F.regexp_replace(token, _QUOTED, "$1$2")))
+
+    def command(words):
+        place = F.array_position(F.transform(words, lambda w: ~w.rlike(r"\A[A-Za-z_][A-Za-z0-9_]*=")), True).cast("int") - 1
+        return F.struct(words.alias("words"), place.alias("exe"), F.lit("top").alias("origin"), F.lit(-1).alias("parent"))
+
+    def opens(c):
+        word = F.when(c["exe"] >= 0, F.element_at(c["words"], c["exe"] + 1))
+        return F.coalesce(word.endswith(")") | F.element_at(F.split(word, "/"), -1).isin(_OPENERS), F.lit(False))
+
+    def shape(s):
+        tokens = s["tokens"]
+        said = lambda *signs: F.exists(tokens, lambda t: t.isin(*signs))
+        blanked = F.array_join(F.transform(F.regexp_extract_all(s["text"], F.lit(f"{_QUOTED}|[^'\"]+"), F.lit(0)), lambda t: F.when(
+            t.rlike(r"""\A['"]"""), F.repeat(F.lit(" "), F.length(t) - 2)).otherwise(t)), "")
+        no = F.lit(False)
+        return F.when(~F.exists(s["commands"], opens), F.struct(
+            s["commands"].alias("commands"), said(";", ";;", "\n", "||", "&&").alias("control"), said("|").alias("pipe"),
+            F.exists(tokens, lambda t: t.rlike(r"\A[<>]")).alias("redirection"), said("&").alias("background"),
+            no.alias("substitution"), no.alias("nested_shell"), no.alias("too_deep"),
+            F.regexp_replace(s["text"], _QUOTED, "$1$2").alias("plain"), blanked.alias("blanked")))
+
+    def commands(tokens):
+        parts = F.split(F.array_join(F.transform(tokens, part), _PARTS), _ENDS)
+        words = F.transform(parts, lambda c: F.filter(F.split(c, _PARTS), lambda w: w != ""))
+        return F.transform(F.filter(words, lambda w: F.size(w) > 0), command)
+
+    trimmed = F.regexp_replace(text, r"\A\s+|\s+\z", "")
+    read = let(F.struct(trimmed.alias("text"), F.regexp_extract_all(trimmed, F.lit(_WORD_OR_SIGN), F.lit(0)).alias("tokens")),
+               lambda s: F.struct(s["text"].alias("text"), s["tokens"].alias("tokens"), commands(s["tokens"]).alias("commands")))
+    return F.when(easy, let(read, shape))
+
+
+def with_shape(rows: DataFrame, name: str = "shape") -> DataFrame:
+    """Add the shape of `command`: plain ones by expressions, and only the others by the scanner.
+
+    The scanner's column is marked non-deterministic so that no filter repeats it.
+    """
+    text = F.coalesce("command", F.lit(""))
+    rows = rows.withColumn("_plain", _plain_shape(text))
+    scanned = F.pandas_udf(_shapes, SHAPE).asNondeterministic()(F.when(F.col("_plain").isNull(), text))
+    return rows.withColumn(name, F.coalesce(F.col("_plain").cast(SHAPE), scanned)).drop("_plain")

@@ -1,6 +1,6 @@
 """Command-log audit: shape, carrier, route, policy, guardrails, limits.
 
-`with_shape` runs the scanner once per command; everything after it is Spark columns.
+`with_shape` reads a command's words once; everything after it is Spark columns.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import contains_any, java, let
-from ..functions.shell import FLAGS, command_shape
+from ..functions.shell import FLAGS, with_shape
 from ..plans.segments import KEY, running_total
 
 # ---- fixed values -------------------------------------------------------------------
@@ -49,10 +49,6 @@ RATE_BURST, RATE_PER_SECOND = 20.0, 10.0
 MARK = "\x01"
 
 
-def with_shape(tasks: DataFrame) -> DataFrame:
-    return tasks.withColumn("shape", command_shape(F.col("command")))
-
-
 def _program(command: Column) -> Column:
     """Base name of the program a simple command runs, '' if none."""
     word = F.when(command["exe"] >= 0, F.element_at(command["words"], command["exe"] + 1))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as X
 from ..functions.extract import RuleBook
-from ..functions.shell import command_shape
+from ..functions.shell import with_shape
 from ..functions.text import looks_like_stderr_error, strip_ansi, trim
 from ..plans.conditions import conditional_rules
 from ..schemas import EVENT_FIELDS
@@ -65,7 +65,7 @@ def detect_tool(tasks: DataFrame, packs: Sequence[Pack]) -> DataFrame:
     """Add `detected` (pack name) and `route`; a fast pack only counts if nothing else matches."""
     ranked, names, prefixes = _lookup(packs)
     fast = [i for i, p in enumerate(ranked) if p.route == "fast"]
-    shaped = tasks.withColumn("_shape", command_shape(F.col("command")))
+    shaped = with_shape(tasks, "_shape")
     visible = F.filter("_shape.commands", lambda c: c["origin"].isin("top", "nested"))
     shaped = shaped.withColumn(
         "_ranks",
