@@ -316,6 +316,7 @@ _QUOTED = r"""'([^']*)'|"([^"]*)\""""
 _WORD_OR_SIGN = r"""(?:[^\s'"|&;<>]+|'[^']*'|"[^"]*")+|;;?|\n|\|\|?|&&?|[<>][<>&]?"""
 #: A longer command may hold more quoted pieces than Java's matcher has stack for; the scanner reads it.
 _PLAIN_TEXT = r"\A[\x20-\x7E\t\n]{0,4000}\z"
+_SIGNS = (";", ";;", "\n", "||", "&&", "|", "&")
 _ENDS, _PARTS = "\x01", "\x02"
 
 
@@ -327,12 +328,17 @@ def _plain_shape(text: Column) -> Column:
     bare = F.regexp_replace(text, _QUOTED, "")
     easy = text.rlike(_PLAIN_TEXT) & ~text.rlike(r"[\\\\`]|\$[('\"]") & ~bare.rlike(r"""['"()#]|\{\s""")
 
+    # few words have what the patterns look for, so cheap tests come first
+    quotes = lambda x: x.contains("'") | x.contains('"')
+    redirects = lambda x: x.startswith("<") | x.startswith(">")
+    assigns = lambda w: w.contains("=") & w.rlike(r"\A[A-Za-z_][A-Za-z0-9_]*=")
+
     def part(token):
-        return (F.when(token.rlike(r"\A(?:[;&|]+|\n)\z"), _ENDS).when(token.rlike(r"\A[<>]"), "")
-                .otherwise(F.regexp_replace(token, _QUOTED, "$1$2")))
+        return (F.when(token.isin(*_SIGNS), _ENDS).when(redirects(token), "")
+                .when(quotes(token), F.regexp_replace(token, _QUOTED, "$1$2")).otherwise(token))
 
     def command(words):
-        place = F.array_position(F.transform(words, lambda w: ~w.rlike(r"\A[A-Za-z_][A-Za-z0-9_]*=")), True).cast("int") - 1
+        place = F.array_position(F.transform(words, lambda w: ~assigns(w)), True).cast("int") - 1
         return F.struct(words.alias("words"), place.alias("exe"), F.lit("top").alias("origin"), F.lit(-1).alias("parent"))
 
     def opens(c):
@@ -347,9 +353,10 @@ def _plain_shape(text: Column) -> Column:
         no = F.lit(False)
         return F.when(~F.exists(s["commands"], opens), F.struct(
             s["commands"].alias("commands"), said(";", ";;", "\n", "||", "&&").alias("control"), said("|").alias("pipe"),
-            F.exists(tokens, lambda t: t.rlike(r"\A[<>]")).alias("redirection"), said("&").alias("background"),
+            F.exists(tokens, redirects).alias("redirection"), said("&").alias("background"),
             no.alias("substitution"), no.alias("nested_shell"), no.alias("too_deep"),
-            F.regexp_replace(s["text"], _QUOTED, "$1$2").alias("plain"), blanked.alias("blanked")))
+            F.when(quotes(s["text"]), F.regexp_replace(s["text"], _QUOTED, "$1$2")).otherwise(s["text"]).alias("plain"),
+            F.when(quotes(s["text"]), blanked).otherwise(s["text"]).alias("blanked")))
 
     def commands(tokens):
         parts = F.split(F.array_join(F.transform(tokens, part), _PARTS), _ENDS)
