@@ -1,9 +1,11 @@
 """Plans: pruned scans, early top-k, one shuffle for the merge steps."""
 
+import re
+
 import pytest
 
 from suite import query_cases, stats_cases
-from suite.extract_cases import structured
+from suite.extract_cases import structure_long_task, structured
 from suite.registry import CASES
 from tracemill.operators import query as Q
 
@@ -34,3 +36,14 @@ def test_merge_steps_share_one_shuffle(spark):
     text = plan(structured(spark, SF))
     assert text.count("hashpartitioning(task_id") <= 6
     assert "CartesianProduct" not in text and "SinglePartition" not in text
+
+
+def test_segments_of_long_tasks_hand_over_in_linear_time(spark):
+    """A frame from a row to the end of its task is read anew for every row."""
+    text = plan(structure_long_task(spark, SF))
+    assert "Window" in text and not re.search(r"RowFrame, (-?\d+|currentrow\$\(\)), unboundedfollowing", text)
+
+
+def test_segments_and_their_summary_come_from_one_shuffle(spark):
+    """A filter that only the summary has would make its shuffle another one."""
+    assert "IsNotNull(doc_id)" not in plan(structure_long_task(spark, SF))
