@@ -8,6 +8,7 @@ from suite import query_cases, stats_cases
 from suite.extract_cases import structure_long_task, structured
 from suite.registry import CASES
 from tracemill.operators import query as Q
+from tracemill.operators.audit import BLOCKED_PATTERNS
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,4 +47,23 @@ def test_segments_of_long_tasks_hand_over_in_linear_time(spark):
 
 def test_segments_and_their_summary_come_from_one_shuffle(spark):
     """A filter that only the summary has would make its shuffle another one."""
-    assert "IsNotNull(doc_id)" not in plan(structure_long_task(spark, SF))
+    assert "THEN true ELSE isnotnull(cast(doc_id" not in plan(structure_long_task(spark, SF))
+
+
+@pytest.mark.parametrize("query", ["au6_varied_policy", "au7_varied_guardrails", "au7_guardrail_scan"])
+def test_commands_are_read_on_all_cores(spark, query):
+    assert CASES[query][0](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_what_a_filter_asks_for_is_computed_once(spark):
+    """A filter on a computed column, pushed below it, would compute it a second time."""
+    text = plan(CASES["au6_varied_policy"][0](spark, SF))
+    assert text.count(f"matches pattern '{BLOCKED_PATTERNS[3]}'") == 1
+    # lines without conditional rules, and both sides of the join of those with them
+    assert plan(CASES["x18_conditional_rules"][0](spark, SF)).count(", (?dU)^section (.+))") == 3
+
+
+def test_segments_with_conditions_come_from_one_shuffle(spark):
+    out = CASES["x18_conditional_rules"][0](spark, SF)
+    out.collect()
+    assert plan(out).split("Initial Plan")[0].count("Generate posexplode(split(") == 2
