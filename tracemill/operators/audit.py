@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import contains_any, java, let
+from ..functions.patterns import computed, contains_any, java, let
 from ..functions.shell import FLAGS, with_shape
 from ..plans.segments import KEY, running_total
 
@@ -164,9 +164,8 @@ def policy_reason(patterns: Sequence[str] = BLOCKED_PATTERNS, custom: Sequence[s
 
 def policy_scan(tasks: DataFrame, patterns=BLOCKED_PATTERNS, custom=()) -> DataFrame:
     """Commands that match a blocked pattern, with the reason."""
-    return with_shape(tasks).select(
-        "task_id", "command", policy_reason(patterns, custom).alias("reason")
-    ).filter(F.col("reason").isNotNull())
+    judged = computed(with_shape(tasks), "reason", policy_reason(patterns, custom))
+    return judged.select("task_id", "command", "reason").filter(F.col("reason").isNotNull())
 
 
 # ---- guardrails ---------------------------------------------------------------------
