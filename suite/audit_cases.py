@@ -57,8 +57,14 @@ def pick(values):
 BASE = f"SELECT CAST(o_orderkey AS STRING) AS task_id, o_custkey, o_orderdate, o_orderkey % {len(SHAPES)} AS k FROM orders"
 
 
+def spread_orders(spark, sf):
+    """What commands are made of, dealt to all cores: a few blocks of a file hold so many that few tasks would read them all."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return orders.repartition(4 * spark.sparkContext.defaultParallelism, "o_orderkey")
+
+
 def commands(spark, sf):
-    rows = table(spark, sf, "orders").selectExpr(
+    rows = spread_orders(spark, sf).selectExpr(
         "CAST(o_orderkey AS STRING) AS task_id", "'/w/' || o_custkey AS cwd", "o_orderdate AS started_at",
         "CAST(o_orderkey % 2 AS INT) AS exit_code", f"CAST(o_orderkey % {len(SHAPES)} AS INT) AS k")
     texts = F.array(*[F.lit(s[0]) for s in SHAPES])
@@ -179,7 +185,7 @@ VARIED_FLAG_SQL = f"""SELECT task_id, n > 1 AND o_orderkey % 4 IN (0, 2) AS cont
 
 
 def varied(spark, sf):
-    return table(spark, sf, "orders").selectExpr("CAST(o_orderkey AS STRING) AS task_id", f"{VARIED} AS command")
+    return spread_orders(spark, sf).selectExpr("CAST(o_orderkey AS STRING) AS task_id", f"{VARIED} AS command")
 
 
 def varied_flags(spark, sf):
