@@ -198,3 +198,29 @@ def test_replay_window_over_batches(spark, tmp_path):
     assert query.exception() is None
     got = spark.read.parquet(str(tmp_path / "out")).select(F.unix_seconds("at").alias("s")).collect()
     assert sorted(r.s - base for r in got) == [0, 130, 260]
+
+
+def test_a_new_task_asks_its_state_little():
+    """Each question to the state is a round trip; a task that comes and ends in one batch has nothing there."""
+    from unittest.mock import MagicMock
+
+    from pyspark.sql import Row
+
+    from tracemill.streaming.merge import INPUT, _Merge
+
+    handle, states = MagicMock(), {}
+
+    def state(name, *_):
+        states[name] = MagicMock(**{"get.return_value": None, "exists.return_value": False, "iterator.return_value": iter(())})
+        return states[name]
+
+    handle.getValueState = handle.getListState = handle.getMapState = state
+    processor = _Merge(None, None, None)
+    processor.init(handle)
+    blank = dict.fromkeys(INPUT) | {"idx": 0, "n_bytes": 1, "noise": False, "context": False, "keeps": False}
+    rows = [Row(*INPUT)(*{**blank, **r}.values()) for r in (
+        {"line_no": 3, "type": "log", "message": "c"}, {"line_no": 1, "type": "log", "message": "a"},
+        {"line_no": 0, "type": "end", "line": None})]
+    out = list(processor.handleInputRows(("t",), iter(rows), None))
+    assert [(r.seq, r.message) for r in out] == [(1, "a"), (2, "c")]
+    assert sum(len(s.method_calls) for s in states.values()) == 3
