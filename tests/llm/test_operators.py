@@ -248,6 +248,25 @@ def test_encoder(path):
     assert [x.tolist() for a in range(0, len(cases), 40) for x in own.encode(cases[a : a + 40])] == plain
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_encoder_keeps_frequent_words(path):
+    own, asked = WordEncoder(path, most=40), Counter()
+    model = own.tokenizer.model
+
+    class Counted:
+        def tokenize(self, word):
+            asked[word] += 1
+            return model.tokenize(word)
+
+    class Library:
+        model = Counted()
+
+    own.tokenizer = Library()
+    for k in range(40):  # new words overflow the caches again and again, the frequent one stays
+        own.encode([" the the the " + " ".join(f"{chr(97 + k % 26)}{chr(97 + j)}{chr(97 + k // 26)}" for j in range(20))])
+    assert max(asked.values()) == 1
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_plane_files(spark, docs, empty, kind):
     plain, at, want = Tokenizer.from_file(WORDS), 0, []
