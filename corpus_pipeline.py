@@ -17,13 +17,17 @@ from tracemill.llm.chosen_path import near_duplicates
 from tracemill.llm.source_mix import mixed_rows
 from tracemill.llm.target_ratio import quality_rules
 
+#: Texts that fill a task.  Every task writes a file, and on local file systems Hadoop starts processes for each.
+TEXTS = 2_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     kept = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_key=True).filter("kept")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("row"))
     keyed = common.with_key(rows, "doc_id", "text")
-    return keyed.join(kept.select("key_x", "key_y"), ["key_x", "key_y"], "left_semi").select("row.*")
+    kept = keyed.join(kept.select("key_x", "key_y"), ["key_x", "key_y"], "left_semi").select("row.*")
+    return common.gathered(kept, docs.count(), TEXTS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
              *[F.when(wordless, c) for c in (own, F.col("key_x"), F.col("key_y"))]]
     first = found.groupBy(*[c.alias(f"g{i}") for i, c in enumerate(group)]).agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key_x", "key_y", "__row"))["__row"].alias("__row"))
-    return rows.join(first.select("__row"), "__row", "left_semi").select(*docs.columns)
+    return common.gathered(rows.join(first.select("__row"), "__row", "left_semi").select(*docs.columns), rows.count(), TEXTS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -497,6 +498,22 @@ def test_pipeline(spark):
     assert packed.filter("piece = 0").count() == mixed.count()
 
 
+def test_small_results_are_few_files(spark, docs):
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    stage_docs = docs.select("doc_id", "text", "source", F.lit("en").alias("lang"), F.length("text").cast("long").alias("n_chars"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for step in (lambda: remove_repeats(docs), lambda: pack(docs, BYTES), lambda: corpus_pipeline.near_dedup(spark, stage_docs, "")):
+            path = shared_folder(spark, "few")
+            step().write.parquet(path)
+            assert len(spark.read.parquet(path).inputFiles()) <= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_near_dedup_stage(spark):
     """The stage against brute force at 0.8, with pairs on both sides of it and of 0.85."""
     rng, rows = np.random.default_rng(21), []

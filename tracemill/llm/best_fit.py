@@ -115,7 +115,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("run.first") + F.floor(F.col("k") / F.col("run.each"))).cast("long").alias("sequence_id"),
         (F.col("run.offset") + F.col("k") % F.col("run.each") * F.col("length")).cast("long").alias("offset"), "ids")
-    return out if with_ids else out.drop("ids")
+    return common.gathered(out if with_ids else out.drop("ids"), sum(histogram.values()))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

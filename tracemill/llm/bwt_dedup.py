@@ -238,8 +238,8 @@ def _counted(rows: DataFrame, width: int) -> DataFrame:
     return each.join(often, ["x", "y"]).select("anchor", "span", F.col("i").alias("first"), F.col("i").alias("last"))
 
 
-def repeated_ranges(docs: DataFrame, width: int = 200, hot: int = 20_000, bucket: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text[, carried]) with the byte ranges covered by repeated windows: (texts, ranges(key_x, key_y, a, b)).
+def repeated_ranges(docs: DataFrame, width: int = 200, hot: int = 20_000, bucket: int = 20_000) -> tuple[DataFrame, DataFrame, int]:
+    """docs(doc_id, text[, carried]) with the byte ranges covered by repeated windows: (texts, ranges(key_x, key_y, a, b), spans).
 
     Texts have the key of their doc_id and text, for doc_id may be null or name several texts.
     """
@@ -247,13 +247,15 @@ def repeated_ranges(docs: DataFrame, width: int = 200, hot: int = 20_000, bucket
     every = common.materialize(spans(texts, width), "bwt-spans")
     anchors = every.groupBy("anchor").agg(F.count("*").alias("c"), F.min("span").alias("lo"), F.max("span").alias("hi"))
     anchors = anchors.filter("c > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
-    again = common.materialize(every.join(anchors, "anchor"), "bwt-again")
+    size = every.count()  # each step below has as many rows at most, and a file for every task
+    again = common.materialize(common.gathered(every.join(anchors, "anchor"), size), "bwt-again")
     common.discard(every)
     classes = again.groupBy("anchor", "span").agg(
         F.count("*").alias("c"), F.first("mixed").alias("mixed"), F.min(F.struct("key_x", "key_y", "start", "n", "lead")).alias("r"))
     border = classes.filter("mixed").select("anchor", "span", "r.*")
     wanted = border.groupBy("key_x", "key_y").agg(F.collect_list(F.struct("anchor", "span", "lead", "n", "start")).alias("wanted"))
-    transforms = common.materialize(_border_texts(texts.join(wanted, ["key_x", "key_y"]).select("text", "wanted"), width), "bwt-shards")
+    needs = common.gathered(texts.join(wanted, ["key_x", "key_y"]).select("text", "wanted"), size)
+    transforms = common.materialize(_border_texts(needs, width), "bwt-shards")
     crowded = transforms.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("anchor")
     parts = _merged(transforms.join(crowded, "anchor", "left_anti"), width, bucket)
     parts = parts.unionByName(_counted(transforms.join(crowded, "anchor", "left_semi"), width))
@@ -261,7 +263,7 @@ def repeated_ranges(docs: DataFrame, width: int = 200, hot: int = 20_000, bucket
         "key_x", "key_y", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + width).alias("b"))
     whole = classes.filter("c > 1").select("anchor", "span")
     copies = again.join(whole, ["anchor", "span"]).select("key_x", "key_y", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + width).alias("b"))
-    return texts, ones.unionByName(copies)
+    return texts, ones.unionByName(copies), size
 
 
 def _kept(text: bytes, ranges) -> tuple[bytes, int, int]:
@@ -291,9 +293,10 @@ def remove_repeats(
     `hot` is the number of border spans of one anchor from which they are counted window by window.
     """
     carried = F.struct(*carry) if carry else F.lit(None).cast("struct<none:int>")
-    texts, ranges = repeated_ranges(docs.select("doc_id", "text", carried.alias("carried")), width, hot)
+    texts, ranges, size = repeated_ranges(docs.select("doc_id", "text", carried.alias("carried")), width, hot)
     ranges = ranges.groupBy("key_x", "key_y").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
     joined = texts.join(ranges, ["key_x", "key_y"], "left").select("doc_id", "text", "ranges", *[F.col(f"carried.`{c}`").alias(f"__{i}") for i, c in enumerate(carry)])
+    joined = common.gathered(joined, size)
 
     def cut(batches):
         for batch in batches:
