@@ -67,3 +67,8 @@ def test_segments_with_conditions_come_from_one_shuffle(spark):
     out = CASES["x18_conditional_rules"][0](spark, SF)
     out.collect()
     assert plan(out).split("Initial Plan")[0].count("Generate posexplode(split(") == 2
+
+
+def test_reference_lists_come_with_the_last_join(spark):
+    out = CASES["j1_attach_code_refs"][0](spark, SF)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2  # with tasks, then with the lists
