@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tracemill.llm import license_scan, tool_calls
+from tracemill.llm import common, license_scan, tool_calls
 from tracemill.llm.arc_convert import archive_pages
 from tracemill.llm.best_fit import pack, sequences, sweep
 from tracemill.llm.bwt_dedup import remove_repeats
@@ -75,6 +75,24 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(31)}, 99: 99, 100: 99, 50: 50, 51: 50}
 
 
+def test_one_python_worker_a_task(spark, monkeypatch):
+    """Edges that Python makes are written before Python contracts them: no task of a step holds two workers."""
+    steps, write = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name: steps.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name))
+    edges = spark.range(0, 40, 1, 4).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = components(edges.mapInArrow(lambda batches: batches, "a long, b long"))
+    assert {(r.id, r.component) for r in found.collect()} == {(k, 0) for k in range(41)}
+    assert max(plan.count("MapInArrow") for plan in steps) == 1
+
+
+def test_kept_powers_are_those_of_a_chunk():
+    """A worker outlives its tasks, so a long text's powers must not stay with it."""
+    up, down = common.powers(3 * common.CHUNK)
+    assert len(up) == len(down) == 3 * common.CHUNK and (up * down == 1).all()
+    assert (common.powers(1000)[0] == up[:1000]).all()
+    assert max(len(kept) for kept in common._powers.values()) <= common.CHUNK + 1
+
+
 @pytest.mark.parametrize("options", [{}, {"leaf": 2, "cap": 4, "depth": 1}, {"leaf": 3, "cap": 100, "depth": 0}])
 def test_near_duplicates(docs, empty, options):
     sets = {}

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
+#: Bytes of texts that are looked at together; only a single text may have more.
+CHUNK = 1 << 20
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir; an own temporary folder only where that is unset."""
@@ -88,7 +91,7 @@ def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def chunks(batch, text: str = "text", limit: int = 1 << 20):
+def chunks(batch, text: str = "text", limit: int = CHUNK):
     """(first row, last row, bytes, offsets) of whole texts; a chunk exceeds the limit only by its last text."""
     data, at = string_bytes(batch.column(text))
     first = 0
@@ -109,14 +112,21 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = {}
 
 
+def _cumulative(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, modulo 2**64; kept between calls."""
-    if len(_powers.get("up", ())) < n:
-        size = max(1 << 21, n)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
+    """The first n powers of the hash base and of its inverse, modulo 2**64.
+
+    Those of a chunk are kept between calls; more, for a longer text, are not, as workers outlive their tasks.
+    """
+    if n > CHUNK + 1:
+        return _cumulative(_BASE, n), _cumulative(_INVERSE, n)
+    if not _powers:
+        _powers.update(up=_cumulative(_BASE, CHUNK + 1), down=_cumulative(_INVERSE, CHUNK + 1))
     return _powers["up"][:n], _powers["down"][:n]
 
 
@@ -196,11 +206,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", prefix: str = "link
     """(id, component): smallest id reachable over undirected edges, for every id that has an edge.
 
     Contracts the edges of each Arrow batch, then alternates two star contractions until every id points
-    to a root; each round is materialised.  Minima are aggregated before the shuffle, and the joins that
-    follow can be split where one id has most edges.
+    to a root; each round is materialised, and the edges are before the first one: where Python makes them,
+    a task that also contracted them would hold two workers, which executors keep for all later steps.  Minima
+    are aggregated before the shuffle, and the joins that follow can be split where one id has most edges.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
-    e = materialize(e.mapInArrow(_local_stars, "u long, v long"), prefix)
+    old = materialize(e, prefix)
+    e = materialize(gathered(old, old.count()).mapInArrow(_local_stars, "u long, v long"), prefix)
+    discard(old)
     while True:
         rows = e.count()
         e = gathered(e, rows)
