@@ -33,6 +33,22 @@ def test_last_task_row_wins_and_corrupt_is_kept(spark, tmp_path, small_splits):
     assert [(r.line_no, r.value) for r in corrupt.collect()] == [(1001, '{"task_id":')]
 
 
+def test_rows_are_numbered_where_they_are_read(spark, tmp_path, small_splits):
+    """No shuffle brings the rows of a split together, and no sort carries their paths."""
+    for name in ("b", "a"):  # the last row is that of the last path, whichever was written first
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"task_id":"{i % 100}","status":"{name}{i}"}}\n' for i in range(1000)))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tasks, _ = store.read_tasks(spark, str(tmp_path))
+        text = tasks._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in text and "max_by(row" in text
+        assert not any("path" in line for line in text.splitlines() if "max_by(row" in line)
+        assert {r.task_id: r.status for r in tasks.collect()} == {str(i): f"b{900 + i}" for i in range(100)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_modes(spark, tmp_path):
     (tmp_path / "t1.jsonl").write_text('{"seq":1,"type":"log","message":"m","location":{"file":"f","line":2}}\n\nbad\n')
     good, corrupt = store.read_events(spark, str(tmp_path))
