@@ -3,12 +3,14 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from suite import query_cases, stats_cases
 from suite.extract_cases import structure_long_task, structured
 from suite.registry import CASES
 from tracemill.operators import query as Q
 from tracemill.operators.audit import BLOCKED_PATTERNS
+from tracemill.plans import formats
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +74,15 @@ def test_segments_with_conditions_come_from_one_shuffle(spark):
 def test_reference_lists_come_with_the_last_join(spark):
     out = CASES["j1_attach_code_refs"][0](spark, SF)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2  # with tasks, then with the lists
+
+
+def test_ends_of_outputs_are_found_without_their_texts(spark):
+    """Before lines are joined with the ends of their output, only numbers are aggregated and shuffled for these."""
+    lines = spark.createDataFrame(
+        [("a", 1, " \t"), ("a", 2, "  [1,"), ("a", 3, "2] "), ("a", 4, ""), ("b", 1, "k: 1"), ("b", 2, "{}"), ("c", 1, "\u00a0")],
+        "task_id string, line_no long, text string")
+    body = formats._body(lines, F.col("text").startswith("{"))
+    assert "SortAggregate" not in plan(body) and "LeftAnti" not in plan(body)
+    assert sorted(map(tuple, body.collect())) == [("a", 2, "[", "[1,"), ("a", 3, "[", "2]")]
+    stats = plan(formats._line_formats(body))
+    assert "min_by" not in stats
