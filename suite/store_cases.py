@@ -12,6 +12,7 @@ from suite.views import table, view, with_views
 from tracemill.operators import audit, stats
 from tracemill.sources import rulepacks, store
 from tracemill.sources.commits import read_committed
+from tracemill.sources.ranges import write_lines
 
 
 def task_lines(spark, sf):
@@ -126,9 +127,9 @@ def integrity_report(spark, sf):
 
 
 def store_size(spark, sf):
-    """Of the documents' texts, written as four files."""
+    """Of the documents' texts, written as four files by all tasks."""
     path = folder(spark, "sized")
-    table(spark, sf, "documents").select("text").repartition(4).write.text(path)
+    write_lines(F.col("text"), table(spark, sf, "documents"), path, 4)
     return store.store_size(spark, path)
 
 

@@ -2,8 +2,9 @@
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
-from tracemill.sources import commits, store
+from tracemill.sources import commits, ranges, store
 from tracemill.streaming.live import RuleCatalog
 
 
@@ -125,3 +126,35 @@ def test_last_line_without_terminator(spark, tmp_path):
     (tmp_path / "b.txt").write_text("one\r\n\n")
     got = sorted((r.task_id, r.line_no, r.text, r.n_bytes) for r in store.read_raw(spark, str(tmp_path)).collect())
     assert got == [("a", 1, "one", 4), ("a", 2, "two", 3), ("b", 1, "one", 5), ("b", 2, "", 1)]
+
+
+def test_files_are_written_by_all_tasks(spark, tmp_path, small_splits):
+    """Four files hold all lines, whole, and no shuffle brings texts to as few tasks."""
+    texts = [f"{i} " + "wörd " * (i % 40) for i in range(2000)] + ["", "a\nb", None]
+    spark.createDataFrame([(t,) for t in texts], "text string").repartition(1).write.parquet(str(tmp_path / "in"))
+    rows = spark.read.parquet(str(tmp_path / "in"))
+    out = tmp_path / "out put"  # its URI has an escape
+    ranges.write_lines(F.col("text"), rows.unionByName(rows).unionByName(rows.limit(0)), str(out), 4)
+    files = sorted(out.glob("*"))
+    assert len(files) == 4 and all(f.stat().st_size > 10_000 for f in files)
+    got = sorted(line for f in files for line in f.read_text().splitlines())
+    assert got == sorted(2 * "\n".join(t for t in texts if t is not None).split("\n"))
+    assert store.store_size(spark, str(out)).collect() == [(4, 2 * sum(len(t.encode()) + 1 for t in texts if t is not None))]
+    ranges.write_lines(F.col("text"), rows.limit(0), str(tmp_path / "none"), 4)
+    assert [f.stat().st_size for f in (tmp_path / "none").glob("*")] == [0] * 4
+
+
+def test_sized_files_need_no_shuffle_of_texts(spark, tmp_path, monkeypatch):
+    """a12_store_size: repartition(4) would bring a quarter of the texts to each task."""
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "repartition", lambda *_: pytest.fail("texts are shuffled"))
+    from suite.store_cases import store_size
+
+    assert [r.files for r in store_size(spark, "/root/testdata/sf0.001").collect()] == [4]
+
+
+def test_rows_that_change_between_passes_fail(spark, tmp_path):
+    rows = spark.range(1000).select(F.expr("repeat('y', cast(double(reflect('java.lang.Math', 'random')) * 50 as int))").alias("text"))
+    with pytest.raises(Exception, match="came differently"):
+        ranges.write_lines(F.col("text"), rows, str(tmp_path / "out"), 4)
