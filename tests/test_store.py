@@ -50,6 +50,21 @@ def test_rows_are_numbered_where_they_are_read(spark, tmp_path, small_splits):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_sorts_carry_the_text_of_a_row(spark, tmp_path, small_splits):
+    """The last row of a task is found by its place among all lines, and its fields are read from its text."""
+    line = '{{"task_id":"{0}","status":"{1}","exit_code":{2},"started_at":"2024-01-02 03:04:05","metrics":{{"visible_events":{2}}}}}\n'
+    for name in ("b", "a"):
+        (tmp_path / f"{name}.jsonl").write_text("".join(line.format(i % 50, name, i) for i in range(200)))
+    places = store.numbered_lines(spark, str(tmp_path)).collect()
+    assert sorted((r.file, r.line_no) for r in places) == [(r.file, r.line_no) for r in sorted(places, key=lambda r: r.place)]
+    assert sorted(r.place for r in places) == list(range(1, 401))
+    tasks, _ = store.read_tasks(spark, str(tmp_path))
+    plan = [x for x in tasks._jdf.queryExecution().executedPlan().toString().splitlines() if "max_by(" in x]
+    assert len(plan) == 2 and all("max_by(row_text" in x and "struct(" not in x for x in plan)
+    got = tasks.select("task_id", "status", "exit_code", F.col("started_at").cast("string"), "metrics.visible_events", "cwd")
+    assert sorted(tuple(r) for r in got.collect()) == sorted((str(i), "b", 150 + i, "2024-01-02 03:04:05", 150 + i, None) for i in range(50))
+
+
 def test_modes(spark, tmp_path):
     (tmp_path / "t1.jsonl").write_text('{"seq":1,"type":"log","message":"m","location":{"file":"f","line":2}}\n\nbad\n')
     good, corrupt = store.read_events(spark, str(tmp_path))

@@ -18,8 +18,8 @@ CORRUPT = "_corrupt"
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines of text files below a path or several: (path, file, file_no in the order of paths, line_no from 1,
-    value), a `\\r` kept as it is.
+    """Lines of text files below a path or several: (path, file, line_no from 1, place among the lines of all files in
+    the order of paths, value), a `\\r` kept as it is.
 
     The numbers of the splits are broadcast, a row for each split, which the driver lists anyway: a join by split
     would bring all rows of a split to one task of a shuffle that has no more tasks than there are splits.
@@ -30,12 +30,14 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"),
     ).withColumn("_id", F.monotonically_increasing_id())
     before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before_all = Window.orderBy("path", "_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy("path", "_block").agg(
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")
     ).select("path", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-             F.dense_rank().over(Window.orderBy("path")).alias("file_no"))
+             F.coalesce(F.sum("_n").over(before_all), F.lit(0)).alias("_before_all"))
+    at = F.col("_id") - F.col("_first") + 1
     return rows.join(F.broadcast(blocks), ["path", "_block"]).select(
-        "path", "file", "file_no", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "value"
+        "path", "file", (F.col("_before") + at).alias("line_no"), (F.col("_before_all") + at).alias("place"), "value"
     )
 
 
@@ -64,12 +66,15 @@ def _timestamp(col: str) -> Column:
 
 
 def read_tasks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(tasks, corrupt rows); the last row of a repeated task_id wins, and rows are sorted without their paths."""
+    """(tasks, corrupt rows); the last row of a repeated task_id wins.
+
+    Sorts carry a row's text and its place, not its fields; the fields of the last ones are read again.
+    """
     good, corrupt = split_corrupt(parse_rows(numbered_lines(spark, path), TASK_JSON))
-    latest = good.groupBy(F.col("row.task_id").alias("task_id")).agg(
-        F.max_by("row", F.struct("file_no", "line_no")).alias("row"))
+    latest = good.select(F.col("row.task_id").alias("task_id"), F.col("value").alias("row_text"), "place").groupBy(
+        "task_id").agg(F.max_by("row_text", "place").alias("row_text"))
     columns = [f.name for f in good.schema["row"].dataType.fields if f.name != CORRUPT]
-    return latest.select("row.*").select(
+    return latest.select(F.from_json("row_text", TASK_JSON).alias("row")).select("row.*").select(
         *[_timestamp(c).alias(c) if c.endswith("_at") else F.col(c) for c in columns]
     ), corrupt
 
