@@ -169,6 +169,14 @@ def test_sized_files_need_no_shuffle_of_texts(spark, tmp_path, monkeypatch):
     assert [r.files for r in store_size(spark, "/root/testdata/sf0.001").collect()] == [4]
 
 
+def test_files_where_ranges_cannot_be_written(spark, tmp_path, monkeypatch):
+    """Spark's writer makes them, with the same lines."""
+    monkeypatch.setattr(ranges, "mounted", lambda *_: None)
+    ranges.write_lines(F.concat(F.lit("x"), "id"), spark.range(1000), str(tmp_path / "out"), 4)
+    files = list((tmp_path / "out").glob("part-*"))
+    assert len(files) == 4 and sorted(x for f in files for x in f.read_text().split()) == sorted(f"x{i}" for i in range(1000))
+
+
 def test_rows_that_change_between_passes_fail(spark, tmp_path):
     rows = spark.range(1000).select(F.expr("repeat('y', cast(double(reflect('java.lang.Math', 'random')) * 50 as int))").alias("text"))
     with pytest.raises(Exception, match="came differently"):
