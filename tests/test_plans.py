@@ -86,3 +86,12 @@ def test_ends_of_outputs_are_found_without_their_texts(spark):
     assert sorted(map(tuple, body.collect())) == [("a", 2, "[", "[1,"), ("a", 3, "[", "2]")]
     stats = plan(formats._line_formats(body))
     assert "min_by" not in stats
+
+
+def test_reference_text_is_made_once_per_list(spark):
+    out = CASES["j1_attach_code_refs"][0](spark, SF)
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = [n for n, line in enumerate(lines) if "array_join(" in line]
+    assert made and all("Aggregate [" in lines[n] for n in made)  # of lists, below the joins
+    joins = [n for n, line in enumerate(lines) if "Join LeftOuter" in line]
+    assert any("RepartitionByExpression [task_id" in line for line in lines[joins[0]:joins[1]])  # events are dealt out before they get texts

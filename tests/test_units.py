@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import patterns, shell
 from tracemill.functions import text as T
 from tracemill.functions.extract import RuleBook
-from tracemill.operators import audit, extract, quality, retention
+from tracemill.operators import audit, extract, lookup, quality, retention
 from tracemill.operators import query as Q
 from tracemill.plans.conditions import conditional_rules
 from tracemill.plans.formats import line_format_events
@@ -296,3 +296,22 @@ def test_complete_output_reads_an_array_of_any_size(spark):
     assert [tuple(r) for r in data.groupBy("task_id", "type").agg(F.count("*")).collect()] == [("many", "diagnostic", 6_000)]
     assert data.agg(F.min("seq")).first()[0] == own.agg(F.max("seq")).first()[0] + 1
     assert out.groupBy("task_id", "seq").count().filter("count > 1").count() == 0
+
+
+def test_code_references_in_a_form_of_their_own(spark):
+    events = spark.createDataFrame(
+        [("cargo", 1, "E1"), ("cargo", 2, "E2"), ("cargo", 3, None), ("none", 1, "E1"), ("npm", 1, "E1"), ("gone", 1, "E1"), ("twice", 1, "E1"), (None, 1, "E1")],
+        "task_id string, seq long, code string")
+    tasks = spark.createDataFrame(
+        [("cargo", "cargo"), ("none", None), ("npm", "npm"), ("twice", "cargo"), ("twice", ""), (None, "cargo")], "task_id string, parser_name string")
+    refs = spark.createDataFrame(
+        [("cargo", "E1", "b"), ("cargo", "E1", "a"), ("cargo", "E1", "a"), ("go", "E1", None), (None, "E1", "x"), ("", "E1", "y"), ("go", "E2", "z"), ("go", None, "q")],
+        "tool string, code string, message string")
+    text = lambda r: F.array_join(F.transform(r, lambda x: F.concat(x["tool"], F.lit(":"), x["message"])), "|")
+    found = lookup.attach_code_refs(events, tasks, refs, text)
+    every, own = ":y|cargo:a|cargo:a|cargo:b", "cargo:a|cargo:a|cargo:b"
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, [
+        ("cargo", 1, "E1", own), ("cargo", 2, "E2", None), ("cargo", 3, None, None), ("none", 1, "E1", every), ("npm", 1, "E1", None),
+        ("gone", 1, "E1", every), ("twice", 1, "E1", own), ("twice", 1, "E1", ":y"), (None, 1, "E1", every)]))
+    later = lookup.attach_code_refs(events, tasks, refs).withColumn("reference", text("reference"))
+    assert sorted(map(repr, later.collect())) == sorted(map(repr, found.collect()))
